@@ -3,6 +3,7 @@
 Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
 whole test tables (no id subsets, no row caps; a limit appears only where it
 is the feature, e.g. top-N). Column names equal those of ``plans/oracle.py``.
+Binding A (tables derived from ``events``) unless the name says cohort (B).
 """
 
 from __future__ import annotations
@@ -10,32 +11,265 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mktpulse.operators import filters, paid
-from mktpulse.sources.bindings import Binding
+from mktpulse.operators import attribution, budget, filters, funnel, growth, incrementality, paid, validate
+from mktpulse.sources.bindings import Binding, raw_tables
 
 # The binding-A data covers January 2024; the dashboards' date filter is kept
 # in every query (it is pushed into the parquet scan) with bounds that span it.
 START, END = "2024-01-01", "2024-01-31"
+# F2 example selection: three of the four channels, two of the three campaigns.
+SEL_CHANNELS = ["Meta", "Google", "Email"]
+SEL_CAMPAIGNS = ["Winter_Sale", "New_Arrivals"]
+# Float aggregates over several rows (means, sums of ratios) are rounded to
+# this many places so that summation order cannot show in the last bit.
+FLOAT_PLACES = 6
 
 
-def _b(spark: SparkSession, sf_dir: str) -> Binding:
-    return Binding(spark, sf_dir)
-
-
-def _filtered(b: Binding):
+def _filtered(spark, sf_dir):
     """F1 on the three fact tables, as both dashboards apply it."""
+    b = Binding(spark, sf_dir)
     ads = filters.date_range(b.ads(), "dt", START, END, add_dt=None)
     od = filters.date_range(b.orders(), "order_ts", START, END, add_dt=None)
     web = filters.date_range(b.web(), "event_ts", START, END, add_dt=None)
     return ads, od, web
 
 
-def q_paid_perf_daily(spark, sf_dir) -> DataFrame:
-    ads, od, _ = _filtered(_b(spark, sf_dir))
+def _exact(spark, sf_dir):
+    ads, od, _ = _filtered(spark, sf_dir)
+    return paid.paid_daily_exact(ads, od)
+
+
+def _channel_kpis(spark, sf_dir):
+    ads, od, _ = _filtered(spark, sf_dir)
+    return paid.channel_kpi(ads, od)
+
+
+# ------------------------------------------------------------------ paid
+def q_paid_perf_daily(spark, sf_dir):
+    ads, od, _ = _filtered(spark, sf_dir)
     return paid.paid_perf_daily(ads, od)
 
 
+def q_paid_daily_zero(spark, sf_dir):
+    ads, od, _ = _filtered(spark, sf_dir)
+    return paid.paid_daily(ads, od)
+
+
+def q_daily_trend(spark, sf_dir):
+    return paid.daily_trend(_exact(spark, sf_dir))
+
+
+def q_campaign_table(spark, sf_dir):
+    return paid.campaign_table(_exact(spark, sf_dir))
+
+
+def q_top_campaigns(spark, sf_dir):
+    return paid.top_campaigns(_exact(spark, sf_dir), 10)
+
+
+def q_channel_summary(spark, sf_dir):
+    return paid.channel_summary(_exact(spark, sf_dir))
+
+
+def q_kpi_cards(spark, sf_dir):
+    return paid.kpi_cards(_exact(spark, sf_dir))
+
+
+def q_channel_kpi(spark, sf_dir):
+    """P10 + B1 + T1: the channel KPI table with budget weight, rounded to 2."""
+    return budget.round_numeric(budget.budget_weight(_channel_kpis(spark, sf_dir)), 2)
+
+
+def q_kpi_cards_channel(spark, sf_dir):
+    k = paid.kpi_cards_channel(_channel_kpis(spark, sf_dir))
+    return k.withColumn("avg_CAC", F.round("avg_CAC", FLOAT_PLACES))
+
+
+def q_campaign_kpis(spark, sf_dir):
+    return paid.campaign_ranking(Binding(spark, sf_dir).campaign_daily())
+
+
+def q_campaign_cards(spark, sf_dir):
+    return paid.campaign_cards(Binding(spark, sf_dir).campaign_daily())
+
+
+# ------------------------------------------------------------------ funnel
+def q_funnel_stage_daily(spark, sf_dir):
+    _, _, web = _filtered(spark, sf_dir)
+    return funnel.funnel_stage_daily(web)
+
+
+def q_funnel_by_campaign(spark, sf_dir):
+    _, _, web = _filtered(spark, sf_dir)
+    return funnel.funnel_table(web)
+
+
+def q_funnel_long(spark, sf_dir):
+    _, _, web = _filtered(spark, sf_dir)
+    return funnel.funnel_long(web)
+
+
+def q_funnel_coarse(spark, sf_dir):
+    return funnel.funnel_coarse(_channel_kpis(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ CAC, cohorts
+def q_cac_daily(spark, sf_dir):
+    ads, _, _ = _filtered(spark, sf_dir)
+    return growth.cac_daily(ads, Binding(spark, sf_dir).orders(), START, END)
+
+
+def q_cac_daily_range(spark, sf_dir):
+    ads, od, _ = _filtered(spark, sf_dir)
+    return growth.cac_daily_range(ads, od)
+
+
+def q_ltv_by_cohort(spark, sf_dir):
+    return growth.ltv_by_cohort(Binding(spark, sf_dir).cohort_orders(), 180)
+
+
+def q_retention_rates(spark, sf_dir):
+    return growth.retention_rates(Binding(spark, sf_dir).cohort_orders())
+
+
+def q_retention_matrix(spark, sf_dir):
+    return growth.retention_matrix(growth.retention_rates(Binding(spark, sf_dir).cohort_orders()))
+
+
+def q_retention_90d(spark, sf_dir):
+    return growth.retention_90d(Binding(spark, sf_dir).cohort_orders(), 90)
+
+
+def q_growth_summary(spark, sf_dir):
+    ads, od, _ = _filtered(spark, sf_dir)
+    g = growth.growth_summary(growth.ltv_horizon(od, 180), growth.cac_daily_range(ads, od))
+    return g.select(*[F.round(c, FLOAT_PLACES).alias(c) for c in g.columns])
+
+
+def q_ltv_table(spark, sf_dir):
+    return budget.ltv_table(growth.ltv_horizon(Binding(spark, sf_dir).cohort_orders(), 180))
+
+
+# ------------------------------------------------------------------ attribution
+def q_attribution_models(spark, sf_dir):
+    _, od, web = _filtered(spark, sf_dir)
+    return attribution.attribution_models(web, od)
+
+
+def q_last_touch(spark, sf_dir):
+    _, od, web = _filtered(spark, sf_dir)
+    return attribution.attribution(web, od, "last_touch")
+
+
+def q_order_campaign_credit(spark, sf_dir):
+    _, od, web = _filtered(spark, sf_dir)
+    return attribution.attribution(web, od, "order_campaign")
+
+
+def q_attribution_table(spark, sf_dir):
+    _, od, web = _filtered(spark, sf_dir)
+    return budget.attribution_table(attribution.last_touch_attribution(web, od))
+
+
+# ------------------------------------------------------------------ incrementality
+def q_incrementality_uplift(spark, sf_dir):
+    _, od, _ = _filtered(spark, sf_dir)
+    return incrementality.incrementality_uplift(Binding(spark, sf_dir).exposure(), od, 30)
+
+
+def q_holdout_detail(spark, sf_dir):
+    ads, od, _ = _filtered(spark, sf_dir)
+    return budget.holdout_table(incrementality.holdout_detail(ads, od))
+
+
+def q_holdout_summary(spark, sf_dir):
+    ads, od, _ = _filtered(spark, sf_dir)
+    s = incrementality.holdout_summary(ads, od)
+    return s.withColumn("value", F.round("value", FLOAT_PLACES))
+
+
+# ------------------------------------------------------------------ budget
+def q_budget_weight(spark, sf_dir):
+    k = budget.budget_weight(_channel_kpis(spark, sf_dir))
+    return k.select("channel", F.bround("ROAS", 4).alias("ROAS"), F.bround("budget_weight", 4).alias("budget_weight"))
+
+
+def q_budget_guarded(spark, sf_dir):
+    alloc = budget.guarded_allocation(paid.channel_summary(_exact(spark, sf_dir)), 200000.0)
+    return budget.allocation_table(alloc)
+
+
+# ------------------------------------------------------------------ filters, validation
+def q_filter_options(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return filters.filter_options(b.ads(), b.orders(), b.web())
+
+
+def q_date_bounds(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    return filters.date_bounds(b.ads(), b.orders(), b.web())
+
+
+def q_filtered_orders(spark, sf_dir):
+    b = Binding(spark, sf_dir)
+    a, o, w = filters.apply_dashboard_filters(b.ads(), b.orders(), b.web(), START, END,
+                                              SEL_CHANNELS, SEL_CAMPAIGNS)
+    return o.select("order_id", "user_id", F.to_date("order_ts").alias("dt"),
+                    F.col("revenue").cast("double").alias("revenue"), "channel", "campaign")
+
+
+def q_validate_report(spark, sf_dir):
+    return validate.validation_report(raw_tables(spark, sf_dir), mode="strict")
+
+
+def q_validate_report_coerce(spark, sf_dir):
+    raw = raw_tables(spark, sf_dir)
+    return validate.validation_report({k: raw[k] for k in ("ads_daily", "orders", "web_events")}, mode="coerce")
+
+
+def q_unknown_events(spark, sf_dir):
+    return validate.unknown_events(raw_tables(spark, sf_dir)["web_events"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "paid_perf_daily": q_paid_perf_daily,
+    "paid_daily_zero": q_paid_daily_zero,
+    "daily_trend": q_daily_trend,
+    "campaign_table": q_campaign_table,
+    "top_campaigns": q_top_campaigns,
+    "channel_summary": q_channel_summary,
+    "kpi_cards": q_kpi_cards,
+    "channel_kpi": q_channel_kpi,
+    "kpi_cards_channel": q_kpi_cards_channel,
+    "campaign_kpis": q_campaign_kpis,
+    "campaign_cards": q_campaign_cards,
+    "funnel_stage_daily": q_funnel_stage_daily,
+    "funnel_by_campaign": q_funnel_by_campaign,
+    "funnel_long": q_funnel_long,
+    "funnel_coarse": q_funnel_coarse,
+    "cac_daily": q_cac_daily,
+    "cac_daily_range": q_cac_daily_range,
+    "ltv_by_cohort": q_ltv_by_cohort,
+    "retention_rates": q_retention_rates,
+    "retention_matrix": q_retention_matrix,
+    "retention_90d": q_retention_90d,
+    "growth_summary": q_growth_summary,
+    "ltv_table": q_ltv_table,
+    "attribution_models": q_attribution_models,
+    "last_touch": q_last_touch,
+    "order_campaign_credit": q_order_campaign_credit,
+    "attribution_table": q_attribution_table,
+    "incrementality_uplift": q_incrementality_uplift,
+    "holdout_detail": q_holdout_detail,
+    "holdout_summary": q_holdout_summary,
+    "budget_weight": q_budget_weight,
+    "budget_guarded": q_budget_guarded,
+    "filter_options": q_filter_options,
+    "date_bounds": q_date_bounds,
+    "filtered_orders": q_filtered_orders,
+    "validate_report": q_validate_report,
+    "validate_report_coerce": q_validate_report_coerce,
+    "unknown_events": q_unknown_events,
 }

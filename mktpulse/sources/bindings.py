@@ -109,7 +109,7 @@ def exposure_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("U"), uid.cast("string")).alias("user_id"),
         _pick(CAMPAIGNS, uid % 3).alias("campaign"),
         F.when(uid % 10 < 7, F.lit("Test")).otherwise(F.lit("control")).alias("group"),
-        F.timestampadd("DAY", (uid % 15).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+        F.timestamp_add("DAY", (uid % 15).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
         .alias("exposure_ts"),
     )
 
@@ -164,3 +164,37 @@ class Binding:
 
     def cohort_orders(self) -> DataFrame:
         return tpch_orders(self.spark, self.sf_dir)
+
+
+# ---------------------------------------------------------------- raw copies
+def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """String-typed copies of the binding-A tables, as an upload would arrive,
+    for the validation jobs. Two kinds of dirt come from the data itself:
+    ad rows of click events carry their date as ``yyyy/MM/dd`` (not ISO), and
+    the web table keeps purchase events under their raw name ``purchase``
+    (outside the funnel taxonomy)."""
+    e = events(spark, sf_dir)
+    eid = F.col("event_id")
+    s = lambda c: c.cast("string")
+    ads = e.filter(F.col("event_type").isin("view", "click")).select(
+        F.when(F.col("event_type") == "click", F.date_format("ts", "yyyy/MM/dd"))
+         .otherwise(s(F.to_date("ts"))).alias("dt"),
+        _channel(eid).alias("channel"), _campaign(eid).alias("campaign"),
+        s(F.lit(1000) + eid % 500).alias("impressions"), s(eid % 50).alias("clicks"),
+        s(F.col("value")).alias("spend"))
+    name_map = F.create_map(*[F.lit(x) for kv in EVENT_NAMES.items() for x in kv])
+    web = e.select(
+        s(F.concat(F.lit("U"), s(F.col("user_id")))).alias("user_id"),
+        F.concat(F.lit("S"), s(F.col("user_id")), F.lit("-"), s(F.to_date("ts"))).alias("session_id"),
+        s(F.col("ts")).alias("event_ts"),
+        F.coalesce(F.try_element_at(name_map, F.col("event_type")), F.col("event_type")).alias("event_name"),
+        F.when(eid % 5 < 3, F.lit("mobile")).otherwise(F.lit("desktop")).alias("device"),
+        _pick(SOURCES, eid % 4).alias("source"), _pick(MEDIUMS, eid % 4).alias("medium"),
+        _campaign(eid).alias("campaign"))
+    od = orders(spark, sf_dir)
+    od = od.select(*[s(F.col(c)).alias(c) for c in od.columns])
+    cu = customers(spark, sf_dir)
+    cu = cu.select(*[s(F.col(c)).alias(c) for c in cu.columns])
+    ex = exposure_holdout(spark, sf_dir)
+    ex = ex.select(*[s(F.col(c)).alias(c) for c in ex.columns])
+    return {"ads_daily": ads, "web_events": web, "orders": od, "customers": cu, "exposure_holdout": ex}
