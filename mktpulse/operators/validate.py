@@ -95,7 +95,7 @@ def check_table(df: DataFrame, table: str, mode: str = "strict", allow_extra: bo
     cols.append(F.struct(F.lit("non_empty").alias("check"), F.lit(None).cast("string").alias("column"),
                          F.when(F.col("rows") == 0, 1).otherwise(0).cast("bigint").alias("violations")))
     return (s.select(F.explode(F.array(*cols)).alias("r"))
-             .select(F.lit(table).alias("table"), "r.check", "r.column", F.col("r.violations").cast("bigint")))
+             .select(F.lit(table).alias("table"), "r.check", "r.column", F.col("r.violations").cast("bigint").alias("violations")))
 
 
 def validation_report(tables: dict[str, DataFrame | None], mode: str = "strict",
