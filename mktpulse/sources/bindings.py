@@ -49,7 +49,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- binding A
 def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).filter(F.col("event_type") != "purchase")
+    return web_events_from(events(spark, sf_dir))
+
+
+def web_events_from(e: DataFrame) -> DataFrame:
+    e = e.filter(F.col("event_type") != "purchase")
     eid = F.col("event_id")
     name_map = F.create_map(*[F.lit(x) for kv in EVENT_NAMES.items() for x in kv])
     return e.select(
@@ -66,7 +70,11 @@ def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    return orders_from(events(spark, sf_dir))
+
+
+def orders_from(e: DataFrame) -> DataFrame:
+    e = e.filter(F.col("event_type") == "purchase")
     eid = F.col("event_id")
     revenue = F.col("value").cast(MONEY)
     return e.select(
@@ -83,7 +91,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ads_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).filter(F.col("event_type").isin("view", "click"))
+    return ads_daily_from(events(spark, sf_dir))
+
+
+def ads_daily_from(e: DataFrame) -> DataFrame:
+    e = e.filter(F.col("event_type").isin("view", "click"))
     eid = F.col("event_id")
     return e.select(
         F.to_date("ts").alias("dt"),

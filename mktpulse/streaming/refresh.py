@@ -1,0 +1,69 @@
+"""Incremental refresh of the daily marts with Structured Streaming.
+
+The reference is a batch dashboard; nothing in it streams. What a Spark user
+needs when event files keep landing is the *same* daily marts kept current
+without recomputing history. This module does exactly that and adds no new
+metric:
+
+* the source is a parquet file stream over the raw ``events`` folder;
+* each micro-batch (``foreachBatch``) finds the days it touches, recomputes
+  the daily marts for those days only -- from the whole source table,
+  restricted by a semi-join with the touched days, which Spark pushes into
+  the scan -- and overwrites just those ``dt`` partitions (dynamic partition
+  overwrite);
+* distinct counts stay exact (a day is always recomputed from all its rows),
+  late files simply trigger a recompute of their day, and a replayed epoch
+  rewrites the same partitions with the same content (idempotent), so the
+  stream survives restarts from its checkpoint.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mktpulse.operators import funnel, paid
+from mktpulse.sources.bindings import ads_daily_from, orders_from, web_events_from
+
+DAILY_MARTS = ("mart_paid_perf_daily", "mart_funnel_stage_daily")
+
+
+def daily_marts_from_events(events: DataFrame) -> dict[str, DataFrame]:
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return {
+        "mart_paid_perf_daily": paid.paid_perf_daily(ads_daily_from(e), orders_from(e)),
+        "mart_funnel_stage_daily": funnel.funnel_stage_daily(web_events_from(e)),
+    }
+
+
+def _refresh_days(spark: SparkSession, source_dir: str, out_dir: str):
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        days = batch.select(F.to_date(F.col("ts").cast("timestamp")).alias("day")).distinct()
+        src = spark.read.parquet(source_dir)
+        # the touched days are bounded by the calendar, so broadcasting them is safe
+        touched = src.join(F.broadcast(days), F.to_date(F.col("ts").cast("timestamp")) == days["day"], "left_semi")
+        for name, df in daily_marts_from_events(touched).items():
+            (df.repartition("dt").write.mode("overwrite").partitionBy("dt")
+               .option("partitionOverwriteMode", "dynamic").parquet(os.path.join(out_dir, name)))
+    return run
+
+
+def start_daily_refresh(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
+                        available_now: bool = True, max_files_per_trigger: int | None = None):
+    """Start the refresh stream; returns the ``StreamingQuery``.
+
+    ``checkpoint_dir`` must be a shared, durable folder (the stream's offsets
+    and commit log live there). ``available_now=True`` processes what is
+    there and stops (a scheduled job); ``False`` keeps running.
+    """
+    schema = spark.read.parquet(source_dir).schema
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_dir)
+    w = (stream.writeStream.foreachBatch(_refresh_days(spark, source_dir, out_dir))
+         .option("checkpointLocation", checkpoint_dir))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
