@@ -44,7 +44,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,17 +63,13 @@ CREDIT_SCHEMA = T.StructType([
     T.StructField("credited", T.LongType()),
 ])
 FWD_SCHEMA = T.StructType([
-    T.StructField("pid", T.IntegerType()), T.StructField("first_user", T.StringType()),
-    T.StructField("last_user", T.StringType()), T.StructField("single", T.BooleanType()),
-    T.StructField("n", T.LongType()), T.StructField("has_touch", T.BooleanType()),
+    T.StructField("pid", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("has_touch", T.BooleanType()),
     T.StructField("last_sec", T.LongType()), T.StructField("last_src", T.StringType()),
     T.StructField("last_camp", T.StringType()), T.StructField("E", T.DoubleType()),
     T.StructField("first_src", T.StringType()), T.StructField("first_camp", T.StringType()),
 ])
 BWD_SCHEMA = T.StructType([
-    T.StructField("pid", T.IntegerType()), T.StructField("first_user", T.StringType()),
-    T.StructField("last_user", T.StringType()), T.StructField("single", T.BooleanType()),
-    T.StructField("lin", T.DoubleType()), T.StructField("lpos", T.DoubleType()),
+    T.StructField("pid", T.IntegerType()), T.StructField("lin", T.DoubleType()), T.StructField("lpos", T.DoubleType()),
     T.StructField("lneg", T.DoubleType()), T.StructField("orders_after", T.LongType()),
 ])
 
@@ -97,14 +92,32 @@ def timeline(touches: DataFrame, orders: DataFrame) -> DataFrame:
     return t.unionByName(o)
 
 
+TARGET_PARTITION_BYTES = 64 << 20
+
+
+def timeline_partitions(tl: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partitions for the sorted timeline: Catalyst's size estimate of the
+    projected timeline over ``target_bytes`` (so one task's sort and its
+    Python user runs stay small), never fewer than the shuffle default."""
+    spark = tl.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(tl._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # no statistics: fall back to the default
+        size = 0
+    return max(base, -(-size // target_bytes))
+
+
 def sorted_timeline(touches: DataFrame, orders: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Range-partitioned, sorted and checkpointed timeline (step 1)."""
+    """Range-partitioned, sorted and checkpointed timeline (step 1), with the
+    partition index as column ``pid`` (the carries are keyed by it)."""
     spark = touches.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tl = timeline(touches, orders)
+    n = partitions or timeline_partitions(tl)
     keys = [F.col(c).asc_nulls_first() for c in _TIMELINE_KEYS]
-    return tl.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    ck = tl.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    return ck.withColumn("pid", F.spark_partition_id())
 
 
 # ---------------------------------------------------------------- run kernel
@@ -245,55 +258,43 @@ def _runs(batches):
         yield open_user, pd.concat(parts, ignore_index=True), first, True
 
 
+def _one_run(batches) -> pd.DataFrame | None:
+    parts = [b for b in batches if len(b)]
+    return pd.concat(parts, ignore_index=True) if parts else None
+
+
 def _fwd_summaries(k: float):
+    """Forward state of each partition's last user run (fed only those rows)."""
     def f(batches):
-        pid = TaskContext.get().partitionId()
-        first_user = last_run = last_user = None
-        n_runs = 0
-        for user, run, is_first, is_last in _runs(batches):
-            n_runs += 1
-            if is_first:
-                first_user = user
-            if is_last:
-                last_user, last_run = user, run
-        if last_run is None:
+        run = _one_run(batches)
+        if run is None:
             return
-        end, _, _ = _scan_run(last_run, None, None, k, False)
+        end, _, _ = _scan_run(run, None, None, k, False)
         yield pd.DataFrame([{
-            "pid": pid, "first_user": first_user, "last_user": last_user, "single": n_runs == 1,
-            "n": end.n, "has_touch": end.has, "last_sec": end.last_sec, "last_src": end.last_src,
-            "last_camp": end.last_camp, "E": end.E, "first_src": end.first_src, "first_camp": end.first_camp}])
+            "pid": int(run["pid"].iat[0]), "n": end.n, "has_touch": end.has, "last_sec": end.last_sec,
+            "last_src": end.last_src, "last_camp": end.last_camp, "E": end.E,
+            "first_src": end.first_src, "first_camp": end.first_camp}])
     return f
 
 
 def _bwd_summaries(k: float, fwd_carry: dict):
+    """Order terms of each partition's first user run (fed only those rows),
+    given that run's forward carry-in."""
     def f(batches):
-        pid = TaskContext.get().partitionId()
-        first_user = last_user = None
-        first_sum = None
-        n_runs = 0
-        for user, run, is_first, is_last in _runs(batches):
-            n_runs += 1
-            if is_first:
-                first_user = user
-                carry = fwd_carry.get(pid)
-                _, first_sum, _ = _scan_run(run, carry, None, k, False)
-            if is_last:
-                last_user = user
-        if first_sum is None:
+        run = _one_run(batches)
+        if run is None:
             return
-        yield pd.DataFrame([{
-            "pid": pid, "first_user": first_user, "last_user": last_user, "single": n_runs == 1,
-            "lin": first_sum.lin, "lpos": first_sum.lpos, "lneg": first_sum.lneg, "orders_after": first_sum.cnt}])
+        pid = int(run["pid"].iat[0])
+        _, s, _ = _scan_run(run, fwd_carry.get(pid), None, k, False)
+        yield pd.DataFrame([{"pid": pid, "lin": s.lin, "lpos": s.lpos, "lneg": s.lneg, "orders_after": s.cnt}])
     return f
 
 
 def _credits(k: float, fwd_carry: dict, bwd_carry: dict):
     def f(batches):
-        pid = TaskContext.get().partitionId()
-        out = []
-        rows = 0
+        out, rows, pid = [], 0, None
         for user, run, is_first, is_last in _runs(batches):
+            pid = int(run["pid"].iat[0]) if pid is None else pid
             fc = fwd_carry.get(pid) if is_first else None
             bc = bwd_carry.get(pid) if is_last else None
             _, _, cr = _scan_run(run, fc, bc, k, True)
@@ -323,30 +324,40 @@ def _combine_credits(frames) -> pd.DataFrame:
                        "credited": "int64"})
 
 
-def _fold_forward(rows, k: float) -> dict:
+def _fold_forward(bounds: dict, rows, k: float) -> dict:
+    """Carry-in forward state per partition whose first user continues from
+    the previous non-empty partition. ``bounds``: pid -> (first, last user)."""
+    summ = {r["pid"]: r for r in rows}
     carry, acc_user, acc = {}, None, None
-    for r in sorted(rows, key=lambda r: r["pid"]):
+    for pid in sorted(bounds):
+        first_user, last_user = bounds[pid]
+        r = summ[pid]
         st = _Fwd(r["n"], r["has_touch"], r["last_sec"] or 0, r["last_src"], r["last_camp"], r["E"] or 0.0,
                   r["first_src"], r["first_camp"])
-        if acc_user is not None and acc_user == r["first_user"]:
-            carry[r["pid"]] = acc
-            acc = acc.then(st, k) if r["single"] else st
-            acc_user = r["last_user"]
+        if acc_user is not None and acc_user == first_user:
+            carry[pid] = acc
+            acc = acc.then(st, k) if first_user == last_user else st
         else:
-            acc_user, acc = r["last_user"], st
+            acc = st
+        acc_user = last_user
     return carry
 
 
-def _fold_backward(rows) -> dict:
+def _fold_backward(bounds: dict, rows) -> dict:
+    """Carry-in order terms per partition whose last user continues into the
+    next non-empty partition."""
+    summ = {r["pid"]: r for r in rows}
     carry, acc_user, acc = {}, None, None
-    for r in sorted(rows, key=lambda r: -r["pid"]):
+    for pid in sorted(bounds, reverse=True):
+        first_user, last_user = bounds[pid]
+        r = summ[pid]
         st = _Bwd(r["lin"], r["lpos"], r["lneg"], r["orders_after"])
-        if acc_user is not None and acc_user == r["last_user"]:
-            carry[r["pid"]] = acc
-            acc = st.before(acc) if r["single"] else st
-            acc_user = r["first_user"]
+        if acc_user is not None and acc_user == last_user:
+            carry[pid] = acc
+            acc = st.before(acc) if first_user == last_user else st
         else:
-            acc_user, acc = r["first_user"], st
+            acc = st
+        acc_user = first_user
     return carry
 
 
@@ -362,17 +373,29 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
     the reference's left join does. Linear and decay credits are rounded to
     ``decimals`` places.
 
-    The two summary folds bring back one small row per partition to the
-    driver (O(partitions), like Spark's own range-bound sampling); no data
-    row passes through the driver.
+    The partition bounds and the two summary folds bring back one small row
+    per partition to the driver (O(partitions), like Spark's own range-bound
+    sampling); no data row passes through the driver. Only the credit pass
+    streams every row through Python; the summary passes see just the first
+    or last user run of each partition (a broadcast semi-join on at most one
+    row per partition picks them in the JVM).
     """
     tl = sorted_timeline(touches.select("user_id", "event_ts", "source", "campaign"),
                          orders.select("order_id", "user_id", "order_ts", "revenue"), partitions)
-    fwd_rows = [r.asDict() for r in tl.mapInPandas(_fwd_summaries(k), FWD_SCHEMA).collect()]
-    fwd_carry = _fold_forward(fwd_rows, k)
-    bwd_rows = [r.asDict() for r in tl.mapInPandas(_bwd_summaries(k, fwd_carry), BWD_SCHEMA).collect()]
-    bwd_carry = _fold_backward(bwd_rows)
-    cr = tl.mapInPandas(_credits(k, fwd_carry, bwd_carry), CREDIT_SCHEMA)
+    spark = tl.sparkSession
+    # first and last user of every partition: a JVM aggregate, one row per partition
+    b = tl.groupBy("pid").agg(F.min("user_id").alias("first_user"), F.max("user_id").alias("last_user"))
+    bounds = {r["pid"]: (r["first_user"], r["last_user"]) for r in b.collect()}
+    edge = lambda which: F.broadcast(spark.createDataFrame(  # noqa: E731  (<= 1 row per partition)
+        [(p, u[which]) for p, u in bounds.items()], "pid int, user_id string"))
+    cols = ["pid", "user_id", "kind", "sec", "src", "camp", "cents"]
+    last_runs = tl.select(*cols).join(edge(1), ["pid", "user_id"], "left_semi")
+    fwd_rows = [r.asDict() for r in last_runs.mapInPandas(_fwd_summaries(k), FWD_SCHEMA).collect()]
+    fwd_carry = _fold_forward(bounds, fwd_rows, k)
+    first_runs = tl.select(*cols).join(edge(0), ["pid", "user_id"], "left_semi")
+    bwd_rows = [r.asDict() for r in first_runs.mapInPandas(_bwd_summaries(k, fwd_carry), BWD_SCHEMA).collect()]
+    bwd_carry = _fold_backward(bounds, bwd_rows)
+    cr = tl.select(*cols, "oid").mapInPandas(_credits(k, fwd_carry, bwd_carry), CREDIT_SCHEMA)
     out = (cr.groupBy(F.col("src").alias("channel"), F.col("camp").alias("campaign"))
            .agg(F.countDistinct("oid").alias("orders"),
                 (F.sum("lc_cents").cast("decimal(38,0)") / 100).cast("double").alias("revenue_last_click"),
