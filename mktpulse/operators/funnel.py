@@ -69,7 +69,12 @@ def funnel_long(web: DataFrame, campaign: str | None = None) -> DataFrame:
     dashboard's selector does by default; the pick is a scalar subquery,
     never a driver round trip.
     """
-    f = funnel_by_campaign(web)
+    return funnel_long_of(funnel_by_campaign(web), campaign)
+
+
+def funnel_long_of(f: DataFrame, campaign: str | None = None) -> DataFrame:
+    """U5 over an already computed ``funnel_by_campaign`` frame (pass a
+    materialised one: the default pick reads it twice)."""
     if campaign is None:
         f = f.filter(F.col("campaign") == f.agg(F.min("campaign")).scalar())
     else:

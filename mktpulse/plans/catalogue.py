@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mktpulse.operators import attribution, budget, filters, funnel, growth, incrementality, paid, validate
+from mktpulse.session import materialize_small
 from mktpulse.sources.bindings import Binding, raw_tables
 
 # The binding-A data covers January 2024; the dashboards' date filter is kept
@@ -42,8 +43,9 @@ def _exact(spark, sf_dir):
 
 
 def _channel_kpis(spark, sf_dir):
+    """P10 per channel, materialised once: B1 divides by its ROAS total."""
     ads, od, _ = _filtered(spark, sf_dir)
-    return paid.channel_kpi(ads, od)
+    return materialize_small(paid.channel_kpi(ads, od))
 
 
 # ------------------------------------------------------------------ paid
@@ -108,7 +110,7 @@ def q_funnel_by_campaign(spark, sf_dir):
 
 def q_funnel_long(spark, sf_dir):
     _, _, web = _filtered(spark, sf_dir)
-    return funnel.funnel_long(web)
+    return funnel.funnel_long_of(materialize_small(funnel.funnel_by_campaign(web)))
 
 
 def q_funnel_coarse(spark, sf_dir):
@@ -197,7 +199,8 @@ def q_budget_weight(spark, sf_dir):
 
 
 def q_budget_guarded(spark, sf_dir):
-    alloc = budget.guarded_allocation(paid.channel_summary(_exact(spark, sf_dir)), 200000.0)
+    ch = materialize_small(paid.channel_summary(_exact(spark, sf_dir)))
+    alloc = budget.guarded_allocation(ch, 200000.0)
     return budget.allocation_table(alloc)
 
 

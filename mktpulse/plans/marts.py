@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from mktpulse.contracts import (DEFAULT_EXPOSURE_LOOKBACK_DAYS, DEFAULT_LTV_LOOKBACK_DAYS, DEFAULT_TOP_N,
                                 DEFAULT_TOTAL_BUDGET)
 from mktpulse.operators import attribution, budget, filters, funnel, growth, incrementality, paid, validate
+from mktpulse.session import materialize_small
 
 PARTITION_BY = {
     "mart_paid_perf_daily": ["dt"],
@@ -146,7 +147,7 @@ def growth_dashboard(ads: DataFrame, orders: DataFrame, web: DataFrame, p: Growt
     exact = paid.paid_daily_exact(a, o)
     if persist:
         exact = exact.persist(StorageLevel.MEMORY_AND_DISK)
-    ch = paid.channel_summary(exact)
+    ch = materialize_small(paid.channel_summary(exact))
     cac = growth.cac_daily_range(a, o)
     ltv = growth.ltv_horizon(o, p.horizon_days)
     detail = incrementality.holdout_detail(a, o)
@@ -156,7 +157,7 @@ def growth_dashboard(ads: DataFrame, orders: DataFrame, web: DataFrame, p: Growt
         "channel_summary": ch,
         "allocation": budget.allocation_table(budget.guarded_allocation(ch, p.total_budget)),
         "funnel_table": funnel.funnel_table(w),
-        "funnel_long": funnel.funnel_long(w),
+        "funnel_long": funnel.funnel_long_of(materialize_small(funnel.funnel_by_campaign(w))),
         "daily_trend": paid.daily_trend(exact),
         "top_campaigns": paid.top_campaigns(exact, p.top_n),
         "attribution": budget.attribution_table(attribution.attribution(w, o, p.attribution_model)),
@@ -175,7 +176,7 @@ def growth_dashboard(ads: DataFrame, orders: DataFrame, web: DataFrame, p: Growt
 def channel_dashboard(ads: DataFrame, orders: DataFrame, start: str, end: str) -> dict[str, DataFrame]:
     a = filters.date_range(ads, "dt", start, end, add_dt=None)
     o = filters.date_range(orders, "order_ts", start, end, add_dt=None)
-    k = paid.channel_kpi(a, o)
+    k = materialize_small(paid.channel_kpi(a, o))
     return {
         "kpi_cards": paid.kpi_cards_channel(k),
         "channel_table": budget.round_numeric(budget.budget_weight(k), 2),

@@ -28,7 +28,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder of our own.
     """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    current = (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+               or spark.conf.get("spark.checkpoint.dir", None))
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
@@ -55,3 +56,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
+
+
+def materialize_small(df):
+    """Compute a small, aggregated frame once and cut its lineage.
+
+    Operators that need a global total of a frame (budget shares, the funnel
+    campaign pick) read it through scalar subqueries; when the frame is an
+    expensive rollup, each subquery would re-derive it from the raw scan.
+    A reliable checkpoint in the shared checkpoint folder stores it once and
+    survives executor loss (never ``localCheckpoint``). Only for frames whose
+    size is bounded by a dimension (channels, campaigns), not by the data.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
