@@ -92,7 +92,7 @@ def timeline(touches: DataFrame, orders: DataFrame) -> DataFrame:
     return t.unionByName(o)
 
 
-TARGET_PARTITION_BYTES = 64 << 20
+TARGET_PARTITION_BYTES = 128 << 20
 
 
 def timeline_partitions(tl: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
@@ -277,26 +277,26 @@ def _fwd_summaries(k: float):
     return f
 
 
-def _bwd_summaries(k: float, fwd_carry: dict):
+def _bwd_summaries(k: float, fwd_carry):
     """Order terms of each partition's first user run (fed only those rows),
-    given that run's forward carry-in."""
+    given that run's forward carry-in (``fwd_carry``: a broadcast dict)."""
     def f(batches):
         run = _one_run(batches)
         if run is None:
             return
         pid = int(run["pid"].iat[0])
-        _, s, _ = _scan_run(run, fwd_carry.get(pid), None, k, False)
+        _, s, _ = _scan_run(run, fwd_carry.value.get(pid), None, k, False)
         yield pd.DataFrame([{"pid": pid, "lin": s.lin, "lpos": s.lpos, "lneg": s.lneg, "orders_after": s.cnt}])
     return f
 
 
-def _credits(k: float, fwd_carry: dict, bwd_carry: dict):
+def _credits(k: float, fwd_carry, bwd_carry):
     def f(batches):
         out, rows, pid = [], 0, None
         for user, run, is_first, is_last in _runs(batches):
             pid = int(run["pid"].iat[0]) if pid is None else pid
-            fc = fwd_carry.get(pid) if is_first else None
-            bc = bwd_carry.get(pid) if is_last else None
+            fc = fwd_carry.value.get(pid) if is_first else None
+            bc = bwd_carry.value.get(pid) if is_last else None
             _, _, cr = _scan_run(run, fc, bc, k, True)
             if cr is not None:
                 out.append(cr)
@@ -391,10 +391,11 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
     cols = ["pid", "user_id", "kind", "sec", "src", "camp", "cents"]
     last_runs = tl.select(*cols).join(edge(1), ["pid", "user_id"], "left_semi")
     fwd_rows = [r.asDict() for r in last_runs.mapInPandas(_fwd_summaries(k), FWD_SCHEMA).collect()]
-    fwd_carry = _fold_forward(bounds, fwd_rows, k)
+    # carries: at most one per partition, shipped once per executor
+    fwd_carry = spark.sparkContext.broadcast(_fold_forward(bounds, fwd_rows, k))
     first_runs = tl.select(*cols).join(edge(0), ["pid", "user_id"], "left_semi")
     bwd_rows = [r.asDict() for r in first_runs.mapInPandas(_bwd_summaries(k, fwd_carry), BWD_SCHEMA).collect()]
-    bwd_carry = _fold_backward(bounds, bwd_rows)
+    bwd_carry = spark.sparkContext.broadcast(_fold_backward(bounds, bwd_rows))
     cr = tl.select(*cols, "oid").mapInPandas(_credits(k, fwd_carry, bwd_carry), CREDIT_SCHEMA)
     out = (cr.groupBy(F.col("src").alias("channel"), F.col("camp").alias("campaign"))
            .agg(F.countDistinct("oid").alias("orders"),
