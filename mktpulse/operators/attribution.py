@@ -192,7 +192,7 @@ def _scan_run(run: pd.DataFrame, fwd: _Fwd | None, bwd: _Bwd | None, k: float, w
 
     # orders with at least one touch at or before them
     sel = (~is_t) & has_last
-    cents = run["cents"].to_numpy(dtype="float64", na_value=np.nan)
+    cents = np.nan_to_num(run["cents"].to_numpy(dtype="float64", na_value=np.nan), nan=0.0)
     r = np.where(sel, cents / 100.0, 0.0)
     with np.errstate(divide="ignore", invalid="ignore"):
         v = np.where(sel, r / np.maximum(n, 1), 0.0)
@@ -224,8 +224,7 @@ def _scan_run(run: pd.DataFrame, fwd: _Fwd | None, bwd: _Bwd | None, k: float, w
     if len(o_idx):
         lsrc = np.where(li[o_idx] >= 0, src[np.maximum(li[o_idx], 0)], fwd.last_src)
         lcamp = np.where(li[o_idx] >= 0, camp[np.maximum(li[o_idx], 0)], fwd.last_camp)
-        oc = cents[o_idx]
-        oc = np.where(np.isnan(oc), 0, oc).astype(np.int64)
+        oc = cents[o_idx].astype(np.int64)
         parts.append(pd.DataFrame({
             "src": lsrc, "camp": lcamp, "oid": run["oid"].to_numpy(dtype=object)[o_idx], "lc_cents": oc,
             "fc_cents": 0, "lin": 0.0, "dec": 0.0, "credited": 0}))
@@ -236,26 +235,130 @@ def _scan_run(run: pd.DataFrame, fwd: _Fwd | None, bwd: _Bwd | None, k: float, w
     return end, summary, (pd.concat(parts, ignore_index=True) if parts else None)
 
 
-def _runs(batches):
-    """Yield (user_id, run frame, is_first, is_last) for each user run of a
-    partition. Only the run still open is buffered, as a list of pieces."""
+# Within one run the decay exponent k * minutes since the run's first row must
+# stay below this for the direct (non-log) path: exp(600) ~ 1e260.
+_SPAN_LIMIT = 600.0
+
+
+def _blocks(batches):
+    """Split a partition into work items, buffering only the open run:
+
+    * ``("run", user, frame, is_first, is_last)`` -- a run processed on its
+      own by the exact log-space kernel: the partition's first run (it may
+      carry state in), its last run (state may carry out), and any run that
+      crosses an Arrow batch boundary;
+    * ``("block", frame)`` -- consecutive complete runs inside one batch, no
+      carries, processed together by the vectorised kernel.
+    """
     parts, open_user, first = [], None, True
     for b in batches:
         if len(b) == 0:
             continue
         users = b["user_id"].to_numpy(dtype=object)
         cut = np.flatnonzero(users[1:] != users[:-1]) + 1
-        for s, e in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(b)]))):
-            piece = b.iloc[s:e]
-            if parts and users[s] == open_user:
-                parts.append(piece)
+        starts = np.concatenate(([0], cut))
+        ends = np.concatenate((cut, [len(b)]))
+        i = 0
+        if parts and users[0] == open_user:
+            parts.append(b.iloc[starts[0]:ends[0]])
+            i = 1
+            if len(starts) == 1:
                 continue
-            if parts:
-                yield open_user, pd.concat(parts, ignore_index=True), first, False
-                first = False
-            parts, open_user = [piece], users[s]
+        if parts:
+            yield "run", open_user, pd.concat(parts, ignore_index=True), first, False
+            first = False
+        last = len(starts) - 1
+        if i < last and first:
+            yield "run", users[starts[i]], b.iloc[starts[i]:ends[i]].reset_index(drop=True), True, False
+            first = False
+            i += 1
+        if i < last:
+            yield "block", b.iloc[starts[i]:ends[last - 1]].reset_index(drop=True)
+        parts, open_user = [b.iloc[starts[last]:ends[last]]], users[starts[last]]
     if parts:
-        yield open_user, pd.concat(parts, ignore_index=True), first, True
+        yield "run", open_user, pd.concat(parts, ignore_index=True), first, True
+
+
+def _segmented_cumsum(values: np.ndarray, rid: np.ndarray, reverse: bool = False) -> np.ndarray:
+    """Cumulative sum restarting at every run (no cross-run cancellation)."""
+    if reverse:
+        return pd.Series(values[::-1]).groupby(rid[::-1]).cumsum().to_numpy()[::-1]
+    return pd.Series(values).groupby(rid).cumsum().to_numpy()
+
+
+def _scan_block(block: pd.DataFrame, k: float) -> pd.DataFrame | None:
+    """Vectorised kernel over many complete runs without carries.
+
+    Same quantities as ``_scan_run``: with ``x = k * minutes`` since the
+    run's first row and ``c(o)`` the running sum of ``exp(x)`` over touches,
+    an order's decay shares are ``exp(x_i) / c(o)``, so touch i receives
+    ``exp(x_i) * sum_{o after i} revenue_o / c(o)``. Runs whose exponent
+    would exceed ``_SPAN_LIMIT`` are sent to the exact kernel instead.
+    """
+    users = block["user_id"].to_numpy(dtype=object)
+    m = len(users)
+    start = np.ones(m, dtype=bool)
+    start[1:] = users[1:] != users[:-1]
+    rid = np.cumsum(start) - 1
+    starts = np.flatnonzero(start)
+    ends = np.append(starts[1:], m)
+    sec = block["sec"].to_numpy(dtype=np.int64)
+    x = k * (sec - sec[starts][rid]).astype(np.float64) / 60.0
+    long_runs = np.flatnonzero(x[ends - 1] > _SPAN_LIMIT)
+    if len(long_runs):
+        out, lo = [], 0
+        for r in long_runs:
+            if starts[r] > lo:
+                out.append(_scan_block(block.iloc[lo:starts[r]].reset_index(drop=True), k))
+            out.append(_scan_run(block.iloc[starts[r]:ends[r]].reset_index(drop=True), None, None, k, True)[2])
+            lo = ends[r]
+        if lo < m:
+            out.append(_scan_block(block.iloc[lo:].reset_index(drop=True), k))
+        out = [o for o in out if o is not None]
+        return pd.concat(out, ignore_index=True) if out else None
+
+    is_t = block["kind"].to_numpy() == 0
+    src = block["src"].to_numpy(dtype=object)
+    camp = block["camp"].to_numpy(dtype=object)
+    cents = np.nan_to_num(block["cents"].to_numpy(dtype="float64", na_value=np.nan), nan=0.0)
+    idx = np.arange(m)
+    run_start = starts[rid]
+    li = np.maximum.accumulate(np.where(is_t, idx, -1))
+    has_last = li >= run_start
+    lis = np.where(has_last, li, 0)
+    sel = (~is_t) & has_last
+    ct = np.cumsum(is_t)
+    n = ct - (ct[run_start] - is_t[run_start])
+    c = _segmented_cumsum(np.where(is_t, np.exp(x), 0.0), rid)
+    r = np.where(sel, cents / 100.0, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v = np.where(sel, r / np.maximum(n, 1), 0.0)
+        w = np.where(sel, r / np.where(sel, c, 1.0), 0.0)
+    lin_after = _segmented_cumsum(v, rid, reverse=True)
+    dec = np.exp(x) * _segmented_cumsum(w, rid, reverse=True)
+    rc = np.concatenate((np.cumsum(sel[::-1].astype(np.int64))[::-1], [0]))
+    cnt_after = rc[:m] - rc[ends[rid]]
+
+    parts = []
+    t = np.flatnonzero(is_t)
+    if len(t):
+        parts.append(pd.DataFrame({"src": src[t], "camp": camp[t], "oid": None, "lc_cents": 0, "fc_cents": 0,
+                                   "lin": lin_after[t], "dec": dec[t],
+                                   "credited": (cnt_after[t] > 0).astype(np.int64)}))
+    o = np.flatnonzero(sel)
+    if len(o):
+        oc = cents[o].astype(np.int64)
+        parts.append(pd.DataFrame({"src": src[lis[o]], "camp": camp[lis[o]],
+                                   "oid": block["oid"].to_numpy(dtype=object)[o], "lc_cents": oc, "fc_cents": 0,
+                                   "lin": 0.0, "dec": 0.0, "credited": 0}))
+        # first click: every attributed order of a run goes to the run's first touch
+        ft = np.minimum.reduceat(np.where(is_t, idx, m), starts)
+        fc = np.bincount(rid[o], weights=cents[o], minlength=len(starts))
+        runs = np.unique(rid[o])
+        parts.append(pd.DataFrame({"src": src[ft[runs]], "camp": camp[ft[runs]], "oid": None, "lc_cents": 0,
+                                   "fc_cents": fc[runs].astype(np.int64), "lin": 0.0, "dec": 0.0,
+                                   "credited": 0}))
+    return pd.concat(parts, ignore_index=True) if parts else None
 
 
 def _one_run(batches) -> pd.DataFrame | None:
@@ -293,15 +396,19 @@ def _bwd_summaries(k: float, fwd_carry):
 def _credits(k: float, fwd_carry, bwd_carry):
     def f(batches):
         out, rows, pid = [], 0, None
-        for user, run, is_first, is_last in _runs(batches):
-            pid = int(run["pid"].iat[0]) if pid is None else pid
-            fc = fwd_carry.value.get(pid) if is_first else None
-            bc = bwd_carry.value.get(pid) if is_last else None
-            _, _, cr = _scan_run(run, fc, bc, k, True)
+        for item in _blocks(batches):
+            if item[0] == "block":
+                cr = _scan_block(item[1], k)
+            else:
+                _, user, run, is_first, is_last = item
+                pid = int(run["pid"].iat[0])
+                fc = fwd_carry.value.get(pid) if is_first else None
+                bc = bwd_carry.value.get(pid) if is_last else None
+                cr = _scan_run(run, fc, bc, k, True)[2]
             if cr is not None:
                 out.append(cr)
                 rows += len(cr)
-            if rows >= 50_000:
+            if rows >= 200_000:
                 yield _combine_credits(out)
                 out, rows = [], 0
         if out:

@@ -209,3 +209,23 @@ def test_last_touch_and_order_campaign(spark):
     assert oc == [{"campaign": "Z", "revenue": 16.0, "orders": 3, "buyers": 3}]
     with pytest.raises(ValueError):
         A.attribution(web, od, "nope")
+
+
+def test_batch_crossing_and_long_spans(spark):
+    """Tiny Arrow batches make runs cross batch boundaries (exact kernel);
+    multi-year histories exceed the direct-exponent span (exact kernel inside
+    a block); everything else goes through the vectorised block kernel."""
+    touches, orders = _random_history(21, users=40, touches_per_user=25, orders_per_user=5)
+    base = dt.datetime(2019, 1, 1)
+    for u in range(40, 60):  # four-year histories
+        uid = f"u{u}"
+        touches += [(uid, base + dt.timedelta(days=30 * j, seconds=u), "Email", "B") for j in range(0, 50, 7)]
+        orders += [(f"L{u}-{j}", uid, base + dt.timedelta(days=30 * j + 3), Decimal("12.34")) for j in range(1, 50, 9)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    try:
+        for size in ("7", "64", "10000"):
+            spark.conf.set(key, size)
+            assert_same(run_scan(spark, touches, orders, 3), brute(touches, orders))
+    finally:
+        spark.conf.set(key, old)
