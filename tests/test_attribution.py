@@ -229,3 +229,15 @@ def test_batch_crossing_and_long_spans(spark):
             assert_same(run_scan(spark, touches, orders, 3), brute(touches, orders))
     finally:
         spark.conf.set(key, old)
+
+
+def test_empty_inputs_and_null_revenue(spark):
+    empty = run_scan(spark, [], [], 4)
+    assert empty == {}
+    only_touches = run_scan(spark, [("u1", ts("2024-01-01 10:00:00"), "Meta", "A")], [], 4)
+    assert only_touches == {}
+    touches = [("u1", ts("2024-01-01 10:00:00"), "Meta", "A")]
+    orders = [("o1", "u1", ts("2024-01-02 10:00:00"), None), ("o2", "u1", ts("2024-01-03 10:00:00"), Decimal("5.00"))]
+    got = run_scan(spark, touches, orders, 2)
+    assert got[("Meta", "A")]["orders"] == 2  # a NULL-revenue order still has a last click
+    assert got[("Meta", "A")]["revenue_linear"] == 5.0 and got[("Meta", "A")]["revenue_time_decay"] == 5.0
