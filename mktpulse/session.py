@@ -23,9 +23,11 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/...) folder and
-    we only read it. Only when it is unset -- tests, local runs -- do we set a
-    scratch folder of our own.
+    On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/...) folder
+    and we only read it; a missing setting there is an error, because a
+    machine-local folder would not survive the loss of the executor that
+    wrote it. Only in local mode (tests, the bench) do we create a scratch
+    folder of our own when the setting is absent.
     """
     sc = spark.sparkContext
     current = (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -34,7 +36,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="mktpulse-ckpt-", dir=os.environ.get("MKTPULSE_SCRATCH", "/tmp"))
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared folder of the cluster")
+    path = tempfile.mkdtemp(prefix="mktpulse-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
