@@ -81,13 +81,11 @@ def timeline(touches: DataFrame, orders: DataFrame) -> DataFrame:
         "user_id", F.unix_micros(F.col("event_ts").cast("timestamp")).alias("t_us"),
         F.lit(0).alias("kind"), F.col("source").alias("src"), F.col("campaign").alias("camp"),
         F.lit(None).cast("string").alias("oid"),
-        F.unix_timestamp(F.col("event_ts").cast("timestamp")).alias("sec"),
         F.lit(None).cast("bigint").alias("cents"))
     o = orders.filter(F.col("user_id").isNotNull() & F.col("order_ts").isNotNull()).select(
         "user_id", F.unix_micros(F.col("order_ts").cast("timestamp")).alias("t_us"),
         F.lit(1).alias("kind"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("camp"),
         F.col("order_id").alias("oid"),
-        F.unix_timestamp(F.col("order_ts").cast("timestamp")).alias("sec"),
         (money("revenue") * 100).cast("bigint").alias("cents"))
     return t.unionByName(o)
 
@@ -155,11 +153,16 @@ class _Bwd:
                     float(np.logaddexp(self.lneg, later.lneg)), self.cnt + later.cnt)
 
 
+def _seconds(df: pd.DataFrame) -> np.ndarray:
+    """Whole seconds since the epoch, floored like Spark's unix_timestamp."""
+    return np.floor_divide(df["t_us"].to_numpy(dtype=np.int64), 1_000_000)
+
+
 def _scan_run(run: pd.DataFrame, fwd: _Fwd | None, bwd: _Bwd | None, k: float, want_credits: bool):
     """Process one user's contiguous rows. Returns (forward end state,
     backward summary of this run's orders, credit frame or None)."""
     kind = run["kind"].to_numpy()
-    sec = run["sec"].to_numpy(dtype=np.int64)
+    sec = _seconds(run)
     src = run["src"].to_numpy(dtype=object)
     camp = run["camp"].to_numpy(dtype=object)
     m = len(kind)
@@ -302,7 +305,7 @@ def _scan_block(block: pd.DataFrame, k: float) -> pd.DataFrame | None:
     rid = np.cumsum(start) - 1
     starts = np.flatnonzero(start)
     ends = np.append(starts[1:], m)
-    sec = block["sec"].to_numpy(dtype=np.int64)
+    sec = _seconds(block)
     x = k * (sec - sec[starts][rid]).astype(np.float64) / 60.0
     long_runs = np.flatnonzero(x[ends - 1] > _SPAN_LIMIT)
     if len(long_runs):
@@ -495,7 +498,7 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
     bounds = {r["pid"]: (r["first_user"], r["last_user"]) for r in b.collect()}
     edge = lambda which: F.broadcast(spark.createDataFrame(  # noqa: E731  (<= 1 row per partition)
         [(p, u[which]) for p, u in bounds.items()], "pid int, user_id string"))
-    cols = ["pid", "user_id", "kind", "sec", "src", "camp", "cents"]
+    cols = ["pid", "user_id", "kind", "t_us", "src", "camp", "cents"]
     last_runs = tl.select(*cols).join(edge(1), ["pid", "user_id"], "left_semi")
     fwd_rows = [r.asDict() for r in last_runs.mapInPandas(_fwd_summaries(k), FWD_SCHEMA).collect()]
     # carries: at most one per partition, shipped once per executor
