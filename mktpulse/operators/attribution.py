@@ -23,7 +23,7 @@ instant, since ``event_ts <= order_ts`` counts):
 So the operator is a scan:
 
 1. The timeline (touches and orders of non-NULL users) is range-partitioned
-   by ``(user, time, kind, source, campaign, order)`` and sorted inside each
+   by ``(hash(user), user, time, kind, source, campaign, order)`` and sorted inside each
    partition, then checkpointed to the cluster's checkpoint folder. Range
    partitioning samples the keys, so a user holding a third of all rows is
    spread over many partitions by time instead of landing in one task.
@@ -52,7 +52,10 @@ from mktpulse.contracts import DECAY_PER_MINUTE
 from mktpulse.functions.ratios import money
 from mktpulse.session import ensure_checkpoint_dir
 
-_TIMELINE_KEYS = ["user_id", "t_us", "kind", "src", "camp", "oid"]
+# Sort key of the timeline. The 64-bit hash of the user leads, so the sort's
+# prefix comparator decides on a long; the user id follows, so two users
+# with one hash still form separate contiguous runs.
+_TIMELINE_KEYS = ["h", "user_id", "t_us", "kind", "src", "camp", "oid"]
 _NEG_INF = -math.inf
 
 CREDIT_SCHEMA = T.StructType([
@@ -78,12 +81,12 @@ BWD_SCHEMA = T.StructType([
 def timeline(touches: DataFrame, orders: DataFrame) -> DataFrame:
     """Touches (kind 0) and orders (kind 1) of non-NULL users as one frame."""
     t = touches.filter(F.col("user_id").isNotNull() & F.col("event_ts").isNotNull()).select(
-        "user_id", F.unix_micros(F.col("event_ts").cast("timestamp")).alias("t_us"),
+        F.xxhash64("user_id").alias("h"), "user_id", F.unix_micros(F.col("event_ts").cast("timestamp")).alias("t_us"),
         F.lit(0).alias("kind"), F.col("source").alias("src"), F.col("campaign").alias("camp"),
         F.lit(None).cast("string").alias("oid"),
         F.lit(None).cast("bigint").alias("cents"))
     o = orders.filter(F.col("user_id").isNotNull() & F.col("order_ts").isNotNull()).select(
-        "user_id", F.unix_micros(F.col("order_ts").cast("timestamp")).alias("t_us"),
+        F.xxhash64("user_id").alias("h"), "user_id", F.unix_micros(F.col("order_ts").cast("timestamp")).alias("t_us"),
         F.lit(1).alias("kind"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("camp"),
         F.col("order_id").alias("oid"),
         (money("revenue") * 100).cast("bigint").alias("cents"))
@@ -494,7 +497,8 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
                          orders.select("order_id", "user_id", "order_ts", "revenue"), partitions)
     spark = tl.sparkSession
     # first and last user of every partition: a JVM aggregate, one row per partition
-    b = tl.groupBy("pid").agg(F.min("user_id").alias("first_user"), F.max("user_id").alias("last_user"))
+    b = tl.groupBy("pid").agg(F.min(F.struct("h", "user_id"))["user_id"].alias("first_user"),
+                              F.max(F.struct("h", "user_id"))["user_id"].alias("last_user"))
     bounds = {r["pid"]: (r["first_user"], r["last_user"]) for r in b.collect()}
     edge = lambda which: F.broadcast(spark.createDataFrame(  # noqa: E731  (<= 1 row per partition)
         [(p, u[which]) for p, u in bounds.items()], "pid int, user_id string"))
