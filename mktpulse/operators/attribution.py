@@ -44,7 +44,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -565,4 +565,4 @@ def attribution(web: DataFrame, orders: DataFrame, model: str = "last_touch") ->
 
 
 __all__ = ["attribution_models", "last_touch_attribution", "order_campaign_credit", "attribution",
-           "sorted_timeline", "timeline", "Window"]
+           "sorted_timeline", "timeline"]
