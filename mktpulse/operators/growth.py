@@ -111,8 +111,9 @@ def retention_matrix(retention: DataFrame) -> DataFrame:
     """Cohort x month offset -> retention rate, absent cells 0.
 
     One column per offset present in the data (named by the offset); Spark
-    finds the distinct offsets with a small aggregate (bounded by the number
-    of calendar months), then pivots the per-cohort rows.
+    finds the distinct offsets with a job of its own (bounded by the number
+    of calendar months), then pivots the per-cohort rows. Pass a materialised
+    retention table (``session.materialize_small``): both steps read it.
     """
     m = (retention.groupBy("cohort_month").pivot("months_since_cohort")
          .agg(F.first("retention_rate")))

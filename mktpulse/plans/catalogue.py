@@ -137,7 +137,10 @@ def q_retention_rates(spark, sf_dir):
 
 
 def q_retention_matrix(spark, sf_dir):
-    return growth.retention_matrix(growth.retention_rates(Binding(spark, sf_dir).cohort_orders()))
+    # the pivot first finds its column values with a job of its own: read a
+    # materialised (cohort x month, calendar-bounded) table, not the pipeline twice
+    rr = materialize_small(growth.retention_rates(Binding(spark, sf_dir).cohort_orders()))
+    return growth.retention_matrix(rr)
 
 
 def q_retention_90d(spark, sf_dir):
