@@ -37,9 +37,10 @@ def paid_rollup(ads: DataFrame) -> DataFrame:
 
 def media_ratios(df: DataFrame, on_zero: str = "null") -> DataFrame:
     """CTR, CPC, CPM; denominators <= 0 follow ``on_zero``."""
-    return (df.withColumn("CTR", ratio("clicks", "impressions", on_zero))
-              .withColumn("CPC", ratio("spend", "clicks", on_zero))
-              .withColumn("CPM", ratio(F.col("spend").cast("double") * 1000.0, "impressions", on_zero)))
+    return df.withColumns({
+        "CTR": ratio("clicks", "impressions", on_zero),
+        "CPC": ratio("spend", "clicks", on_zero),
+        "CPM": ratio(F.col("spend").cast("double") * 1000.0, "impressions", on_zero)})
 
 
 # ------------------------------------------------------------------ P3 / P4
@@ -60,12 +61,12 @@ def paid_perf_daily(ads: DataFrame, orders: DataFrame) -> DataFrame:
     """
     paid = media_ratios(paid_rollup(ads))
     buy = purchase_rollup(orders)
-    j = (paid.join(buy, KEYS, "left")
-         .withColumn("orders", F.coalesce("orders", F.lit(0)).cast("bigint"))
-         .withColumn("buyers", F.coalesce("buyers", F.lit(0)).cast("bigint"))
-         .withColumn("revenue", F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)))
-         .withColumn("margin", F.coalesce(F.col("margin").cast("double"), F.lit(0.0)))
-         .withColumn("spend", F.col("spend").cast("double")))
+    j = paid.join(buy, KEYS, "left").withColumns({
+        "orders": F.coalesce("orders", F.lit(0)).cast("bigint"),
+        "buyers": F.coalesce("buyers", F.lit(0)).cast("bigint"),
+        "revenue": F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)),
+        "margin": F.coalesce(F.col("margin").cast("double"), F.lit(0.0)),
+        "spend": F.col("spend").cast("double")})
     return j.select(
         *KEYS, "impressions", "clicks", "spend", "CTR", "CPC", "CPM", "orders", "revenue", "margin", "buyers",
         ratio("orders", "clicks").alias("CVR_click_to_order"),
@@ -95,19 +96,19 @@ def paid_daily_exact(ads: DataFrame, orders: DataFrame) -> DataFrame:
                     F.coalesce("cost", zero.cast("decimal(20,4)")).alias("cost")))
 
 
-def _zero_ratios(df: DataFrame) -> DataFrame:
-    return (df.withColumn("CTR", ratio("clicks", "impressions", "zero"))
-              .withColumn("CVR", ratio("orders", "clicks", "zero"))
-              .withColumn("ROAS", ratio("revenue", "spend", "zero")))
+def _zero_ratios(df: DataFrame, **extra) -> DataFrame:
+    return df.withColumns({
+        "CTR": ratio("clicks", "impressions", "zero"),
+        "CVR": ratio("orders", "clicks", "zero"),
+        "ROAS": ratio("revenue", "spend", "zero"), **extra})
 
 
 def paid_daily(ads: DataFrame, orders: DataFrame) -> DataFrame:
     """P5: daily paid table of the growth dashboard, ratios 0.0 on a zero
     denominator, GM_ROAS = (revenue - cost) / spend."""
-    d = paid_daily_exact(ads, orders)
-    d = _zero_ratios(d).withColumn(
-        "GM_ROAS", ratio((F.col("revenue") - F.col("cost")).cast("double"), "spend", "zero")
-    ).withColumn("AOV", ratio("revenue", "orders", "zero"))
+    d = _zero_ratios(paid_daily_exact(ads, orders),
+                     GM_ROAS=ratio((F.col("revenue") - F.col("cost")).cast("double"), "spend", "zero"),
+                     AOV=ratio("revenue", "orders", "zero"))
     return _to_double(d, {"spend", "revenue", "cost"})
 
 
@@ -125,7 +126,7 @@ def _rollup_with_cac(paid_exact: DataFrame, keys: list[str]) -> DataFrame:
          .agg(F.sum("spend").alias("spend"), F.sum("revenue").alias("revenue"),
               F.sum("orders").alias("orders"), F.sum("buyers").alias("buyers"),
               F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks")))
-    d = _zero_ratios(d).withColumn("CAC", ratio("spend", "buyers", "null"))
+    d = _zero_ratios(d, CAC=ratio("spend", "buyers", "null"))
     return _to_double(d, {"spend", "revenue"})
 
 
@@ -188,12 +189,16 @@ def channel_kpi(ads: DataFrame, orders: DataFrame) -> DataFrame:
                  F.coalesce("orders", F.lit(0)).cast("bigint").alias("orders"),
                  F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue"),
                  F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers")))
-    k = (k.withColumn("CTR", ratio("clicks", "impressions", "unguarded"))
-          .withColumn("CVR", ratio("orders", "clicks", "unguarded"))
-          .withColumn("CAC", ratio("spend", "customers", "unguarded"))
-          .withColumn("ROAS", ratio("revenue", "spend", "unguarded"))
-          .withColumn("AOV", ratio("revenue", "orders", "unguarded")))
-    return k.withColumn("LTV", F.col("AOV") * 3.0).withColumn("CLV", F.col("LTV") - F.col("CAC"))
+    aov = ratio("revenue", "orders", "unguarded")
+    cac = ratio("spend", "customers", "unguarded")
+    return k.withColumns({
+        "CTR": ratio("clicks", "impressions", "unguarded"),
+        "CVR": ratio("orders", "clicks", "unguarded"),
+        "CAC": cac,
+        "ROAS": ratio("revenue", "spend", "unguarded"),
+        "AOV": aov,
+        "LTV": aov * 3.0,
+        "CLV": aov * 3.0 - cac})
 
 
 def kpi_cards_channel(channel_kpis: DataFrame) -> DataFrame:
@@ -210,13 +215,12 @@ def kpi_cards_channel(channel_kpis: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ P11 / P12 / P15
 def campaign_kpis(campaign_daily: DataFrame) -> DataFrame:
     """Row-wise KPIs of the pre-aggregated campaign file (unguarded)."""
-    return (campaign_daily
-            .withColumn("CTR", ratio("clicks", "impressions", "unguarded"))
-            .withColumn("CVR", ratio("orders", "clicks", "unguarded"))
-            .withColumn("ROAS", ratio("revenue", "spend", "unguarded"))
-            .withColumn("GM_ROAS", ratio(F.col("revenue").cast("double") - F.col("cost").cast("double"),
-                                         "spend", "unguarded"))
-            .withColumn("AOV", ratio("revenue", "orders", "unguarded")))
+    return campaign_daily.withColumns({
+        "CTR": ratio("clicks", "impressions", "unguarded"),
+        "CVR": ratio("orders", "clicks", "unguarded"),
+        "ROAS": ratio("revenue", "spend", "unguarded"),
+        "GM_ROAS": ratio(F.col("revenue").cast("double") - F.col("cost").cast("double"), "spend", "unguarded"),
+        "AOV": ratio("revenue", "orders", "unguarded")})
 
 
 def campaign_ranking(campaign_daily: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ SEL_CAMPAIGNS = ["Winter_Sale", "New_Arrivals"]
 FLOAT_PLACES = 6
 
 
-def _filtered(spark, sf_dir):
+def _filtered(spark, sf_dir, b: Binding | None = None):
     """F1 on the three fact tables, as both dashboards apply it."""
-    b = Binding(spark, sf_dir)
+    b = b or Binding(spark, sf_dir)
     ads = filters.date_range(b.ads(), "dt", START, END, add_dt=None)
     od = filters.date_range(b.orders(), "order_ts", START, END, add_dt=None)
     web = filters.date_range(b.web(), "event_ts", START, END, add_dt=None)
@@ -119,8 +119,9 @@ def q_funnel_coarse(spark, sf_dir):
 
 # ------------------------------------------------------------------ CAC, cohorts
 def q_cac_daily(spark, sf_dir):
-    ads, _, _ = _filtered(spark, sf_dir)
-    return growth.cac_daily(ads, Binding(spark, sf_dir).orders(), START, END)
+    b = Binding(spark, sf_dir)
+    ads, _, _ = _filtered(spark, sf_dir, b)
+    return growth.cac_daily(ads, b.orders(), START, END)
 
 
 def q_cac_daily_range(spark, sf_dir):
@@ -180,8 +181,9 @@ def q_attribution_table(spark, sf_dir):
 
 # ------------------------------------------------------------------ incrementality
 def q_incrementality_uplift(spark, sf_dir):
-    _, od, _ = _filtered(spark, sf_dir)
-    return incrementality.incrementality_uplift(Binding(spark, sf_dir).exposure(), od, 30)
+    b = Binding(spark, sf_dir)
+    _, od, _ = _filtered(spark, sf_dir, b)
+    return incrementality.incrementality_uplift(b.exposure(), od, 30)
 
 
 def q_holdout_detail(spark, sf_dir):

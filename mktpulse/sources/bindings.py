@@ -109,13 +109,20 @@ def ads_daily_from(e: DataFrame) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+    return customers_from(events(spark, sf_dir))
+
+
+def customers_from(e: DataFrame) -> DataFrame:
     return (e.groupBy(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"))
              .agg(F.min("ts").alias("first_seen_ts")))
 
 
 def exposure_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = events(spark, sf_dir).select("user_id").distinct()
+    return exposure_holdout_from(events(spark, sf_dir))
+
+
+def exposure_holdout_from(e: DataFrame) -> DataFrame:
+    u = e.select("user_id").distinct()
     uid = F.col("user_id")
     return u.select(
         F.concat(F.lit("U"), uid.cast("string")).alias("user_id"),
@@ -127,11 +134,15 @@ def exposure_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def campaign_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return campaign_daily_from(events(spark, sf_dir))
+
+
+def campaign_daily_from(e: DataFrame) -> DataFrame:
     """The pre-aggregated campaign file: ads and orders by (dt, campaign), inner-joined."""
-    a = (ads_daily(spark, sf_dir).groupBy("dt", "campaign")
+    a = (ads_daily_from(e).groupBy("dt", "campaign")
          .agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"),
               F.sum("spend").alias("spend")))
-    o = (orders(spark, sf_dir).groupBy(F.to_date("order_ts").alias("dt"), "campaign")
+    o = (orders_from(e).groupBy(F.to_date("order_ts").alias("dt"), "campaign")
          .agg(F.count("*").alias("orders"), F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost")))
     return a.join(o, ["dt", "campaign"], "inner").select(
         "dt", "campaign", "impressions", "clicks",
@@ -151,28 +162,36 @@ def tpch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Binding:
-    """All canonical tables of one scale-factor directory, built lazily."""
+    """All canonical tables of one scale-factor directory, built lazily from
+    one ``events`` relation (file listing and footer read once; Spark scans
+    the files per query as usual)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._events: DataFrame | None = None
+
+    def events(self) -> DataFrame:
+        if self._events is None:
+            self._events = events(self.spark, self.sf_dir)
+        return self._events
 
     def ads(self) -> DataFrame:
-        return ads_daily(self.spark, self.sf_dir)
+        return ads_daily_from(self.events())
 
     def web(self) -> DataFrame:
-        return web_events(self.spark, self.sf_dir)
+        return web_events_from(self.events())
 
     def orders(self) -> DataFrame:
-        return orders(self.spark, self.sf_dir)
+        return orders_from(self.events())
 
     def customers(self) -> DataFrame:
-        return customers(self.spark, self.sf_dir)
+        return customers_from(self.events())
 
     def exposure(self) -> DataFrame:
-        return exposure_holdout(self.spark, self.sf_dir)
+        return exposure_holdout_from(self.events())
 
     def campaign_daily(self) -> DataFrame:
-        return campaign_daily(self.spark, self.sf_dir)
+        return campaign_daily_from(self.events())
 
     def cohort_orders(self) -> DataFrame:
         return tpch_orders(self.spark, self.sf_dir)
