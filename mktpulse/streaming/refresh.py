@@ -6,11 +6,11 @@ without recomputing history. This module does exactly that and adds no new
 metric:
 
 * the source is a parquet file stream over the raw ``events`` folder;
-* each micro-batch (``foreachBatch``) finds the days it touches, recomputes
-  the daily marts for those days only -- from the whole source table,
-  restricted by a semi-join with the touched days, which Spark pushes into
-  the scan -- and overwrites just those ``dt`` partitions (dynamic partition
-  overwrite);
+* each micro-batch (``foreachBatch``) finds the days it touches (a small,
+  calendar-bounded list), recomputes the daily marts for those days only --
+  from the whole source table, restricted by a literal time range that the
+  parquet reader pushes down and an exact IN-list of the days -- and
+  overwrites just those ``dt`` partitions (dynamic partition overwrite);
 * distinct counts stay exact (a day is always recomputed from all its rows),
   late files simply trigger a recompute of their day, and a replayed epoch
   rewrites the same partitions with the same content (idempotent), so the
@@ -40,10 +40,20 @@ def daily_marts_from_events(events: DataFrame) -> dict[str, DataFrame]:
 
 def _refresh_days(spark: SparkSession, source_dir: str, out_dir: str):
     def run(batch: DataFrame, epoch_id: int) -> None:
-        days = batch.select(F.to_date(F.col("ts").cast("timestamp")).alias("day")).distinct()
-        src = spark.read.parquet(source_dir)
-        # the touched days are bounded by the calendar, so broadcasting them is safe
-        touched = src.join(F.broadcast(days), F.to_date(F.col("ts").cast("timestamp")) == days["day"], "left_semi")
+        day = F.to_date(F.col("ts").cast("timestamp"))
+        # the days a micro-batch touches are bounded by the calendar: one small
+        # distinct, read once
+        days = sorted(r[0] for r in batch.select(day.alias("d")).distinct().collect() if r[0] is not None)
+        if not days:
+            return
+        ts = F.col("ts").cast("timestamp")
+        lo = F.lit(days[0].isoformat()).cast("timestamp")
+        hi = F.date_add(F.lit(days[-1].isoformat()).cast("date"), 1).cast("timestamp")
+        # the literal range reaches the parquet reader (row-group / file skipping
+        # on ts statistics, or directory pruning on a date-partitioned source);
+        # the IN-list keeps the recompute to exactly the touched days
+        touched = (spark.read.parquet(source_dir).filter((ts >= lo) & (ts < hi))
+                   .filter(day.isin([d.isoformat() for d in days])))
         for name, df in daily_marts_from_events(touched).items():
             (df.repartition("dt").write.mode("overwrite").partitionBy("dt")
                .option("partitionOverwriteMode", "dynamic").parquet(os.path.join(out_dir, name)))
