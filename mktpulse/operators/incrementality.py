@@ -39,14 +39,17 @@ def exposed_users(exposure: DataFrame, orders: DataFrame,
             .unionByName(od.select("user_id", "campaign", F.lit(None).cast("string").alias("group"), "day",
                                    F.lit(None).cast("bigint").alias("m"), "rev", "n")))
     rows = rows.withColumn("d", F.unix_date("day"))
-    part = Window.partitionBy("user_id", "campaign")
-    ahead = part.orderBy("d").rangeBetween(0, lookback_days)
-    dated = F.when(F.col("day").isNotNull(), F.col("n"))
-    rows = (rows
-            .withColumn("n_total", F.sum("n").over(part))
-            .withColumn("n_undated", F.sum(F.when(F.col("day").isNull(), F.col("n"))).over(part))
-            .withColumn("n_win", F.sum(dated).over(ahead))
-            .withColumn("rev_win", F.sum(F.when(F.col("day").isNotNull(), F.col("rev"))).over(ahead)))
+    # one partitioning and one ordering for all four sums (one sort, one
+    # Window operator); only the frames differ
+    ordered = Window.partitionBy("user_id", "campaign").orderBy("d")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = ordered.rangeBetween(0, lookback_days)
+    dated = F.col("day").isNotNull()
+    rows = rows.withColumns({
+        "n_total": F.sum("n").over(whole),
+        "n_undated": F.sum(F.when(~dated, F.col("n"))).over(whole),
+        "n_win": F.sum(F.when(dated, F.col("n"))).over(ahead),
+        "rev_win": F.sum(F.when(dated, F.col("rev"))).over(ahead)})
     # Exposure rows only. A NULL key or NULL exposure day never matches an order.
     keyed = F.col("user_id").isNotNull() & F.col("campaign").isNotNull()
     n_total = F.when(keyed, F.coalesce("n_total", F.lit(0))).otherwise(F.lit(0))
