@@ -32,8 +32,9 @@ def guarded_allocation(channel_summary: DataFrame, total_budget: float = DEFAULT
     raw = F.when(sum_roas == 0, F.lit(1.0) / n).otherwise(F.col("ROAS") / sum_roas)
     clipped = channel_summary.withColumn("_clip", F.least(F.greatest(raw, F.lit(min_share)), F.lit(max_share)))
     denom = clipped.agg(F.sum("_clip")).scalar()
-    return (clipped.withColumn("rec_share", F.col("_clip") / denom).drop("_clip")
-                   .withColumn("rec_budget", F.col("rec_share") * F.lit(float(total_budget))))
+    share = F.col("_clip") / denom
+    return (clipped.withColumns({"rec_share": share, "rec_budget": share * F.lit(float(total_budget))})
+                   .drop("_clip"))
 
 
 def allocation_table(allocation: DataFrame) -> DataFrame:
@@ -64,11 +65,11 @@ def attribution_table(attribution: DataFrame) -> DataFrame:
 
 def holdout_table(detail: DataFrame) -> DataFrame:
     """Holdout detail, spend and revenue to whole units, ROAS to 2 places."""
-    return (detail.withColumn("spend", F.bround("spend", 0)).withColumn("revenue", F.bround("revenue", 0))
-                  .withColumn("ROAS", F.bround("ROAS", 2)))
+    return detail.withColumns({"spend": F.bround("spend", 0), "revenue": F.bround("revenue", 0),
+                               "ROAS": F.bround("ROAS", 2)})
 
 
 def ltv_table(ltv: DataFrame) -> DataFrame:
     """T4: cohort LTV table rounded to whole units, in cohort order."""
-    return (ltv.withColumn("revenue_h", F.bround("revenue_h", 0)).withColumn("LTV_horizon", F.bround("LTV_horizon", 0))
+    return (ltv.withColumns({"revenue_h": F.bround("revenue_h", 0), "LTV_horizon": F.bround("LTV_horizon", 0)})
                .orderBy(F.asc_nulls_last("cohort_month")))

@@ -48,17 +48,16 @@ def funnel_by_campaign(web: DataFrame) -> DataFrame:
     wide = per.groupBy("campaign").pivot("event_name", FUNNEL_STAGES).agg(F.first("n"))
     wide = wide.select("campaign", *[F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias(s) for s in FUNNEL_STAGES])
     pv, prod, cart, chk = FUNNEL_STAGES
-    return (wide.withColumn("pdp_rate", ratio(prod, pv, "zero"))
-                .withColumn("atc_rate", ratio(cart, prod, "zero"))
-                .withColumn("checkout_rate", ratio(chk, cart, "zero")))
+    return wide.withColumns({"pdp_rate": ratio(prod, pv, "zero"),
+                             "atc_rate": ratio(cart, prod, "zero"),
+                             "checkout_rate": ratio(chk, cart, "zero")})
 
 
 def funnel_table(web: DataFrame) -> DataFrame:
     """U3 + U4 for display: rates rounded to 4 places half-to-even (as
     pandas does), largest page_view first."""
     f = funnel_by_campaign(web)
-    for c in ("pdp_rate", "atc_rate", "checkout_rate"):
-        f = f.withColumn(c, F.bround(c, 4))
+    f = f.withColumns({c: F.bround(c, 4) for c in ("pdp_rate", "atc_rate", "checkout_rate")})
     return f.orderBy(F.desc(FUNNEL_STAGES[0]), F.asc_nulls_last("campaign"))
 
 

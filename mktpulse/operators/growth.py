@@ -67,8 +67,8 @@ def user_days(orders: DataFrame) -> DataFrame:
              .groupBy("user_id", F.to_date("order_ts").alias("order_dt"))
              .agg(F.sum(money("revenue")).alias("revenue")))
     w = Window.partitionBy("user_id")
-    return (daily.withColumn("first_purchase_dt", F.min("order_dt").over(w))
-                 .withColumn("cohort_month", month_start("first_purchase_dt")))
+    first = F.min("order_dt").over(w)
+    return daily.withColumns({"first_purchase_dt": first, "cohort_month": month_start(first)})
 
 
 def ltv_by_cohort(orders: DataFrame, lookback_days: int = DEFAULT_LTV_LOOKBACK_DAYS,
@@ -83,8 +83,7 @@ def ltv_by_cohort(orders: DataFrame, lookback_days: int = DEFAULT_LTV_LOOKBACK_D
     per_user = (ud.filter((since >= 0) & (since <= lookback_days))
                 .groupBy("user_id", "cohort_month").agg(F.sum("revenue").alias("revenue")))
     c = (per_user.groupBy("cohort_month")
-         .agg(F.count("user_id").alias("customers"), F.sum("revenue").alias("revenue_lookback"))
-         .withColumn("revenue_lookback", F.col("revenue_lookback").cast("double")))
+         .agg(F.count("user_id").alias("customers"), F.sum("revenue").cast("double").alias("revenue_lookback")))
     return c.withColumn("LTV_lookback", ratio("revenue_lookback", "customers", on_zero))
 
 
@@ -102,8 +101,8 @@ def retention_rates(orders: DataFrame) -> DataFrame:
     size = F.max(F.when(F.col("order_month") == F.col("cohort_month"), F.col("active_customers"))).over(
         Window.partitionBy("cohort_month"))
     return (act.withColumn("cohort_size", size)
-               .withColumn("retention_rate", F.col("active_customers") / F.col("cohort_size"))
-               .withColumn("months_since_cohort", months_between_firsts("order_month", "cohort_month"))
+               .withColumns({"retention_rate": F.col("active_customers") / F.col("cohort_size"),
+                             "months_since_cohort": months_between_firsts("order_month", "cohort_month")})
                .orderBy("cohort_month", "months_since_cohort"))
 
 
@@ -134,8 +133,8 @@ def retention_90d(orders: DataFrame, days: int = 90) -> DataFrame:
     s = per_user.agg(F.count("user_id").alias("users"),
                      F.sum("within").cast("bigint").alias("retained_users"),
                      F.sum("repeat").cast("bigint").alias("repeat_users"))
-    return (s.withColumn("retention_rate", ratio("retained_users", "users", "null"))
-             .withColumn("repeat_rate", ratio("repeat_users", "users", "null")))
+    return s.withColumns({"retention_rate": ratio("retained_users", "users", "null"),
+                          "repeat_rate": ratio("repeat_users", "users", "null")})
 
 
 # ------------------------------------------------------------------ G1
@@ -146,8 +145,7 @@ def growth_summary(ltv: DataFrame, cac: DataFrame) -> DataFrame:
     The CAC mean enters as a scalar subquery: one value, no join."""
     avg_cac = cac.agg(F.avg("CAC")).scalar()
     return (ltv.agg(F.coalesce(F.avg("LTV_horizon"), F.lit(0.0)).alias("avg_LTV"))
-               .withColumn("avg_CAC", avg_cac)
-               .withColumn("CLV", F.col("avg_LTV") - F.col("avg_CAC")))
+               .withColumns({"avg_CAC": avg_cac, "CLV": F.col("avg_LTV") - avg_cac}))
 
 
 def ltv_horizon(orders: DataFrame, horizon_days: int = 180) -> DataFrame:

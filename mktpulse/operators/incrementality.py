@@ -71,9 +71,9 @@ def arm_rollup(users: DataFrame) -> DataFrame:
     c = (users.groupBy("campaign", "group")
          .agg(F.count("user_id").alias("users"), F.sum("converted").cast("bigint").alias("converters"),
               F.sum("revenue").alias("revenue")))
-    return (c.withColumn("revenue", F.col("revenue").cast("double"))
-             .withColumn("cvr", ratio("converters", "users"))
-             .withColumn("rpu", ratio("revenue", "users")))
+    return c.withColumns({"revenue": F.col("revenue").cast("double"),
+                          "cvr": ratio("converters", "users"),
+                          "rpu": ratio("revenue", "users")})
 
 
 def incrementality_uplift(exposure: DataFrame, orders: DataFrame,
@@ -93,10 +93,11 @@ def incrementality_uplift(exposure: DataFrame, orders: DataFrame,
         F.max(F.when(c, F.col("rpu"))).alias("rpu_control"),
         F.count(F.when(t, 1)).alias("_t"), F.count(F.when(c, 1)).alias("_c"))
         .filter((F.col("_t") > 0) & (F.col("_c") > 0)).drop("_t", "_c"))
-    w = (w.withColumn("uplift_cvr_abs", F.col("cvr_test") - F.col("cvr_control"))
-          .withColumn("uplift_rpu_abs", F.col("rpu_test") - F.col("rpu_control")))
-    return (w.withColumn("incremental_converters", F.col("uplift_cvr_abs") * F.col("users_test"))
-             .withColumn("incremental_revenue", F.col("uplift_rpu_abs") * F.col("users_test")))
+    dc = F.col("cvr_test") - F.col("cvr_control")
+    dr = F.col("rpu_test") - F.col("rpu_control")
+    return w.withColumns({"uplift_cvr_abs": dc, "uplift_rpu_abs": dr,
+                          "incremental_converters": dc * F.col("users_test"),
+                          "incremental_revenue": dr * F.col("users_test")})
 
 
 # ------------------------------------------------------------------ I5-I7
