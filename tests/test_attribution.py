@@ -241,3 +241,47 @@ def test_empty_inputs_and_null_revenue(spark):
     got = run_scan(spark, touches, orders, 2)
     assert got[("Meta", "A")]["orders"] == 2  # a NULL-revenue order still has a last click
     assert got[("Meta", "A")]["revenue_linear"] == 5.0 and got[("Meta", "A")]["revenue_time_decay"] == 5.0
+
+
+def brute_by_order_id(touches, orders, k=K):
+    """The reference's shape literally: pairs of every order row with earlier
+    touches, windows partitioned by order_id (so rows sharing an id share one
+    window)."""
+    pairs: dict = {}
+    for oid, user, ots, rev in orders:
+        for t in touches:
+            if user is not None and t[0] == user and t[1] is not None and t[1] <= ots:
+                pairs.setdefault(oid, []).append((t, ots, float(rev)))
+    out: dict = {}
+
+    def acc(pair, field, v):
+        rec = out.setdefault(pair, {"orders": set(), "revenue_last_click": 0.0, "revenue_first_click": 0.0,
+                                    "revenue_linear": 0.0, "revenue_time_decay": 0.0})
+        if field == "orders":
+            rec["orders"].add(v)
+        else:
+            rec[field] += v
+
+    for oid, ps in pairs.items():
+        key = lambda p: (p[0][1], _key(p[0][2]), _key(p[0][3]))
+        last, first = max(ps, key=key), min(ps, key=key)
+        acc((last[0][2], last[0][3]), "orders", oid)
+        acc((last[0][2], last[0][3]), "revenue_last_click", last[2])
+        acc((first[0][2], first[0][3]), "revenue_first_click", first[2])
+        mins = [(math.floor(o.timestamp()) - math.floor(t[1].timestamp())) / 60.0 for t, o, _ in ps]
+        w = [math.exp(-k * (m - min(mins))) for m in mins]
+        for (t, _, r), wi in zip(ps, w):
+            acc((t[2], t[3]), "revenue_linear", r / len(ps))
+            acc((t[2], t[3]), "revenue_time_decay", r * wi / sum(w))
+    for rec in out.values():
+        rec["orders"] = len(rec["orders"])
+    return out
+
+
+def test_exact_duplicate_order_rows(spark):
+    touches, orders = _random_history(31, users=12, touches_per_user=15, orders_per_user=4)
+    dup = orders[::3]  # every third order row appears twice, identically
+    both = orders + dup
+    got = run_scan(spark, touches, both, 4)
+    assert_same(got, brute_by_order_id(touches, both))
+    assert_same(got, brute(touches, orders))  # ... which equals the data without the copies
