@@ -54,8 +54,9 @@ from mktpulse.session import ensure_checkpoint_dir
 
 # Sort key of the timeline. The 64-bit hash of the user leads, so the sort's
 # prefix comparator decides on a long; the user id follows, so two users
-# with one hash still form separate contiguous runs.
-_TIMELINE_KEYS = ["h", "user_id", "t_us", "kind", "src", "camp", "oid"]
+# with one hash still form separate contiguous runs; revenue last, so exact
+# duplicate order rows are neighbours.
+_TIMELINE_KEYS = ["h", "user_id", "t_us", "kind", "src", "camp", "oid", "cents"]
 _NEG_INF = -math.inf
 
 CREDIT_SCHEMA = T.StructType([
