@@ -28,34 +28,57 @@ SEL_CAMPAIGNS = ["Winter_Sale", "New_Arrivals"]
 FLOAT_PLACES = 6
 
 
-def _filtered(spark, sf_dir, b: Binding | None = None):
-    """F1 on the three fact tables, as both dashboards apply it."""
-    b = b or Binding(spark, sf_dir)
-    ads = filters.date_range(b.ads(), "dt", START, END, add_dt=None)
-    od = filters.date_range(b.orders(), "order_ts", START, END, add_dt=None)
-    web = filters.date_range(b.web(), "event_ts", START, END, add_dt=None)
-    return ads, od, web
+class _Filtered:
+    """F1 on the three fact tables, as both dashboards apply it; each frame
+    is built on first use (building a frame costs driver-side analysis)."""
+
+    def __init__(self, spark, sf_dir, b: Binding | None = None):
+        self.b = b or Binding(spark, sf_dir)
+
+    @property
+    def ads(self):
+        return filters.date_range(self.b.ads(), "dt", START, END, add_dt=None)
+
+    @property
+    def od(self):
+        return filters.date_range(self.b.orders(), "order_ts", START, END, add_dt=None)
+
+    @property
+    def web(self):
+        return filters.date_range(self.b.web(), "event_ts", START, END, add_dt=None)
+
+
+def _filtered(spark, sf_dir, b: Binding | None = None) -> _Filtered:
+    return _Filtered(spark, sf_dir, b)
 
 
 def _exact(spark, sf_dir):
-    ads, od, _ = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    ads = f.ads
+    od = f.od
     return paid.paid_daily_exact(ads, od)
 
 
 def _channel_kpis(spark, sf_dir):
     """P10 per channel, materialised once: B1 divides by its ROAS total."""
-    ads, od, _ = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    ads = f.ads
+    od = f.od
     return materialize_small(paid.channel_kpi(ads, od))
 
 
 # ------------------------------------------------------------------ paid
 def q_paid_perf_daily(spark, sf_dir):
-    ads, od, _ = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    ads = f.ads
+    od = f.od
     return paid.paid_perf_daily(ads, od)
 
 
 def q_paid_daily_zero(spark, sf_dir):
-    ads, od, _ = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    ads = f.ads
+    od = f.od
     return paid.paid_daily(ads, od)
 
 
@@ -99,17 +122,20 @@ def q_campaign_cards(spark, sf_dir):
 
 # ------------------------------------------------------------------ funnel
 def q_funnel_stage_daily(spark, sf_dir):
-    _, _, web = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    web = f.web
     return funnel.funnel_stage_daily(web)
 
 
 def q_funnel_by_campaign(spark, sf_dir):
-    _, _, web = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    web = f.web
     return funnel.funnel_table(web)
 
 
 def q_funnel_long(spark, sf_dir):
-    _, _, web = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    web = f.web
     return funnel.funnel_long_of(materialize_small(funnel.funnel_by_campaign(web)))
 
 
@@ -120,12 +146,15 @@ def q_funnel_coarse(spark, sf_dir):
 # ------------------------------------------------------------------ CAC, cohorts
 def q_cac_daily(spark, sf_dir):
     b = Binding(spark, sf_dir)
-    ads, _, _ = _filtered(spark, sf_dir, b)
+    f = _filtered(spark, sf_dir, b)
+    ads = f.ads
     return growth.cac_daily(ads, b.orders(), START, END)
 
 
 def q_cac_daily_range(spark, sf_dir):
-    ads, od, _ = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    ads = f.ads
+    od = f.od
     return growth.cac_daily_range(ads, od)
 
 
@@ -149,7 +178,9 @@ def q_retention_90d(spark, sf_dir):
 
 
 def q_growth_summary(spark, sf_dir):
-    ads, od, _ = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    ads = f.ads
+    od = f.od
     g = growth.growth_summary(growth.ltv_horizon(od, 180), growth.cac_daily_range(ads, od))
     return g.select(*[F.round(c, FLOAT_PLACES).alias(c) for c in g.columns])
 
@@ -160,39 +191,52 @@ def q_ltv_table(spark, sf_dir):
 
 # ------------------------------------------------------------------ attribution
 def q_attribution_models(spark, sf_dir):
-    _, od, web = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    od = f.od
+    web = f.web
     return attribution.attribution_models(web, od)
 
 
 def q_last_touch(spark, sf_dir):
-    _, od, web = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    od = f.od
+    web = f.web
     return attribution.attribution(web, od, "last_touch")
 
 
 def q_order_campaign_credit(spark, sf_dir):
-    _, od, web = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    od = f.od
+    web = f.web
     return attribution.attribution(web, od, "order_campaign")
 
 
 def q_attribution_table(spark, sf_dir):
-    _, od, web = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    od = f.od
+    web = f.web
     return budget.attribution_table(attribution.last_touch_attribution(web, od))
 
 
 # ------------------------------------------------------------------ incrementality
 def q_incrementality_uplift(spark, sf_dir):
     b = Binding(spark, sf_dir)
-    _, od, _ = _filtered(spark, sf_dir, b)
+    f = _filtered(spark, sf_dir, b)
+    od = f.od
     return incrementality.incrementality_uplift(b.exposure(), od, 30)
 
 
 def q_holdout_detail(spark, sf_dir):
-    ads, od, _ = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    ads = f.ads
+    od = f.od
     return budget.holdout_table(incrementality.holdout_detail(ads, od))
 
 
 def q_holdout_summary(spark, sf_dir):
-    ads, od, _ = _filtered(spark, sf_dir)
+    f = _filtered(spark, sf_dir)
+    ads = f.ads
+    od = f.od
     s = incrementality.holdout_summary(ads, od)
     return s.withColumn("value", F.round("value", FLOAT_PLACES))
 
