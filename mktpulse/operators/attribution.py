@@ -50,6 +50,7 @@ from pyspark.sql import types as T
 
 from mktpulse.contracts import DECAY_PER_MINUTE
 from mktpulse.functions.ratios import money
+from mktpulse.operators.joins import lookup_join
 from mktpulse.session import ensure_checkpoint_dir
 
 # Sort key of the timeline. The 64-bit hash of the user leads, so the sort's
@@ -548,21 +549,22 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
 
 
 # ---------------------------------------------------------------- A7-A9
-def last_touch_attribution(web: DataFrame, orders: DataFrame) -> DataFrame:
+def last_touch_attribution(web: DataFrame, orders: DataFrame, skew: dict | None = None) -> DataFrame:
     """Each user's latest non-NULL campaign (by full event time, then
     campaign; touches after the order count too, D20) takes the user's
     orders; users without web events keep the order's own campaign. Revenue,
     distinct orders and buyers per campaign, largest revenue first.
 
     The latest touch is a ``max_by`` aggregate (map-side partial, so a heavy
-    user is combined before the shuffle); the join with orders is
-    many-to-one on ``user_id``.
+    user is combined before the shuffle). Orders meet it through
+    ``joins.lookup_join``: users with a heavy share of the orders take the
+    broadcast path, so no join task holds one user's orders.
     """
     last = (web.filter(F.col("campaign").isNotNull())
             .groupBy("user_id")
             .agg(F.max_by("campaign", F.struct("event_ts", "campaign")).alias("campaign_lt")))
-    att = orders.join(last, "user_id", "left").withColumn("campaign", F.coalesce("campaign_lt", "campaign"))
-    return _credit_by_campaign(att)
+    att = lookup_join(orders, last, "user_id", "left", **(skew or {}))
+    return _credit_by_campaign(att.withColumn("campaign", F.coalesce("campaign_lt", "campaign")))
 
 
 def order_campaign_credit(orders: DataFrame) -> DataFrame:
