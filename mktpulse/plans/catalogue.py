@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mktpulse.operators import attribution, budget, filters, funnel, growth, incrementality, paid, validate
-from mktpulse.session import materialize_small
+from mktpulse.session import ensure_utc, materialize_small
 from mktpulse.sources.bindings import Binding, raw_tables
 
 # The binding-A data covers January 2024; the dashboards' date filter is kept
@@ -28,24 +28,39 @@ SEL_CAMPAIGNS = ["Winter_Sale", "New_Arrivals"]
 FLOAT_PLACES = 6
 
 
+_BINDINGS: dict = {}
+
+
+def _binding(spark, sf_dir) -> Binding:
+    """One Binding per (session, directory), reused by every query."""
+    ensure_utc(spark)
+    key = (id(spark), sf_dir)
+    hit = _BINDINGS.get(key)
+    if hit is None or hit.spark is not spark:
+        hit = _BINDINGS[key] = Binding(spark, sf_dir)
+    return hit
+
+
 class _Filtered:
     """F1 on the three fact tables, as both dashboards apply it; each frame
-    is built on first use (building a frame costs driver-side analysis)."""
+    is built on first use and kept with the binding."""
 
     def __init__(self, spark, sf_dir, b: Binding | None = None):
-        self.b = b or Binding(spark, sf_dir)
+        self.b = b or _binding(spark, sf_dir)
 
     @property
     def ads(self):
-        return filters.date_range(self.b.ads(), "dt", START, END, add_dt=None)
+        return self.b._get("f_ads", lambda: filters.date_range(self.b.ads(), "dt", START, END, add_dt=None))
 
     @property
     def od(self):
-        return filters.date_range(self.b.orders(), "order_ts", START, END, add_dt=None)
+        return self.b._get("f_od", lambda: filters.date_range(self.b.orders(), "order_ts", START, END,
+                                                             add_dt=None))
 
     @property
     def web(self):
-        return filters.date_range(self.b.web(), "event_ts", START, END, add_dt=None)
+        return self.b._get("f_web", lambda: filters.date_range(self.b.web(), "event_ts", START, END,
+                                                              add_dt=None))
 
 
 def _filtered(spark, sf_dir, b: Binding | None = None) -> _Filtered:
@@ -113,11 +128,11 @@ def q_kpi_cards_channel(spark, sf_dir):
 
 
 def q_campaign_kpis(spark, sf_dir):
-    return paid.campaign_ranking(Binding(spark, sf_dir).campaign_daily())
+    return paid.campaign_ranking(_binding(spark, sf_dir).campaign_daily())
 
 
 def q_campaign_cards(spark, sf_dir):
-    return paid.campaign_cards(Binding(spark, sf_dir).campaign_daily())
+    return paid.campaign_cards(_binding(spark, sf_dir).campaign_daily())
 
 
 # ------------------------------------------------------------------ funnel
@@ -145,7 +160,7 @@ def q_funnel_coarse(spark, sf_dir):
 
 # ------------------------------------------------------------------ CAC, cohorts
 def q_cac_daily(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = _binding(spark, sf_dir)
     f = _filtered(spark, sf_dir, b)
     ads = f.ads
     return growth.cac_daily(ads, b.orders(), START, END)
@@ -159,22 +174,22 @@ def q_cac_daily_range(spark, sf_dir):
 
 
 def q_ltv_by_cohort(spark, sf_dir):
-    return growth.ltv_by_cohort(Binding(spark, sf_dir).cohort_orders(), 180)
+    return growth.ltv_by_cohort(_binding(spark, sf_dir).cohort_orders(), 180)
 
 
 def q_retention_rates(spark, sf_dir):
-    return growth.retention_rates(Binding(spark, sf_dir).cohort_orders())
+    return growth.retention_rates(_binding(spark, sf_dir).cohort_orders())
 
 
 def q_retention_matrix(spark, sf_dir):
     # the pivot first finds its column values with a job of its own: read a
     # materialised (cohort x month, calendar-bounded) table, not the pipeline twice
-    rr = materialize_small(growth.retention_rates(Binding(spark, sf_dir).cohort_orders()))
+    rr = materialize_small(growth.retention_rates(_binding(spark, sf_dir).cohort_orders()))
     return growth.retention_matrix(rr)
 
 
 def q_retention_90d(spark, sf_dir):
-    return growth.retention_90d(Binding(spark, sf_dir).cohort_orders(), 90)
+    return growth.retention_90d(_binding(spark, sf_dir).cohort_orders(), 90)
 
 
 def q_growth_summary(spark, sf_dir):
@@ -186,7 +201,7 @@ def q_growth_summary(spark, sf_dir):
 
 
 def q_ltv_table(spark, sf_dir):
-    return budget.ltv_table(growth.ltv_horizon(Binding(spark, sf_dir).cohort_orders(), 180))
+    return budget.ltv_table(growth.ltv_horizon(_binding(spark, sf_dir).cohort_orders(), 180))
 
 
 # ------------------------------------------------------------------ attribution
@@ -220,7 +235,7 @@ def q_attribution_table(spark, sf_dir):
 
 # ------------------------------------------------------------------ incrementality
 def q_incrementality_uplift(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = _binding(spark, sf_dir)
     f = _filtered(spark, sf_dir, b)
     od = f.od
     return incrementality.incrementality_uplift(b.exposure(), od, 30)
@@ -255,17 +270,17 @@ def q_budget_guarded(spark, sf_dir):
 
 # ------------------------------------------------------------------ filters, validation
 def q_filter_options(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = _binding(spark, sf_dir)
     return filters.filter_options(b.ads(), b.orders(), b.web())
 
 
 def q_date_bounds(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = _binding(spark, sf_dir)
     return filters.date_bounds(b.ads(), b.orders(), b.web())
 
 
 def q_filtered_orders(spark, sf_dir):
-    b = Binding(spark, sf_dir)
+    b = _binding(spark, sf_dir)
     a, o, w = filters.apply_dashboard_filters(b.ads(), b.orders(), b.web(), START, END,
                                               SEL_CHANNELS, SEL_CAMPAIGNS)
     return o.select("order_id", "user_id", F.to_date("order_ts").alias("dt"),

@@ -163,38 +163,42 @@ def tpch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 class Binding:
     """All canonical tables of one scale-factor directory, built lazily from
-    one ``events`` relation (file listing and footer read once; Spark scans
-    the files per query as usual)."""
+    one ``events`` relation and kept: DataFrames are immutable, so a table is
+    analysed once and every query reuses it (Spark still scans the files per
+    query)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._events: DataFrame | None = None
+        self._memo: dict[str, DataFrame] = {}
+
+    def _get(self, name: str, build) -> DataFrame:
+        if name not in self._memo:
+            self._memo[name] = build()
+        return self._memo[name]
 
     def events(self) -> DataFrame:
-        if self._events is None:
-            self._events = events(self.spark, self.sf_dir)
-        return self._events
+        return self._get("events", lambda: events(self.spark, self.sf_dir))
 
     def ads(self) -> DataFrame:
-        return ads_daily_from(self.events())
+        return self._get("ads", lambda: ads_daily_from(self.events()))
 
     def web(self) -> DataFrame:
-        return web_events_from(self.events())
+        return self._get("web", lambda: web_events_from(self.events()))
 
     def orders(self) -> DataFrame:
-        return orders_from(self.events())
+        return self._get("orders", lambda: orders_from(self.events()))
 
     def customers(self) -> DataFrame:
-        return customers_from(self.events())
+        return self._get("customers", lambda: customers_from(self.events()))
 
     def exposure(self) -> DataFrame:
-        return exposure_holdout_from(self.events())
+        return self._get("exposure", lambda: exposure_holdout_from(self.events()))
 
     def campaign_daily(self) -> DataFrame:
-        return campaign_daily_from(self.events())
+        return self._get("campaign_daily", lambda: campaign_daily_from(self.events()))
 
     def cohort_orders(self) -> DataFrame:
-        return tpch_orders(self.spark, self.sf_dir)
+        return self._get("cohort_orders", lambda: tpch_orders(self.spark, self.sf_dir))
 
 
 # ---------------------------------------------------------------- raw copies
@@ -222,10 +226,10 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.when(eid % 5 < 3, F.lit("mobile")).otherwise(F.lit("desktop")).alias("device"),
         _pick(SOURCES, eid % 4).alias("source"), _pick(MEDIUMS, eid % 4).alias("medium"),
         _campaign(eid).alias("campaign"))
-    od = orders(spark, sf_dir)
+    od = orders_from(e)
     od = od.select(*[s(F.col(c)).alias(c) for c in od.columns])
-    cu = customers(spark, sf_dir)
+    cu = customers_from(e)
     cu = cu.select(*[s(F.col(c)).alias(c) for c in cu.columns])
-    ex = exposure_holdout(spark, sf_dir)
+    ex = exposure_holdout_from(e)
     ex = ex.select(*[s(F.col(c)).alias(c) for c in ex.columns])
     return {"ads_daily": ads, "web_events": web, "orders": od, "customers": cu, "exposure_holdout": ex}
