@@ -68,10 +68,9 @@ def _filtered(spark, sf_dir, b: Binding | None = None) -> _Filtered:
 
 
 def _exact(spark, sf_dir):
+    """P5 before ratios (lazy; shared by P6, P7, P8, P9, P13 and B2)."""
     f = _filtered(spark, sf_dir)
-    ads = f.ads
-    od = f.od
-    return paid.paid_daily_exact(ads, od)
+    return f.b._get("paid_exact", lambda: paid.paid_daily_exact(f.ads, f.od))
 
 
 def _channel_kpis(spark, sf_dir):
