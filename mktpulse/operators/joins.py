@@ -9,7 +9,7 @@ is the usual shape of a per-key lookup ("the user's last touch").
 ``lookup_join`` isolates the heavy hitters instead:
 
 1. count fact rows per key (a partial aggregate: one row per key crosses the
-   shuffle) and the total ``n`` (a scalar subquery);
+   shuffle) and the total ``n`` (a scalar subquery), once, eagerly;
 2. keys with more than ``max(min_rows, n / max_hot_keys)`` rows are hot. The
    counts sum to ``n``, so there are at most ``max_hot_keys`` of them: a
    proven bound, whatever the data size;
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mktpulse.session import ensure_checkpoint_dir, materialize_small
+
 DEFAULT_MAX_HOT_KEYS = 10_000
 DEFAULT_MIN_HOT_ROWS = 1_000_000
 
@@ -41,10 +43,21 @@ def hot_keys(facts: DataFrame, key: str, max_hot_keys: int = DEFAULT_MAX_HOT_KEY
 def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left",
                 max_hot_keys: int = DEFAULT_MAX_HOT_KEYS, min_rows: int = DEFAULT_MIN_HOT_ROWS) -> DataFrame:
     """``facts JOIN lookup USING (key)`` (``how`` = "left" or "inner"); the
-    lookup must hold at most one row per key."""
+    lookup must hold at most one row per key.
+
+    The hot keys are found once (one aggregate job) and kept as a small
+    checkpoint (at most ``max_hot_keys`` rows). Without hot keys -- the usual
+    case -- this is the plain join. With them, the lookup is checkpointed
+    once (it has one row per key, far smaller than the facts) so that the hot
+    and the cold branch read it instead of deriving it twice.
+    """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    hot = hot_keys(facts, key, max_hot_keys, min_rows)
+    hot = materialize_small(hot_keys(facts, key, max_hot_keys, min_rows))
+    if hot.isEmpty():
+        return facts.join(lookup, key, how)
+    ensure_checkpoint_dir(lookup.sparkSession)
+    lookup = lookup.checkpoint(eager=True)
     hot_lookup = lookup.join(F.broadcast(hot), key, "left_semi")          # <= max_hot_keys rows
     hot_facts = facts.join(F.broadcast(hot), key, "left_semi")
     cold_facts = facts.join(F.broadcast(hot), key, "left_anti")

@@ -35,3 +35,10 @@ def test_hot_keys_are_bounded_and_broadcast(spark):
     plan = lookup_join(facts, lookup, "k", "left", max_hot_keys=3, min_rows=1)._jdf.queryExecution() \
         .executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_no_hot_keys_is_the_plain_join(spark):
+    facts = _facts(spark)
+    lookup = spark.createDataFrame([("hot", "H")], "k string, label string")
+    plan = lookup_join(facts, lookup, "k", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan  # default threshold (1M rows): nothing is hot
