@@ -299,6 +299,13 @@ def q_unknown_events(spark, sf_dir):
     return validate.unknown_events(raw_tables(spark, sf_dir)["web_events"])
 
 
+def q_validate_campaign_file(spark, sf_dir):
+    """V1, V8, V9 of the campaign file: its binding as an all-string upload."""
+    cf = _binding(spark, sf_dir).campaign_daily()
+    raw = cf.select(*[F.col(c).cast("string").alias(c) for c in cf.columns])
+    return validate.check_table(raw, "campaign_daily", mode="numeric")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "paid_perf_daily": q_paid_perf_daily,
     "paid_daily_zero": q_paid_daily_zero,
@@ -338,4 +345,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_report": q_validate_report,
     "validate_report_coerce": q_validate_report_coerce,
     "unknown_events": q_unknown_events,
+    "validate_campaign_file": q_validate_campaign_file,
 }

@@ -468,6 +468,30 @@ def _validation(mode: str) -> str:
     return _RAW + "\n" + "\nUNION ALL\n".join(parts)
 
 
+_CF_RAW = """
+WITH r_cf AS (SELECT CAST(dt AS VARCHAR) AS dt, CAST(impressions AS VARCHAR) AS impressions,
+                     CAST(clicks AS VARCHAR) AS clicks, CAST(spend AS VARCHAR) AS spend,
+                     CAST(orders AS VARCHAR) AS orders, CAST(revenue AS VARCHAR) AS revenue,
+                     CAST(cost AS VARCHAR) AS cost FROM m_campaign_daily)"""
+
+
+def _num_bad(c):
+    return f"{c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL"
+
+
+def _int_num_bad(c):
+    return f"{c} IS NOT NULL AND TRY_CAST(TRY_CAST({c} AS DOUBLE) AS BIGINT) IS NULL"
+
+
+VALIDATE_CAMPAIGN_FILE = _CF_RAW + "\n" + _report("campaign_daily", "r_cf", [
+    ("parse_date", "dt", _date_bad("dt", "coerce")),
+    ("parse_int", "impressions", _int_num_bad("impressions")),
+    ("parse_int", "clicks", _int_num_bad("clicks")),
+    ("parse_float", "spend", _num_bad("spend")),
+    ("parse_int", "orders", _int_num_bad("orders")),
+    ("parse_float", "revenue", _num_bad("revenue")),
+    ("parse_float", "cost", _num_bad("cost"))])
+
 UNKNOWN_EVENTS = _RAW + f"""
 SELECT DISTINCT COALESCE(event_name, 'nan') AS event_name FROM r_web
 WHERE COALESCE(event_name, 'nan') NOT IN {_in(FUNNEL_STAGES)} ORDER BY event_name"""
@@ -512,6 +536,7 @@ ORACLE: dict[str, str] = {
     "validate_report": _validation("strict"),
     "validate_report_coerce": _validation("coerce"),
     "unknown_events": UNKNOWN_EVENTS,
+    "validate_campaign_file": VALIDATE_CAMPAIGN_FILE,
 }
 
 def oracle_sql() -> dict[str, str]:
