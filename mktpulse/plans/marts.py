@@ -27,6 +27,7 @@ from mktpulse.contracts import (DEFAULT_EXPOSURE_LOOKBACK_DAYS, DEFAULT_LTV_LOOK
                                 DEFAULT_TOTAL_BUDGET)
 from mktpulse.operators import attribution, budget, filters, funnel, growth, incrementality, paid, validate
 from mktpulse.session import materialize_small
+from mktpulse.sources.readers import MANDATORY, OPTIONAL, read_csv_raw, register_views
 
 PARTITION_BY = {
     "mart_paid_perf_daily": ["dt"],
@@ -119,6 +120,37 @@ def previews(spark: SparkSession, names, path: str | None = None, fmt: str = "pa
     return out
 
 
+class ValidationFailed(ValueError):
+    """A mandatory upload failed its contract; ``report`` has the details."""
+
+    def __init__(self, failed: list[str], report: DataFrame):
+        super().__init__(f"validation failed for: {', '.join(failed)}")
+        self.failed, self.report = failed, report
+
+
+def load_uploads(spark: SparkSession, paths: dict[str, str], mode: str = "strict") -> dict:
+    """S1 + V10 + S3/S6: read the uploaded CSVs, validate every table in one
+    job, register the typed tables as views.
+
+    As in the reference, any failing mandatory table stops the run (raises
+    ``ValidationFailed`` carrying the full report); an optional table that
+    fails (the exposure file) is skipped and the rest proceed. Returns
+    ``{"report", "tables", "skipped"}``. Only the per-table gate (one row per
+    table) reaches the driver.
+    """
+    raw = {name: read_csv_raw(spark, path) for name, path in paths.items()}
+    report = validate.validation_report(raw, mode=mode)
+    ok = {r["table"]: r["ok"] for r in validate.gate(report).collect()}
+    failed = [t for t in MANDATORY if not ok.get(t, False)]
+    if failed:
+        raise ValidationFailed(failed, report)
+    skipped = [t for t in OPTIONAL if t in raw and not ok.get(t, False)]
+    tables = {t: validate.split_clean(validate.typed(df, t, mode))[0]
+              for t, df in raw.items() if t not in skipped}
+    register_views(spark, {**{t: None for t in OPTIONAL}, **tables})
+    return {"report": report, "tables": tables, "skipped": skipped}
+
+
 # ------------------------------------------------------------------ other dashboards
 @dataclass
 class GrowthParams:

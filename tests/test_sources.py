@@ -44,3 +44,31 @@ def test_csv_upload_to_mart(spark):
     assert mart["Google"]["clicks"] == 2400 and mart["Google"]["orders"] == 0  # order lands on 12-02
     with pytest.raises(ValueError):
         register_views(spark, {"ads_daily": typed["ads_daily"]})
+
+
+def test_load_uploads_gate_and_optional_skip(spark):
+    from mktpulse.plans.marts import MartParams, ValidationFailed, build_marts, load_uploads
+
+    d = tempfile.mkdtemp(prefix="mktpulse-up-")
+    paths = {
+        "ads_daily": _write(d, "ads_daily", "dt,channel,campaign,impressions,clicks,spend\n"
+                                            "2025-12-01,Meta,W,1000,10,50.0\n"),
+        "orders": _write(d, "orders", "order_id,user_id,order_ts,revenue,cost,channel,campaign\n"
+                                      "O1,U1,2025-12-01 10:00:00,30.0,10.0,Meta,W\n"),
+        "web_events": _write(d, "web_events", "user_id,session_id,event_ts,event_name,device,source,medium,campaign\n"
+                                              "U1,S1,2025-12-01 09:00:00,page_view,mobile,Meta,paid,W\n"),
+        "customers": _write(d, "customers", "user_id,first_seen_ts\nU1,2025-11-20 00:00:00\n"),
+        "exposure_holdout": _write(d, "exposure_holdout", "user_id,campaign,group,exposure_ts\n"
+                                                          "U1,W,holdout,2025-12-01 00:00:00\n"),  # bad group
+    }
+    out = load_uploads(spark, paths)
+    assert out["skipped"] == ["exposure_holdout"]
+    t = out["tables"]
+    marts = build_marts(t["ads_daily"], t["web_events"], t["orders"], t["customers"], None,
+                        MartParams("2025-12-01", "2025-12-31", attribution_partitions=2))
+    assert rows(marts["mart_paid_perf_daily"])[0]["ROAS"] == 30.0 / 50.0
+    bad = dict(paths, orders=_write(d, "orders_bad", "order_id,user_id,order_ts,revenue,cost,channel,campaign\n"
+                                                     "O1,U1,not-a-time,30.0,10.0,Meta,W\n"))
+    with pytest.raises(ValidationFailed) as e:
+        load_uploads(spark, bad)
+    assert e.value.failed == ["orders"]
