@@ -29,11 +29,14 @@ from mktpulse.contracts import CONTRACTS, FUNNEL_STAGES, HOLDOUT_GROUPS
 REPORT_COLUMNS = ["table", "check", "column", "violations"]
 
 
-def _parse(col: Column, kind: str) -> Column:
+def _parse(col: Column, kind: str, formats: tuple[str, ...] = ()) -> Column:
+    """Typed value or NULL. Dates and timestamps are ISO by default (D26);
+    ``formats`` adds datetime patterns tried in order, e.g. ``("yyyy/MM/dd",)``."""
+    extra = [F.try_to_timestamp(col, F.lit(f)) for f in formats]
     if kind == "date":
-        return F.to_date(F.try_to_timestamp(col, F.lit("yyyy-MM-dd")))
+        return F.to_date(F.coalesce(F.try_to_timestamp(col, F.lit("yyyy-MM-dd")), *extra))
     if kind == "datetime":
-        return col.try_cast("timestamp")
+        return F.coalesce(col.try_cast("timestamp"), *extra) if extra else col.try_cast("timestamp")
     if kind == "int":
         return col.try_cast("double").try_cast("bigint")
     if kind == "float":
@@ -41,8 +44,8 @@ def _parse(col: Column, kind: str) -> Column:
     return col
 
 
-def _bad(col: Column, kind: str, mode: str) -> Column:
-    parsed = _parse(col, kind)
+def _bad(col: Column, kind: str, mode: str, formats: tuple[str, ...] = ()) -> Column:
+    parsed = _parse(col, kind, formats)
     if mode == "coerce" or (mode == "strict" and kind == "int"):
         return parsed.isNull()
     if mode == "numeric" and kind == "date":
@@ -61,10 +64,10 @@ def unexpected_columns(df: DataFrame, table: str) -> list[str]:
     return [x for x in df.columns if x not in c["cols"] and x not in c["optional"]]
 
 
-def row_checks(table: str, mode: str = "strict") -> list[tuple[str, str, Column]]:
+def row_checks(table: str, mode: str = "strict", date_formats: tuple[str, ...] = ()) -> list[tuple[str, str, Column]]:
     """(check, column, predicate-of-a-bad-row) for every row-level check."""
     types = CONTRACTS[table]["types"]
-    checks = [(f"parse_{t}", c, _bad(F.col(c), t, mode)) for c, t in types.items()
+    checks = [(f"parse_{t}", c, _bad(F.col(c), t, mode, date_formats)) for c, t in types.items()
               if mode != "numeric" or t in ("date", "int", "float")]
     if table == "web_events" and mode == "strict":
         name = F.col("event_name")
@@ -75,7 +78,8 @@ def row_checks(table: str, mode: str = "strict") -> list[tuple[str, str, Column]
     return checks
 
 
-def check_table(df: DataFrame, table: str, mode: str = "strict", allow_extra: bool = False) -> DataFrame:
+def check_table(df: DataFrame, table: str, mode: str = "strict", allow_extra: bool = False,
+                date_formats: tuple[str, ...] = ()) -> DataFrame:
     """V1-V9 for one table: one report row per check, in one scan."""
     spark = df.sparkSession
     meta = [(table, "missing_column", c, None) for c in missing_columns(df, table)]
@@ -85,7 +89,7 @@ def check_table(df: DataFrame, table: str, mode: str = "strict", allow_extra: bo
     if meta:
         # the reference stops at the column checks; so do we
         return spark.createDataFrame(meta, schema)
-    checks = row_checks(table, mode)
+    checks = row_checks(table, mode, date_formats)
     aggs = [F.count_if(p).alias(f"c{i}") for i, (_, _, p) in enumerate(checks)]
     aggs.append(F.count(F.lit(1)).alias("rows"))
     s = df.agg(*aggs)
@@ -99,9 +103,10 @@ def check_table(df: DataFrame, table: str, mode: str = "strict", allow_extra: bo
 
 
 def validation_report(tables: dict[str, DataFrame | None], mode: str = "strict",
-                      allow_extra: bool = False) -> DataFrame:
+                      allow_extra: bool = False, date_formats: tuple[str, ...] = ()) -> DataFrame:
     """Every table's checks in one report; absent tables are skipped."""
-    parts = [check_table(df, name, mode, allow_extra) for name, df in tables.items() if df is not None]
+    parts = [check_table(df, name, mode, allow_extra, date_formats) for name, df in tables.items()
+             if df is not None]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -123,15 +128,15 @@ def unknown_events(web: DataFrame) -> DataFrame:
             .distinct().orderBy("event_name"))
 
 
-def typed(df: DataFrame, table: str, mode: str = "strict") -> DataFrame:
+def typed(df: DataFrame, table: str, mode: str = "strict", date_formats: tuple[str, ...] = ()) -> DataFrame:
     """Parse the contract columns and add ``_errors``: the checks a row fails."""
-    checks = row_checks(table, mode)
+    checks = row_checks(table, mode, date_formats)
     errs = F.filter(F.array(*[F.when(p, F.lit(f"{chk}:{col}")) for chk, col, p in checks]),
                     lambda x: x.isNotNull())
     types = CONTRACTS[table]["types"]
     out = df.withColumn("_errors", errs)
     for c, t in types.items():
-        out = out.withColumn(c, _parse(F.col(c), t))
+        out = out.withColumn(c, _parse(F.col(c), t, date_formats))
     return out
 
 

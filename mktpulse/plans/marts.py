@@ -128,7 +128,8 @@ class ValidationFailed(ValueError):
         self.failed, self.report = failed, report
 
 
-def load_uploads(spark: SparkSession, paths: dict[str, str], mode: str = "strict") -> dict:
+def load_uploads(spark: SparkSession, paths: dict[str, str], mode: str = "strict",
+                 date_formats: tuple[str, ...] = ()) -> dict:
     """S1 + V10 + S3/S6: read the uploaded CSVs, validate every table in one
     job, register the typed tables as views.
 
@@ -139,13 +140,13 @@ def load_uploads(spark: SparkSession, paths: dict[str, str], mode: str = "strict
     table) reaches the driver.
     """
     raw = {name: read_csv_raw(spark, path) for name, path in paths.items()}
-    report = validate.validation_report(raw, mode=mode)
+    report = validate.validation_report(raw, mode=mode, date_formats=date_formats)
     ok = {r["table"]: r["ok"] for r in validate.gate(report).collect()}
     failed = [t for t in MANDATORY if not ok.get(t, False)]
     if failed:
         raise ValidationFailed(failed, report)
     skipped = [t for t in OPTIONAL if t in raw and not ok.get(t, False)]
-    tables = {t: validate.split_clean(validate.typed(df, t, mode))[0]
+    tables = {t: validate.split_clean(validate.typed(df, t, mode, date_formats))[0]
               for t, df in raw.items() if t not in skipped}
     register_views(spark, {**{t: None for t in OPTIONAL}, **tables})
     return {"report": report, "tables": tables, "skipped": skipped}

@@ -60,3 +60,14 @@ def test_empty_gate_and_quarantine(spark):
     c = rows(clean)
     assert len(c) == 1 and c[0]["impressions"] == 1 and c[0]["spend"] == 3.5
     assert rows(quarantine)[0]["_errors"] == ["parse_date:dt"]
+
+
+def test_extra_date_formats(spark):
+    ads = spark.createDataFrame([("2025-12-01", "M", "W", "1", "2", "3.5"), ("2025/12/02", "M", "W", "1", "2", "3.5")],
+                                ADS_RAW)
+    assert _report(ads, "ads_daily")[("parse_date", "dt")] == 1  # ISO only by default (D26)
+    r = {(x["check"], x["column"]): x["violations"]
+         for x in rows(V.check_table(ads, "ads_daily", date_formats=("yyyy/MM/dd",)))}
+    assert r[("parse_date", "dt")] == 0
+    clean, _ = V.split_clean(V.typed(ads, "ads_daily", date_formats=("yyyy/MM/dd",)))
+    assert sorted(str(x["dt"]) for x in rows(clean)) == ["2025-12-01", "2025-12-02"]
