@@ -58,10 +58,13 @@ def missing_columns(df: DataFrame, table: str) -> list[str]:
     return [c for c in CONTRACTS[table]["cols"] if c not in df.columns]
 
 
-def unexpected_columns(df: DataFrame, table: str) -> list[str]:
-    """V2: columns outside the contract (optional columns are expected)."""
+def unexpected_columns(df: DataFrame, table: str, allow_optional: bool = True) -> list[str]:
+    """V2: columns outside the contract. The growth dashboard expects the
+    optional columns (``geo``, ``holdout_group``); the main dashboard's
+    stricter check (``allow_optional=False``) rejects them too."""
     c = CONTRACTS[table]
-    return [x for x in df.columns if x not in c["cols"] and x not in c["optional"]]
+    ok = c["cols"] + (c["optional"] if allow_optional else [])
+    return [x for x in df.columns if x not in ok]
 
 
 def row_checks(table: str, mode: str = "strict", date_formats: tuple[str, ...] = ()) -> list[tuple[str, str, Column]]:
@@ -79,12 +82,12 @@ def row_checks(table: str, mode: str = "strict", date_formats: tuple[str, ...] =
 
 
 def check_table(df: DataFrame, table: str, mode: str = "strict", allow_extra: bool = False,
-                date_formats: tuple[str, ...] = ()) -> DataFrame:
+                date_formats: tuple[str, ...] = (), allow_optional: bool = True) -> DataFrame:
     """V1-V9 for one table: one report row per check, in one scan."""
     spark = df.sparkSession
     meta = [(table, "missing_column", c, None) for c in missing_columns(df, table)]
     if not allow_extra:
-        meta += [(table, "unexpected_column", c, None) for c in unexpected_columns(df, table)]
+        meta += [(table, "unexpected_column", c, None) for c in unexpected_columns(df, table, allow_optional)]
     schema = "table string, check string, column string, violations bigint"
     if meta:
         # the reference stops at the column checks; so do we

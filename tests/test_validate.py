@@ -71,3 +71,11 @@ def test_extra_date_formats(spark):
     assert r[("parse_date", "dt")] == 0
     clean, _ = V.split_clean(V.typed(ads, "ads_daily", date_formats=("yyyy/MM/dd",)))
     assert sorted(str(x["dt"]) for x in rows(clean)) == ["2025-12-01", "2025-12-02"]
+
+
+def test_optional_columns_strictness(spark):
+    ads = spark.createDataFrame([("2025-12-01", "M", "W", "1", "1", "1", "Delhi", "Test")],
+                                ADS_RAW + ", geo string, holdout_group string")
+    assert all(r["check"] != "unexpected_column" for r in rows(V.check_table(ads, "ads_daily")))
+    strict = rows(V.check_table(ads, "ads_daily", allow_optional=False))
+    assert sorted(r["column"] for r in strict) == ["geo", "holdout_group"]
