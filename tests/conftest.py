@@ -24,6 +24,7 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="mktpulse-test-warehouse-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mktpulse-test-ckpt-"))

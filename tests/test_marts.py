@@ -60,3 +60,14 @@ def test_channel_and_campaign_file_dashboards(spark):
     assert rep[("parse_date", "dt")] == 1 and rep[("parse_int", "orders")] == 0
     assert f["quarantine"].count() == 1
     assert rows(f["cards"])[0]["total_orders"] == rows(b.campaign_daily().agg(F.sum("orders").alias("n")))[0]["n"]
+
+
+def test_marts_as_managed_tables(spark):
+    b = Binding(spark, SF001)
+    built = {"mart_cac_daily": M.build_marts(b.ads(), b.web(), b.orders(), None, None,
+                                             M.MartParams("2024-01-01", "2024-01-31",
+                                                          attribution_partitions=2))["mart_cac_daily"]}
+    assert M.write_marts(built, as_tables=True) == ["mart_cac_daily"]
+    assert spark.catalog.tableExists("mart_cac_daily")
+    pv = M.previews(spark, ["mart_cac_daily"])["mart_cac_daily"]
+    assert pv.count() == 30 and str(rows(pv.limit(1))[0]["dt"]) == "2024-01-30"
