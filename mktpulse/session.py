@@ -72,7 +72,9 @@ def materialize_small(df):
     expensive rollup, each subquery would re-derive it from the raw scan.
     A reliable checkpoint in the shared checkpoint folder stores it once and
     survives executor loss (never ``localCheckpoint``). Only for frames whose
-    size is bounded by a dimension (channels, campaigns), not by the data.
+    size has a bound independent of the data volume: a dimension (channels,
+    campaigns), the calendar (cohort x month), or an explicit cap (at most
+    ``max_hot_keys`` heavy keys in ``operators.joins``).
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
