@@ -73,12 +73,12 @@ def _exact(spark, sf_dir):
     return f.b._get("paid_exact", lambda: paid.paid_daily_exact(f.ads, f.od))
 
 
-def _channel_kpis(spark, sf_dir):
-    """P10 per channel, materialised once: B1 divides by its ROAS total."""
+def _channel_kpis(spark, sf_dir, materialize: bool = False):
+    """P10 per channel. Materialised when B1 divides by its ROAS total (a
+    scalar subquery would otherwise re-derive the table)."""
     f = _filtered(spark, sf_dir)
-    ads = f.ads
-    od = f.od
-    return materialize_small(paid.channel_kpi(ads, od))
+    k = paid.channel_kpi(f.ads, f.od)
+    return materialize_small(k) if materialize else k
 
 
 # ------------------------------------------------------------------ paid
@@ -118,7 +118,7 @@ def q_kpi_cards(spark, sf_dir):
 
 def q_channel_kpi(spark, sf_dir):
     """P10 + B1 + T1: the channel KPI table with budget weight, rounded to 2."""
-    return budget.round_numeric(budget.budget_weight(_channel_kpis(spark, sf_dir)), 2)
+    return budget.round_numeric(budget.budget_weight(_channel_kpis(spark, sf_dir, materialize=True)), 2)
 
 
 def q_kpi_cards_channel(spark, sf_dir):
@@ -257,7 +257,7 @@ def q_holdout_summary(spark, sf_dir):
 
 # ------------------------------------------------------------------ budget
 def q_budget_weight(spark, sf_dir):
-    k = budget.budget_weight(_channel_kpis(spark, sf_dir))
+    k = budget.budget_weight(_channel_kpis(spark, sf_dir, materialize=True))
     return k.select("channel", F.bround("ROAS", 4).alias("ROAS"), F.bround("budget_weight", 4).alias("budget_weight"))
 
 
