@@ -101,9 +101,11 @@ TARGET_PARTITION_BYTES = 128 << 20
 def timeline_partitions(tl: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     """Partitions for the sorted timeline: Catalyst's size estimate of the
     projected timeline over ``target_bytes`` (so one task's sort and its
-    Python user runs stay small), never fewer than the shuffle default."""
+    Python user runs stay small), never fewer than the cluster's default
+    parallelism (every core busy on small inputs, without hundreds of tiny
+    Python tasks)."""
     spark = tl.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = int(spark.sparkContext.defaultParallelism)
     try:
         size = int(tl._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:  # no statistics: fall back to the default
