@@ -84,16 +84,12 @@ def _channel_kpis(spark, sf_dir, materialize: bool = False):
 # ------------------------------------------------------------------ paid
 def q_paid_perf_daily(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    ads = f.ads
-    od = f.od
-    return paid.paid_perf_daily(ads, od)
+    return paid.paid_perf_daily(f.ads, f.od)
 
 
 def q_paid_daily_zero(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    ads = f.ads
-    od = f.od
-    return paid.paid_daily(ads, od)
+    return paid.paid_daily(f.ads, f.od)
 
 
 def q_daily_trend(spark, sf_dir):
@@ -137,20 +133,17 @@ def q_campaign_cards(spark, sf_dir):
 # ------------------------------------------------------------------ funnel
 def q_funnel_stage_daily(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    web = f.web
-    return funnel.funnel_stage_daily(web)
+    return funnel.funnel_stage_daily(f.web)
 
 
 def q_funnel_by_campaign(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    web = f.web
-    return funnel.funnel_table(web)
+    return funnel.funnel_table(f.web)
 
 
 def q_funnel_long(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    web = f.web
-    return funnel.funnel_long_of(materialize_small(funnel.funnel_by_campaign(web)))
+    return funnel.funnel_long_of(materialize_small(funnel.funnel_by_campaign(f.web)))
 
 
 def q_funnel_coarse(spark, sf_dir):
@@ -161,15 +154,12 @@ def q_funnel_coarse(spark, sf_dir):
 def q_cac_daily(spark, sf_dir):
     b = _binding(spark, sf_dir)
     f = _filtered(spark, sf_dir, b)
-    ads = f.ads
-    return growth.cac_daily(ads, b.orders(), START, END)
+    return growth.cac_daily(f.ads, b.orders(), START, END)
 
 
 def q_cac_daily_range(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    ads = f.ads
-    od = f.od
-    return growth.cac_daily_range(ads, od)
+    return growth.cac_daily_range(f.ads, f.od)
 
 
 def q_ltv_by_cohort(spark, sf_dir):
@@ -193,9 +183,7 @@ def q_retention_90d(spark, sf_dir):
 
 def q_growth_summary(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    ads = f.ads
-    od = f.od
-    g = growth.growth_summary(growth.ltv_horizon(od, 180), growth.cac_daily_range(ads, od))
+    g = growth.growth_summary(growth.ltv_horizon(f.od, 180), growth.cac_daily_range(f.ads, f.od))
     return g.select(*[F.round(c, FLOAT_PLACES).alias(c) for c in g.columns])
 
 
@@ -206,52 +194,39 @@ def q_ltv_table(spark, sf_dir):
 # ------------------------------------------------------------------ attribution
 def q_attribution_models(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    od = f.od
-    web = f.web
-    return attribution.attribution_models(web, od)
+    return attribution.attribution_models(f.web, f.od)
 
 
 def q_last_touch(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    od = f.od
-    web = f.web
-    return attribution.attribution(web, od, "last_touch")
+    return attribution.attribution(f.web, f.od, "last_touch")
 
 
 def q_order_campaign_credit(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    od = f.od
-    web = f.web
-    return attribution.attribution(web, od, "order_campaign")
+    return attribution.attribution(f.web, f.od, "order_campaign")
 
 
 def q_attribution_table(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    od = f.od
-    web = f.web
-    return budget.attribution_table(attribution.last_touch_attribution(web, od))
+    return budget.attribution_table(attribution.last_touch_attribution(f.web, f.od))
 
 
 # ------------------------------------------------------------------ incrementality
 def q_incrementality_uplift(spark, sf_dir):
     b = _binding(spark, sf_dir)
     f = _filtered(spark, sf_dir, b)
-    od = f.od
-    return incrementality.incrementality_uplift(b.exposure(), od, 30)
+    return incrementality.incrementality_uplift(b.exposure(), f.od, 30)
 
 
 def q_holdout_detail(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    ads = f.ads
-    od = f.od
-    return budget.holdout_table(incrementality.holdout_detail(ads, od))
+    return budget.holdout_table(incrementality.holdout_detail(f.ads, f.od))
 
 
 def q_holdout_summary(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    ads = f.ads
-    od = f.od
-    s = incrementality.holdout_summary(ads, od)
+    s = incrementality.holdout_summary(f.ads, f.od)
     return s.withColumn("value", F.round("value", FLOAT_PLACES))
 
 
