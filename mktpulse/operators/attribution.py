@@ -95,21 +95,23 @@ def timeline(touches: DataFrame, orders: DataFrame) -> DataFrame:
     return t.unionByName(o)
 
 
-TARGET_PARTITION_BYTES = 128 << 20
+TARGET_PARTITION_BYTES = 64 << 20
 
 
 def timeline_partitions(tl: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     """Partitions for the sorted timeline: Catalyst's size estimate of the
     projected timeline over ``target_bytes`` (so one task's sort and its
-    Python user runs stay small), never fewer than the cluster's default
-    parallelism (every core busy on small inputs, without hundreds of tiny
-    Python tasks)."""
+    Python user runs stay small), never fewer than twice the cluster's
+    default parallelism (cores can rebalance uneven partitions, without
+    hundreds of tiny Python tasks on small inputs)."""
     spark = tl.sparkSession
-    base = int(spark.sparkContext.defaultParallelism)
-    try:
-        size = int(tl._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no statistics: fall back to the default
-        size = 0
+    base = 2 * int(spark.sparkContext.defaultParallelism)
+    raw = tl._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    size = raw if isinstance(raw, int) else int(raw.toString())  # Py4J may hand over a BigInt
+    if size >= 1 << 60:
+        # no statistics (e.g. an in-memory relation): Catalyst reports its
+        # "unknown" default; use the session's own shuffle sizing instead
+        return max(base, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return max(base, -(-size // target_bytes))
 
 

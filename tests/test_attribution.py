@@ -17,7 +17,7 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
-from conftest import rows, ts
+from conftest import SF01, rows, ts
 from mktpulse.operators import attribution as A
 
 WEB = "user_id string, event_ts timestamp, source string, campaign string"
@@ -285,3 +285,17 @@ def test_exact_duplicate_order_rows(spark):
     got = run_scan(spark, touches, both, 4)
     assert_same(got, brute_by_order_id(touches, both))
     assert_same(got, brute(touches, orders))  # ... which equals the data without the copies
+
+
+def test_timeline_partitions_follow_the_size_estimate(spark):
+    from mktpulse.sources.bindings import Binding
+
+    base = 2 * spark.sparkContext.defaultParallelism
+    b = Binding(spark, SF01)
+    tl = A.timeline(b.web(), b.orders())                          # parquet: a real estimate
+    assert A.timeline_partitions(tl) == base                      # small input: the floor
+    assert A.timeline_partitions(tl, target_bytes=1 << 10) > base  # 1 KB per partition: many
+    touches, orders = _random_history(3, users=5, touches_per_user=5, orders_per_user=2)
+    mem = A.timeline(spark.createDataFrame(touches, WEB), spark.createDataFrame(orders, ORD))
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert A.timeline_partitions(mem) == max(base, shuffle)       # no statistics: session sizing
