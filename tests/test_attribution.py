@@ -299,3 +299,23 @@ def test_timeline_partitions_follow_the_size_estimate(spark):
     mem = A.timeline(spark.createDataFrame(touches, WEB), spark.createDataFrame(orders, ORD))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert A.timeline_partitions(mem) == max(base, shuffle)       # no statistics: session sizing
+
+
+def test_boundary_runs_keep_partition_and_order(spark):
+    """The summary passes read the checkpointed timeline through a broadcast
+    semi-join; each task must still see one partition's rows, in order."""
+    from pyspark.sql import functions as F
+
+    touches, orders = _random_history(17, users=30, touches_per_user=20, orders_per_user=4)
+    tl = A.sorted_timeline(spark.createDataFrame(touches, WEB), spark.createDataFrame(orders, ORD), 6)
+    edges = spark.createDataFrame(
+        [(r["pid"], r["u"]) for r in tl.groupBy("pid").agg(F.max(F.struct("h", "user_id"))["user_id"].alias("u"))
+         .collect()], "pid int, user_id string")
+    picked = tl.join(F.broadcast(edges), ["pid", "user_id"], "left_semi")
+    check = picked.select(F.spark_partition_id().alias("task"), "pid", "t_us", "kind").rdd.glom().collect()
+    for part in check:
+        if not part:
+            continue
+        assert len({r["pid"] for r in part}) == 1 and part[0]["task"] == part[0]["pid"]
+        keys = [(r["t_us"], r["kind"]) for r in part]
+        assert keys == sorted(keys)
