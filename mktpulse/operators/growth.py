@@ -87,7 +87,7 @@ def ltv_by_cohort(orders: DataFrame, lookback_days: int = DEFAULT_LTV_LOOKBACK_D
     return c.withColumn("LTV_lookback", ratio("revenue_lookback", "customers", on_zero))
 
 
-def retention_rates(orders: DataFrame) -> DataFrame:
+def retention_rates(orders: DataFrame, sort: bool = True) -> DataFrame:
     """``mart_retention_cohort``: distinct active users per
     (cohort month, order month), cohort size, rate, whole-month offset.
 
@@ -100,10 +100,12 @@ def retention_rates(orders: DataFrame) -> DataFrame:
            .groupBy("cohort_month", "order_month").agg(F.count("user_id").alias("active_customers")))
     size = F.max(F.when(F.col("order_month") == F.col("cohort_month"), F.col("active_customers"))).over(
         Window.partitionBy("cohort_month"))
-    return (act.withColumn("cohort_size", size)
-               .withColumns({"retention_rate": F.col("active_customers") / F.col("cohort_size"),
-                             "months_since_cohort": months_between_firsts("order_month", "cohort_month")})
-               .orderBy("cohort_month", "months_since_cohort"))
+    r = (act.withColumn("cohort_size", size)
+            .withColumns({"retention_rate": F.col("active_customers") / F.col("cohort_size"),
+                          "months_since_cohort": months_between_firsts("order_month", "cohort_month")}))
+    # the mart is presented in cohort order; callers that reshape it (the
+    # matrix) skip the global sort
+    return r.orderBy("cohort_month", "months_since_cohort") if sort else r
 
 
 def retention_matrix(retention: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ def q_retention_rates(spark, sf_dir):
 def q_retention_matrix(spark, sf_dir):
     # the pivot first finds its column values with a job of its own: read a
     # materialised (cohort x month, calendar-bounded) table, not the pipeline twice
-    rr = materialize_small(growth.retention_rates(_binding(spark, sf_dir).cohort_orders()))
+    rr = materialize_small(growth.retention_rates(_binding(spark, sf_dir).cohort_orders(), sort=False))
     return growth.retention_matrix(rr)
 
 

@@ -198,7 +198,7 @@ def growth_dashboard(ads: DataFrame, orders: DataFrame, web: DataFrame, p: Growt
         "holdout_summary": incrementality.holdout_summary(a, o),
         "cac_daily": cac,
         "ltv_table": budget.ltv_table(ltv),
-        "retention_matrix": growth.retention_matrix(materialize_small(growth.retention_rates(o))),
+        "retention_matrix": growth.retention_matrix(materialize_small(growth.retention_rates(o, sort=False))),
         "growth_summary": growth.growth_summary(ltv, cac),
         "filter_options": filters.filter_options(ads, orders, web),
         "date_bounds": filters.date_bounds(ads, orders, web),
