@@ -465,39 +465,58 @@ def _combine_credits(frames) -> pd.DataFrame:
                        "credited": "int64"})
 
 
+def _continuing(bounds: dict) -> tuple[set, set]:
+    """Partitions whose last user continues into the next non-empty partition
+    (they need a forward summary) and partitions whose first user continues
+    from the previous one (they need a backward summary)."""
+    pids = sorted(bounds)
+    out_f, in_b = set(), set()
+    for a, b in zip(pids, pids[1:]):
+        if bounds[a][1] == bounds[b][0]:
+            out_f.add(a)
+            in_b.add(b)
+    return out_f, in_b
+
+
 def _fold_forward(bounds: dict, rows, k: float) -> dict:
     """Carry-in forward state per partition whose first user continues from
-    the previous non-empty partition. ``bounds``: pid -> (first, last user)."""
+    the previous non-empty partition. ``bounds``: pid -> (first, last user);
+    ``rows``: the summaries of the partitions whose last user continues."""
     summ = {r["pid"]: r for r in rows}
     carry, acc_user, acc = {}, None, None
     for pid in sorted(bounds):
         first_user, last_user = bounds[pid]
+        continued = acc_user is not None and acc_user == first_user
+        if continued:
+            carry[pid] = acc
+        if pid not in summ:          # the last user stops here: nothing to carry on
+            acc_user, acc = None, None
+            continue
         r = summ[pid]
         st = _Fwd(r["n"], r["has_touch"], r["last_sec"] or 0, r["last_src"], r["last_camp"], r["E"] or 0.0,
                   r["first_src"], r["first_camp"])
-        if acc_user is not None and acc_user == first_user:
-            carry[pid] = acc
-            acc = acc.then(st, k) if first_user == last_user else st
-        else:
-            acc = st
+        acc = acc.then(st, k) if continued and first_user == last_user else st
         acc_user = last_user
     return carry
 
 
 def _fold_backward(bounds: dict, rows) -> dict:
     """Carry-in order terms per partition whose last user continues into the
-    next non-empty partition."""
+    next non-empty partition; ``rows``: the summaries of the partitions whose
+    first user continues from the previous one."""
     summ = {r["pid"]: r for r in rows}
     carry, acc_user, acc = {}, None, None
     for pid in sorted(bounds, reverse=True):
         first_user, last_user = bounds[pid]
+        continued = acc_user is not None and acc_user == last_user
+        if continued:
+            carry[pid] = acc
+        if pid not in summ:          # the first user starts here: nothing to carry back
+            acc_user, acc = None, None
+            continue
         r = summ[pid]
         st = _Bwd(r["lin"], r["lpos"], r["lneg"], r["orders_after"])
-        if acc_user is not None and acc_user == last_user:
-            carry[pid] = acc
-            acc = st.before(acc) if first_user == last_user else st
-        else:
-            acc = st
+        acc = st.before(acc) if continued and first_user == last_user else st
         acc_user = first_user
     return carry
 
@@ -528,15 +547,24 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
     b = tl.groupBy("pid").agg(F.min(F.struct("h", "user_id"))["user_id"].alias("first_user"),
                               F.max(F.struct("h", "user_id"))["user_id"].alias("last_user"))
     bounds = {r["pid"]: (r["first_user"], r["last_user"]) for r in b.collect()}
-    edge = lambda which: F.broadcast(spark.createDataFrame(  # noqa: E731  (<= 1 row per partition)
-        [(p, u[which]) for p, u in bounds.items()], "pid int, user_id string"))
+    out_f, in_b = _continuing(bounds)
+
+    def edge(which: int, pids: set) -> DataFrame:  # <= 1 row per partition
+        return F.broadcast(spark.createDataFrame(
+            [(p, bounds[p][which]) for p in sorted(pids)], "pid int, user_id string"))
+
     cols = ["pid", "user_id", "kind", "t_us", "src", "camp", "cents"]
-    last_runs = tl.select(*cols).join(edge(1), ["pid", "user_id"], "left_semi")
-    fwd_rows = [r.asDict() for r in last_runs.mapInPandas(_fwd_summaries(k), FWD_SCHEMA).collect()]
+    fwd_rows = []
+    if out_f:  # only users that cross a partition boundary need summaries
+        last_runs = tl.select(*cols).join(edge(1, out_f), ["pid", "user_id"], "left_semi")
+        fwd_rows = [r.asDict() for r in last_runs.mapInPandas(_fwd_summaries(k), FWD_SCHEMA).collect()]
     # carries: at most one per partition, shipped once per executor
     fwd_carry = spark.sparkContext.broadcast(_fold_forward(bounds, fwd_rows, k))
-    first_runs = tl.select(*cols, "oid").join(edge(0), ["pid", "user_id"], "left_semi")
-    bwd_rows = [r.asDict() for r in first_runs.mapInPandas(_bwd_summaries(k, fwd_carry), BWD_SCHEMA).collect()]
+    bwd_rows = []
+    if in_b:
+        first_runs = tl.select(*cols, "oid").join(edge(0, in_b), ["pid", "user_id"], "left_semi")
+        bwd_rows = [r.asDict() for r in first_runs.mapInPandas(_bwd_summaries(k, fwd_carry), BWD_SCHEMA)
+                    .collect()]
     bwd_carry = spark.sparkContext.broadcast(_fold_backward(bounds, bwd_rows))
     cr = tl.select(*cols, "oid").mapInPandas(_credits(k, fwd_carry, bwd_carry), CREDIT_SCHEMA)
     out = (cr.groupBy(F.col("src").alias("channel"), F.col("camp").alias("campaign"))
