@@ -78,3 +78,24 @@ def materialize_small(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started.
+
+    The package is zipped and handed to ``SparkContext.addPyFile`` once per
+    context; a cluster installation or ``--py-files`` makes it redundant but
+    harmless.
+    """
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_mktpulse_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.is_dir():  # a plain folder; from a zip (--py-files) it is shipped already
+        into = Path(tempfile.mkdtemp(prefix="mktpulse-pkg-"))
+        shutil.copytree(root, into / "src" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(str(into / "mktpulse_pkg"), "zip", into / "src"))
+    sc._mktpulse_shipped = True
