@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from mktpulse.llm import sentencepiece_bpe
+from mktpulse.llm import sentencepiece_bpe, token_files, winnowing
 from mktpulse.llm.common import read_table
 
 
+def op1_winnowing(spark, sf_dir):
+    return winnowing.fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark, sf_dir):
+    return token_files.token_files(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.token_digests(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_winnowing": op1_winnowing,
+    "op4_token_files": op4_token_files,
     "op7_sentencepiece": op7_sentencepiece,
 }
 

@@ -1,0 +1,89 @@
+"""Winnowing against its definition, and the neighbour rule against a plain loop."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+from conftest import SF001
+from llm.conftest import ODD_TEXTS
+from mktpulse.llm import winnowing as wn
+
+
+def _definition(text, k, w):
+    import numpy as np
+
+    if not text:
+        return []
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    k = min(k, len(points))
+    h = []
+    for i in range(len(points) - k + 1):
+        v = 0
+        for c in points[i:i + k]:
+            v = (v * wn._BASE + int(c) + 1) & wn._MASK
+        v = ((v ^ (v >> 32)) * wn._MIX) & wn._MASK
+        h.append(v >> 32)
+    w = min(w, len(h))
+    got = set()
+    for i in range(len(h) - w + 1):
+        low = min(h[i:i + w])
+        got.add((max(j for j in range(i, i + w) if h[j] == low), low))
+    return [(low, p) for p, low in sorted(got)]
+
+
+def test_chosen_hashes_follow_the_definition():
+    rnd = random.Random(3)
+    for _ in range(200):
+        text = "".join(rnd.choice("ab é") for _ in range(rnd.randint(0, 90)))
+        k, w = rnd.randint(1, 9), rnd.randint(1, 9)
+        h, p = wn.winnow(text, k, w)
+        assert list(zip(h.tolist(), p.tolist())) == _definition(text, k, w)
+
+
+def test_match_guarantee():
+    rnd = random.Random(4)
+    for _ in range(50):
+        shared = "".join(rnd.choice("abcdefgh ") for _ in range(wn.K + wn.W - 1))
+        a = "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 99))) + shared + "q"
+        b = shared + "".join(rnd.choice("uvw") for _ in range(rnd.randint(0, 99)))
+        assert set(wn.winnow(a)[0].tolist()) & set(wn.winnow(b)[0].tolist())
+
+
+def _brute(pairs):
+    ordered = sorted(pairs, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    out = []
+    for i, (d, t) in enumerate(ordered):
+        t, nxt = t or "", ordered[(i + 1) % len(ordered)][1] or ""
+        new = wn.edited(t, nxt)
+        fp = [wn.winnow(x)[0] for x in (t, new, nxt)]
+        s = [frozenset(x.tolist()) for x in fp]
+        out.append((d, len(t), hashlib.sha256(new.encode()).hexdigest(), fp[0].astype(">u4").tobytes().hex(),
+                    fp[1].astype(">u4").tobytes().hex(), wn.likeness(s[0], s[1]), wn.likeness(s[0], s[2])))
+    return sorted(out, key=str)
+
+
+def test_edits_match_a_plain_loop(spark, make_docs):
+    pairs = [(i * 7 % 31, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "no id"), (None, None), (5, "twice"), (5, "twice")]
+    got = [tuple(r) for r in wn.fingerprint_edits(make_docs(pairs)).collect()]
+    assert sorted(got, key=str) == _brute(pairs)
+
+
+def test_edits_on_the_table(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    pairs = [(r.doc_id, r.text) for r in docs.collect()]
+    got = [tuple(r) for r in wn.fingerprint_edits(docs).collect()]
+    assert sorted(got, key=str) == _brute(pairs)
+
+
+def test_empty_table_and_one_row(spark, make_docs):
+    assert wn.fingerprint_edits(make_docs([])).collect() == []
+    one = wn.fingerprint_edits(make_docs([(1, "abcdef")])).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_positions_and_extra_columns(spark, make_docs):
+    docs = make_docs([(1, "some text " * 30), (2, None)]).selectExpr("*", "'x' AS hashes", "1 AS positions")
+    got = {r.doc_id: r for r in wn.fingerprints(docs).collect()}
+    h, p = wn.winnow("some text " * 30)
+    assert got[1].hashes == h.tolist() and got[1].positions == p.tolist() and got[2].hashes == []
