@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mktpulse.llm import sentencepiece_bpe, token_files, winnowing
+from mktpulse.llm import mixing, sentencepiece_bpe, token_files, winnowing
 from mktpulse.llm.common import read_table
 
 
@@ -18,10 +18,15 @@ def op7_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.token_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark, sf_dir):
+    return mixing.Mixture(read_table(spark, sf_dir, "documents")).taken()
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op4_token_files": op4_token_files,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
