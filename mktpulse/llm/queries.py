@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from mktpulse.llm import mixing, sentencepiece_bpe, token_files, winnowing
+from pyspark.sql import functions as F
+
+from mktpulse.llm import cdc_dedup, mixing, sentencepiece_bpe, token_files, winnowing
 from mktpulse.llm.common import read_table
 
 
@@ -22,11 +24,21 @@ def op8_mixing(spark, sf_dir):
     return mixing.Mixture(read_table(spark, sf_dir, "documents")).taken()
 
 
+def op9_substring_dedup(spark, sf_dir):
+    """Per document: length before, characters and passages removed, and what is left of the text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = cdc_dedup.dedup_substrings(docs)
+    left = F.length(F.coalesce("text", F.lit("")))
+    return d.select("doc_id", F.col("_before").alias("n_chars"), (F.col("_before") - left).alias("removed_chars"),
+                    F.size("_removed").cast("bigint").alias("removed_passages"), "text")
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op4_token_files": op4_token_files,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mixing": op8_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
