@@ -86,9 +86,9 @@ def lookup_hot(facts: DataFrame, lookup: DataFrame, key: str, total: int, share:
     hot = lookup.where(F.col("n") > hot_at).select(
         F.col(key), F.struct(*cols).alias("_hot"))
     cold = lookup.where(F.col("n") <= hot_at).select(
-        F.col(key).alias("_key"), F.lit(0).alias("_deal"), F.struct(*cols).alias("_cold"))
+        F.col(key).alias("_cold_key"), F.lit(0).alias("_deal"), F.struct(*cols).alias("_cold"))
     tagged = facts.join(F.broadcast(hot), key, "left")
     tagged = tagged.withColumn("_deal", F.when(F.col("_hot").isNotNull(), 1 + F.floor(F.rand(7) * 1_000_000)).otherwise(0).cast("int"))
-    joined = tagged.join(cold, (F.col(key) == F.col("_key")) & (tagged["_deal"] == cold["_deal"]), "left")
+    joined = tagged.join(cold, (F.col(key) == F.col("_cold_key")) & (tagged["_deal"] == cold["_deal"]), "left")
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
     return joined.select(*[facts[c] for c in facts.columns], *[found[c].alias(c) for c in cols])

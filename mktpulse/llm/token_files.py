@@ -217,7 +217,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 if out is None:
                     fs, p = open_fs(path)
                     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
-                    out = Writer(fs.open_output_stream(p), bits_for(max(t.vocabulary, end_id + 1)), block)
+                    out = Writer(fs.open_output_stream(p, compression=None), bits_for(max(t.vocabulary, end_id + 1)), block)
                 for doc, ids in zip(part.column(0).to_pylist(), t.encode_batch(part.column(1).to_pylist())):
                     out.add(doc, np.concatenate([ids, end]))
         if out is not None:
