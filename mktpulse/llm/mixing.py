@@ -39,7 +39,7 @@ SHARE, MOST = 1.5, 2
 #: Words of a block: the mixture misses a target by a few blocks at most.
 BLOCK = 128
 #: Documents a bucket of the shuffled order holds on average.
-PER_BUCKET = 4096
+PER_BUCKET = 256
 GOLDEN = 0.6180339887498949
 #: Slots whose ranks are counted together.
 STRETCH = 65_536

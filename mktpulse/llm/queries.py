@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mktpulse.llm import cdc_dedup, mixing, sentencepiece_bpe, token_files, winnowing
+from mktpulse.llm import cdc_dedup, importance, mixing, sentencepiece_bpe, token_files, warc, winnowing
 from mktpulse.llm.common import read_table
 
 
@@ -12,10 +12,19 @@ def op1_winnowing(spark, sf_dir):
     return winnowing.fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op4_token_files(spark, sf_dir):
     return token_files.token_files(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op6_importance(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return importance.resample(docs, labels).select("doc_id", "log_weight", "key", "kept")
+
+
 def op7_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.token_digests(read_table(spark, sf_dir, "documents"))
 
@@ -35,7 +44,9 @@ def op9_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op2_warc": op2_warc,
     "op4_token_files": op4_token_files,
+    "op6_importance": op6_importance,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
