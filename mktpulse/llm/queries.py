@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mktpulse.llm import cdc_dedup, importance, mixing, sentencepiece_bpe, token_files, warc, winnowing
+from mktpulse.llm import cdc_dedup, cover_tree, importance, mixing, sentencepiece_bpe, token_files, warc, winnowing
 from mktpulse.llm.common import read_table
 
 
@@ -42,6 +42,10 @@ def op9_substring_dedup(spark, sf_dir):
                     F.size("_removed").cast("bigint").alias("removed_passages"), "text")
 
 
+def op10_cover_tree(spark, sf_dir):
+    return cover_tree.top_k(read_table(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_warc": op2_warc,
@@ -50,6 +54,32 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_cover_tree": op10_cover_tree,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words by the same pattern; everything after the sizes (hash-shuffled order, schedule) is not SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op10_cover_tree": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5""",
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT p.page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN p.page_id IS DISTINCT FROM f.first AND f.first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to
+FROM p JOIN f USING (html) JOIN (
+  SELECT html, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
+           strpos('0123456789abcdef', substr(h, 1 + (5 * i) // 4, 1)) - 1) * 16 +
+           strpos('0123456789abcdef', substr(h || '0', 2 + (5 * i) // 4, 1)) - 1) // (2 ** (3 - (5 * i) % 4))::BIGINT) % 32, 1), '' ORDER BY i) AS digest
+  FROM (SELECT html, sha1(html) AS h FROM f) CROSS JOIN range(32) AS r(i) GROUP BY html
+) d USING (html)""",
+}
