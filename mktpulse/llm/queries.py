@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mktpulse.llm import cdc_dedup, cover_tree, importance, mixing, sentencepiece_bpe, token_files, warc, winnowing
+from mktpulse.llm import cdc_dedup, cover_tree, importance, lm_scoring, mixing, sentencepiece_bpe, token_files, warc, winnowing
 from mktpulse.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op4_token_files(spark, sf_dir):
     return token_files.token_files(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op5_cross_entropy(spark, sf_dir):
+    return lm_scoring.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_importance(spark, sf_dir):
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return importance.resample(docs, labels).select("doc_id", "log_weight", "key", "kept")
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_warc": op2_warc,
     "op4_token_files": op4_token_files,
+    "op5_cross_entropy": op5_cross_entropy,
     "op6_importance": op6_importance,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_mixing": op8_mixing,
