@@ -1,0 +1,140 @@
+"""Classes and links against all pairs, the working depth, block-wise verification, components."""
+
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from conftest import SF001
+from llm.conftest import ODD_TEXTS
+from mktpulse.llm import lsh_forest as lf
+from mktpulse.llm.components import components
+
+
+def _sets(text):
+    w = (text or "").lower().split()
+    n = min(5, len(w))
+    return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if w else frozenset()
+
+
+def _union(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def _brute(pairs, t=0.8):
+    texts = defaultdict(list)
+    for d, x in pairs:
+        texts[" ".join((x or "").lower().split())].append(d)
+    keys = list(texts)
+    sets = [_sets(k) for k in keys]
+    ok = [(i, j) for i in range(len(keys)) for j in range(i) if sets[i] and sets[j]
+          and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])]
+    root = _union(len(keys), ok)
+    least = lambda ids: min((d for d in ids if d is not None), default=None)
+    out = []
+    for i, k in enumerate(keys):
+        cls = least([d for j in range(len(keys)) if root[j] == root[i] for d in texts[keys[j]]])
+        n = sum(i in p for p in ok)
+        out += [(d, cls, least(texts[k]), len(texts[k]), n) for d in texts[k]]
+    return sorted(out, key=str)
+
+
+def _got(df):
+    return sorted(((r.doc_id, r.class_id, r.text_id, r.copies, r.links) for r in df.collect()), key=str)
+
+
+def _near(rnd, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        w[rnd.randrange(len(w))] = "edit%d" % rnd.randrange(10 ** 6)
+    return " ".join(w)
+
+
+def _made(seed=0):
+    rnd = random.Random(seed)
+    pairs, i = [], 0
+    for g in range(25):
+        words = ["w%d" % rnd.randrange(3000) for _ in range(rnd.randint(60, 200))]
+        for _ in range(rnd.choice([1, 2, 3, 40])):
+            pairs.append((i, _near(rnd, words, rnd.choice([0, 0, 1, 1, 2, 3]))))
+            i += 1
+    rnd.shuffle(pairs)
+    return pairs
+
+
+def test_classes_and_links(spark, make_docs):
+    pairs = _made() + [(1000 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "no id at all"), (None, None), (7, "again"), (7, "again")]
+    docs = make_docs(pairs).selectExpr("*", "1 AS node", "2 AS n", "3 AS cell")
+    want = _brute(pairs)
+    assert _got(lf.jaccard_classes(docs, recall=0.99999)) == want
+    assert _got(lf.jaccard_classes(docs, recall=0.99999, cell=3)) == want  # cells cut into blocks
+
+
+def test_table(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    assert _got(lf.jaccard_classes(docs)) == _brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_one_per_class(spark, make_docs):
+    pairs = _made(3) + [(5000, "left alone entirely by the join"), (5001, None), (5002, "")]
+    docs = make_docs(pairs)
+    stay = sorted(r.doc_id for r in lf.one_per_class(docs, recall=0.99999).collect())
+    assert stay == sorted({r[1] for r in _brute(pairs)})
+
+
+def test_empty(spark, make_docs):
+    assert lf.jaccard_classes(make_docs([])).collect() == []
+    assert _got(lf.jaccard_classes(make_docs([(1, None)]))) == [(1, 1, 1, 1, 0)]
+
+
+def test_working_depth():
+    for trees, recall in ((38, 0.999), (10, 0.9), (1, 0.99)):
+        d = lf.working_depth(trees, 12, 0.8, recall)
+        assert d == 1 or 1 - (1 - 0.8 ** d) ** trees >= recall
+        assert d == 12 or 1 - (1 - 0.8 ** (d + 1)) ** trees < recall
+
+
+def test_recall_at_the_threshold():
+    """Pairs of similarity just above 0.8 share a trie node in at least the promised share of cases."""
+    rng = np.random.default_rng(0)
+    depth = lf.working_depth()
+    mul, add = lf.permutations(lf.TREES * depth)
+    found = 0
+    for _ in range(400):
+        s = rng.integers(0, 1 << 63, 110, dtype=np.uint64)
+        a, b = s[:100], s[10:]  # 90 of 110 shared
+        k = [lf.trie_keys(lf.signature(x, mul, add), lf.TREES, depth) for x in (a, b)]
+        found += bool((k[0] == k[1]).any())
+    assert found >= 398
+
+
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    a, b = ([np.unique(rng.integers(0, 30_000, n).astype(np.uint64)) for n in (5, 9000, 300)] for _ in range(2))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert lf.overlaps(a, b).tolist() == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rnd = random.Random(seed)
+    edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(130)] + [(300 + i, 301 + i) for i in range(40)] + [(500, 501 + i) for i in range(60)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    root = _union(600, edges)
+    assert set(got) == {x for e in edges if e[0] != e[1] for x in e}
+    for x in got:
+        for y in got:
+            assert (got[x] == got[y]) == (root[x] == root[y])
