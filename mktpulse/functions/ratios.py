@@ -11,8 +11,9 @@ The reference uses three zero-denominator policies (survey D1-D3):
 Ratios are computed in double from double operands, so every engine that
 follows IEEE-754 produces the same bits.
 
-Money is summed as ``decimal(18,2)`` (exact, order-independent) and cast to
-double once, at the end.
+Money is summed as ``decimal(28,8)`` (exact and order-independent: eight places
+keep what a cent is made of, and sums have 38 digits) and cast to double once,
+at the end.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+#: Money of one row; a sum of it is decimal(38,8).
+MONEY = "decimal(28,8)"
+MONEY_SUM = "decimal(38,8)"
 
 
 def _c(x) -> Column:

@@ -121,6 +121,18 @@ def retention_matrix(retention: DataFrame) -> DataFrame:
     return m.fillna(0.0).orderBy("cohort_month")
 
 
+def retention_cells(retention: DataFrame) -> DataFrame:
+    """R4 in long form: every (cohort month, offset) from 0 to the largest offset of any cohort, rate 0 where
+    the cohort has no active customers then. The largest offset is a scalar subquery; the cells of a cohort
+    come from a sequence and one join on (cohort, offset)."""
+    most = retention.agg(F.max("months_since_cohort")).scalar()
+    cohorts = retention.select("cohort_month").distinct()
+    grid = cohorts.select("cohort_month", F.explode(F.sequence(F.lit(0), most)).alias("months_since_cohort"))
+    rates = retention.select("cohort_month", "months_since_cohort", "retention_rate")
+    return (grid.join(rates, ["cohort_month", "months_since_cohort"], "left")
+            .withColumn("retention_rate", F.coalesce("retention_rate", F.lit(0.0))))
+
+
 def retention_90d(orders: DataFrame, days: int = 90) -> DataFrame:
     """Share of users with an order within ``days`` days of their first.
 

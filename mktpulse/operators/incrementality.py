@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from mktpulse.contracts import DEFAULT_EXPOSURE_LOOKBACK_DAYS, TEST_SHARE
 from mktpulse.functions.hashing import md5_fraction
-from mktpulse.functions.ratios import money, ratio
+from mktpulse.functions.ratios import MONEY, MONEY_SUM, money, ratio
 
 
 def exposed_users(exposure: DataFrame, orders: DataFrame,
@@ -35,7 +35,7 @@ def exposed_users(exposure: DataFrame, orders: DataFrame,
     od = (orders.groupBy("user_id", "campaign", F.to_date("order_ts").alias("day"))
           .agg(F.sum(money("revenue")).alias("rev"), F.count(F.lit(1)).alias("n")))
     rows = (exp.select("user_id", "campaign", "group", "day", "m",
-                       F.lit(None).cast("decimal(28,2)").alias("rev"), F.lit(None).cast("bigint").alias("n"))
+                       F.lit(None).cast(MONEY_SUM).alias("rev"), F.lit(None).cast("bigint").alias("n"))
             .unionByName(od.select("user_id", "campaign", F.lit(None).cast("string").alias("group"), "day",
                                    F.lit(None).cast("bigint").alias("m"), "rev", "n")))
     rows = rows.withColumn("d", F.unix_date("day"))
@@ -63,7 +63,9 @@ def exposed_users(exposure: DataFrame, orders: DataFrame,
          .filter((F.col("n_total") == 0) | (F.col("n_undated") > 0) | (F.col("n_win") > 0)))
     return (e.groupBy("user_id", "campaign", "group")
             .agg(F.max((F.col("n_win") > 0).cast("int")).alias("converted"),
-                 F.coalesce(F.sum(F.col("rev_win") * F.col("m")), F.lit(0).cast("decimal(38,2)")).alias("revenue")))
+                 # repeated exposures count their orders again; the factor is small, so the product keeps its places
+                 F.coalesce(F.sum((F.col("rev_win").cast(MONEY) * F.col("m").cast("decimal(9,0)")).cast(MONEY)),
+                            F.lit(0).cast(MONEY_SUM)).alias("revenue")))
 
 
 def arm_rollup(users: DataFrame) -> DataFrame:
@@ -122,8 +124,8 @@ def holdout_detail(ads: DataFrame, orders: DataFrame) -> DataFrame:
     side 0), ROAS 0.0 without spend. A union + one aggregate stands in for the
     full outer join of two per-group rollups."""
     sp = ads_arm(ads).select("holdout_group", money("spend").alias("spend"),
-                             F.lit(None).cast("decimal(18,2)").alias("revenue"))
-    rv = order_arm(orders).select("holdout_group", F.lit(None).cast("decimal(18,2)").alias("spend"),
+                             F.lit(None).cast(MONEY).alias("revenue"))
+    rv = order_arm(orders).select("holdout_group", F.lit(None).cast(MONEY).alias("spend"),
                                   money("revenue").alias("revenue"))
     g = (sp.unionByName(rv).groupBy("holdout_group")
          .agg(F.coalesce(F.sum("spend"), F.lit(0)).cast("double").alias("spend"),

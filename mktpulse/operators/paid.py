@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mktpulse.functions.ratios import money, ratio
+from mktpulse.functions.ratios import MONEY_SUM, money, ratio
 
 KEYS = ["dt", "channel", "campaign"]
 
@@ -49,7 +49,7 @@ def purchase_rollup(orders: DataFrame) -> DataFrame:
     return (orders.groupBy(F.to_date("order_ts").alias("dt"), "channel", "campaign")
             .agg(F.countDistinct("order_id").alias("orders"),
                  F.sum(money("revenue")).alias("revenue"),
-                 F.sum(F.col("revenue").cast("decimal(20,4)") - F.col("cost").cast("decimal(20,4)")).alias("margin"),
+                 F.sum(money("revenue") - money("cost")).alias("margin"),
                  F.countDistinct("user_id").alias("buyers")))
 
 
@@ -80,20 +80,23 @@ def paid_perf_daily(ads: DataFrame, orders: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ P5
 def paid_daily_exact(ads: DataFrame, orders: DataFrame) -> DataFrame:
     """P5 before the ratios, money still decimal: the shared input of P6, P7,
-    P9 and P13 (persist it when several of them run in one job)."""
+    P9 and P13 (persist it when several of them run in one job). A sum over
+    nothing but NULLs is 0, on the ads side too (D5)."""
     a = paid_rollup(ads)
     o = (orders.groupBy(F.to_date("order_ts").alias("dt"), "channel", "campaign")
          .agg(F.countDistinct("order_id").alias("orders"),
               F.countDistinct("user_id").alias("buyers"),
               F.sum(money("revenue")).alias("revenue"),
-              F.sum(F.col("cost").cast("decimal(20,4)")).alias("cost")))
+              F.sum(money("cost")).alias("cost")))
     zero = F.lit(0)
     return (a.join(o, KEYS, "left")
-            .select(*KEYS, "impressions", "clicks", "spend",
+            .select(*KEYS, F.coalesce("impressions", zero).cast("bigint").alias("impressions"),
+                    F.coalesce("clicks", zero).cast("bigint").alias("clicks"),
+                    F.coalesce("spend", zero.cast(MONEY_SUM)).alias("spend"),
                     F.coalesce("orders", zero).cast("bigint").alias("orders"),
                     F.coalesce("buyers", zero).cast("bigint").alias("buyers"),
-                    F.coalesce("revenue", zero.cast("decimal(18,2)")).alias("revenue"),
-                    F.coalesce("cost", zero.cast("decimal(20,4)")).alias("cost")))
+                    F.coalesce("revenue", zero.cast(MONEY_SUM)).alias("revenue"),
+                    F.coalesce("cost", zero.cast(MONEY_SUM)).alias("cost")))
 
 
 def _zero_ratios(df: DataFrame, **extra) -> DataFrame:

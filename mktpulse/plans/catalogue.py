@@ -171,10 +171,8 @@ def q_retention_rates(spark, sf_dir):
 
 
 def q_retention_matrix(spark, sf_dir):
-    # the pivot first finds its column values with a job of its own: read a
-    # materialised (cohort x month, calendar-bounded) table, not the pipeline twice
-    rr = materialize_small(growth.retention_rates(_binding(spark, sf_dir).cohort_orders(), sort=False))
-    return growth.retention_matrix(rr)
+    """R4 as its dense cells: a view-safe shape whose columns do not depend on the data."""
+    return growth.retention_cells(growth.retention_rates(_binding(spark, sf_dir).cohort_orders(), sort=False))
 
 
 def q_retention_90d(spark, sf_dir):
@@ -194,7 +192,8 @@ def q_ltv_table(spark, sf_dir):
 # ------------------------------------------------------------------ attribution
 def q_attribution_models(spark, sf_dir):
     f = _filtered(spark, sf_dir)
-    return attribution.attribution_models(f.web, f.od)
+    m = attribution.attribution_models(f.web, f.od)
+    return m.withColumns({c: F.round(c, 4) for c in ("revenue_linear", "revenue_time_decay")})
 
 
 def q_last_touch(spark, sf_dir):

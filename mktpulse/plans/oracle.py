@@ -37,7 +37,7 @@ pk AS (SELECT dt, channel, campaign, SUM(impressions) AS impressions, SUM(clicks
        FROM ads GROUP BY dt, channel, campaign),
 pd AS (SELECT CAST(order_ts AS DATE) AS dt, channel, campaign, COUNT(DISTINCT order_id) AS orders,
               SUM(revenue) AS revenue,
-              SUM(CAST(revenue AS DECIMAL(20,4)) - CAST(cost AS DECIMAL(20,4))) AS margin,
+              SUM(CAST(revenue AS DECIMAL(18,4)) - CAST(cost AS DECIMAL(18,4))) AS margin,
               COUNT(DISTINCT user_id) AS buyers
        FROM od GROUP BY 1, 2, 3),
 j AS (SELECT pk.dt, pk.channel, pk.campaign, CAST(pk.impressions AS BIGINT) AS impressions,
@@ -59,7 +59,7 @@ pa AS (SELECT dt, channel, campaign, SUM(impressions) AS impressions, SUM(clicks
        FROM ads GROUP BY dt, channel, campaign),
 po AS (SELECT CAST(order_ts AS DATE) AS dt, channel, campaign, COUNT(DISTINCT order_id) AS orders,
               COUNT(DISTINCT user_id) AS buyers, SUM(revenue) AS revenue,
-              SUM(CAST(cost AS DECIMAL(20,4))) AS cost
+              SUM(CAST(cost AS DECIMAL(18,4))) AS cost
        FROM od GROUP BY 1, 2, 3),
 px AS (SELECT pa.dt, pa.channel, pa.campaign, pa.impressions, pa.clicks, pa.spend,
               COALESCE(po.orders, 0) AS orders, COALESCE(po.buyers, 0) AS buyers,
@@ -137,7 +137,7 @@ SELECT channel, impressions, clicks, round_even(spend, 2) AS spend, orders, roun
 FROM kw"""
 
 KPI_CARDS_CHANNEL = _CHANNEL_KPI + f""",
-s AS (SELECT SUM(CAST(spend AS DECIMAL(18,2))) AS ts, SUM(CAST(revenue AS DECIMAL(18,2))) AS tr, AVG(CAC) AS ac FROM k)
+s AS (SELECT SUM(CAST(spend AS DECIMAL(18,4))) AS ts, SUM(CAST(revenue AS DECIMAL(18,4))) AS tr, AVG(CAC) AS ac FROM k)
 SELECT {d('ts')} AS total_spend, {d('tr')} AS total_revenue, {r('tr', 'ts', 'unguarded')} AS ROAS,
        round(ac, {P}) AS avg_CAC
 FROM s"""
@@ -160,7 +160,7 @@ FROM m_campaign_daily
 ORDER BY ROAS DESC NULLS LAST, dt, campaign"""
 
 CAMPAIGN_CARDS = f"""
-WITH s AS (SELECT SUM(CAST(spend AS DECIMAL(18,2))) AS ts, SUM(CAST(revenue AS DECIMAL(18,2))) AS tr,
+WITH s AS (SELECT SUM(CAST(spend AS DECIMAL(18,4))) AS ts, SUM(CAST(revenue AS DECIMAL(18,4))) AS tr,
                   SUM(orders) AS tn FROM m_campaign_daily)
 SELECT {d('ts')} AS total_spend, {d('tr')} AS total_revenue, CAST(tn AS BIGINT) AS total_orders,
        {r('tr', 'ts', 'unguarded')} AS ROAS
@@ -251,26 +251,12 @@ rr AS (SELECT rt.cohort_month, rt.order_month, CAST(rt.active_customers AS BIGIN
 
 RETENTION_RATES = "WITH " + _RET + "\nSELECT * FROM rr ORDER BY cohort_month, months_since_cohort"
 
-# DuckDB's dynamic PIVOT cannot see CTEs: the matrix is spelled with inline
-# subqueries over the catalog view ``orders``.
-_CO = ("(SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderdate AS DATE) AS order_dt "
-       "FROM orders WHERE o_custkey IS NOT NULL)")
-_FP = f"(SELECT user_id, MIN(order_dt) AS first_dt FROM {_CO} c0 GROUP BY user_id)"
-RETENTION_MATRIX = f"""
-SELECT cohort_month, COALESCE(COLUMNS(* EXCLUDE (cohort_month)), 0.0) FROM (
-  PIVOT (
-    SELECT rt.cohort_month,
-           CAST(datediff('month', rt.cohort_month, rt.order_month) AS INTEGER) AS months_since_cohort,
-           CAST(rt.active_customers AS DOUBLE) / CAST(cs.cohort_size AS DOUBLE) AS retention_rate
-    FROM (SELECT cohort_month, order_month, COUNT(user_id) AS active_customers
-          FROM (SELECT DISTINCT co.user_id, CAST(date_trunc('month', fp.first_dt) AS DATE) AS cohort_month,
-                       CAST(date_trunc('month', co.order_dt) AS DATE) AS order_month
-                FROM {_CO} co JOIN {_FP} fp ON co.user_id = fp.user_id) a
-          GROUP BY 1, 2) rt
-    JOIN (SELECT CAST(date_trunc('month', first_dt) AS DATE) AS cohort_month, COUNT(DISTINCT user_id) AS cohort_size
-          FROM {_FP} f2 GROUP BY 1) cs ON rt.cohort_month = cs.cohort_month
-  ) ON months_since_cohort USING first(retention_rate) GROUP BY cohort_month
-) pv ORDER BY cohort_month"""
+# R4 in long form: every cohort and offset up to the largest one
+RETENTION_MATRIX = "WITH " + _RET + """,
+grid AS (SELECT c.cohort_month, CAST(g.i AS INTEGER) AS months_since_cohort
+         FROM (SELECT DISTINCT cohort_month FROM rr) c, range((SELECT MAX(months_since_cohort) + 1 FROM rr)) AS g(i))
+SELECT grid.cohort_month, grid.months_since_cohort, COALESCE(rr.retention_rate, 0.0) AS retention_rate
+FROM grid LEFT JOIN rr ON grid.cohort_month = rr.cohort_month AND grid.months_since_cohort = rr.months_since_cohort"""
 
 RETENTION_90D = "WITH " + _cohort_base("m_cohort_orders") + f""",
 pu AS (SELECT user_id, MAX(CASE WHEN since BETWEEN 0 AND 90 THEN 1 ELSE 0 END) AS within,

@@ -29,7 +29,7 @@ BINDING_CTES = {
     "m_ads": f"""
   SELECT CAST(ts AS DATE) AS dt, {_channel()} AS channel, {_campaign()} AS campaign,
          CAST(1000 + event_id % 500 AS BIGINT) AS impressions, CAST(event_id % 50 AS BIGINT) AS clicks,
-         CAST(value AS DECIMAL(18,2)) AS spend,
+         CAST(value AS DECIMAL(18,4)) AS spend,
          CASE WHEN event_id % 20 < 3 THEN 'Control' ELSE 'Test' END AS holdout_group
   FROM events WHERE event_type IN ('view', 'click')""",
     "m_web": f"""
@@ -42,8 +42,8 @@ BINDING_CTES = {
   FROM events WHERE event_type <> 'purchase'""",
     "m_orders": f"""
   SELECT 'O' || CAST(event_id AS VARCHAR) AS order_id, 'U' || CAST(user_id AS VARCHAR) AS user_id,
-         ts AS order_ts, CAST(value AS DECIMAL(18,2)) AS revenue,
-         CAST(value AS DECIMAL(18,2)) * CAST(0.55 AS DECIMAL(2,2)) AS cost,
+         ts AS order_ts, CAST(value AS DECIMAL(18,4)) AS revenue,
+         CAST(value AS DECIMAL(18,4)) * CAST(0.55 AS DECIMAL(2,2)) AS cost,
          {_channel()} AS channel, {_campaign()} AS campaign
   FROM events WHERE event_type = 'purchase'""",
     "m_customers": """
@@ -55,7 +55,7 @@ BINDING_CTES = {
   FROM (SELECT DISTINCT user_id FROM events)""",
     "m_cohort_orders": """
   SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS user_id,
-         o_orderdate AS order_ts, CAST(o_totalprice AS DECIMAL(18,2)) AS revenue
+         o_orderdate AS order_ts, CAST(o_totalprice AS DECIMAL(18,4)) AS revenue
   FROM orders""",
 }
 BINDING_CTES["m_campaign_daily"] = """

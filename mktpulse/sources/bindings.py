@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktpulse.functions.ratios import MONEY
+from mktpulse.functions.ratios import money
 from mktpulse.session import ensure_utc
 
 # Fixed values of the binding (FIXTURES.md section 2), indexed by event_id % 4
@@ -76,15 +76,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders_from(e: DataFrame) -> DataFrame:
     e = e.filter(F.col("event_type") == "purchase")
     eid = F.col("event_id")
-    revenue = F.col("value").cast(MONEY)
     return e.select(
         F.concat(F.lit("O"), eid.cast("string")).alias("order_id"),
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"),
         F.col("ts").alias("order_ts"),
-        revenue.alias("revenue"),
-        # cost stays an unrounded decimal: rounding value*0.55 in double
-        # differs between engines at half cents.
-        (revenue * F.lit(0.55).cast("decimal(2,2)")).alias("cost"),
+        F.col("value").alias("revenue"),
+        # a decimal product: value*0.55 in double differs between engines
+        (F.col("value").cast("decimal(18,4)") * F.lit(0.55).cast("decimal(2,2)")).alias("cost"),
         _channel(eid).alias("channel"),
         _campaign(eid).alias("campaign"),
     )
@@ -103,7 +101,7 @@ def ads_daily_from(e: DataFrame) -> DataFrame:
         _campaign(eid).alias("campaign"),
         (F.lit(1000) + eid % 500).cast("bigint").alias("impressions"),
         (eid % 50).cast("bigint").alias("clicks"),
-        F.col("value").cast(MONEY).alias("spend"),
+        F.col("value").alias("spend"),
         F.when(eid % 20 < 3, F.lit("Control")).otherwise(F.lit("Test")).alias("holdout_group"),
     )
 
@@ -141,9 +139,9 @@ def campaign_daily_from(e: DataFrame) -> DataFrame:
     """The pre-aggregated campaign file: ads and orders by (dt, campaign), inner-joined."""
     a = (ads_daily_from(e).groupBy("dt", "campaign")
          .agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"),
-              F.sum("spend").alias("spend")))
+              F.sum(money("spend")).alias("spend")))
     o = (orders_from(e).groupBy(F.to_date("order_ts").alias("dt"), "campaign")
-         .agg(F.count("*").alias("orders"), F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost")))
+         .agg(F.count("*").alias("orders"), F.sum(money("revenue")).alias("revenue"), F.sum(money("cost")).alias("cost")))
     return a.join(o, ["dt", "campaign"], "inner").select(
         "dt", "campaign", "impressions", "clicks",
         F.col("spend").cast("double").alias("spend"), "orders",
@@ -157,7 +155,7 @@ def tpch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("order_id"),
         F.col("o_custkey").cast("string").alias("user_id"),
         F.col("o_orderdate").cast("timestamp").alias("order_ts"),
-        F.col("o_totalprice").cast(MONEY).alias("revenue"),
+        F.col("o_totalprice").alias("revenue"),
     )
 
 

@@ -82,6 +82,12 @@ def test_retention(cohort_orders):
     assert all(v["retention_rate"] == 1.0 for (c, m), v in r.items() if m == 0)
     m = {x["cohort_month"]: x for x in rows(growth.retention_matrix(growth.retention_rates(cohort_orders)))}
     assert m[d("2024-02-01")]["0"] == 1.0 and m[d("2024-02-01")]["1"] == 0.0
+    cells = {(x["cohort_month"], x["months_since_cohort"]): x["retention_rate"]
+             for x in rows(growth.retention_cells(growth.retention_rates(cohort_orders)))}
+    assert cells == {(c, int(i)): x[i] for c, x in m.items() for i in x if i != "cohort_month" for i in [i]} | {
+        k: v for k, v in cells.items() if str(k[1]) not in m[k[0]]} and all(
+        v == 0.0 for k, v in cells.items() if str(k[1]) not in m[k[0]])
+    assert {i for _, i in cells} == set(range(max(i for _, i in cells) + 1))
     r90 = rows(growth.retention_90d(cohort_orders))[0]
     assert r90["users"] == 3 and r90["retention_rate"] == 1.0  # always 1, as in the reference
     assert r90["repeat_users"] == 1  # only "a" reorders within 1..90 days

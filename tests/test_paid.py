@@ -99,3 +99,37 @@ def test_campaign_file_kpis(spark):
     assert ranked[2]["ROAS"] is None
     c = rows(paid.campaign_cards(cf))[0]
     assert c["total_orders"] == 470 and c["ROAS"] == 1420000.0 / 8100.0
+
+
+def test_money_below_a_cent(spark):
+    """Sums keep what a row has below a cent: 1,000 rows of 0.004 are 4, not 0."""
+    from mktpulse.operators import growth, incrementality
+
+    ads = spark.range(1000).selectExpr("date'2024-01-01' AS dt", "'Meta' AS channel", "'W' AS campaign", "1L AS impressions",
+                                       "1L AS clicks", "0.004D AS spend", "'Test' AS holdout_group")
+    od = spark.range(1000).selectExpr("concat('o', id) AS order_id", "'u1' AS user_id", "timestamp'2024-01-01 10:00:00' AS order_ts",
+                                      "0.004D AS revenue", "0.001D AS cost", "'Meta' AS channel", "'W' AS campaign")
+    p = rows(paid.paid_perf_daily(ads, od))[0]
+    assert (p["spend"], p["revenue"], p["margin"], p["ROAS"]) == (4.0, 4.0, 3.0, 1.0)
+    z = rows(paid.paid_daily(ads, od))[0]
+    assert (z["spend"], z["revenue"], z["cost"]) == (4.0, 4.0, 1.0)
+    k = rows(paid.channel_kpi(ads, od))[0]
+    assert (k["spend"], k["revenue"]) == (4.0, 4.0)
+    assert rows(paid.kpi_cards_channel(paid.channel_kpi(ads, od)))[0]["total_revenue"] == 4.0
+    cf = spark.createDataFrame([(0.004, 0.004, 1)] * 1000, "spend double, revenue double, orders int")
+    assert rows(paid.campaign_cards(cf))[0]["total_spend"] == 4.0
+    assert rows(growth.cac_daily(ads, od, "2024-01-01", "2024-01-31"))[0]["spend"] == 4.0
+    assert rows(growth.ltv_by_cohort(od))[0]["revenue_lookback"] == 4.0
+    ex = spark.sql("SELECT 'u1' AS user_id, 'W' AS campaign, 'Test' AS `group`, timestamp'2024-01-01 00:00:00' AS exposure_ts")
+    assert rows(incrementality.arm_rollup(incrementality.exposed_users(ex, od)))[0]["revenue"] == 4.0
+    h = rows(incrementality.holdout_detail(ads, od))
+    assert sum(r["spend"] for r in h) == 4.0 and sum(r["revenue"] for r in h) == pytest.approx(4.0)
+
+
+def test_sums_of_nothing_but_nulls_are_zero_under_the_zero_policy(spark):
+    ads = spark.sql("SELECT date'2024-01-01' AS dt, 'Meta' AS channel, 'W' AS campaign, CAST(NULL AS BIGINT) AS impressions, "
+                    "CAST(NULL AS BIGINT) AS clicks, CAST(NULL AS DOUBLE) AS spend")
+    od = spark.createDataFrame([], "order_id string, user_id string, order_ts timestamp, revenue double, cost double, "
+                                   "channel string, campaign string")
+    z = rows(paid.paid_daily(ads, od))[0]
+    assert (z["impressions"], z["clicks"], z["spend"], z["CTR"], z["ROAS"]) == (0, 0, 0.0, 0.0, 0.0)
