@@ -27,14 +27,21 @@ def guarded_allocation(channel_summary: DataFrame, total_budget: float = DEFAULT
     may leave the bounds again, as in the reference -- then times the budget."""
     if not 0 <= min_share <= max_share:
         raise ValueError("need 0 <= min_share <= max_share")
-    sum_roas = channel_summary.agg(F.sum("ROAS")).scalar()
-    n = channel_summary.agg(F.count(F.lit(1))).scalar()
-    raw = F.when(sum_roas == 0, F.lit(1.0) / n).otherwise(F.col("ROAS") / sum_roas)
-    clipped = channel_summary.withColumn("_clip", F.least(F.greatest(raw, F.lit(min_share)), F.lit(max_share)))
-    denom = clipped.agg(F.sum("_clip")).scalar()
-    share = F.col("_clip") / denom
-    return (clipped.withColumns({"rec_share": share, "rec_budget": share * F.lit(float(total_budget))})
-                   .drop("_clip"))
+    # one scalar holds all that a share needs: the ROAS of every channel (a dimension's few values), their sum and
+    # count; the clipped sum is folded from the same array, so nothing is derived twice
+    t = channel_summary.agg(F.struct(F.sum("ROAS").alias("s"), F.count(F.lit(1)).alias("n"),
+                                     F.collect_list("ROAS").alias("all")).alias("t")).scalar()
+    t = channel_summary.withColumn("_t", t)
+
+    def clip(roas):
+        raw = F.when(F.col("_t.s") == 0, F.lit(1.0) / F.col("_t.n")).otherwise(roas / F.col("_t.s"))
+        return F.least(F.greatest(raw, F.lit(min_share)), F.lit(max_share))
+
+    # channels without a ROAS are left out of the list, yet their NULL share is clipped like any other
+    missing = (F.col("_t.n") - F.size("_t.all")) * clip(F.lit(None).cast("double"))
+    denom = F.aggregate(F.array_sort("_t.all"), F.lit(0.0), lambda a, x: a + clip(x)) + F.coalesce(missing, F.lit(0.0))
+    share = clip(F.col("ROAS")) / denom
+    return t.withColumns({"rec_share": share, "rec_budget": share * F.lit(float(total_budget))}).drop("_t")
 
 
 def allocation_table(allocation: DataFrame) -> DataFrame:

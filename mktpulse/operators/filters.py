@@ -61,13 +61,14 @@ def filter_options(ads: DataFrame, orders: DataFrame, web: DataFrame) -> DataFra
     """sorted distinct option lists, long form ``(kind, value)``.
 
     channels over ads and orders; campaigns over ads, orders and web events.
-    Each union is de-duplicated after a map-side partial distinct.
+    Each table is scanned once; one distinct, combined map-side, serves both lists.
     """
-    ch = ads.select("channel").union(orders.select("channel")).distinct()
-    ca = ads.select("campaign").union(orders.select("campaign")).union(web.select("campaign")).distinct()
-    return (ch.select(F.lit("channel").alias("kind"), F.col("channel").alias("value"))
-            .union(ca.select(F.lit("campaign").alias("kind"), F.col("campaign").alias("value")))
-            .orderBy("kind", F.asc_nulls_last("value")))
+    def kinds(df, *cols):
+        return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in cols]))
+                         .alias("o")).select("o.kind", "o.value")
+
+    return (kinds(ads, "channel", "campaign").union(kinds(orders, "channel", "campaign")).union(kinds(web, "campaign"))
+            .distinct().orderBy("kind", F.asc_nulls_last("value")))
 
 
 def date_bounds(ads: DataFrame, orders: DataFrame, web: DataFrame) -> DataFrame:

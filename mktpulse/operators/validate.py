@@ -24,23 +24,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mktpulse.contracts import CONTRACTS, FUNNEL_STAGES, HOLDOUT_GROUPS
+from mktpulse.contracts import FUNNEL_STAGES, HOLDOUT_GROUPS, NA_TOKENS, OPTIONAL_COLUMNS, parsed_columns, schema_of
+from mktpulse.sources.readers import RAGGED
 
 REPORT_COLUMNS = ["table", "check", "column", "violations"]
 
 
+def _cell(col: Column) -> Column:
+    """The cell's text, NULL for the tokens that mean a missing value."""
+    return F.when(~F.trim(col.cast("string")).isin(NA_TOKENS), col)
+
+
+def _finite(col: Column) -> Column:
+    x = col.try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
 def _parse(col: Column, kind: str, formats: tuple[str, ...] = ()) -> Column:
-    """Typed value or NULL. Dates and timestamps are ISO by default (D26);
-    ``formats`` adds datetime patterns tried in order, e.g. ``("yyyy/MM/dd",)``."""
+    """Typed value or NULL. Dates and timestamps are ISO by default (D26), a date may have a time part;
+    ``formats`` adds datetime patterns tried in order, e.g. ``("yyyy/MM/dd",)``. NaN and infinities are no numbers."""
+    col = _cell(col)
     extra = [F.try_to_timestamp(col, F.lit(f)) for f in formats]
-    if kind == "date":
-        return F.to_date(F.coalesce(F.try_to_timestamp(col, F.lit("yyyy-MM-dd")), *extra))
-    if kind == "datetime":
-        return F.coalesce(col.try_cast("timestamp"), *extra) if extra else col.try_cast("timestamp")
+    if kind in ("date", "datetime"):
+        # the cast alone would take a bare time for today's
+        iso = F.when(col.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), col.try_cast("timestamp"))
+        at = F.coalesce(iso, *extra) if extra else iso
+        return F.to_date(at) if kind == "date" else at
     if kind == "int":
-        return col.try_cast("double").try_cast("bigint")
+        return _finite(col).try_cast("bigint")
     if kind == "float":
-        return col.try_cast("double")
+        return _finite(col)
     return col
 
 
@@ -50,26 +63,27 @@ def _bad(col: Column, kind: str, mode: str, formats: tuple[str, ...] = ()) -> Co
         return parsed.isNull()
     if mode == "numeric" and kind == "date":
         return parsed.isNull()
-    return col.isNotNull() & parsed.isNull()
+    return _cell(col).isNotNull() & parsed.isNull()
 
 
-def missing_columns(df: DataFrame, table: str) -> list[str]:
+def missing_columns(df: DataFrame, table: str, dashboard: str | None = None) -> list[str]:
     """V1."""
-    return [c for c in CONTRACTS[table]["cols"] if c not in df.columns]
+    return [c for c in schema_of(table, dashboard).names if c not in df.columns]
 
 
-def unexpected_columns(df: DataFrame, table: str, allow_optional: bool = True) -> list[str]:
+def unexpected_columns(df: DataFrame, table: str, allow_optional: bool = True, dashboard: str | None = None) -> list[str]:
     """V2: columns outside the contract. The growth dashboard expects the
     optional columns (``geo``, ``holdout_group``); the main dashboard's
     stricter check (``allow_optional=False``) rejects them too."""
-    c = CONTRACTS[table]
-    ok = c["cols"] + (c["optional"] if allow_optional else [])
+    ok = [*schema_of(table, dashboard).names, RAGGED, *(OPTIONAL_COLUMNS.get(table, []) if allow_optional else [])]
     return [x for x in df.columns if x not in ok]
 
 
-def row_checks(table: str, mode: str = "strict", date_formats: tuple[str, ...] = ()) -> list[tuple[str, str, Column]]:
-    """(check, column, predicate-of-a-bad-row) for every row-level check."""
-    types = CONTRACTS[table]["types"]
+def row_checks(table: str, mode: str = "strict", date_formats: tuple[str, ...] = (), dashboard: str | None = None,
+               ragged: bool = False) -> list[tuple[str, str, Column]]:
+    """(check, column, predicate-of-a-bad-row) for every row-level check. ``ragged``: the reader tells rows with
+    too few or too many cells apart."""
+    types = parsed_columns(table, dashboard)
     checks = [(f"parse_{t}", c, _bad(F.col(c), t, mode, date_formats)) for c, t in types.items()
               if mode != "numeric" or t in ("date", "int", "float")]
     if table == "web_events" and mode == "strict":
@@ -78,25 +92,27 @@ def row_checks(table: str, mode: str = "strict", date_formats: tuple[str, ...] =
     if table == "exposure_holdout":
         g = F.lower(F.col("group"))
         checks.append(("domain", "group", g.isNull() | ~g.isin(HOLDOUT_GROUPS)))
+    if ragged:
+        checks.append(("ragged_row", None, F.col(RAGGED).isNotNull()))
     return checks
 
 
 def check_table(df: DataFrame, table: str, mode: str = "strict", allow_extra: bool = False,
-                date_formats: tuple[str, ...] = (), allow_optional: bool = True) -> DataFrame:
+                date_formats: tuple[str, ...] = (), allow_optional: bool = True, dashboard: str | None = None) -> DataFrame:
     """V1-V9 for one table: one report row per check, in one scan."""
     spark = df.sparkSession
-    meta = [(table, "missing_column", c, None) for c in missing_columns(df, table)]
+    meta = [(table, "missing_column", c, None) for c in missing_columns(df, table, dashboard)]
     if not allow_extra:
-        meta += [(table, "unexpected_column", c, None) for c in unexpected_columns(df, table, allow_optional)]
+        meta += [(table, "unexpected_column", c, None) for c in unexpected_columns(df, table, allow_optional, dashboard)]
     schema = "table string, check string, column string, violations bigint"
     if meta:
         # the reference stops at the column checks; so do we
         return spark.createDataFrame(meta, schema)
-    checks = row_checks(table, mode, date_formats)
+    checks = row_checks(table, mode, date_formats, dashboard, RAGGED in df.columns)
     aggs = [F.count_if(p).alias(f"c{i}") for i, (_, _, p) in enumerate(checks)]
     aggs.append(F.count(F.lit(1)).alias("rows"))
     s = df.agg(*aggs)
-    cols = [F.struct(F.lit(chk).alias("check"), F.lit(col).alias("column"), F.col(f"c{i}").alias("violations"))
+    cols = [F.struct(F.lit(chk).alias("check"), F.lit(col).cast("string").alias("column"), F.col(f"c{i}").alias("violations"))
             for i, (chk, col, _) in enumerate(checks)]
     # V8: an empty table is a violation of its own
     cols.append(F.struct(F.lit("non_empty").alias("check"), F.lit(None).cast("string").alias("column"),
@@ -106,9 +122,10 @@ def check_table(df: DataFrame, table: str, mode: str = "strict", allow_extra: bo
 
 
 def validation_report(tables: dict[str, DataFrame | None], mode: str = "strict",
-                      allow_extra: bool = False, date_formats: tuple[str, ...] = ()) -> DataFrame:
+                      allow_extra: bool = False, date_formats: tuple[str, ...] = (), allow_optional: bool = True,
+                      dashboard: str | None = None) -> DataFrame:
     """Every table's checks in one report; absent tables are skipped."""
-    parts = [check_table(df, name, mode, allow_extra, date_formats) for name, df in tables.items()
+    parts = [check_table(df, name, mode, allow_extra, date_formats, allow_optional, dashboard) for name, df in tables.items()
              if df is not None]
     out = parts[0]
     for p in parts[1:]:
@@ -131,16 +148,17 @@ def unknown_events(web: DataFrame) -> DataFrame:
             .distinct().orderBy("event_name"))
 
 
-def typed(df: DataFrame, table: str, mode: str = "strict", date_formats: tuple[str, ...] = ()) -> DataFrame:
-    """Parse the contract columns and add ``_errors``: the checks a row fails."""
-    checks = row_checks(table, mode, date_formats)
-    errs = F.filter(F.array(*[F.when(p, F.lit(f"{chk}:{col}")) for chk, col, p in checks]),
+def typed(df: DataFrame, table: str, mode: str = "strict", date_formats: tuple[str, ...] = (),
+          dashboard: str | None = None) -> DataFrame:
+    """Parse the contract columns and add ``_errors``: the checks a row fails. Text cells that mean a missing
+    value become NULL."""
+    checks = row_checks(table, mode, date_formats, dashboard, RAGGED in df.columns)
+    errs = F.filter(F.array(*[F.when(p, F.lit(f"{chk}:{col}" if col else chk)) for chk, col, p in checks]),
                     lambda x: x.isNotNull())
-    types = CONTRACTS[table]["types"]
-    out = df.withColumn("_errors", errs)
-    for c, t in types.items():
-        out = out.withColumn(c, _parse(F.col(c), t, date_formats))
-    return out
+    kinds = parsed_columns(table, dashboard)
+    text = [c for c in schema_of(table, dashboard).names if c not in kinds]
+    return df.withColumn("_errors", errs).withColumns(
+        {**{c: _parse(F.col(c), t, date_formats) for c, t in kinds.items()}, **{c: _cell(F.col(c)) for c in text}}).drop(RAGGED)
 
 
 def split_clean(typed_df: DataFrame) -> tuple[DataFrame, DataFrame]:

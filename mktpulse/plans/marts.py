@@ -23,11 +23,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktpulse.contracts import (DEFAULT_EXPOSURE_LOOKBACK_DAYS, DEFAULT_LTV_LOOKBACK_DAYS, DEFAULT_TOP_N,
+from mktpulse.contracts import (DASHBOARDS, DEFAULT_EXPOSURE_LOOKBACK_DAYS, DEFAULT_LTV_LOOKBACK_DAYS, DEFAULT_TOP_N,
                                 DEFAULT_TOTAL_BUDGET)
 from mktpulse.operators import attribution, budget, filters, funnel, growth, incrementality, paid, validate
 from mktpulse.session import materialize_small
-from mktpulse.sources.readers import MANDATORY, OPTIONAL, read_csv_raw, register_views
+from mktpulse.sources.readers import read_csv_raw, register_views
 
 PARTITION_BY = {
     "mart_paid_perf_daily": ["dt"],
@@ -52,7 +52,6 @@ class MartParams:
     end: str
     ltv_lookback_days: int = DEFAULT_LTV_LOOKBACK_DAYS
     exposure_lookback_days: int = DEFAULT_EXPOSURE_LOOKBACK_DAYS
-    attribution_partitions: int | None = None
 
     def __post_init__(self):
         if not 30 <= self.ltv_lookback_days <= 365:
@@ -72,7 +71,7 @@ def build_marts(ads: DataFrame, web: DataFrame, orders: DataFrame, customers: Da
         "mart_cac_daily": growth.cac_daily(ad, orders, p.start, p.end),
         "mart_ltv_cohort": growth.ltv_by_cohort(orders, p.ltv_lookback_days),
         "mart_retention_cohort": growth.retention_rates(orders),
-        "mart_attribution_summary": attribution.attribution_models(we, od, partitions=p.attribution_partitions),
+        "mart_attribution_summary": attribution.attribution_models(we, od),
     }
     if exposure is not None:
         marts["mart_incrementality_uplift"] = incrementality.incrementality_uplift(
@@ -81,17 +80,23 @@ def build_marts(ads: DataFrame, web: DataFrame, orders: DataFrame, customers: Da
 
 
 def write_marts(marts: dict[str, DataFrame | None], path: str | None = None, fmt: str = "parquet",
-                as_tables: bool = False) -> list[str]:
-    """Overwrite each mart once. Daily marts are clustered by ``dt``
-    before the partitioned write, so each day lands in one file instead of
-    one file per task."""
+                as_tables: bool = False, files_per_day: int = 1) -> list[str]:
+    """Overwrite each mart once. Daily marts are clustered by ``dt`` and
+    ``files_per_day`` hash buckets before the partitioned write: a day lands
+    in so many files, written by as many tasks."""
     written = []
     for name, df in marts.items():
         if df is None:
             continue
         parts = PARTITION_BY.get(name, [])
         if parts:
-            df = df.repartition(*parts)
+            bucket = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day))
+            df = df.withColumn("_bucket", bucket)
+            if files_per_day > 1:  # a stated number of partitions: small days are not merged into one task again
+                n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                df = df.repartition(n, *parts, "_bucket").drop("_bucket")
+            else:
+                df = df.repartition(*parts).drop("_bucket")
         w = df.write.mode("overwrite").format(fmt)
         if parts:
             w = w.partitionBy(*parts)
@@ -128,30 +133,51 @@ class ValidationFailed(ValueError):
         self.failed, self.report = failed, report
 
 
-def load_uploads(spark: SparkSession, paths: dict[str, str], mode: str = "strict",
-                 date_formats: tuple[str, ...] = ()) -> dict:
+def load_uploads(spark: SparkSession, paths: dict[str, str], dashboard: str = "main", mode: str | None = None,
+                 date_formats: tuple[str, ...] = (), multi_line: bool = False) -> dict:
     """S1 + V10 + S3/S6: read the uploaded CSVs, validate every table in one
     job, register the typed tables as views.
 
-    As in the reference, any failing mandatory table stops the run (raises
-    ``ValidationFailed`` carrying the full report); an optional table that
-    fails (the exposure file) is skipped and the rest proceed. Returns
-    ``{"report", "tables", "skipped"}``. Only the per-table gate (one row per
-    table) reaches the driver.
+    ``dashboard``: ``"main"`` (four mandatory tables, strict parse, no other
+    columns), ``"growth"`` (three tables, coerce-then-reject, other columns
+    kept) or ``"campaign"`` (the campaign file). As in the reference, any
+    failing mandatory table stops the run (raises ``ValidationFailed``
+    carrying the full report); an optional table that fails (the exposure
+    file) is skipped and the rest proceed. Returns ``{"report", "tables",
+    "skipped"}``. Only the per-table gate (one row per table) reaches the
+    driver.
     """
-    raw = {name: read_csv_raw(spark, path) for name, path in paths.items()}
-    report = validate.validation_report(raw, mode=mode, date_formats=date_formats)
+    d = DASHBOARDS[dashboard]
+    mode = mode or d.mode
+    known = [t for t in (*d.mandatory, *d.optional) if t in paths]
+    raw = {name: read_csv_raw(spark, paths[name], multi_line, ragged=True) for name in known}
+    if not raw:
+        raise ValueError(f"none of the tables of the {dashboard} dashboard is given")
+    report = validate.validation_report(raw, mode, d.allow_extra, date_formats, d.allow_optional, dashboard)
     ok = {r["table"]: r["ok"] for r in validate.gate(report).collect()}
-    failed = [t for t in MANDATORY if not ok.get(t, False)]
+    failed = [t for t in d.mandatory if not ok.get(t, False)]
     if failed:
         raise ValidationFailed(failed, report)
-    skipped = [t for t in OPTIONAL if t in raw and not ok.get(t, False)]
-    tables = {t: validate.split_clean(validate.typed(df, t, mode, date_formats))[0]
-              for t, df in raw.items() if t not in skipped}
-    register_views(spark, {**{t: None for t in OPTIONAL}, **tables})
+    skipped = [t for t in d.optional if t in raw and not ok.get(t, False)]
+    tables = {t: validate.typed(df, t, mode, date_formats, dashboard).drop("_errors") for t, df in raw.items() if t not in skipped}
+    if dashboard == "campaign":
+        tables["campaign_daily"].createOrReplaceTempView("campaign_daily")
+    else:
+        register_views(spark, {**{t: None for t in d.optional}, **tables}, list(d.mandatory))
     return {"report": report, "tables": tables, "skipped": skipped}
 
 
+class NoRows(ValueError):
+    """The filters leave a fact table empty."""
+
+
+def require_rows(**frames: DataFrame) -> None:
+    """V8 after filters: stop when any of the named frames is empty."""
+    empty = [name for name, df in frames.items() if df.isEmpty()]
+    if empty:
+        raise NoRows(f"no rows after filters: {', '.join(empty)}")
+
+
 # ------------------------------------------------------------------ other dashboards
 @dataclass
 class GrowthParams:
@@ -175,8 +201,9 @@ def growth_dashboard(ads: DataFrame, orders: DataFrame, web: DataFrame, p: Growt
                      persist: bool = True) -> dict[str, DataFrame]:
     """The growth dashboard's frames. The daily paid table feeds four views,
     so it is persisted (memory and disk; a lost block is recomputed from
-    lineage)."""
+    lineage). Filters that leave no ads or no orders stop it (``NoRows``)."""
     a, o, w = filters.apply_dashboard_filters(ads, orders, web, p.start, p.end, p.channels, p.campaigns)
+    require_rows(ads_daily=a, orders=o)
     exact = paid.paid_daily_exact(a, o)
     if persist:
         exact = exact.persist(StorageLevel.MEMORY_AND_DISK)
@@ -185,7 +212,6 @@ def growth_dashboard(ads: DataFrame, orders: DataFrame, web: DataFrame, p: Growt
     ltv = growth.ltv_horizon(o, p.horizon_days)
     detail = incrementality.holdout_detail(a, o)
     return {
-        "non_empty": o.limit(1).select(F.lit(True).alias("has_orders")),  # V8 after filters
         "kpi_cards": paid.kpi_cards(exact),
         "channel_summary": ch,
         "allocation": budget.allocation_table(budget.guarded_allocation(ch, p.total_budget)),
@@ -218,14 +244,18 @@ def channel_dashboard(ads: DataFrame, orders: DataFrame, start: str, end: str) -
     }
 
 
-def campaign_file_dashboard(campaign_file_raw: DataFrame) -> dict[str, DataFrame]:
+def campaign_file_dashboard(campaign_file_raw: DataFrame, quarantine: bool = False) -> dict[str, DataFrame]:
     """Validate (missing columns, empty file, bad dates, non-numeric values),
-    then KPIs on the clean rows; the report says whether anything failed."""
+    then KPIs. Any violation stops, as in the reference; ``quarantine=True``
+    sets bad rows aside instead and reports on the others."""
     report = validate.check_table(campaign_file_raw, "campaign_daily", mode="numeric", allow_extra=True)
-    clean, quarantine = validate.split_clean(validate.typed(campaign_file_raw, "campaign_daily", "numeric"))
+    bad = [r["check"] for r in report.collect() if r["violations"] is None or r["violations"]]  # a row per check
+    if bad and (not quarantine or any(c in ("missing_column", "non_empty") for c in bad)):
+        raise ValidationFailed(["campaign_daily"], report)
+    clean, aside = validate.split_clean(validate.typed(campaign_file_raw, "campaign_daily", "numeric"))
     return {
         "report": report,
-        "quarantine": quarantine,
+        "quarantine": aside,
         "ranking": paid.campaign_ranking(clean),
         "cards": paid.campaign_cards(clean),
     }
