@@ -78,8 +78,9 @@ def lookup_hot(facts: DataFrame, lookup: DataFrame, key: str, total: int, share:
     the key's fact rows and ``total`` all of them.
 
     Keys with more than ``total / share`` rows are hot. Their counts sum to at most ``total``, so fewer
-    than ``share`` keys are hot: their rows are broadcast. Hot facts are dealt at random in the shuffle
-    join that serves the other keys, so no task gets a hot key's rows.
+    than ``share`` keys are hot: their rows are broadcast. Hot facts are dealt evenly in the shuffle
+    join that serves the other keys, so no task gets a hot key's rows. (By a hash of the row, so that a task that
+    is run again deals them alike.)
     """
     hot_at = total // share
     cols = [c for c in lookup.columns if c != key]
@@ -88,7 +89,8 @@ def lookup_hot(facts: DataFrame, lookup: DataFrame, key: str, total: int, share:
     cold = lookup.where(F.col("n") <= hot_at).select(
         F.col(key).alias("_cold_key"), F.lit(0).alias("_deal"), F.struct(*cols).alias("_cold"))
     tagged = facts.join(F.broadcast(hot), key, "left")
-    tagged = tagged.withColumn("_deal", F.when(F.col("_hot").isNotNull(), 1 + F.floor(F.rand(7) * 1_000_000)).otherwise(0).cast("int"))
+    tagged = tagged.withColumn("_deal", F.when(
+        F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*[facts[c] for c in facts.columns]), F.lit(1 << 20))).otherwise(0).cast("int"))
     joined = tagged.join(cold, (F.col(key) == F.col("_cold_key")) & (tagged["_deal"] == cold["_deal"]), "left")
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
     return joined.select(*[facts[c] for c in facts.columns], *[found[c].alias(c) for c in cols])
