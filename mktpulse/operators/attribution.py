@@ -16,572 +16,233 @@ instant, since ``event_ts <= order_ts`` counts):
   where ``n(o)`` is the running touch count;
 * time decay  -- touch i receives ``sum_o revenue_o * w_io / sum_j w_jo`` with
   ``w = exp(-k * minutes before order)``. Shares do not change if every
-  weight is divided by the weight of the order's latest touch (D9), so the
-  running sum ``E`` is kept relative to the latest touch (always >= 1, no
-  underflow) and the suffix sums are accumulated in log space.
-
-So the operator is a scan:
-
-1. The timeline (touches and orders of non-NULL users) is range-partitioned
-   by ``(hash(user), user, time, kind, source, campaign, order)`` and sorted inside each
-   partition, then checkpointed to the cluster's checkpoint folder. Range
-   partitioning samples the keys, so a user holding a third of all rows is
-   spread over many partitions by time instead of landing in one task.
-2. A forward pass summarises, per partition, the state of its last user run;
-   a backward pass summarises the order terms of its first user run. Folding
-   those summaries (one row per partition) yields the carry-in state of every
-   user that crosses a partition boundary.
-3. The final pass scans each partition once more with its carries and emits
-   per-(source, campaign) credit rows, which Spark sums.
-
-Memory per task is one user run within one partition (the range partitioner
-bounds it by the partition size); the Python work is vectorised per run.
+  weight is divided by the weight of the order's latest touch (D9).
+
+The timeline is cut into segments (user, hour), so a user with a third of all
+rows is spread over as many tasks as it has active hours:
+
+1. every segment's touches are summed up (count, decayed weight, first and
+   last touch): a plain aggregate, combined map-side;
+2. windows over a user's segments -- one row per active hour, not per event --
+   carry the totals of earlier segments into each segment;
+3. within a segment, windows give each order its touch count and weight sum
+   and each touch the credits of the segment's later orders; the segment
+   leaves one row per (source, campaign) and the sums of its orders;
+4. windows over the segments carry the orders' sums back to earlier touches.
+
+Exponents never leave the range of a double: weights are kept relative to the
+start of a reference block of time, chosen so that its length decays by
+``exp(-250)``. What lies two or more blocks before a user's latest touch has a
+share below 1e-100 of that touch's and is left out; an order whose latest
+touch is older than that is referred to the block of that touch.
+
+No Python, no driver state, no checkpoint: Catalyst plans the whole operator.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mktpulse.contracts import DECAY_PER_MINUTE
 from mktpulse.functions.ratios import money
-from mktpulse.operators.joins import lookup_join
-from mktpulse.session import ensure_checkpoint_dir
-
-# Sort key of the timeline. The 64-bit hash of the user leads, so the sort's
-# prefix comparator decides on a long; the user id follows, so two users
-# with one hash still form separate contiguous runs; revenue last, so exact
-# duplicate order rows are neighbours.
-_TIMELINE_KEYS = ["h", "user_id", "t_us", "kind", "src", "camp", "oid", "cents"]
-_NEG_INF = -math.inf
-
-CREDIT_SCHEMA = T.StructType([
-    T.StructField("src", T.StringType()), T.StructField("camp", T.StringType()),
-    T.StructField("oid", T.StringType()),
-    T.StructField("lc_cents", T.LongType()), T.StructField("fc_cents", T.LongType()),
-    T.StructField("lin", T.DoubleType()), T.StructField("dec", T.DoubleType()),
-    T.StructField("credited", T.LongType()),
-])
-FWD_SCHEMA = T.StructType([
-    T.StructField("pid", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("has_touch", T.BooleanType()),
-    T.StructField("last_sec", T.LongType()), T.StructField("last_src", T.StringType()),
-    T.StructField("last_camp", T.StringType()), T.StructField("E", T.DoubleType()),
-    T.StructField("first_src", T.StringType()), T.StructField("first_camp", T.StringType()),
-])
-BWD_SCHEMA = T.StructType([
-    T.StructField("pid", T.IntegerType()), T.StructField("lin", T.DoubleType()), T.StructField("lpos", T.DoubleType()),
-    T.StructField("lneg", T.DoubleType()), T.StructField("orders_after", T.LongType()),
-])
-
-
-# ---------------------------------------------------------------- timeline
-def timeline(touches: DataFrame, orders: DataFrame) -> DataFrame:
-    """Touches (kind 0) and orders (kind 1) of non-NULL users as one frame."""
+from mktpulse.operators.joins import DEFAULT_HOT, lookup_join
+
+SEGMENT_SECONDS = 3600
+#: A reference block decays by exp(-_BLOCK_DECAY); without decay all time is one block (seconds).
+_BLOCK_DECAY, _ALL_TIME = 250.0, 1 << 40
+
+
+def timeline(touches: DataFrame, orders: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
+    """Touches (kind 0) and orders (kind 1) of non-NULL users: user_id, seg, sec, t_us, kind, src, camp, oid, rev."""
     t = touches.filter(F.col("user_id").isNotNull() & F.col("event_ts").isNotNull()).select(
-        F.xxhash64("user_id").alias("h"), "user_id", F.unix_micros(F.col("event_ts").cast("timestamp")).alias("t_us"),
-        F.lit(0).alias("kind"), F.col("source").alias("src"), F.col("campaign").alias("camp"),
-        F.lit(None).cast("string").alias("oid"),
-        F.lit(None).cast("bigint").alias("cents"))
+        "user_id", F.unix_micros(F.col("event_ts").cast("timestamp")).alias("t_us"), F.lit(0).alias("kind"),
+        F.col("source").alias("src"), F.col("campaign").alias("camp"), F.lit(None).cast("string").alias("oid"),
+        money(F.lit(None)).alias("rev"))
     o = orders.filter(F.col("user_id").isNotNull() & F.col("order_ts").isNotNull()).select(
-        F.xxhash64("user_id").alias("h"), "user_id", F.unix_micros(F.col("order_ts").cast("timestamp")).alias("t_us"),
-        F.lit(1).alias("kind"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("camp"),
-        F.col("order_id").alias("oid"),
-        (money("revenue") * 100).cast("bigint").alias("cents"))
-    return t.unionByName(o)
-
-
-TARGET_PARTITION_BYTES = 64 << 20
-
-
-def timeline_partitions(tl: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
-    """Partitions for the sorted timeline: Catalyst's size estimate of the
-    projected timeline over ``target_bytes`` (so one task's sort and its
-    Python user runs stay small), never fewer than twice the cluster's
-    default parallelism (cores can rebalance uneven partitions, without
-    hundreds of tiny Python tasks on small inputs)."""
-    spark = tl.sparkSession
-    base = 2 * int(spark.sparkContext.defaultParallelism)
-    raw = tl._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = raw if isinstance(raw, int) else int(raw.toString())  # Py4J may hand over a BigInt
-    if size >= 1 << 60:
-        # no statistics (e.g. an in-memory relation): Catalyst reports its
-        # "unknown" default; use the session's own shuffle sizing instead
-        return max(base, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(base, -(-size // target_bytes))
-
-
-def sorted_timeline(touches: DataFrame, orders: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Range-partitioned, sorted and checkpointed timeline (step 1), with the
-    partition index as column ``pid`` (the carries are keyed by it)."""
-    spark = touches.sparkSession
-    ensure_checkpoint_dir(spark)
-    tl = timeline(touches, orders)
-    n = partitions or timeline_partitions(tl)
-    keys = [F.col(c).asc_nulls_first() for c in _TIMELINE_KEYS]
-    ck = tl.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
-    return ck.withColumn("pid", F.spark_partition_id())
-
-
-# ---------------------------------------------------------------- run kernel
-class _Fwd:
-    """Forward state of one user: touches so far, latest touch, decayed sum
-    relative to the latest touch, first touch."""
-
-    __slots__ = ("n", "has", "last_sec", "last_src", "last_camp", "E", "first_src", "first_camp")
-
-    def __init__(self, n=0, has=False, last_sec=0, last_src=None, last_camp=None, E=0.0,
-                 first_src=None, first_camp=None):
-        self.n, self.has, self.last_sec, self.last_src, self.last_camp = n, has, last_sec, last_src, last_camp
-        self.E, self.first_src, self.first_camp = E, first_src, first_camp
-
-    def then(self, b: "_Fwd", k: float) -> "_Fwd":
-        if not b.has:
-            return self
-        if not self.has:
-            return b
-        E = self.E * math.exp(-k * (b.last_sec - self.last_sec) / 60.0) + b.E
-        return _Fwd(self.n + b.n, True, b.last_sec, b.last_src, b.last_camp, E, self.first_src, self.first_camp)
-
-
-class _Bwd:
-    """Order terms after a point: linear shares, log-sum-exp of the positive
-    and negative decay terms (absolute time reference), order count."""
-
-    __slots__ = ("lin", "lpos", "lneg", "cnt")
-
-    def __init__(self, lin=0.0, lpos=_NEG_INF, lneg=_NEG_INF, cnt=0):
-        self.lin, self.lpos, self.lneg, self.cnt = lin, lpos, lneg, cnt
-
-    def before(self, later: "_Bwd") -> "_Bwd":
-        return _Bwd(self.lin + later.lin, float(np.logaddexp(self.lpos, later.lpos)),
-                    float(np.logaddexp(self.lneg, later.lneg)), self.cnt + later.cnt)
-
-
-def _seconds(df: pd.DataFrame) -> np.ndarray:
-    """Whole seconds since the epoch, floored like Spark's unix_timestamp."""
-    return np.floor_divide(df["t_us"].to_numpy(dtype=np.int64), 1_000_000)
-
-
-def _merge_repeated_orders(df: pd.DataFrame) -> pd.DataFrame:
-    """Exact duplicate order rows (same user, instant, order id and revenue)
-    are one order, as the reference's per-order window makes them; they sort
-    next to each other, so comparing neighbours finds them."""
-    if len(df) < 2 or "oid" not in df.columns:  # the forward pass ignores orders
-        return df
-    kind = df["kind"].to_numpy()
-    oid = df["oid"].to_numpy(dtype=object)
-    t_us = df["t_us"].to_numpy(dtype=np.int64)
-    cents = df["cents"].to_numpy(dtype="float64", na_value=np.nan)
-    user = df["user_id"].to_numpy(dtype=object)
-    same_cents = (cents[1:] == cents[:-1]) | (np.isnan(cents[1:]) & np.isnan(cents[:-1]))
-    dup = ((kind[1:] == 1) & (kind[:-1] == 1) & (oid[1:] == oid[:-1]) & (t_us[1:] == t_us[:-1])
-           & (user[1:] == user[:-1]) & same_cents)
-    if not dup.any():
-        return df
-    keep = np.concatenate(([True], ~dup))
-    return df.loc[keep].reset_index(drop=True)
-
-
-def _scan_run(run: pd.DataFrame, fwd: _Fwd | None, bwd: _Bwd | None, k: float, want_credits: bool):
-    """Process one user's contiguous rows. Returns (forward end state,
-    backward summary of this run's orders, credit frame or None)."""
-    run = _merge_repeated_orders(run)
-    kind = run["kind"].to_numpy()
-    sec = _seconds(run)
-    src = run["src"].to_numpy(dtype=object)
-    camp = run["camp"].to_numpy(dtype=object)
-    m = len(kind)
-    is_t = kind == 0
-    fwd = fwd or _Fwd()
-    ref = int(sec[0])
-    u = k * (sec - ref).astype(np.float64) / 60.0
-    u_c = k * (fwd.last_sec - ref) / 60.0 if fwd.has else 0.0
-
-    n = fwd.n + np.cumsum(is_t)
-    li = np.maximum.accumulate(np.where(is_t, np.arange(m), -1))
-    has_last = (li >= 0) | fwd.has
-    u_last = np.where(li >= 0, u[np.maximum(li, 0)], u_c)
-    logw = np.where(is_t, u, _NEG_INF)
-    if fwd.has:
-        L = np.logaddexp.accumulate(np.concatenate(([math.log(fwd.E) + u_c], logw)))[1:]
-    else:
-        L = np.logaddexp.accumulate(logw) if m else logw
-    with np.errstate(over="ignore", invalid="ignore"):
-        E_at = np.exp(L - u_last)
-
-    # forward end state
-    t_idx = np.flatnonzero(is_t)
-    if len(t_idx):
-        j0, j1 = t_idx[0], t_idx[-1]
-        end = _Fwd(int(n[-1]), True, int(sec[j1]), src[j1], camp[j1], float(E_at[j1]),
-                   fwd.first_src if fwd.has else src[j0], fwd.first_camp if fwd.has else camp[j0])
-    else:
-        end = fwd
-
-    # orders with at least one touch at or before them
-    sel = (~is_t) & has_last
-    cents = np.nan_to_num(run["cents"].to_numpy(dtype="float64", na_value=np.nan), nan=0.0)
-    r = np.where(sel, cents / 100.0, 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        v = np.where(sel, r / np.maximum(n, 1), 0.0)
-        a = np.where(sel, r / E_at, 0.0)
-        ypos = np.where(sel & (a > 0), np.log(np.where(a > 0, a, 1.0)) - u_last, _NEG_INF)
-        yneg = np.where(sel & (a < 0), np.log(np.where(a < 0, -a, 1.0)) - u_last, _NEG_INF)
-    shift = k * ref / 60.0  # relative -> absolute log reference
-    summary = _Bwd(float(v.sum()),
-                   float(np.logaddexp.reduce(ypos)) - shift if m else _NEG_INF,
-                   float(np.logaddexp.reduce(yneg)) - shift if m else _NEG_INF,
-                   int(sel.sum()))
-    if not want_credits:
-        return end, summary, None
-
-    bwd = bwd or _Bwd()
-    lin_after = np.cumsum(v[::-1])[::-1] + bwd.lin
-    cnt_after = np.cumsum(sel[::-1].astype(np.int64))[::-1] + bwd.cnt
-    spos = np.logaddexp(np.logaddexp.accumulate(ypos[::-1])[::-1], bwd.lpos + shift)
-    sneg = np.logaddexp(np.logaddexp.accumulate(yneg[::-1])[::-1], bwd.lneg + shift)
-    with np.errstate(over="ignore", invalid="ignore"):
-        dec = np.exp(spos + u) - np.exp(sneg + u)
-
-    parts = []
-    if len(t_idx):
-        parts.append(pd.DataFrame({
-            "src": src[t_idx], "camp": camp[t_idx], "oid": None, "lc_cents": 0, "fc_cents": 0,
-            "lin": lin_after[t_idx], "dec": dec[t_idx], "credited": (cnt_after[t_idx] > 0).astype(np.int64)}))
-    o_idx = np.flatnonzero(sel)
-    if len(o_idx):
-        lsrc = np.where(li[o_idx] >= 0, src[np.maximum(li[o_idx], 0)], fwd.last_src)
-        lcamp = np.where(li[o_idx] >= 0, camp[np.maximum(li[o_idx], 0)], fwd.last_camp)
-        oc = cents[o_idx].astype(np.int64)
-        parts.append(pd.DataFrame({
-            "src": lsrc, "camp": lcamp, "oid": run["oid"].to_numpy(dtype=object)[o_idx], "lc_cents": oc,
-            "fc_cents": 0, "lin": 0.0, "dec": 0.0, "credited": 0}))
-        fsrc, fcamp = (fwd.first_src, fwd.first_camp) if fwd.has else (src[t_idx[0]], camp[t_idx[0]])
-        parts.append(pd.DataFrame({
-            "src": [fsrc], "camp": [fcamp], "oid": [None], "lc_cents": [0], "fc_cents": [int(oc.sum())],
-            "lin": [0.0], "dec": [0.0], "credited": [0]}))
-    return end, summary, (pd.concat(parts, ignore_index=True) if parts else None)
-
-
-# Within one run the decay exponent k * minutes since the run's first row must
-# stay below this for the direct (non-log) path: exp(600) ~ 1e260.
-_SPAN_LIMIT = 600.0
-
-
-def _blocks(batches):
-    """Split a partition into work items, buffering only the open run:
-
-    * ``("run", user, frame, is_first, is_last)`` -- a run processed on its
-      own by the exact log-space kernel: the partition's first run (it may
-      carry state in), its last run (state may carry out), and any run that
-      crosses an Arrow batch boundary;
-    * ``("block", frame)`` -- consecutive complete runs inside one batch, no
-      carries, processed together by the vectorised kernel.
-    """
-    parts, open_user, first = [], None, True
-    for b in batches:
-        if len(b) == 0:
-            continue
-        users = b["user_id"].to_numpy(dtype=object)
-        cut = np.flatnonzero(users[1:] != users[:-1]) + 1
-        starts = np.concatenate(([0], cut))
-        ends = np.concatenate((cut, [len(b)]))
-        i = 0
-        if parts and users[0] == open_user:
-            parts.append(b.iloc[starts[0]:ends[0]])
-            i = 1
-            if len(starts) == 1:
-                continue
-        if parts:
-            yield "run", open_user, pd.concat(parts, ignore_index=True), first, False
-            first = False
-        last = len(starts) - 1
-        if i < last and first:
-            yield "run", users[starts[i]], b.iloc[starts[i]:ends[i]].reset_index(drop=True), True, False
-            first = False
-            i += 1
-        if i < last:
-            yield "block", b.iloc[starts[i]:ends[last - 1]].reset_index(drop=True)
-        parts, open_user = [b.iloc[starts[last]:ends[last]]], users[starts[last]]
-    if parts:
-        yield "run", open_user, pd.concat(parts, ignore_index=True), first, True
-
-
-def _segmented_cumsum(values: np.ndarray, rid: np.ndarray, reverse: bool = False) -> np.ndarray:
-    """Cumulative sum restarting at every run (no cross-run cancellation)."""
-    if reverse:
-        return pd.Series(values[::-1]).groupby(rid[::-1]).cumsum().to_numpy()[::-1]
-    return pd.Series(values).groupby(rid).cumsum().to_numpy()
-
-
-def _scan_block(block: pd.DataFrame, k: float) -> pd.DataFrame | None:
-    """Vectorised kernel over many complete runs without carries.
-
-    Same quantities as ``_scan_run``: with ``x = k * minutes`` since the
-    run's first row and ``c(o)`` the running sum of ``exp(x)`` over touches,
-    an order's decay shares are ``exp(x_i) / c(o)``, so touch i receives
-    ``exp(x_i) * sum_{o after i} revenue_o / c(o)``. Runs whose exponent
-    would exceed ``_SPAN_LIMIT`` are sent to the exact kernel instead.
+        "user_id", F.unix_micros(F.col("order_ts").cast("timestamp")).alias("t_us"), F.lit(1).alias("kind"),
+        F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("camp"),
+        F.col("order_id").cast("string").alias("oid"), money("revenue").alias("rev"))
+    sec = F.floor(F.col("t_us") / 1_000_000)  # whole seconds, as the reference's minutes are built from
+    return (t.unionByName(o).withColumn("sec", sec)
+            .withColumn("seg", F.floor(F.col("sec") / segment_seconds)))
+
+
+class _Decay:
+    """Exponents relative to reference blocks, in seconds."""
+
+    def __init__(self, k: float, segment_seconds: int):
+        self.k, self.segment = k / 60.0, segment_seconds
+        longest = min(_ALL_TIME, _BLOCK_DECAY / self.k) if k > 0 else _ALL_TIME
+        self.block = max(1, int(longest) // segment_seconds) * segment_seconds
+        self.next = -self.k * self.block
+
+    def start(self, seg: str = "seg") -> Column:
+        return F.col(seg) * self.segment
+
+    def of(self, sec) -> Column:
+        return F.floor(sec / self.block)
+
+    def within(self, sec) -> Column:
+        """Exponent of ``sec`` relative to the start of its block."""
+        return self.k * (sec - F.floor(sec / self.block) * self.block)
+
+
+def _carried(tl: DataFrame, d: _Decay) -> DataFrame:
+    """Steps 1-2: per (user, seg) what the user's earlier segments hold.
+
+    n_c touches; last_c (l: second, e: weight of all of them relative to it, src, camp); first_c (src, camp);
+    last_sec: second of the segment's own last touch.
     """
-    block = _merge_repeated_orders(block)
-    users = block["user_id"].to_numpy(dtype=object)
-    m = len(users)
-    start = np.ones(m, dtype=bool)
-    start[1:] = users[1:] != users[:-1]
-    rid = np.cumsum(start) - 1
-    starts = np.flatnonzero(start)
-    ends = np.append(starts[1:], m)
-    sec = _seconds(block)
-    x = k * (sec - sec[starts][rid]).astype(np.float64) / 60.0
-    long_runs = np.flatnonzero(x[ends - 1] > _SPAN_LIMIT)
-    if len(long_runs):
-        out, lo = [], 0
-        for r in long_runs:
-            if starts[r] > lo:
-                out.append(_scan_block(block.iloc[lo:starts[r]].reset_index(drop=True), k))
-            out.append(_scan_run(block.iloc[starts[r]:ends[r]].reset_index(drop=True), None, None, k, True)[2])
-            lo = ends[r]
-        if lo < m:
-            out.append(_scan_block(block.iloc[lo:].reset_index(drop=True), k))
-        out = [o for o in out if o is not None]
-        return pd.concat(out, ignore_index=True) if out else None
-
-    is_t = block["kind"].to_numpy() == 0
-    src = block["src"].to_numpy(dtype=object)
-    camp = block["camp"].to_numpy(dtype=object)
-    cents = np.nan_to_num(block["cents"].to_numpy(dtype="float64", na_value=np.nan), nan=0.0)
-    idx = np.arange(m)
-    run_start = starts[rid]
-    li = np.maximum.accumulate(np.where(is_t, idx, -1))
-    has_last = li >= run_start
-    lis = np.where(has_last, li, 0)
-    sel = (~is_t) & has_last
-    ct = np.cumsum(is_t)
-    n = ct - (ct[run_start] - is_t[run_start])
-    c = _segmented_cumsum(np.where(is_t, np.exp(x), 0.0), rid)
-    r = np.where(sel, cents / 100.0, 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        v = np.where(sel, r / np.maximum(n, 1), 0.0)
-        w = np.where(sel, r / np.where(sel, c, 1.0), 0.0)
-    lin_after = _segmented_cumsum(v, rid, reverse=True)
-    dec = np.exp(x) * _segmented_cumsum(w, rid, reverse=True)
-    rc = np.concatenate((np.cumsum(sel[::-1].astype(np.int64))[::-1], [0]))
-    cnt_after = rc[:m] - rc[ends[rid]]
-
-    parts = []
-    t = np.flatnonzero(is_t)
-    if len(t):
-        parts.append(pd.DataFrame({"src": src[t], "camp": camp[t], "oid": None, "lc_cents": 0, "fc_cents": 0,
-                                   "lin": lin_after[t], "dec": dec[t],
-                                   "credited": (cnt_after[t] > 0).astype(np.int64)}))
-    o = np.flatnonzero(sel)
-    if len(o):
-        oc = cents[o].astype(np.int64)
-        parts.append(pd.DataFrame({"src": src[lis[o]], "camp": camp[lis[o]],
-                                   "oid": block["oid"].to_numpy(dtype=object)[o], "lc_cents": oc, "fc_cents": 0,
-                                   "lin": 0.0, "dec": 0.0, "credited": 0}))
-        # first click: every attributed order of a run goes to the run's first touch
-        ft = np.minimum.reduceat(np.where(is_t, idx, m), starts)
-        fc = np.bincount(rid[o], weights=cents[o], minlength=len(starts))
-        runs = np.unique(rid[o])
-        parts.append(pd.DataFrame({"src": src[ft[runs]], "camp": camp[ft[runs]], "oid": None, "lc_cents": 0,
-                                   "fc_cents": fc[runs].astype(np.int64), "lin": 0.0, "dec": 0.0,
-                                   "credited": 0}))
-    return pd.concat(parts, ignore_index=True) if parts else None
-
-
-def _one_run(batches) -> pd.DataFrame | None:
-    parts = [b for b in batches if len(b)]
-    return pd.concat(parts, ignore_index=True) if parts else None
-
-
-def _fwd_summaries(k: float):
-    """Forward state of each partition's last user run (fed only those rows)."""
-    def f(batches):
-        run = _one_run(batches)
-        if run is None:
-            return
-        end, _, _ = _scan_run(run, None, None, k, False)
-        yield pd.DataFrame([{
-            "pid": int(run["pid"].iat[0]), "n": end.n, "has_touch": end.has, "last_sec": end.last_sec,
-            "last_src": end.last_src, "last_camp": end.last_camp, "E": end.E,
-            "first_src": end.first_src, "first_camp": end.first_camp}])
-    return f
-
-
-def _bwd_summaries(k: float, fwd_carry):
-    """Order terms of each partition's first user run (fed only those rows),
-    given that run's forward carry-in (``fwd_carry``: a broadcast dict)."""
-    def f(batches):
-        run = _one_run(batches)
-        if run is None:
-            return
-        pid = int(run["pid"].iat[0])
-        _, s, _ = _scan_run(run, fwd_carry.value.get(pid), None, k, False)
-        yield pd.DataFrame([{"pid": pid, "lin": s.lin, "lpos": s.lpos, "lneg": s.lneg, "orders_after": s.cnt}])
-    return f
-
-
-def _credits(k: float, fwd_carry, bwd_carry):
-    def f(batches):
-        out, rows, pid = [], 0, None
-        for item in _blocks(batches):
-            if item[0] == "block":
-                cr = _scan_block(item[1], k)
-            else:
-                _, user, run, is_first, is_last = item
-                pid = int(run["pid"].iat[0])
-                fc = fwd_carry.value.get(pid) if is_first else None
-                bc = bwd_carry.value.get(pid) if is_last else None
-                cr = _scan_run(run, fc, bc, k, True)[2]
-            if cr is not None:
-                out.append(cr)
-                rows += len(cr)
-            if rows >= 200_000:
-                yield _combine_credits(out)
-                out, rows = [], 0
-        if out:
-            yield _combine_credits(out)
-    return f
-
-
-def _combine_credits(frames) -> pd.DataFrame:
-    """Pre-aggregate touch and first-click credit per pair inside the task;
-    last-click rows stay per order (their distinct count is exact in Spark)."""
-    c = pd.concat(frames, ignore_index=True)
-    per_order = c[c["oid"].notna()]
-    rest = c[c["oid"].isna()]
-    agg = (rest.groupby(["src", "camp"], dropna=False, sort=False)
-           .agg(lc_cents=("lc_cents", "sum"), fc_cents=("fc_cents", "sum"), lin=("lin", "sum"),
-                dec=("dec", "sum"), credited=("credited", "sum")).reset_index())
-    agg["oid"] = None
-    out = pd.concat([agg[per_order.columns], per_order], ignore_index=True)
-    return out.astype({"lc_cents": "int64", "fc_cents": "int64", "lin": "float64", "dec": "float64",
-                       "credited": "int64"})
-
-
-def _continuing(bounds: dict) -> tuple[set, set]:
-    """Partitions whose last user continues into the next non-empty partition
-    (they need a forward summary) and partitions whose first user continues
-    from the previous one (they need a backward summary)."""
-    pids = sorted(bounds)
-    out_f, in_b = set(), set()
-    for a, b in zip(pids, pids[1:]):
-        if bounds[a][1] == bounds[b][0]:
-            out_f.add(a)
-            in_b.add(b)
-    return out_f, in_b
-
-
-def _fold_forward(bounds: dict, rows, k: float) -> dict:
-    """Carry-in forward state per partition whose first user continues from
-    the previous non-empty partition. ``bounds``: pid -> (first, last user);
-    ``rows``: the summaries of the partitions whose last user continues."""
-    summ = {r["pid"]: r for r in rows}
-    carry, acc_user, acc = {}, None, None
-    for pid in sorted(bounds):
-        first_user, last_user = bounds[pid]
-        continued = acc_user is not None and acc_user == first_user
-        if continued:
-            carry[pid] = acc
-        if pid not in summ:          # the last user stops here: nothing to carry on
-            acc_user, acc = None, None
-            continue
-        r = summ[pid]
-        st = _Fwd(r["n"], r["has_touch"], r["last_sec"] or 0, r["last_src"], r["last_camp"], r["E"] or 0.0,
-                  r["first_src"], r["first_camp"])
-        acc = acc.then(st, k) if continued and first_user == last_user else st
-        acc_user = last_user
-    return carry
-
-
-def _fold_backward(bounds: dict, rows) -> dict:
-    """Carry-in order terms per partition whose last user continues into the
-    next non-empty partition; ``rows``: the summaries of the partitions whose
-    first user continues from the previous one."""
-    summ = {r["pid"]: r for r in rows}
-    carry, acc_user, acc = {}, None, None
-    for pid in sorted(bounds, reverse=True):
-        first_user, last_user = bounds[pid]
-        continued = acc_user is not None and acc_user == last_user
-        if continued:
-            carry[pid] = acc
-        if pid not in summ:          # the first user starts here: nothing to carry back
-            acc_user, acc = None, None
-            continue
-        r = summ[pid]
-        st = _Bwd(r["lin"], r["lpos"], r["lneg"], r["orders_after"])
-        acc = st.before(acc) if continued and first_user == last_user else st
-        acc_user = first_user
-    return carry
+    touch = F.col("kind") == 0
+    s = tl.groupBy("user_id", "seg").agg(
+        F.count(F.when(touch, 1)).alias("n"),
+        F.sum(F.when(touch, F.exp(d.k * (F.col("sec") - d.start())))).alias("w"),
+        F.max(F.when(touch, F.struct("t_us", "src", "camp", "sec"))).alias("last"),
+        F.min(F.when(touch, F.struct("t_us", "src", "camp"))).alias("first"))
+    s = s.withColumn("b", d.of(d.start())).withColumn("wb", F.col("w") * F.exp(d.within(d.start())))
+    user = Window.partitionBy("user_id")
+    so_far = Window.partitionBy("user_id", "b").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    before = user.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    back = d.k * (F.col("last.sec") - F.col("b") * d.block)
+    s = s.withColumns({"here": F.sum("wb").over(so_far), "prev": F.sum("wb").over(user.orderBy("b").rangeBetween(-1, -1))})
+    s = s.withColumn("state", F.when(F.col("n") > 0, F.struct(
+        F.col("last.sec").alias("l"),
+        (F.col("here") * F.exp(-back) + F.coalesce("prev", F.lit(0.0)) * F.exp(d.next - back)).alias("e"),
+        F.col("last.src").alias("src"), F.col("last.camp").alias("camp"))))
+    return s.select("user_id", "seg", F.col("last.sec").alias("last_sec"),
+                    F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_c"),
+                    F.last("state", ignorenulls=True).over(before).alias("last_c"),
+                    F.first(F.when(F.col("n") > 0, F.struct("first.src", "first.camp")), ignorenulls=True).over(before)
+                    .alias("first_c"))
+
+
+def _segments(tl: DataFrame, d: _Decay) -> DataFrame:
+    """Step 3: one row per (user, seg): credits per (source, campaign) within it, and the sums of its orders."""
+    j = tl.join(_carried(tl, d), ["user_id", "seg"])
+    w = Window.partitionBy("user_id", "seg").orderBy(
+        "t_us", "kind", F.col("src").asc_nulls_first(), F.col("camp").asc_nulls_first(), F.col("oid").asc_nulls_first(),
+        F.col("rev").asc_nulls_first())
+    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    touch = F.col("kind") == 0
+    pair = F.when(touch, F.struct("src", "camp"))
+    # exact duplicate order rows are one order, as the reference's per-order window makes them; they are neighbours
+    again = ((F.lag("kind").over(w) == 1) & (F.lag("t_us").over(w) == F.col("t_us"))
+             & F.lag("oid").over(w).eqNullSafe(F.col("oid")) & F.lag("rev").over(w).eqNullSafe(F.col("rev")))
+    j = j.withColumns({
+        "rel": F.exp(d.k * (F.col("sec") - d.start())),
+        "n_l": F.count(F.when(touch, 1)).over(upto),
+        "last_l": F.last(pair, ignorenulls=True).over(upto),
+        "first_l": F.first(pair, ignorenulls=True).over(upto),
+        "again": F.coalesce(again, F.lit(False))})
+    j = j.withColumn("w_l", F.sum(F.when(touch, F.col("rel"))).over(upto))
+    n = F.col("n_c") + F.col("n_l")
+    counted = ~touch & ~F.col("again") & (n > 0)
+    r = F.coalesce(F.col("rev").cast("double"), F.lit(0.0))
+    local = F.col("n_l") > 0
+    old = F.coalesce(F.col("last_c.e") * F.exp(d.k * (F.col("last_c.l") - d.start())), F.lit(0.0))
+    j = j.withColumns({
+        "v": F.when(counted, r / n),
+        "a1": F.when(counted & local, r / (F.col("w_l") + old)),  # relative to the start of the segment
+        "a0": F.when(counted & ~local, r / F.col("last_c.e")),    # relative to the last earlier touch
+        "counted": counted})
+    j = j.withColumns({
+        "v_after": F.coalesce(F.sum("v").over(after), F.lit(0.0)),
+        "a_after": F.coalesce(F.sum("a1").over(after), F.lit(0.0)),
+        "n_after": F.count(F.when(F.col("counted"), 1)).over(after)})
+    zero, no_money = F.lit(0.0), money(F.lit(0))
+    rev = F.coalesce("rev", no_money)
+    blank = {"lin": zero, "dec": zero, "rel": zero, "n": F.lit(0), "hit": F.lit(0), "lc": no_money, "fc": no_money,
+             "oid": F.lit(None).cast("string"), "x": zero, "a0": zero, "a1": zero, "cnt": F.lit(0)}
+
+    def part(of: Column, **values):
+        return F.struct(of["src"].alias("src"), of["camp"].alias("camp"),
+                        *[F.coalesce(values.get(c, b), b).alias(c) for c, b in blank.items()])
+
+    own = F.struct("src", "camp")
+    last = F.coalesce(F.col("last_l"), F.struct("last_c.src", "last_c.camp"))
+    first = F.coalesce(F.col("first_c"), F.col("first_l"))
+    parts = F.when(touch, F.array(part(own, lin=F.col("v_after"), dec=F.col("rel") * F.col("a_after"), rel=F.col("rel"),
+                                       n=F.lit(1), hit=(F.col("n_after") > 0).cast("int"))))
+    parts = parts.when(F.col("counted"), F.array(
+        part(last, lc=rev, oid=F.col("oid"), x=F.col("v"), a0=F.col("a0"), a1=F.col("a1"), cnt=F.lit(1)), part(first, fc=rev)))
+    j = j.select("user_id", "seg", "last_sec", F.col("last_c.l").alias("l_c"), F.explode(parts).alias("p"))
+    sums = ["lin", "dec", "rel", "n", "hit", "lc", "fc", "x", "a0", "a1", "cnt"]
+    g = j.groupBy("user_id", "seg", F.col("p.src").alias("src"), F.col("p.camp").alias("camp")).agg(
+        *[F.sum(f"p.{c}").alias(c) for c in sums], F.collect_set("p.oid").alias("oids"),
+        F.max("last_sec").alias("last_sec"), F.max("l_c").alias("l_c"))
+    return g.groupBy("user_id", "seg").agg(
+        *[F.sum(c).alias(c) for c in ("x", "a0", "a1", "cnt")], F.max("last_sec").alias("last_sec"), F.max("l_c").alias("l_c"),
+        F.collect_list(F.struct("src", "camp", "lin", "dec", "rel", "n", "hit", "lc", "fc", "oids")).alias("pairs"))
+
+
+def _credited(segments: DataFrame, d: _Decay) -> DataFrame:
+    """Step 4: (source, campaign) parts with the credits of later segments' orders added."""
+    nothing = F.lit(None)
+    old, start, own = F.col("l_c"), d.start(), F.col("last_sec")
+    rows = F.array(  # the orders' sums by the block of their reference, and one row that asks for later ones
+        F.struct(F.lit(0).alias("what"), d.of(old).alias("tb"), (F.col("a0") * F.exp(-d.within(old))).alias("val")),
+        F.struct(F.lit(1).alias("what"), d.of(start).alias("tb"), (F.col("a1") * F.exp(-d.within(start))).alias("val")),
+        F.struct(F.lit(2).alias("what"), d.of(own).alias("tb"), nothing.cast("double").alias("val")))
+    s = segments.withColumn("r", F.explode(rows)).select(
+        "user_id", "seg", "r.*", "last_sec", F.when(F.col("r.what") == 1, F.col("x")).alias("x"),
+        F.when(F.col("r.what") == 1, F.col("cnt")).alias("cnt"), F.when(F.col("r.what") == 2, F.col("pairs")).alias("pairs"))
+    user = Window.partitionBy("user_id")
+    later = user.orderBy("seg").rangeBetween(1, Window.unboundedFollowing)
+    same = Window.partitionBy("user_id", "tb").orderBy("seg").rangeBetween(1, Window.unboundedFollowing)
+    s = s.withColumns({"same": F.sum("val").over(same), "next": F.sum("val").over(user.orderBy("tb").rangeBetween(1, 1)),
+                       "x_later": F.coalesce(F.sum("x").over(later), F.lit(0.0)),
+                       "cnt_later": F.coalesce(F.sum("cnt").over(later), F.lit(0))})
+    zero = F.lit(0.0)
+    back = F.exp(d.within(own)) * (F.coalesce("same", zero) + F.exp(F.lit(d.next)) * F.coalesce("next", zero))
+    s = (s.filter("what = 2").withColumn("back", F.coalesce(back * F.exp(-d.k * (own - start)), zero))
+         .withColumn("p", F.explode("pairs")))
+    return s.select(F.col("p.src").alias("channel"), F.col("p.camp").alias("campaign"),
+                    (F.col("p.lin") + F.col("p.n") * F.col("x_later")).alias("lin"),
+                    (F.col("p.dec") + F.col("p.rel") * F.col("back")).alias("dec"),
+                    F.col("p.lc").alias("lc"), F.col("p.fc").alias("fc"),
+                    ((F.col("p.hit") > 0) | ((F.col("p.n") > 0) & (F.col("cnt_later") > 0))).alias("hit"), F.col("p.oids").alias("oids"))
 
 
 def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_PER_MINUTE,
-                       require_last_click: bool = False, partitions: int | None = None,
-                       decimals: int = 4) -> DataFrame:
+                       require_last_click: bool = False, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
     """``mart_attribution_summary``.
 
     One row per (channel, campaign) of the touches (the web event's
     ``source`` and ``campaign``) credited by any model; each model's revenue
     sums to the revenue of orders with at least one earlier touch (D8).
     ``require_last_click=True`` keeps only pairs with last-click credit, as
-    the reference's left join does. Linear and decay credits are rounded to
-    ``decimals`` places.
-
-    The partition bounds and the two summary folds bring back one small row
-    per partition to the driver (O(partitions), like Spark's own range-bound
-    sampling); no data row passes through the driver. Only the credit pass
-    streams every row through Python; the summary passes see just the first
-    or last user run of each partition (a broadcast semi-join on at most one
-    row per partition picks them in the JVM).
+    the reference's left join does. A task holds the events of one user and
+    ``segment_seconds``.
     """
-    tl = sorted_timeline(touches.select("user_id", "event_ts", "source", "campaign"),
-                         orders.select("order_id", "user_id", "order_ts", "revenue"), partitions)
-    spark = tl.sparkSession
-    # first and last user of every partition: a JVM aggregate, one row per partition
-    b = tl.groupBy("pid").agg(F.min(F.struct("h", "user_id"))["user_id"].alias("first_user"),
-                              F.max(F.struct("h", "user_id"))["user_id"].alias("last_user"))
-    bounds = {r["pid"]: (r["first_user"], r["last_user"]) for r in b.collect()}
-    out_f, in_b = _continuing(bounds)
-
-    def edge(which: int, pids: set) -> DataFrame:  # <= 1 row per partition
-        return F.broadcast(spark.createDataFrame(
-            [(p, bounds[p][which]) for p in sorted(pids)], "pid int, user_id string"))
-
-    cols = ["pid", "user_id", "kind", "t_us", "src", "camp", "cents"]
-    fwd_rows = []
-    if out_f:  # only users that cross a partition boundary need summaries
-        last_runs = tl.select(*cols).join(edge(1, out_f), ["pid", "user_id"], "left_semi")
-        fwd_rows = [r.asDict() for r in last_runs.mapInPandas(_fwd_summaries(k), FWD_SCHEMA).collect()]
-    # carries: at most one per partition, shipped once per executor
-    fwd_carry = spark.sparkContext.broadcast(_fold_forward(bounds, fwd_rows, k))
-    bwd_rows = []
-    if in_b:
-        first_runs = tl.select(*cols, "oid").join(edge(0, in_b), ["pid", "user_id"], "left_semi")
-        bwd_rows = [r.asDict() for r in first_runs.mapInPandas(_bwd_summaries(k, fwd_carry), BWD_SCHEMA)
-                    .collect()]
-    bwd_carry = spark.sparkContext.broadcast(_fold_backward(bounds, bwd_rows))
-    cr = tl.select(*cols, "oid").mapInPandas(_credits(k, fwd_carry, bwd_carry), CREDIT_SCHEMA)
-    out = (cr.groupBy(F.col("src").alias("channel"), F.col("camp").alias("campaign"))
+    if segment_seconds < 1:
+        raise ValueError("segment_seconds must be positive")
+    tl = timeline(touches.select("user_id", "event_ts", "source", "campaign"),
+                  orders.select("order_id", "user_id", "order_ts", "revenue"), segment_seconds)
+    d = _Decay(k, segment_seconds)
+    parts = _credited(_segments(tl, d), d)
+    # order ids are counted across users and segments: a row for each beside the row of sums
+    blank = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (
+        ("lin", "double"), ("dec", "double"), ("lc", "decimal(38,8)"), ("fc", "decimal(38,8)"), ("hit", "boolean"))])
+    sums = F.struct(*[F.col(c).cast(t).alias(c) for c, t in (
+        ("lin", "double"), ("dec", "double"), ("lc", "decimal(38,8)"), ("fc", "decimal(38,8)"), ("hit", "boolean"))])
+    rows = F.concat(F.array(F.struct(sums.alias("s"), F.lit(None).cast("string").alias("oid"))),
+                    F.transform("oids", lambda o: F.struct(blank.alias("s"), o.alias("oid"))))
+    r = parts.select("channel", "campaign", F.explode(rows).alias("r")).select("channel", "campaign", "r.s.*", "r.oid")
+    out = (r.groupBy("channel", "campaign")
            .agg(F.countDistinct("oid").alias("orders"),
-                (F.sum("lc_cents").cast("decimal(38,0)") / 100).cast("double").alias("revenue_last_click"),
-                (F.sum("fc_cents").cast("decimal(38,0)") / 100).cast("double").alias("revenue_first_click"),
-                F.round(F.sum("lin"), decimals).alias("revenue_linear"),
-                F.round(F.sum("dec"), decimals).alias("revenue_time_decay"),
-                F.sum("credited").alias("_credited")))
-    out = out.filter((F.col("orders") > 0) | (F.col("_credited") > 0)).drop("_credited")
+                F.sum("lc").cast("double").alias("revenue_last_click"),
+                F.sum("fc").cast("double").alias("revenue_first_click"),
+                F.sum("lin").alias("revenue_linear"), F.sum("dec").alias("revenue_time_decay"),
+                F.max("hit").alias("_hit")))
+    out = out.filter((F.col("orders") > 0) | F.col("_hit")).drop("_hit")
     if require_last_click:
         out = out.filter(F.col("orders") > 0)
     return out
 
 
 # ---------------------------------------------------------------- A7-A9
-def last_touch_attribution(web: DataFrame, orders: DataFrame, skew: dict | None = None) -> DataFrame:
+def last_touch_attribution(web: DataFrame, orders: DataFrame, before_order: bool = False, hot: int = DEFAULT_HOT) -> DataFrame:
     """Each user's latest non-NULL campaign (by full event time, then
     campaign; touches after the order count too, D20) takes the user's
     orders; users without web events keep the order's own campaign. Revenue,
@@ -591,14 +252,45 @@ def last_touch_attribution(web: DataFrame, orders: DataFrame, skew: dict | None
     user is combined before the shuffle). Orders meet it through
     ``joins.lookup_join``: users with a heavy share of the orders take the
     broadcast path, so no join task holds one user's orders.
+
+    ``before_order=True`` credits the latest touch at or before each order
+    instead (the useful variant of D20), from the segments of the multi-touch
+    timeline.
     """
+    if before_order:
+        return _credit_by_campaign(_last_before(web, orders))
     last = (web.filter(F.col("campaign").isNotNull())
             .groupBy("user_id")
             .agg(F.max_by("campaign", F.struct("event_ts", "campaign")).alias("campaign_lt")))
-    att = lookup_join(orders, last, "user_id", "left", **(skew or {}))
+    att = lookup_join(orders, last, "user_id", "left", hot)
     return _credit_by_campaign(att.withColumn("campaign", F.coalesce("campaign_lt", "campaign")))
 
 
+def _last_before(web: DataFrame, orders: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
+    """Orders (order_id, user_id, campaign, revenue) with the campaign of the user's latest touch at or before
+    them, by event time and campaign; their own campaign where there is none."""
+    t = web.filter(F.col("campaign").isNotNull() & F.col("user_id").isNotNull() & F.col("event_ts").isNotNull()).select(
+        "user_id", F.col("event_ts").alias("ts"), F.lit(0).alias("kind"), F.col("campaign").alias("touch"),
+        F.lit(None).cast("string").alias("order_id"), F.lit(None).cast("string").alias("campaign"), money(F.lit(None)).alias("revenue"))
+    o = orders.select("user_id", F.col("order_ts").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("touch"),
+                      F.col("order_id").cast("string").alias("order_id"), "campaign", money("revenue").alias("revenue"))
+    rows = t.unionByName(o).withColumn("seg", F.floor(F.unix_timestamp("ts") / segment_seconds))
+    last = rows.filter("kind = 0").groupBy("user_id", "seg").agg(F.max(F.struct("ts", "touch")).alias("m"))
+    # one row per user and active hour; the carry also reaches hours that hold orders only
+    hours = rows.filter("kind = 1").groupBy("user_id", "seg").agg(F.lit(None).cast(last.schema["m"].dataType).alias("m"))
+    earlier = Window.partitionBy("user_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (last.unionByName(hours).groupBy("user_id", "seg").agg(F.max("m").alias("m"))
+             .select(F.col("user_id").alias("_u"), F.col("seg").alias("_s"),
+                     F.last("m.touch", ignorenulls=True).over(earlier).alias("carry")))
+    upto = (Window.partitionBy("user_id", "seg").orderBy("ts", "kind", F.col("touch").asc_nulls_first())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    j = rows.join(carry, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("seg").eqNullSafe(F.col("_s")), "left")
+    here = F.when(F.col("user_id").isNotNull() & F.col("ts").isNotNull(),
+                  F.coalesce(F.last("touch", ignorenulls=True).over(upto), F.col("carry")))
+    return (j.withColumn("here", here).filter("kind = 1")
+            .select("order_id", "user_id", F.coalesce("here", "campaign").alias("campaign"), "revenue"))
+
+
 def order_campaign_credit(orders: DataFrame) -> DataFrame:
     """Credit by the order's own campaign (the reference's "linear" fallback)."""
     return _credit_by_campaign(orders)
@@ -621,5 +313,4 @@ def attribution(web: DataFrame, orders: DataFrame, model: str = "last_touch") ->
     raise ValueError(f"unknown attribution model {model!r}")
 
 
-__all__ = ["attribution_models", "last_touch_attribution", "order_campaign_credit", "attribution",
-           "sorted_timeline", "timeline"]
+__all__ = ["attribution_models", "last_touch_attribution", "order_campaign_credit", "attribution", "timeline"]

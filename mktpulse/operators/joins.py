@@ -6,16 +6,15 @@ it. AQE's skew-join split does not help when the lookup side reaches the
 join through an aggregate (no shuffle stage directly below the join), which
 is the usual shape of a per-key lookup ("the user's last touch").
 
-``lookup_join`` isolates the heavy hitters instead:
-
-1. count fact rows per key (a partial aggregate: one row per key crosses the
-   shuffle) and the total ``n`` (a scalar subquery), once, eagerly;
-2. keys with more than ``max(min_rows, n / max_hot_keys)`` rows are hot. The
-   counts sum to ``n``, so there are at most ``max_hot_keys`` of them: a
-   proven bound, whatever the data size;
-3. hot facts join the lookup rows of the hot keys by broadcast (no shuffle of
-   the hot facts at all), the other facts join the lookup by an ordinary
-   shuffle join, in which no key exceeds the threshold.
+``lookup_join`` takes the heavy hitters out of the shuffle, in one lazy plan:
+
+1. the ``hot`` keys with the most fact rows, found by one aggregate with a
+   map-side combine and a top-k: at most ``hot`` rows, whatever the data, and
+   no other key holds more than ``1 / hot`` of the facts;
+2. their lookup rows (present or not) are broadcast and joined to the facts;
+3. the facts of these keys are then dealt over all tasks by a hash of the row
+   instead of by key, match nothing in the ordinary shuffle join that serves
+   all other keys, and keep what the broadcast gave them.
 """
 
 from __future__ import annotations
@@ -23,43 +22,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mktpulse.session import ensure_checkpoint_dir, materialize_small
-
-DEFAULT_MAX_HOT_KEYS = 10_000
-DEFAULT_MIN_HOT_ROWS = 1_000_000
+DEFAULT_HOT = 1000
 
 
-def hot_keys(facts: DataFrame, key: str, max_hot_keys: int = DEFAULT_MAX_HOT_KEYS,
-             min_rows: int = DEFAULT_MIN_HOT_ROWS) -> DataFrame:
-    """Keys holding more than ``max(min_rows, n / max_hot_keys)`` fact rows
-    (at most ``max_hot_keys`` rows, by construction). NULL keys never join
-    and are never hot."""
-    n = facts.agg(F.count(F.lit(1))).scalar()
-    threshold = F.greatest(F.lit(min_rows).cast("bigint"), F.ceil(n / F.lit(max_hot_keys)))
+def hot_keys(facts: DataFrame, key: str, hot: int = DEFAULT_HOT) -> DataFrame:
+    """The ``hot`` keys with the most fact rows. NULL keys never join and are never hot."""
     return (facts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-            .filter(F.col("_rows") > threshold).select(key))
+            .orderBy(F.desc("_rows"), key).limit(hot).select(key))
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                max_hot_keys: int = DEFAULT_MAX_HOT_KEYS, min_rows: int = DEFAULT_MIN_HOT_ROWS) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot: int = DEFAULT_HOT) -> DataFrame:
     """``facts JOIN lookup USING (key)`` (``how`` = "left" or "inner"); the
-    lookup must hold at most one row per key.
-
-    The hot keys are found once (one aggregate job) and kept as a small
-    checkpoint (at most ``max_hot_keys`` rows). Without hot keys -- the usual
-    case -- this is the plain join. With them, the lookup is checkpointed
-    once (it has one row per key, far smaller than the facts) so that the hot
-    and the cold branch read it instead of deriving it twice.
-    """
+    lookup must hold at most one row per key."""
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    hot = materialize_small(hot_keys(facts, key, max_hot_keys, min_rows))
-    if hot.isEmpty():
-        return facts.join(lookup, key, how)
-    ensure_checkpoint_dir(lookup.sparkSession)
-    lookup = lookup.checkpoint(eager=True)
-    hot_lookup = lookup.join(F.broadcast(hot), key, "left_semi")          # <= max_hot_keys rows
-    hot_facts = facts.join(F.broadcast(hot), key, "left_semi")
-    cold_facts = facts.join(F.broadcast(hot), key, "left_anti")
-    return (hot_facts.join(F.broadcast(hot_lookup), key, how)
-            .unionByName(cold_facts.join(lookup, key, how)))
+    values = [c for c in lookup.columns if c != key]
+    found = lookup.select(F.col(key), F.struct(F.lit(True).alias("_is"), *values).alias("_found"))
+    top = hot_keys(facts, key, hot).join(found, key, "left").select(key, F.struct("_found").alias("_hot"))
+    tagged = facts.join(F.broadcast(top), key, "left")
+    # 0 for keys that the shuffle join serves; any other number has no partner there
+    deal = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*[facts[c] for c in facts.columns]), F.lit(1 << 20)))
+    cold = found.select(F.col(key).alias("_key"), F.lit(0).cast("bigint").alias("_none"), F.col("_found").alias("_cold"))
+    tagged = tagged.withColumn("_deal", deal.cast("bigint"))
+    j = tagged.join(cold, (F.col(key) == F.col("_key")) & (F.col("_deal") == F.col("_none")), "left")
+    got = F.coalesce(F.col("_hot._found"), F.col("_cold"))
+    if how == "inner":
+        j = j.filter(got.isNotNull())
+    # USING: the key first, once
+    return j.select(F.col(key), *[facts[c] for c in facts.columns if c != key], *[got[c].alias(c) for c in values])
