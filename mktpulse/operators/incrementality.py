@@ -24,9 +24,12 @@ from mktpulse.functions.ratios import MONEY, MONEY_SUM, money, ratio
 
 
 def exposed_users(exposure: DataFrame, orders: DataFrame,
-                  lookback_days: int = DEFAULT_EXPOSURE_LOOKBACK_DAYS) -> DataFrame:
+                  lookback_days: int = DEFAULT_EXPOSURE_LOOKBACK_DAYS, keep_all_exposed: bool = False) -> DataFrame:
     """I1 + I2: one row per (user, campaign, group) that survives the window
-    filter, with ``converted`` (0/1) and exact in-window ``revenue``."""
+    filter, with ``converted`` (0/1) and exact in-window ``revenue``.
+
+    ``keep_all_exposed=True`` keeps users whose only orders lie outside the
+    window in the denominator, as not converted (the window as a join condition, D11)."""
     if lookback_days < 0:
         raise ValueError("lookback_days must be >= 0")
     exp = (exposure.select("user_id", "campaign", F.lower("group").alias("group"),
@@ -59,8 +62,9 @@ def exposed_users(exposure: DataFrame, orders: DataFrame,
     e = (rows.filter(F.col("m").isNotNull())
          .select("user_id", "campaign", "group", "m",
                  n_total.alias("n_total"), n_undated.alias("n_undated"), n_win.alias("n_win"),
-                 rev_win.alias("rev_win"))
-         .filter((F.col("n_total") == 0) | (F.col("n_undated") > 0) | (F.col("n_win") > 0)))
+                 rev_win.alias("rev_win")))
+    if not keep_all_exposed:
+        e = e.filter((F.col("n_total") == 0) | (F.col("n_undated") > 0) | (F.col("n_win") > 0))
     return (e.groupBy("user_id", "campaign", "group")
             .agg(F.max((F.col("n_win") > 0).cast("int")).alias("converted"),
                  # repeated exposures count their orders again; the factor is small, so the product keeps its places
@@ -68,6 +72,14 @@ def exposed_users(exposure: DataFrame, orders: DataFrame,
                             F.lit(0).cast(MONEY_SUM)).alias("revenue")))
 
 
+def duplicate_exposures(exposure: DataFrame) -> DataFrame:
+    """(user, campaign) with several exposures, whose in-window revenue counts once per exposure:
+    user_id, campaign, exposures, groups (more than one: exposed in both arms)."""
+    return (exposure.groupBy("user_id", "campaign")
+            .agg(F.count(F.lit(1)).alias("exposures"), F.countDistinct(F.lower("group")).alias("groups"))
+            .filter("exposures > 1"))
+
+
 def arm_rollup(users: DataFrame) -> DataFrame:
     """Users, converters, revenue, cvr, rpu by campaign and group."""
     c = (users.groupBy("campaign", "group")
@@ -79,12 +91,12 @@ def arm_rollup(users: DataFrame) -> DataFrame:
 
 
 def incrementality_uplift(exposure: DataFrame, orders: DataFrame,
-                          lookback_days: int = DEFAULT_EXPOSURE_LOOKBACK_DAYS) -> DataFrame:
+                          lookback_days: int = DEFAULT_EXPOSURE_LOOKBACK_DAYS, keep_all_exposed: bool = False) -> DataFrame:
     """``mart_incrementality_uplift``: test vs control per campaign,
     absolute CVR and revenue-per-user uplift, scaled by test users. A
     campaign lacking either arm is dropped (D12). One conditional aggregate
     over the arm rows replaces the test/control self-join."""
-    arms = arm_rollup(exposed_users(exposure, orders, lookback_days))
+    arms = arm_rollup(exposed_users(exposure, orders, lookback_days, keep_all_exposed))
     t, c = F.col("group") == "test", F.col("group") == "control"
     w = (arms.groupBy("campaign").agg(
         F.max(F.when(t, F.col("users"))).alias("users_test"),

@@ -201,6 +201,30 @@ def q_last_touch(spark, sf_dir):
     return attribution.attribution(f.web, f.od, "last_touch")
 
 
+def q_last_touch_before_order(spark, sf_dir):
+    """D20's flag: the latest touch at or before each order."""
+    f = _filtered(spark, sf_dir)
+    return attribution.last_touch_attribution(f.web, f.od, before_order=True)
+
+
+# spend and revenue in fractions of a cent, exact in both engines
+def _subcent(df, col, factor):
+    return df.withColumn(col, F.col(col).cast("decimal(18,4)") * F.lit(factor).cast("decimal(2,2)"))
+
+
+def q_paid_perf_subcent(spark, sf_dir):
+    """P1-P4 over money below a cent: nothing is rounded before it is summed."""
+    f = _filtered(spark, sf_dir)
+    return paid.paid_perf_daily(_subcent(f.ads, "spend", "0.13"), _subcent(f.od, "revenue", "0.07"))
+
+
+def q_attribution_subcent(spark, sf_dir):
+    """A1-A6 over money below a cent."""
+    f = _filtered(spark, sf_dir)
+    m = attribution.attribution_models(f.web, _subcent(f.od, "revenue", "0.07"))
+    return m.withColumns({c: F.round(c, 4) for c in ("revenue_linear", "revenue_time_decay")})
+
+
 def q_order_campaign_credit(spark, sf_dir):
     f = _filtered(spark, sf_dir)
     return attribution.attribution(f.web, f.od, "order_campaign")
@@ -218,6 +242,13 @@ def q_incrementality_uplift(spark, sf_dir):
     return incrementality.incrementality_uplift(b.exposure(), f.od, 30)
 
 
+def q_incrementality_keep_all(spark, sf_dir):
+    """D11's flag: users whose orders all lie outside the window stay in the denominator."""
+    b = _binding(spark, sf_dir)
+    f = _filtered(spark, sf_dir, b)
+    return incrementality.incrementality_uplift(b.exposure(), f.od, 30, keep_all_exposed=True)
+
+
 def q_holdout_detail(spark, sf_dir):
     f = _filtered(spark, sf_dir)
     return budget.holdout_table(incrementality.holdout_detail(f.ads, f.od))
@@ -306,9 +337,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ltv_table": q_ltv_table,
     "attribution_models": q_attribution_models,
     "last_touch": q_last_touch,
+    "last_touch_before_order": q_last_touch_before_order,
+    "paid_perf_subcent": q_paid_perf_subcent,
+    "attribution_subcent": q_attribution_subcent,
     "order_campaign_credit": q_order_campaign_credit,
     "attribution_table": q_attribution_table,
     "incrementality_uplift": q_incrementality_uplift,
+    "incrementality_keep_all": q_incrementality_keep_all,
     "holdout_detail": q_holdout_detail,
     "holdout_summary": q_holdout_summary,
     "budget_weight": q_budget_weight,

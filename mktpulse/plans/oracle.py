@@ -314,6 +314,26 @@ ATTRIBUTION_TABLE = _LAST_TOUCH + """
 SELECT campaign, round_even(revenue, 0) AS revenue, orders, buyers FROM lta
 ORDER BY lta.revenue DESC, campaign ASC NULLS LAST"""
 
+LAST_TOUCH_BEFORE_ORDER = _F + """,
+bo AS (SELECT od.order_id, od.user_id, od.revenue, od.campaign, w.campaign AS touch,
+              row_number() OVER (PARTITION BY od.order_id ORDER BY w.event_ts DESC NULLS LAST, w.campaign DESC NULLS LAST) AS rn
+       FROM od LEFT JOIN (SELECT * FROM web WHERE campaign IS NOT NULL) w
+         ON od.user_id = w.user_id AND w.event_ts <= od.order_ts)
+SELECT COALESCE(touch, campaign) AS campaign, CAST(SUM(revenue) AS DOUBLE) AS revenue,
+       CAST(COUNT(DISTINCT order_id) AS BIGINT) AS orders, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS buyers
+FROM bo WHERE rn = 1 GROUP BY 1 ORDER BY revenue DESC, campaign ASC NULLS LAST"""
+
+
+def _subcent(sql: str) -> str:
+    """The same statement over spend and revenue in fractions of a cent."""
+    return (sql.replace("ads AS (SELECT *", "ads AS (SELECT * REPLACE (spend * CAST(0.13 AS DECIMAL(2,2)) AS spend)", 1)
+            .replace("od AS (SELECT *", "od AS (SELECT * REPLACE (revenue * CAST(0.07 AS DECIMAL(2,2)) AS revenue)", 1)
+            .replace("DECIMAL(18,4)", "DECIMAL(18,6)"))
+
+
+PAID_PERF_SUBCENT = _subcent(PAID_PERF_DAILY)
+ATTRIBUTION_SUBCENT = _subcent(ATTRIBUTION_MODELS)
+
 ORDER_CAMPAIGN_CREDIT = _F + """
 SELECT campaign, CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(COUNT(DISTINCT order_id) AS BIGINT) AS orders,
        CAST(COUNT(DISTINCT user_id) AS BIGINT) AS buyers
@@ -338,6 +358,11 @@ SELECT t.campaign, CAST(t.users AS BIGINT) AS users_test, t.cvr AS cvr_test, t.r
        (t.cvr - k.cvr) * t.users AS incremental_converters, (t.rpu - k.rpu) * t.users AS incremental_revenue
 FROM c2 t JOIN c2 k ON t.campaign = k.campaign AND t.grp = 'test' AND k.grp = 'control'"""
 
+INCREMENTALITY_KEEP_ALL = INCREMENTALITY_UPLIFT.replace(
+    "ON e.user_id = o.user_id AND e.campaign = o.campaign)",
+    "ON e.user_id = o.user_id AND e.campaign = o.campaign"
+    " AND datediff('day', CAST(e.exposure_ts AS DATE), CAST(o.order_ts AS DATE)) BETWEEN 0 AND 30)")
+
 _ARM = ("CASE WHEN CAST(CAST(('0x' || substr(md5(order_id), 1, 8)) AS BIGINT) AS DOUBLE) "
         "/ CAST(4294967296 AS DOUBLE) < 0.85 THEN 'Test' ELSE 'Control' END")
 _HOLDOUT = _F + f""",
@@ -509,9 +534,13 @@ ORACLE: dict[str, str] = {
     "ltv_table": LTV_TABLE,
     "attribution_models": ATTRIBUTION_MODELS,
     "last_touch": LAST_TOUCH,
+    "last_touch_before_order": LAST_TOUCH_BEFORE_ORDER,
+    "paid_perf_subcent": PAID_PERF_SUBCENT,
+    "attribution_subcent": ATTRIBUTION_SUBCENT,
     "order_campaign_credit": ORDER_CAMPAIGN_CREDIT,
     "attribution_table": ATTRIBUTION_TABLE,
     "incrementality_uplift": INCREMENTALITY_UPLIFT,
+    "incrementality_keep_all": INCREMENTALITY_KEEP_ALL,
     "holdout_detail": HOLDOUT_DETAIL,
     "holdout_summary": HOLDOUT_SUMMARY,
     "budget_weight": BUDGET_WEIGHT,

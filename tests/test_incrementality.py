@@ -119,3 +119,15 @@ def test_holdout_detail_and_summary(spark):
     no_label = spark.createDataFrame([(dt.date(2024, 1, 1), "Meta", "A", 10.0)],
                                      "dt date, channel string, campaign string, spend double")
     assert {r["holdout_group"] for r in rows(I.ads_arm(no_label))} <= {"Test", "Control"}
+
+
+def test_keep_all_exposed_and_duplicates(spark):
+    ex = spark.sql("SELECT * FROM VALUES ('u1', 'W', 'Test', timestamp'2024-01-10 00:00:00'), ('u1', 'W', 'control', timestamp'2024-01-12 00:00:00'),"
+                   " ('u2', 'W', 'Test', timestamp'2024-01-10 00:00:00') AS t(user_id, campaign, `group`, exposure_ts)")
+    od = spark.sql("SELECT * FROM VALUES ('o1', 'u2', 'W', timestamp'2024-01-01 00:00:00', 9.0D) "
+                   "AS t(order_id, user_id, campaign, order_ts, revenue)")
+    kept = {(r["user_id"], r["group"]) for r in rows(I.exposed_users(ex, od, 30))}
+    assert kept == {("u1", "test"), ("u1", "control")}  # u2's only order lies before the exposure
+    all_ = {(r["user_id"], r["group"]): (r["converted"], float(r["revenue"])) for r in rows(I.exposed_users(ex, od, 30, keep_all_exposed=True))}
+    assert all_ == {("u1", "test"): (0, 0.0), ("u1", "control"): (0, 0.0), ("u2", "test"): (0, 0.0)}
+    assert rows(I.duplicate_exposures(ex)) == [{"user_id": "u1", "campaign": "W", "exposures": 2, "groups": 2}]
