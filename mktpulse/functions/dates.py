@@ -18,8 +18,3 @@ def month_start(x) -> Column:
 def months_between_firsts(later, earlier) -> Column:
     """Whole months between two first-of-month dates (integral by construction)."""
     return F.months_between(_c(later), _c(earlier)).cast("int")
-
-
-def epoch_seconds(x) -> Column:
-    """Whole seconds since the epoch (sub-second part truncated)."""
-    return F.unix_timestamp(_c(x).cast("timestamp"))

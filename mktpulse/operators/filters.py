@@ -21,11 +21,6 @@ def _date(x) -> Column:
     return F.to_date(F.lit(str(x)))
 
 
-def with_dt(df: DataFrame, ts_col: str, name: str = "dt") -> DataFrame:
-    """``dt = to_date(ts)``."""
-    return df.withColumn(name, F.to_date(F.col(ts_col)))
-
-
 def date_range(df: DataFrame, ts_col: str, start, end, add_dt: str | None = "dt") -> DataFrame:
     """keep rows whose ``to_date(ts)`` lies in [start, end], both ends inclusive."""
     d = F.to_date(F.col(ts_col))
@@ -33,11 +28,6 @@ def date_range(df: DataFrame, ts_col: str, start, end, add_dt: str | None = "dt"
     return out.withColumn(add_dt, d) if add_dt else out
 
 
-def with_margin(orders: DataFrame) -> DataFrame:
-    """``margin = revenue - cost`` (exact decimal arithmetic)."""
-    return orders.withColumn("margin", F.col("revenue") - F.col("cost"))
-
-
 def membership(df: DataFrame, channels=None, campaigns=None) -> DataFrame:
     """channel / campaign IN-lists; ``None`` means no restriction."""
     if channels is not None:

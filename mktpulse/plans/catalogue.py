@@ -1,6 +1,7 @@
 """Registered queries: one per operator family of the survey's inventory.
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
+Each entry takes ``(spark, sf_dir)`` and returns a DataFrame (lazy, but for the few
+that materialise a small aggregated table first, see PLANS.md) over the
 whole test tables (no id subsets, no row caps; a limit appears only where it
 is the feature, e.g. top-N). Column names equal those of ``plans/oracle.py``.
 Binding A (tables derived from ``events``) unless the name says cohort (B).

@@ -303,3 +303,12 @@ def test_latest_touch_before_the_order(spark):
     assert set(got) == set(want)
     for c, (rev, ids, users) in want.items():
         assert got[c]["revenue"] == pytest.approx(float(rev)) and got[c]["orders"] == len(ids) and got[c]["buyers"] == len(users)
+
+
+def test_rows_sharing_an_order_id(spark):
+    """Rows of one order id that differ stay separate orders; the id counts once."""
+    touches = [("u1", ts("2024-01-01 10:00:00"), "Meta", "A")]
+    orders = [("o1", "u1", ts("2024-01-02 10:00:00"), Decimal("10.00")), ("o1", "u1", ts("2024-01-02 10:00:00"), Decimal("30.00"))]
+    got = run_scan(spark, touches, orders)[("Meta", "A")]
+    assert got["orders"] == 1
+    assert all(got[f] == pytest.approx(40.0) for f in ("revenue_last_click", "revenue_first_click", "revenue_linear", "revenue_time_decay"))
