@@ -2,7 +2,7 @@
 
 A gear hash rolls over the UTF-8 bytes of a text; a chunk ends behind a byte
 where the top bits of the hash are zero (after ``MIN_CHUNK`` bytes, at
-``MAX_CHUNK`` at the latest). The hash sees the last 32 bytes only, so after an
+``MAX_CHUNK`` at the latest). The hash sees the last 16 bytes only, so after an
 insertion the chunk ends fall into step again and the chunks of a shared
 passage are the same wherever it stands.
 
@@ -36,15 +36,17 @@ from mktpulse.llm.common import list_array, lookup_hot, prepare, stored, texts
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 16, 5, 256
 MIN_RUN = 100
 
-#: The gear table: a 32-bit value per byte, from a rule (SHA-256 of the byte).
-GEAR = np.array([int.from_bytes(hashlib.sha256(b"gear %d" % b).digest()[:4], "little") for b in range(256)], np.uint32)
+#: Bytes the rolling hash sees, which is also its width in bits.
+WINDOW = 16
+#: The gear table: a 16-bit value per byte, from a rule (SHA-256 of the byte).
+GEAR = np.array([int.from_bytes(hashlib.sha256(b"gear %d" % b).digest()[:2], "little") for b in range(256)], np.uint16)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """Gear hash behind every byte: sum over the last 32 bytes of gear[byte] << age, by doubling."""
+    """Gear hash behind every byte: sum over the last ``WINDOW`` bytes of gear[byte] << age, by doubling."""
     h, span = GEAR[data], 1
-    while span < 32:
-        shifted = h[:-span] << np.uint32(span) if len(h) > span else h[:0]
+    while span < WINDOW:
+        shifted = h[:-span] << np.uint16(span) if len(h) > span else h[:0]
         h = h.copy()
         h[span:] += shifted
         span *= 2
@@ -57,7 +59,7 @@ def chunk_ends(text: bytes, least: int = MIN_CHUNK, bits: int = MEAN_BITS, most:
     if not n:
         return []
     data = np.frombuffer(text, np.uint8)
-    cut = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - bits) == 0) + 1
+    cut = np.flatnonzero(gear_hashes(data) >> np.uint16(WINDOW - bits) == 0) + 1
     if len(cut) and n > int(cut[-1]):
         cut = cut[(data[np.minimum(cut, n - 1)] & 0xC0) != 0x80]
     elif len(cut):

@@ -15,7 +15,7 @@ def test_gear_hash_by_definition():
         data = bytes(rnd.randrange(256) for _ in range(n))
         h, want = 0, []
         for c in data:
-            h = ((h << 1) + int(cd.GEAR[c])) & 0xFFFFFFFF
+            h = ((h << 1) + int(cd.GEAR[c])) & 0xFFFF
             want.append(h)
         import numpy as np
 
@@ -97,3 +97,19 @@ def test_table_and_empty(spark, make_docs):
     got = {r.doc_id: r.text for r in cd.dedup_substrings(docs).collect()}
     assert got == _brute(pairs)
     assert cd.dedup_substrings(make_docs([])).collect() == []
+
+
+def test_passages_are_caught_wherever_they_stand():
+    """A passage of 50 words between different texts is cut out for the most part, from every later text."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    for _ in range(60):
+        passage = " ".join(word() for _ in range(50))
+        a, b = (" ".join(word() for _ in range(rnd.randint(0, 60))) + " " + passage + " " + " ".join(word() for _ in range(30))
+                for _ in range(2))
+        first, pos, marked = set(cd.chunks(a)), 0, []
+        for c in cd.chunks(b):
+            if c in first:
+                marked.append((pos, pos + len(c)))
+            pos += len(c)
+        assert sum(e - s for s, e in cd.runs(marked)) > 0.4 * len(passage)
