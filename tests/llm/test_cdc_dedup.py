@@ -100,8 +100,8 @@ def test_table_and_empty(spark, make_docs):
 
 
 def test_passages_are_caught_wherever_they_stand():
-    """A passage of 50 words between different texts is cut out for the most part, from every later text."""
-    rnd = random.Random(9)
+    """A passage of 50 words between different texts is found in every later text, and for the most part cut out."""
+    rnd, shares = random.Random(9), []
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
     for _ in range(60):
         passage = " ".join(word() for _ in range(50))
@@ -112,4 +112,5 @@ def test_passages_are_caught_wherever_they_stand():
             if c in first:
                 marked.append((pos, pos + len(c)))
             pos += len(c)
-        assert sum(e - s for s, e in cd.runs(marked)) > 0.4 * len(passage)
+        shares.append(sum(e - s for s, e in cd.runs(marked)) / len(passage))
+    assert min(shares) > 0 and sum(shares) / len(shares) > 0.7
