@@ -87,12 +87,16 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique((np.concatenate(parts) >> np.uint64(44)).astype(np.int64), return_counts=True)
 
 
-def target_ids(labels: DataFrame, most: int = MAX_TARGET) -> list[int]:
-    """Ids labelled good and never bad or toxic; at most ``most``, those with the smallest hash."""
-    good = (labels.where("doc_id IS NOT NULL").groupBy("doc_id")
+def targets(labels: DataFrame) -> DataFrame:
+    """doc_id: the ids labelled good and never bad or toxic, each once."""
+    return (labels.where("doc_id IS NOT NULL").groupBy("doc_id")
             .agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-            .where("q = 1 AND t = 0"))
-    return [r.doc_id for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()]
+            .where("q = 1 AND t = 0").select("doc_id"))
+
+
+def target_ids(labels: DataFrame, most: int = MAX_TARGET) -> list[int]:
+    """The ids of ``targets``; at most ``most``, those with the smallest hash."""
+    return [r.doc_id for r in targets(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
 class Model:

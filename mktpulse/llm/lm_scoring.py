@@ -10,8 +10,9 @@ mean of the differences (target minus background, lower is closer to the target)
 The n-gram table grows with the corpus and is never broadcast or collected:
 documents fall into parts of bounded text, a part's distinct n-grams are its
 rows in the counting shuffle, and the same rows fetch the losses back, so the traffic
-is distinct n-grams per part, not tokens. Only single-token counts (at most one
-row per Unicode code point) and the target ids (at most ``importance.MAX_TARGET``) are broadcast.
+is distinct n-grams per part, not tokens. All target documents count, however many: their ids are
+joined to the parts that hold them, and a part is sent its own. Only single-token counts (at most one
+row per Unicode code point) are broadcast.
 
 Defined results: NULL and empty texts have the end token alone; without target
 documents the target model is the uniform one, without documents the result is empty; rows that
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mktpulse.llm.common import prepare, stored
-from mktpulse.llm.importance import target_ids
+from mktpulse.llm.importance import target_ids, targets  # noqa: F401 (target_ids: the tests' small id lists)
 
 ORDER, PRIOR = 5, 5.0
 #: Code points of a part on average, and of a slice counted at once.
@@ -86,20 +87,26 @@ def part_counts(ids, texts, target: frozenset, order: int = ORDER):
 
 def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference of every whole text (nats per token)."""
-    spark = prepare(docs.sparkSession)
-    ids = spark.sparkContext.broadcast(frozenset(target_ids(labels)))
+    prepare(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     size = src.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     n_parts = max(1, ceil(size / PART))
     src = src.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).cast("int"))
 
-    def count(t: pa.Table) -> pa.Table:
-        ctx, tok, n = part_counts(t["doc_id"].to_pylist(), t["text"].to_pylist(), ids.value, order)
+    # the target ids among a part's documents; an id that repeats has at most one row per part
+    good = targets(labels).select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    inside = (src.select("part", "doc_id").distinct().join(good, "doc_id", "left_semi")
+              .select(F.col("part").alias("_part"), F.col("doc_id").alias("_id")))
+
+    def count(t: pa.Table, ids: pa.Table) -> pa.Table:
+        ctx, tok, n = part_counts(t["doc_id"].to_pylist(), t["text"].to_pylist(), frozenset(ids["_id"].to_pylist()), order)
         return pa.table({"part": pa.array(np.full(len(ctx), t["part"][0].as_py(), np.int32)), "ctx": ctx, "tok": tok,
                          "b": n[:, 0], "t": n[:, 1]})
 
-    met = stored(src.groupBy("part").applyInArrow(count, "part int, ctx bigint, tok bigint, b bigint, t bigint"), "lm-counts")
+    met = src.groupBy("part").cogroup(inside.groupBy("_part")).applyInArrow(
+        count, "part int, ctx bigint, tok bigint, b bigint, t bigint")
+    met = stored(met, "lm-counts")
     # one table of all n-grams; it stays in place, by context
     table = met.repartition("ctx").groupBy("ctx", "tok").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
     single = met.groupBy("tok").agg(F.sum("b").alias("sb"), F.sum("t").alias("st"))  # at most one row per code point

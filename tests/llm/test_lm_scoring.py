@@ -79,3 +79,16 @@ def test_junk_is_further_from_the_target(spark):
     good = sorted(got[r.doc_id] for r in rows if r.quality and not r.toxic)
     junk = sorted(got[r.doc_id] for r in rows if not r.quality)
     assert good[len(good) // 2] < junk[len(junk) // 2]
+
+
+def test_every_target_document_counts(spark, make_docs, monkeypatch):
+    """Neither a bound on ids nor the order of their hashes leaves a labelled document out."""
+    monkeypatch.setattr(lm, "PART", 2000)
+    monkeypatch.setattr(lm.target_ids, "__defaults__", (3,))
+    rnd = random.Random(2)
+    pairs = [(i, "".join(rnd.choice("abcd ") for _ in range(40))) for i in range(120)] + [(7, "an id again"), (None, "no id")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)] + [(7, 1, 0), (999, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = sorted((tuple(r) for r in lm.score(make_docs(pairs), labels).collect()), key=_key)
+    want = sorted(_brute(pairs, {*range(0, 120, 2), 7}), key=_key)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-9, abs=1e-9)
