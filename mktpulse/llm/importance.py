@@ -7,7 +7,9 @@ replacement by Gumbel top-k (log weight plus Gumbel noise, the k largest).
 
 Features: words, word beginnings, and trigrams of word shapes (so case, digits and marks
 count), hashed into ``BUCKETS``. A feature's ratio is smoothed towards 1 by
-``PRIOR`` raw counts, and the document's own occurrences are left out of both
+``PRIOR`` raw counts, but by no fewer than make ``PRIOR_TARGET`` expected target counts: where few documents are
+target documents, a feature without a target count is no evidence until the target should have shown it some
+13 times (2 (e^2 - 1)). The document's own occurrences are left out of both
 models, so that labelled and unlabelled documents are scored alike. Only ratios
 below ``exp(CUT)`` count: what the target has at its usual rate says nothing,
 and sums over it would only measure length.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from mktpulse.llm.common import prepare, stored, texts
 
 BUCKETS = 1 << 20
-PRIOR, CUT = 10.0, -2.0
+PRIOR, PRIOR_TARGET, CUT = 10.0, 2.0, -2.0
 MAX_TARGET = 200_000
 #: Log weights are divided by this before the noise is added: the lower, the closer to a plain cut.
 TEMPERATURE = 0.2
@@ -111,7 +113,7 @@ class Model:
             return 0.0
         at, n = features(text)
         own = n if in_target else 0
-        a = self.prior
+        a = max(self.prior, PRIOR_TARGET / self.rate)
         # repeated rows of one target id may count more often than the id: never below zero
         t, r = np.maximum(self.target[at] - own, 0), np.maximum(self.raw[at] - n, 0)
         ratio = np.log((t + a * self.rate) / ((r + a) * self.rate))

@@ -103,3 +103,19 @@ def test_top_k_and_no_labels(spark, make_docs):
     assert sorted((r.key for r in got if r.kept), reverse=True) == top
     assert all(r.kept for r in im.resample(make_docs(rows), _labels(spark, [])).collect())
     assert im.resample(make_docs([]), _labels(spark, labels)).collect() == []
+
+
+def test_few_targets_do_not_make_copies_bad(spark, make_docs):
+    """At a low sampling rate the words of a clean document with copies are no evidence of badness; junk still is."""
+    rnd = random.Random(4)
+    vocab = ["w%d" % i for i in range(200)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(15)) + (" idiotic" * 3 if i % 5 == 0 else "")) for i in range(3000)]
+    groups = [(3000 + i, " ".join(f"own{i % 20}x{k}" for k in range(15))) for i in range(20 * 150)]
+    labels = _labels(spark, [(d, int("idiotic" not in t), 0) for d, t in rows + groups])
+    docs, target = make_docs(rows + groups), im.target_ids(labels, 60)
+    model = im.fit(docs, target)
+    hit = {(d - 3000) % 20 for d in target if d >= 3000}
+    assert len(target) == 60 and len(hit) < 20 and model.rate < 0.02
+    got = {r.doc_id: r.log_weight for r in im.score(docs, model, target).collect()}
+    assert all(got[d] == 0 for d, _ in groups)
+    assert all((got[d] < 0) == ("idiotic" in t) for d, t in rows)
