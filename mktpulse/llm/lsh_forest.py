@@ -25,12 +25,13 @@ is the empty text; a NULL doc_id never names a class while there is another; row
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mktpulse.llm.common import list_array, lookup_hot, prepare, stored
@@ -200,8 +201,9 @@ def verify(cells: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, c
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES,
                     deepest: int = DEPTH, recall: float = RECALL, cell: int = CELL) -> DataFrame:
-    """Per document: doc_id, _h (hash of its text), class_id (smallest doc_id of its class), text_id (smallest
-    doc_id with its words), copies (documents with its words), links (other texts it is linked to)."""
+    """Per document: doc_id, _h (hash of its text), class_id (smallest doc_id of its class), class_h (smallest _h that
+    comes with it), text_id (smallest doc_id with its words), copies (documents with its words), links (other texts
+    it is linked to). class_id and class_h name the first document of the class: a doc_id may be NULL or repeat."""
     spark = prepare(docs.sparkSession)
     depth = working_depth(trees, deepest, threshold, recall)
     own = stored(signed(docs, trees, depth, words), "jaccard-signed")
@@ -225,25 +227,32 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     full = (nodes.drop("keys").join(links, "node", "left").join(label, "node", "left")
-            .select("_text", "rep", "n", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"),
+            .select("_text", "rep", "rep_h", "n", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"),
                     F.coalesce("root", "node").alias("root")))
     full = stored(full, "jaccard-labelled")
-    ids = stored(full.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")), "jaccard-classes")
+    ids = full.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "rep_h")).alias("first"), F.count("*").alias("n"))
+    ids = stored(ids.select("root", F.col("first.rep").alias("class_id"), F.col("first.rep_h").alias("class_h"), "n"), "jaccard-classes")
     named = lookup_hot(full.withColumnRenamed("n", "copies"), ids, "root", ids.agg(F.sum("n")).first()[0] or 0)
-    named = named.select("_text", F.col("copies").alias("n"), "class_id", F.col("rep").alias("text_id"), "links")
+    named = named.select("_text", F.col("copies").alias("n"), "class_id", "class_h", F.col("rep").alias("text_id"), "links")
     named = stored(named, "jaccard-named")
     out = lookup_hot(own.select("doc_id", "_h", "_text"), named, "_text", own.count())
-    return out.select("doc_id", "_h", "class_id", "text_id", F.col("n").alias("copies"), "links")
+    return out.select("doc_id", "_h", "class_id", "class_h", "text_id", F.col("n").alias("copies"), "links")
 
 
 def one_per_class(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` but for those that are not the first document of their class (smallest doc_id).
+    """The rows of ``docs`` but for those that are not the first document of their class (smallest doc_id, NULL last,
+    then smallest hash of the text).
 
-    Rows that repeat the first document (same doc_id and text) are repeats too: one stays.
+    Rows that repeat the first document (same doc_id and text) are repeats too: the one with the smallest other
+    columns stays. Other texts under its doc_id, or under NULL, are documents of their own classes.
     """
     c = jaccard_classes(docs, **how)
-    gone = (c.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"))
-            .distinct())
-    h = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("_h") == F.col("class_h"))
+    gone = c.where(~first).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k")).distinct()
+    cols, h = docs.columns, F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     left = docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"]) & (h == gone["_k"]), "left_anti")
-    return left.dropDuplicates(["doc_id"])
+    # equal (doc_id, text) are in one class, so numbering them leaves one row per class
+    order = [F.col(f.name) for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    same = Window.partitionBy("doc_id", "_same").orderBy(*order)
+    return (left.withColumn("_same", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+            .withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select(*cols))

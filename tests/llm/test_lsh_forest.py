@@ -138,3 +138,16 @@ def test_components(spark, seed):
     for x in got:
         for y in got:
             assert (got[x] == got[y]) == (root[x] == root[y])
+
+
+def test_one_per_class_keeps_texts_that_share_an_id(spark, make_docs):
+    """Unrelated texts under NULL or under one repeated id are classes of their own; exact repeats are not."""
+    words = lambda k: " ".join(f"{k}{i}" for i in range(12))
+    pairs = [(None, words("a")), (None, words("b")), (None, words("b")), (None, None), (None, ""),
+             (1, words("c")), (1, words("d")), (1, words("d")), (1, words("e").upper()), (1, words("e")),
+             (2, words("d")), (3, words("a")), (4, words("f")), (4, words("f"))]
+    docs = make_docs(pairs)
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in lf.one_per_class(docs).collect()), key=str)
+    want = [(None, words("b")), (None, ""), (1, words("c")), (1, words("d")), (1, words("e")), (3, words("a")), (4, words("f"))]
+    assert got == sorted(want, key=str)
+    assert lf.one_per_class(docs).columns == docs.columns
