@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: MinHash LSH forest and exact verification.
+"""N-gram Jaccard join: MinHash banding of a fixed depth and exact verification.
 
 Texts are sets of shingles (five consecutive words, lower case; a shorter text
 is one shingle). Two documents are linked if the Jaccard similarity of their
@@ -7,8 +7,9 @@ sets is at least ``THRESHOLD``.
 1. Documents with the same words are one text; only different texts go on.
 2. A text has a signature of ``TREES`` x ``DEPTH`` min-hashes: one path in each of ``TREES`` prefix tries.
    Texts that share a trie node of the working depth are candidates. The working depth
-   starts at the full path and is shortened until the trees find a pair of exactly the
-   threshold with probability ``RECALL`` (pairs above it more often).
+   is the longest at which the trees find a pair of exactly the threshold with probability ``RECALL``
+   (pairs above it more often). It follows from four constants (8 here), not from the data, so this is
+   banding, not an adaptive LSH forest: no trie is sorted, and levels below the depth are not computed.
 3. The members of a trie node are tied to the smallest of them (a star, never all pairs);
    components of these ties are cells. A cell holds every candidate pair of its texts.
 4. A cell is verified exactly: all similarities within it from the shingle sets. A cell of more
