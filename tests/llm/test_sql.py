@@ -14,7 +14,7 @@ from mktpulse.llm.queries import ORACLE_SQL
 @pytest.mark.parametrize("key", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, key, sf):
     con = duckdb.connect()
-    for t in ("pages", "embeddings", "documents"):
+    for t in ("pages", "embeddings", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     con.execute(f"CREATE VIEW o AS {ORACLE_SQL[key]}")
     res = con.execute("SELECT * FROM o")
