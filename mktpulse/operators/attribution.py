@@ -18,8 +18,19 @@ instant, since ``event_ts <= order_ts`` counts):
   ``w = exp(-k * minutes before order)``. Shares do not change if every
   weight is divided by the weight of the order's latest touch (D9).
 
-The timeline is cut into segments (user, hour), so a user with a third of all
-rows is spread over as many tasks as it has active hours:
+Reduction. Touches of users without an order earn nothing. Before anything is
+shuffled they go by a filter of the buyers: three bits of a user's hash in one
+of ``FILTER_WORDS`` 64-bit words, built by a map-side-combined ``bit_or``, at
+most that many rows however many buyers there are, so its broadcast is bounded.
+A touch that passes by chance earns nothing either; beyond some ten million buyers
+the filter lets more and more touches through, but never loses one.
+
+Light users. All but the ``hot`` users with the most rows: one exchange by
+user, windows over the user's timeline for counts and credits, and windows over
+(user, reference block) for the decayed weights.
+
+Heavy users, of which there are at most ``hot`` (their ids are broadcast): no
+task holds one of them. Their timeline is cut into segments (user, hour):
 
 1. every segment's touches are summed up (count, decayed weight, first and
    last touch): a plain aggregate, combined map-side;
@@ -30,11 +41,14 @@ rows is spread over as many tasks as it has active hours:
    leaves one row per (source, campaign) and the sums of its orders;
 4. windows over the segments carry the orders' sums back to earlier touches.
 
+Both ways are always planned; there is no switch by size. A light user holds
+less than one part in ``hot`` of the rows.
+
 Exponents never leave the range of a double: weights are kept relative to the
 start of a reference block of time, chosen so that its length decays by
-``exp(-250)``. What lies two or more blocks before a user's latest touch has a
-share below 1e-100 of that touch's and is left out; an order whose latest
-touch is older than that is referred to the block of that touch.
+``exp(-250)``. What lies so far before a user's latest touch that its weight is below
+``exp(-50)`` of that touch's (2e-22, less than the last place of a double) may be
+left out; an order whose latest touch is older than that is referred to the block of that touch.
 
 No Python, no driver state, no checkpoint: Catalyst plans the whole operator.
 """
@@ -46,11 +60,15 @@ from pyspark.sql import functions as F
 
 from mktpulse.contracts import DECAY_PER_MINUTE
 from mktpulse.functions.ratios import money
-from mktpulse.operators.joins import DEFAULT_HOT, lookup_join
+from mktpulse.operators.joins import DEFAULT_HOT, hot_keys, lookup_join
 
 SEGMENT_SECONDS = 3600
+#: 64-bit words of the filter of buyers: bounds its broadcast to some 40 MB.
+FILTER_WORDS = 1 << 20
 #: A reference block decays by exp(-_BLOCK_DECAY); without decay all time is one block (seconds).
 _BLOCK_DECAY, _ALL_TIME = 250.0, 1 << 40
+#: A touch in this last part of a block also counts in the next one: there it weighs exp(-50) and more.
+_NEXT_BLOCK = 0.2
 
 
 def timeline(touches: DataFrame, orders: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
@@ -204,36 +222,103 @@ def _credited(segments: DataFrame, d: _Decay) -> DataFrame:
                     ((F.col("p.hit") > 0) | ((F.col("p.n") > 0) & (F.col("cnt_later") > 0))).alias("hit"), F.col("p.oids").alias("oids"))
 
 
+def of_buyers(touches: DataFrame, orders: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """The touches of users with an order, and a few of others: what passes the filter of the buyers' hashes."""
+    h = F.xxhash64("user_id")
+    bits = [F.lit(1).cast("bigint") * F.expr(f"shiftleft(1L, cast(shiftright(xxhash64(user_id), {s}) & 63 AS int))") for s in (40, 46, 52)]
+    key = [F.pmod(h, F.lit(words)).alias("_word"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("_bits")]
+    buyers = (orders.filter(F.col("user_id").isNotNull() & F.col("order_ts").isNotNull()).select(*key)
+              .groupBy("_word").agg(F.bit_or("_bits").alias("_set")))
+    t = touches.filter(F.col("user_id").isNotNull() & F.col("event_ts").isNotNull()).select("*", *key)
+    return (t.join(F.broadcast(buyers), "_word").filter(F.col("_set").bitwiseAND(F.col("_bits")) == F.col("_bits"))
+            .select(*touches.columns))
+
+
+def _light(tl: DataFrame, d: _Decay) -> DataFrame:
+    """(source, campaign) parts of users whose timeline fits a task: channel, campaign, lin, dec, lc, fc, hit, oid."""
+    touch, order = F.col("kind") == 0, F.col("kind") == 1
+    # the end of a block counts in the next block too, as rows (kind -1) that only weigh
+    late = (F.col("sec") - d.of(F.col("sec")) * d.block) >= (1 - _NEXT_BLOCK) * d.block
+    tl = (tl.withColumn("_shift", F.explode(F.when(touch & late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+          .withColumn("kind", F.when(F.col("_shift") == 1, -1).otherwise(F.col("kind")))
+          .withColumn("own", F.when(F.col("kind") < 1, d.of(F.col("sec")) + F.col("_shift"))))
+    tl = tl.withColumn("rel", F.when(F.col("kind") < 1, F.exp(d.k * (F.col("sec") - F.col("own") * d.block))))
+    order_by = ["t_us", "kind", F.col("src").asc_nulls_first(), F.col("camp").asc_nulls_first(),
+                F.col("oid").asc_nulls_first(), F.col("rev").asc_nulls_first()]
+    user = Window.partitionBy("user_id").orderBy(*order_by)
+    upto, after = user.rowsBetween(Window.unboundedPreceding, 0), user.rowsBetween(0, Window.unboundedFollowing)
+    pair = F.when(touch, F.struct("src", "camp"))
+    # exact duplicate order rows are one order; they are neighbours
+    again = ((F.lag("kind").over(user) == 1) & (F.lag("t_us").over(user) == F.col("t_us"))
+             & F.lag("oid").over(user).eqNullSafe(F.col("oid")) & F.lag("rev").over(user).eqNullSafe(F.col("rev")))
+    j = tl.withColumns({"n": F.count(F.when(touch, 1)).over(upto), "last": F.last(pair, ignorenulls=True).over(upto),
+                        "first": F.first(pair, ignorenulls=True).over(upto), "again": F.coalesce(again, F.lit(False)),
+                        # an order belongs to the block of its latest touch
+                        "blk": F.coalesce("own", F.last(F.when(touch, F.col("own")), ignorenulls=True).over(upto))})
+    counted = order & ~F.col("again") & (F.col("n") > 0)
+    r = F.coalesce(F.col("rev").cast("double"), F.lit(0.0))
+    j = j.withColumns({"counted": counted, "v": F.when(counted, r / F.col("n"))})
+    j = j.withColumns({"lin": F.coalesce(F.sum("v").over(after), F.lit(0.0)), "hit": F.count(F.when(F.col("counted"), 1)).over(after) > 0})
+    block = Window.partitionBy("user_id", "blk").orderBy(*order_by)
+    j = j.withColumn("a", F.when(F.col("counted"), r / F.sum("rel").over(block.rowsBetween(Window.unboundedPreceding, 0))))
+    j = j.withColumn("dec", F.col("rel") * F.coalesce(F.sum("a").over(block.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0)))
+    zero, rev = F.lit(0.0), F.coalesce("rev", money(F.lit(0)))
+
+    def part(of, lin=zero, dec=zero, lc=None, fc=None, hit=F.lit(False), oid=None):
+        none = money(F.lit(None))
+        return F.struct(of["src"].alias("channel"), of["camp"].alias("campaign"), lin.alias("lin"), dec.alias("dec"),
+                        (none if lc is None else lc).alias("lc"), (none if fc is None else fc).alias("fc"),
+                        hit.alias("hit"), (F.lit(None).cast("string") if oid is None else oid).alias("oid"))
+
+    own = F.struct("src", "camp")
+    parts = (F.when(F.col("counted"), F.array(part(F.col("last"), lc=rev, oid=F.col("oid")), part(F.col("first"), fc=rev)))
+             .when(touch & F.col("hit"), F.array(part(own, lin=F.col("lin"), dec=F.col("dec"), hit=F.lit(True))))
+             .when((F.col("kind") == -1) & (F.col("dec") > 0), F.array(part(own, dec=F.col("dec")))))
+    return j.select(F.explode(parts).alias("p")).select("p.*")
+
+
+def _heavy(tl: DataFrame, d: _Decay) -> DataFrame:
+    """The same parts of users that no task could hold, by segments."""
+    parts = _credited(_segments(tl, d), d)
+    # order ids are counted across users and segments: a row for each beside the row of sums
+    names = (("lin", "double"), ("dec", "double"), ("lc", "decimal(38,8)"), ("fc", "decimal(38,8)"), ("hit", "boolean"))
+    blank = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in names])
+    sums = F.struct(*[F.col(c).cast(t).alias(c) for c, t in names])
+    rows = F.concat(F.array(F.struct(sums.alias("s"), F.lit(None).cast("string").alias("oid"))),
+                    F.transform("oids", lambda o: F.struct(blank.alias("s"), o.alias("oid"))))
+    return parts.select("channel", "campaign", F.explode(rows).alias("r")).select("channel", "campaign", "r.s.*", "r.oid")
+
+
 def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_PER_MINUTE,
-                       require_last_click: bool = False, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
+                       require_last_click: bool = False, segment_seconds: int = SEGMENT_SECONDS,
+                       hot: int = DEFAULT_HOT) -> DataFrame:
     """``mart_attribution_summary``.
 
     One row per (channel, campaign) of the touches (the web event's
     ``source`` and ``campaign``) credited by any model; each model's revenue
     sums to the revenue of orders with at least one earlier touch (D8).
     ``require_last_click=True`` keeps only pairs with last-click credit, as
-    the reference's left join does. A task holds the events of one user and
-    ``segment_seconds``.
+    the reference's left join does. A task holds the timeline of a user, or the events of
+    one of the ``hot`` heaviest users in ``segment_seconds``.
     """
-    if segment_seconds < 1:
-        raise ValueError("segment_seconds must be positive")
-    tl = timeline(touches.select("user_id", "event_ts", "source", "campaign"),
-                  orders.select("order_id", "user_id", "order_ts", "revenue"), segment_seconds)
+    if segment_seconds < 1 or hot < 0:
+        raise ValueError("segment_seconds must be positive, hot not negative")
+    orders = orders.select("order_id", "user_id", "order_ts", "revenue")
+    touches = of_buyers(touches.select("user_id", "event_ts", "source", "campaign"), orders)
+    tl = timeline(touches, orders, segment_seconds)
     d = _Decay(k, segment_seconds)
-    parts = _credited(_segments(tl, d), d)
-    # order ids are counted across users and segments: a row for each beside the row of sums
-    blank = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (
-        ("lin", "double"), ("dec", "double"), ("lc", "decimal(38,8)"), ("fc", "decimal(38,8)"), ("hit", "boolean"))])
-    sums = F.struct(*[F.col(c).cast(t).alias(c) for c, t in (
-        ("lin", "double"), ("dec", "double"), ("lc", "decimal(38,8)"), ("fc", "decimal(38,8)"), ("hit", "boolean"))])
-    rows = F.concat(F.array(F.struct(sums.alias("s"), F.lit(None).cast("string").alias("oid"))),
-                    F.transform("oids", lambda o: F.struct(blank.alias("s"), o.alias("oid"))))
-    r = parts.select("channel", "campaign", F.explode(rows).alias("r")).select("channel", "campaign", "r.s.*", "r.oid")
-    out = (r.groupBy("channel", "campaign")
-           .agg(F.countDistinct("oid").alias("orders"),
-                F.sum("lc").cast("double").alias("revenue_last_click"),
-                F.sum("fc").cast("double").alias("revenue_first_click"),
-                F.sum("lin").alias("revenue_linear"), F.sum("dec").alias("revenue_time_decay"),
+    heavy = F.broadcast(hot_keys(tl, "user_id", hot))  # at most ``hot`` rows
+    parts = _light(tl.join(heavy, "user_id", "left_anti"), d).unionByName(
+        _heavy(tl.join(heavy, "user_id", "left_semi"), d))
+    # distinct order ids in two steps: rows without an id are combined before the shuffle
+    sums = ["lin", "dec", "lc", "fc"]
+    by_id = parts.groupBy("channel", "campaign", "oid").agg(*[F.sum(c).alias(c) for c in sums], F.max("hit").alias("hit"))
+    out = (by_id.groupBy("channel", "campaign")
+           .agg(F.count("oid").alias("orders"),
+                F.coalesce(F.sum("lc").cast("double"), F.lit(0.0)).alias("revenue_last_click"),
+                F.coalesce(F.sum("fc").cast("double"), F.lit(0.0)).alias("revenue_first_click"),
+                F.coalesce(F.sum("lin"), F.lit(0.0)).alias("revenue_linear"),
+                F.coalesce(F.sum("dec"), F.lit(0.0)).alias("revenue_time_decay"),
                 F.max("hit").alias("_hit")))
     out = out.filter((F.col("orders") > 0) | F.col("_hit")).drop("_hit")
     if require_last_click:

@@ -72,10 +72,11 @@ def brute(touches: list[tuple], orders: list[tuple], k: float = K) -> dict:
     return out
 
 
-def run_scan(spark, touches, orders, segment_seconds=3600, **kw):
+def run_scan(spark, touches, orders, segment_seconds=3600, hot=2, **kw):
+    """By default the two users with the most rows go the heavy way, all others the light one."""
     w = spark.createDataFrame(touches, WEB)
     o = spark.createDataFrame(orders, ORD)
-    got = rows(A.attribution_models(w, o, segment_seconds=segment_seconds, **kw))
+    got = rows(A.attribution_models(w, o, segment_seconds=segment_seconds, hot=hot, **kw))
     return {(r["channel"], r["campaign"]): r for r in got}
 
 
@@ -145,10 +146,44 @@ def _random_history(seed: int, users: int, touches_per_user: int, orders_per_use
     return touches, orders
 
 
-@pytest.mark.parametrize("seed,segment", [(1, 3600), (2, 60), (3, 86_400), (4, 400 * 86_400)])
-def test_random_histories(spark, seed, segment):
+@pytest.mark.parametrize("seed,segment,hot", [(1, 3600, 1000), (2, 60, 5), (3, 86_400, 0), (4, 400 * 86_400, 1000), (5, 3600, 0)])
+def test_random_histories(spark, seed, segment, hot):
     touches, orders = _random_history(seed, users=25, touches_per_user=30, orders_per_user=6)
-    assert_same(run_scan(spark, touches, orders, segment), brute(touches, orders))
+    assert_same(run_scan(spark, touches, orders, segment, hot), brute(touches, orders))
+
+
+def test_no_result_change_by_the_split(spark):
+    """Whoever is heavy, the numbers are the same."""
+    touches, orders = _random_history(51, users=20, touches_per_user=25, orders_per_user=5, days=900)
+    want = run_scan(spark, touches, orders, hot=0)
+    for hot in (1, 7, 1000):
+        assert_same(run_scan(spark, touches, orders, hot=hot), want, 1e-9)
+
+
+def test_touches_of_users_without_orders_are_left_out_early(spark):
+    """2 % of the users order: about 2 % of the touches pass the filter, and none of a buyer's is lost."""
+    base = dt.datetime(2024, 1, 1)
+    touches = [(f"u{u}", base + dt.timedelta(hours=h), "Meta", "A") for u in range(2000) for h in range(10)]
+    orders = [(f"o{u}", f"u{u}", base + dt.timedelta(days=1), Decimal("1.00")) for u in range(0, 2000, 50)]
+    w, o = spark.createDataFrame(touches, WEB), spark.createDataFrame(orders, ORD)
+    left = A.of_buyers(w, o)
+    assert left.columns == w.columns
+    passed = [r.user_id for r in left.select("user_id").collect()]
+    assert {f"u{u}" for u in range(0, 2000, 50)} <= set(passed) and 400 <= len(passed) <= 440
+    # a filter far too small for its buyers lets others pass and changes nothing else
+    small = A.of_buyers(w, o, words=2)
+    assert small.join(left, w.columns, "left_anti").count() == small.count() - 400
+    plan = A.attribution_models(w, o)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_or") >= 1
+
+
+def test_the_light_way_has_four_windows_and_one_exchange(spark):
+    touches, orders = _random_history(13, users=5, touches_per_user=5, orders_per_user=2)
+    tl = A.timeline(spark.createDataFrame(touches, WEB), spark.createDataFrame(orders, ORD))
+    plan = A._light(tl, A._Decay(K, 3600))._jdf.queryExecution().executedPlan().toString()
+    import re
+    nodes = re.findall(r"^[\s:+\-*()\d]*(Window|Exchange)\b", plan, re.M)
+    assert nodes.count("Window") <= 4 and nodes.count("Exchange") == 1, plan
 
 
 def test_hot_user_across_segments(spark):
@@ -162,7 +197,7 @@ def test_hot_user_across_segments(spark):
     hot_t = [("u0",) + t[1:] for t in hot_t]
     touches = [t for t in touches if t[0] != "u0"] + hot_t
     orders = [o for o in orders if o[1] != "u0"] + hot_o
-    assert_same(run_scan(spark, touches, orders), brute(touches, orders))
+    assert_same(run_scan(spark, touches, orders, hot=1), brute(touches, orders))
 
 
 def test_models_sum_to_attributed_revenue(spark):
@@ -181,9 +216,10 @@ def test_plan_has_no_pair_join(spark):
     plan = A.attribution_models(w, o)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "Arrow"):
         assert bad not in plan
-    # the one join meets a segment's rows with its carry, on (user, segment)
+    # shuffle joins meet a segment's rows with its carry, on (user, segment); the hot users and the filter are broadcast
     import re
-    assert all("user_id" in j and "seg" in j for j in re.findall(r"(?:SortMergeJoin|BroadcastHashJoin) \[[^\]]*\]", plan))
+    assert all("user_id" in j and "seg" in j for j in re.findall(r"SortMergeJoin \[[^\]]*\]", plan))
+    assert all("user_id" in j or "_word" in j for j in re.findall(r"BroadcastHashJoin \[[^\]]*\]", plan))
 
 
 def test_last_touch_and_order_campaign(spark):
@@ -207,8 +243,9 @@ def test_last_touch_and_order_campaign(spark):
         A.attribution(web, od, "nope")
 
 
+@pytest.mark.parametrize("hot", [0, 1000])
 @pytest.mark.parametrize("k", [K, 0.0, 0.05])
-def test_long_spans(spark, k):
+def test_long_spans(spark, k, hot):
     """Histories of many years cross several reference blocks; a strong decay makes the blocks short."""
     touches, orders = _random_history(21, users=40, touches_per_user=25, orders_per_user=5)
     base = dt.datetime(2015, 1, 1)
@@ -217,7 +254,7 @@ def test_long_spans(spark, k):
         touches += [(uid, base + dt.timedelta(days=30 * j, seconds=u), "Email", "B") for j in range(0, 120, 7)]
         touches += [(uid, base + dt.timedelta(days=3000), "Meta", "A")]
         orders += [(f"L{u}-{j}", uid, base + dt.timedelta(days=30 * j + 3), Decimal("12.34")) for j in range(1, 120, 9)]
-    assert_same(run_scan(spark, touches, orders, k=k), brute(touches, orders, k))
+    assert_same(run_scan(spark, touches, orders, k=k, hot=hot), brute(touches, orders, k))
 
 
 def test_money_below_a_cent(spark):
