@@ -28,6 +28,7 @@ from mktpulse.contracts import FUNNEL_STAGES, HOLDOUT_GROUPS, NA_TOKENS, OPTIONA
 from mktpulse.sources.readers import RAGGED
 
 REPORT_COLUMNS = ["table", "check", "column", "violations"]
+REPORT_SCHEMA = "table string, check string, column string, violations bigint"
 
 
 def _cell(col: Column) -> Column:
@@ -97,17 +98,44 @@ def row_checks(table: str, mode: str = "strict", date_formats: tuple[str, ...] =
     return checks
 
 
+def column_faults(df: DataFrame, table: str, allow_extra: bool = False, allow_optional: bool = True,
+                  dashboard: str | None = None) -> list[tuple]:
+    """V1 + V2 as report rows; needs no scan."""
+    meta = [(table, "missing_column", c, None) for c in missing_columns(df, table, dashboard)]
+    if not allow_extra:
+        meta += [(table, "unexpected_column", c, None) for c in unexpected_columns(df, table, allow_optional, dashboard)]
+    return meta
+
+
+def check_counts(df: DataFrame, table: str, mode: str = "strict", date_formats: tuple[str, ...] = (),
+                 dashboard: str | None = None) -> list[Column]:
+    """Aggregates over ``typed(df)``, one per row check and the number of rows: for ``DataFrame.observe``, so that
+    the counts come from the job that writes the rows."""
+    checks = row_checks(table, mode, date_formats, dashboard, RAGGED in df.columns)
+    return [*[F.count_if(F.array_contains("_errors", _label(chk, col))).alias(f"c{i}") for i, (chk, col, _) in enumerate(checks)],
+            F.count(F.lit(1)).alias("rows")]
+
+
+def report_of(counts: dict, df: DataFrame, table: str, mode: str = "strict", date_formats: tuple[str, ...] = (),
+              dashboard: str | None = None) -> list[tuple]:
+    """The report rows of ``check_table`` from the values of ``check_counts``."""
+    checks = row_checks(table, mode, date_formats, dashboard, RAGGED in df.columns)
+    return [*[(table, chk, col, counts[f"c{i}"]) for i, (chk, col, _) in enumerate(checks)],
+            (table, "non_empty", None, int(counts["rows"] == 0))]
+
+
+def _label(check: str, column: str | None) -> str:
+    return f"{check}:{column}" if column else check
+
+
 def check_table(df: DataFrame, table: str, mode: str = "strict", allow_extra: bool = False,
                 date_formats: tuple[str, ...] = (), allow_optional: bool = True, dashboard: str | None = None) -> DataFrame:
     """V1-V9 for one table: one report row per check, in one scan."""
     spark = df.sparkSession
-    meta = [(table, "missing_column", c, None) for c in missing_columns(df, table, dashboard)]
-    if not allow_extra:
-        meta += [(table, "unexpected_column", c, None) for c in unexpected_columns(df, table, allow_optional, dashboard)]
-    schema = "table string, check string, column string, violations bigint"
+    meta = column_faults(df, table, allow_extra, allow_optional, dashboard)
     if meta:
         # the reference stops at the column checks; so do we
-        return spark.createDataFrame(meta, schema)
+        return spark.createDataFrame(meta, REPORT_SCHEMA)
     checks = row_checks(table, mode, date_formats, dashboard, RAGGED in df.columns)
     aggs = [F.count_if(p).alias(f"c{i}") for i, (_, _, p) in enumerate(checks)]
     aggs.append(F.count(F.lit(1)).alias("rows"))
@@ -153,7 +181,7 @@ def typed(df: DataFrame, table: str, mode: str = "strict", date_formats: tuple[s
     """Parse the contract columns and add ``_errors``: the checks a row fails. Text cells that mean a missing
     value become NULL."""
     checks = row_checks(table, mode, date_formats, dashboard, RAGGED in df.columns)
-    errs = F.filter(F.array(*[F.when(p, F.lit(f"{chk}:{col}" if col else chk)) for chk, col, p in checks]),
+    errs = F.filter(F.array(*[F.when(p, F.lit(_label(chk, col))) for chk, col, p in checks]),
                     lambda x: x.isNotNull())
     kinds = parsed_columns(table, dashboard)
     text = [c for c in schema_of(table, dashboard).names if c not in kinds]

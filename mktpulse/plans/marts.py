@@ -17,16 +17,17 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import uuid
 from dataclasses import dataclass
+from datetime import date, timedelta
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mktpulse.contracts import (DASHBOARDS, DEFAULT_EXPOSURE_LOOKBACK_DAYS, DEFAULT_LTV_LOOKBACK_DAYS, DEFAULT_TOP_N,
                                 DEFAULT_TOTAL_BUDGET)
 from mktpulse.operators import attribution, budget, filters, funnel, growth, incrementality, paid, validate
-from mktpulse.session import materialize_small
+from mktpulse.session import ensure_checkpoint_dir, materialize_small
 from mktpulse.sources.readers import read_csv_raw, register_views
 
 PARTITION_BY = {
@@ -60,8 +61,7 @@ class MartParams:
 
 def build_marts(ads: DataFrame, web: DataFrame, orders: DataFrame, customers: DataFrame | None,
                 exposure: DataFrame | None, p: MartParams) -> dict[str, DataFrame]:
-    """The seven marts, lazily (the attribution mart checkpoints its timeline
-    when built). ``customers`` is carried for validation only: no mart reads it."""
+    """The seven marts, lazily. ``customers`` is carried for validation only: no mart reads it."""
     ad = filters.date_range(ads, "dt", p.start, p.end, add_dt=None)
     we = filters.date_range(web, "event_ts", p.start, p.end, add_dt=None)
     od = filters.date_range(orders, "order_ts", p.start, p.end, add_dt=None)
@@ -80,23 +80,27 @@ def build_marts(ads: DataFrame, web: DataFrame, orders: DataFrame, customers: Da
 
 
 def write_marts(marts: dict[str, DataFrame | None], path: str | None = None, fmt: str = "parquet",
-                as_tables: bool = False, files_per_day: int = 1) -> list[str]:
+                as_tables: bool = False, files_per_day: int = 1, days: tuple[str, str] | None = None) -> list[str]:
     """Overwrite each mart once. Daily marts are clustered by ``dt`` and
     ``files_per_day`` hash buckets before the partitioned write: a day lands
-    in so many files, written by as many tasks."""
+    in so many files, written by as many tasks.
+
+    ``days`` = (first, last) replaces these days of the daily marts and touches nothing else: partitions of other days
+    keep their files, a day that has no rows any more goes, marts without days are left alone. A rerun
+    gives the same rows. Needs a ``path``.
+    """
+    if days is not None:
+        if as_tables or path is None:
+            raise ValueError("days needs a path")
+        return [name for name, df in marts.items() if df is not None and PARTITION_BY.get(name)
+                and _replace_days(df, os.path.join(path, name), fmt, files_per_day, *days)]
     written = []
     for name, df in marts.items():
         if df is None:
             continue
         parts = PARTITION_BY.get(name, [])
         if parts:
-            bucket = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day))
-            df = df.withColumn("_bucket", bucket)
-            if files_per_day > 1:  # a stated number of partitions: small days are not merged into one task again
-                n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-                df = df.repartition(n, *parts, "_bucket").drop("_bucket")
-            else:
-                df = df.repartition(*parts).drop("_bucket")
+            df = _by_day(df, files_per_day)
         w = df.write.mode("overwrite").format(fmt)
         if parts:
             w = w.partitionBy(*parts)
@@ -110,6 +114,31 @@ def write_marts(marts: dict[str, DataFrame | None], path: str | None = None, fmt
     return written
 
 
+def _by_day(df: DataFrame, files_per_day: int) -> DataFrame:
+    if files_per_day == 1:
+        return df.repartition("dt")
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_day)))
+    # a stated number of partitions: small days are not merged into one task again
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "dt", "_bucket").drop("_bucket")
+
+
+def _replace_days(df: DataFrame, folder: str, fmt: str, files_per_day: int, first: str, last: str) -> bool:
+    """Dynamic partition overwrite of the days from first to last; days without rows are removed afterwards."""
+    met = Observation()  # the days written, known from the write itself
+    df = filters.date_range(df, "dt", first, last, add_dt=None).observe(met, F.collect_set(F.col("dt").cast("string")).alias("days"))
+    (_by_day(df, files_per_day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("dt").format(fmt).save(folder))
+    day, end, written = date.fromisoformat(first), date.fromisoformat(last), set(met.get["days"] or [])
+    spark = df.sparkSession
+    while day <= end:  # calendar days of the range
+        if day.isoformat() not in written:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/dt={day.isoformat()}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        day += timedelta(days=1)
+    return True
+
+
 def read_mart(spark: SparkSession, name: str, path: str | None = None, fmt: str = "parquet") -> DataFrame:
     return spark.table(name) if path is None else spark.read.format(fmt).load(os.path.join(path, name))
 
@@ -135,8 +164,8 @@ class ValidationFailed(ValueError):
 
 def load_uploads(spark: SparkSession, paths: dict[str, str], dashboard: str = "main", mode: str | None = None,
                  date_formats: tuple[str, ...] = (), multi_line: bool = False) -> dict:
-    """S1 + V10 + S3/S6: read the uploaded CSVs, validate every table in one
-    job, register the typed tables as views.
+    """S1 + V10 + S3/S6: read every uploaded CSV once, write its typed rows, clean ones and quarantine apart, and
+    take the counts of the checks from that same write; register the clean tables as views.
 
     ``dashboard``: ``"main"`` (four mandatory tables, strict parse, no other
     columns), ``"growth"`` (three tables, coerce-then-reject, other columns
@@ -144,8 +173,8 @@ def load_uploads(spark: SparkSession, paths: dict[str, str], dashboard: str = "m
     failing mandatory table stops the run (raises ``ValidationFailed``
     carrying the full report); an optional table that fails (the exposure
     file) is skipped and the rest proceed. Returns ``{"report", "tables",
-    "skipped"}``. Only the per-table gate (one row per table) reaches the
-    driver.
+    "skipped", "quarantine"}``. Only the counts (one per check) reach the
+    driver; the rows go to the shared folder, as Parquet.
     """
     d = DASHBOARDS[dashboard]
     mode = mode or d.mode
@@ -153,18 +182,37 @@ def load_uploads(spark: SparkSession, paths: dict[str, str], dashboard: str = "m
     raw = {name: read_csv_raw(spark, paths[name], multi_line, ragged=True) for name in known}
     if not raw:
         raise ValueError(f"none of the tables of the {dashboard} dashboard is given")
-    report = validate.validation_report(raw, mode, d.allow_extra, date_formats, d.allow_optional, dashboard)
-    ok = {r["table"]: r["ok"] for r in validate.gate(report).collect()}
-    failed = [t for t in d.mandatory if not ok.get(t, False)]
+    rows, stored = [], {}
+    for name, df in raw.items():
+        faults = validate.column_faults(df, name, d.allow_extra, d.allow_optional, dashboard)
+        if not faults:
+            stored[name], faults = _store_checked(df, name, mode, date_formats, dashboard)
+        rows += faults
+    report = spark.createDataFrame(rows, validate.REPORT_SCHEMA)
+    bad = {table for table, _, _, n in rows if n is None or n > 0}
+    failed = [t for t in d.mandatory if t not in raw or t in bad]
     if failed:
         raise ValidationFailed(failed, report)
-    skipped = [t for t in d.optional if t in raw and not ok.get(t, False)]
-    tables = {t: validate.typed(df, t, mode, date_formats, dashboard).drop("_errors") for t, df in raw.items() if t not in skipped}
+    skipped = [t for t in d.optional if t in bad]
+    kept = {t: df for t, df in stored.items() if t not in skipped}
+    tables = {t: df.where("_clean").drop("_clean", "_errors") for t, df in kept.items()}
     if dashboard == "campaign":
         tables["campaign_daily"].createOrReplaceTempView("campaign_daily")
     else:
         register_views(spark, {**{t: None for t in d.optional}, **tables}, list(d.mandatory))
-    return {"report": report, "tables": tables, "skipped": skipped}
+    return {"report": report, "tables": tables, "skipped": skipped,
+            "quarantine": {t: df.where("NOT _clean").drop("_clean") for t, df in stored.items()}}
+
+
+def _store_checked(df: DataFrame, name: str, mode: str, date_formats: tuple[str, ...], dashboard: str) -> tuple[DataFrame, list[tuple]]:
+    """One pass over an upload: its typed rows as Parquet by ``_clean``, and the report rows observed while writing."""
+    spark = df.sparkSession
+    typed = validate.typed(df, name, mode, date_formats, dashboard)
+    seen = Observation()
+    typed = typed.observe(seen, *validate.check_counts(df, name, mode, date_formats, dashboard)).withColumn("_clean", F.size("_errors") == 0)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/upload-{name}-{uuid.uuid4().hex}"
+    typed.write.partitionBy("_clean").parquet(folder)
+    return spark.read.schema(typed.schema).parquet(folder), validate.report_of(seen.get, df, name, mode, date_formats, dashboard)
 
 
 class NoRows(ValueError):
@@ -197,28 +245,25 @@ class GrowthParams:
             raise ValueError("total_budget must be >= 0")
 
 
-def growth_dashboard(ads: DataFrame, orders: DataFrame, web: DataFrame, p: GrowthParams,
-                     persist: bool = True) -> dict[str, DataFrame]:
-    """The growth dashboard's frames. The daily paid table feeds four views,
-    so it is persisted (memory and disk; a lost block is recomputed from
-    lineage). Filters that leave no ads or no orders stop it (``NoRows``)."""
+def growth_dashboard(ads: DataFrame, orders: DataFrame, web: DataFrame, p: GrowthParams) -> dict[str, DataFrame]:
+    """The growth dashboard's frames. The daily paid table feeds five views: they are the levels of one
+    roll-up, computed once (its rows are bounded by the calendar, the channels and the campaigns).
+    Filters that leave no ads or no orders stop the dashboard (``NoRows``)."""
     a, o, w = filters.apply_dashboard_filters(ads, orders, web, p.start, p.end, p.channels, p.campaigns)
     require_rows(ads_daily=a, orders=o)
-    exact = paid.paid_daily_exact(a, o)
-    if persist:
-        exact = exact.persist(StorageLevel.MEMORY_AND_DISK)
-    ch = materialize_small(paid.channel_summary(exact))
+    lattice = materialize_small(paid.paid_lattice(paid.paid_daily_exact(a, o)))
+    ch = paid.lattice_view(lattice, "channel")
     cac = growth.cac_daily_range(a, o)
     ltv = growth.ltv_horizon(o, p.horizon_days)
     detail = incrementality.holdout_detail(a, o)
     return {
-        "kpi_cards": paid.kpi_cards(exact),
+        "kpi_cards": paid.lattice_view(lattice, "total"),
         "channel_summary": ch,
         "allocation": budget.allocation_table(budget.guarded_allocation(ch, p.total_budget)),
         "funnel_table": funnel.funnel_table(w),
         "funnel_long": funnel.funnel_long_of(materialize_small(funnel.funnel_by_campaign(w))),
-        "daily_trend": paid.daily_trend(exact),
-        "top_campaigns": paid.top_campaigns(exact, p.top_n),
+        "daily_trend": paid.lattice_view(lattice, "day"),
+        "top_campaigns": paid.top_of(paid.lattice_view(lattice, "campaign"), p.top_n),
         "attribution": budget.attribution_table(attribution.attribution(w, o, p.attribution_model)),
         "holdout_detail": budget.holdout_table(detail),
         "holdout_summary": incrementality.holdout_summary(a, o),
