@@ -123,14 +123,18 @@ def retention_matrix(retention: DataFrame) -> DataFrame:
 
 def retention_cells(retention: DataFrame) -> DataFrame:
     """R4 in long form: every (cohort month, offset) from 0 to the largest offset of any cohort, rate 0 where
-    the cohort has no active customers then. The largest offset is a scalar subquery; the cells of a cohort
-    come from a sequence and one join on (cohort, offset)."""
-    most = retention.agg(F.max("months_since_cohort")).scalar()
-    cohorts = retention.select("cohort_month").distinct()
-    grid = cohorts.select("cohort_month", F.explode(F.sequence(F.lit(0), most)).alias("months_since_cohort"))
-    rates = retention.select("cohort_month", "months_since_cohort", "retention_rate")
-    return (grid.join(rates, ["cohort_month", "months_since_cohort"], "left")
-            .withColumn("retention_rate", F.coalesce("retention_rate", F.lit(0.0))))
+    the cohort has no active customers then.
+
+    One pass: a cohort's rates become one map, the largest offset is a window over the cohorts (a row per
+    calendar month), and the cells are unfolded from the row itself. No join, no second scan.
+    """
+    per_cohort = retention.groupBy("cohort_month").agg(
+        F.map_from_entries(F.collect_list(F.struct("months_since_cohort", "retention_rate"))).alias("rates"),
+        F.max("months_since_cohort").alias("last"))
+    most = F.max("last").over(Window.partitionBy(F.lit(1)))
+    cells = F.transform(F.sequence(F.lit(0), F.col("most")), lambda i: F.struct(
+        i.alias("months_since_cohort"), F.coalesce(F.try_element_at("rates", i), F.lit(0.0)).alias("retention_rate")))
+    return per_cohort.withColumn("most", most).select("cohort_month", F.inline(cells))
 
 
 def retention_90d(orders: DataFrame, days: int = 90) -> DataFrame:

@@ -141,11 +141,14 @@ def campaign_table(paid_exact: DataFrame) -> DataFrame:
 def top_campaigns(paid_exact: DataFrame, n: int = 10) -> DataFrame:
     """The N best campaigns by revenue (ties: channel, campaign). Top-k
     runs as TakeOrderedAndProject: each task keeps N rows, the driver merges."""
+    return top_of(campaign_table(paid_exact), n)
+
+
+def top_of(campaigns: DataFrame, n: int = 10) -> DataFrame:
+    """P8 over a campaign table that is there already."""
     if not 1 <= n:
         raise ValueError("n must be positive")
-    return (campaign_table(paid_exact)
-            .orderBy(F.desc("revenue"), F.asc_nulls_last("channel"), F.asc_nulls_last("campaign"))
-            .limit(n))
+    return campaigns.orderBy(F.desc("revenue"), F.asc_nulls_last("channel"), F.asc_nulls_last("campaign")).limit(n)
 
 
 def channel_summary(paid_exact: DataFrame) -> DataFrame:
@@ -175,6 +178,43 @@ def kpi_cards(paid_exact: DataFrame) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------------ P6, P7, P9, P13 in one pass
+#: Levels of the lattice by grouping id: a bit for each of dt, channel, campaign that is summed over.
+LEVELS = {0b011: "day", 0b100: "campaign", 0b101: "channel", 0b111: "total"}
+
+
+def paid_lattice(paid_exact: DataFrame) -> DataFrame:
+    """P6, P7, P9 and P13 as one GROUPING SETS aggregate over P5: a row for every day, (channel, campaign), channel
+    and the total, told apart by ``level`` (a NULL key of the data is not a key that was summed over).
+
+    Each row of P5 is expanded to four and combined map-side; the scans and the distinct counts of P5 run once. Without
+    any row there is no total either; ``lattice_view`` gives the zeros of P13 then.
+    """
+    names = ["spend", "revenue", "orders", "buyers", "impressions", "clicks"]
+    g = (paid_exact.groupingSets([["dt"], ["channel", "campaign"], ["channel"], []], "dt", "channel", "campaign")
+         .agg(F.grouping_id().alias("_id"), *[F.sum(c).alias(c) for c in names]))
+    level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("_id").cast("int")]
+    g = _zero_ratios(g, CAC=ratio("spend", "buyers", "null"), AOV=ratio("revenue", "orders", "zero"), level=level)
+    return _to_double(g.select("level", *KEYS, *names, "CTR", "CVR", "ROAS", "CAC", "AOV"), {"spend", "revenue"})
+
+
+def lattice_view(lattice: DataFrame, level: str) -> DataFrame:
+    """One of ``daily_trend``, ``campaign_table``, ``channel_summary`` or ``kpi_cards`` from a lattice: the rows of a level."""
+    rows = lattice.where(F.col("level") == level)
+    sums = ["spend", "revenue", "orders", "buyers", "impressions", "clicks"]
+    if level == "day":
+        return rows.select("dt", "spend", "revenue", "clicks", "impressions", "orders", "CTR", "CVR", "ROAS")
+    if level in ("campaign", "channel"):
+        keys = ["channel", "campaign"] if level == "campaign" else ["channel"]
+        return rows.select(*keys, *sums, "CTR", "CVR", "ROAS", "CAC")
+    if level != "total":
+        raise ValueError(f"unknown level {level!r}")
+    zero = F.lit(0.0)
+    one = rows.agg(*[F.coalesce(F.max(c), zero).alias(c) for c in ("spend", "revenue", "ROAS", "CTR", "CVR", "AOV")],
+                   *[F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in ("orders", "buyers")])
+    return one.select(*[F.col(c).alias(f"total_{c}") for c in ("spend", "revenue", "orders", "buyers")], "ROAS", "CTR", "CVR", "AOV")
+
+
 # ------------------------------------------------------------------ P10 / P14 / T1
 def channel_kpi(ads: DataFrame, orders: DataFrame) -> DataFrame:
     """P10 + B1: per-channel KPIs of the channel script, unguarded ratios

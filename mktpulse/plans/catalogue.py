@@ -9,14 +9,17 @@ Binding A (tables derived from ``events``) unless the name says cohort (B).
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktpulse.operators import attribution, budget, filters, funnel, growth, incrementality, paid, validate
+from mktpulse.operators import attribution, budget, distinct, filters, funnel, growth, incrementality, paid, validate
 from mktpulse.session import ensure_utc, materialize_small
 from mktpulse.sources.bindings import Binding, raw_tables
+from mktpulse.sources.readers import register_views
+from mktpulse.sources.table_functions import register_functions
 
 # The binding-A data covers January 2024; the dashboards' date filter is kept
 # in every query (it is pushed into the parquet scan) with bounds that span it.
@@ -113,6 +116,21 @@ def q_kpi_cards(spark, sf_dir):
     return paid.kpi_cards(_exact(spark, sf_dir))
 
 
+def q_paid_lattice(spark, sf_dir):
+    """P6, P7, P9 and P13 from one GROUPING SETS aggregate."""
+    return paid.paid_lattice(_exact(spark, sf_dir))
+
+
+def q_buyers_distinct(spark, sf_dir):
+    """P3's buyers over the whole range, exact, from day bitmaps; beside it the buyer-days of D18."""
+    return distinct.buyers_by_campaign(_filtered(spark, sf_dir).od)
+
+
+def q_sessions_distinct(spark, sf_dir):
+    """U2/U3's sessions per stage over the whole range, exact, from day bitmaps."""
+    return distinct.sessions_by_stage(_filtered(spark, sf_dir).web)
+
+
 def q_channel_kpi(spark, sf_dir):
     """P10 + B1 + T1: the channel KPI table with budget weight, rounded to 2."""
     return budget.round_numeric(budget.budget_weight(_channel_kpis(spark, sf_dir, materialize=True)), 2)
@@ -236,6 +254,36 @@ def q_attribution_table(spark, sf_dir):
     return budget.attribution_table(attribution.last_touch_attribution(f.web, f.od))
 
 
+# ------------------------------------------------------------------ SQL table functions
+def _sql_views(spark, sf_dir):
+    b = _binding(spark, sf_dir)
+    register_views(spark, {"ads_daily": b.ads(), "web_events": b.web(), "orders": b.orders(), "customers": b.customers()})
+    register_functions(spark)
+
+
+def q_sql_orders_in(spark, sf_dir):
+    """F1 + F2 as a table function."""
+    _sql_views(spark, sf_dir)
+    return spark.sql("SELECT order_id, channel, campaign, CAST(order_ts AS DATE) AS dt FROM orders_in(:first, :last, :channels, :campaigns)",
+                     args={"first": dt.date.fromisoformat(START), "last": dt.date(2024, 1, 20),
+                           "channels": F.array(*map(F.lit, SEL_CHANNELS)), "campaigns": F.array(*map(F.lit, SEL_CAMPAIGNS))})
+
+
+def q_sql_ads_in(spark, sf_dir):
+    """F1 as a table function without lists, summed by channel in the SQL of a user."""
+    _sql_views(spark, sf_dir)
+    return spark.sql("SELECT channel, sum(impressions) AS impressions, sum(clicks) AS clicks FROM ads_daily_in(:first, :last) GROUP BY channel",
+                     args={"first": dt.date(2024, 1, 5), "last": dt.date(2024, 1, 25)})
+
+
+def q_sql_attribution_by(spark, sf_dir):
+    """A9's selector as a table function: both models side by side."""
+    _sql_views(spark, sf_dir)
+    at = {"first": dt.date.fromisoformat(START), "last": dt.date.fromisoformat(END)}
+    return spark.sql("SELECT 'last_touch' AS model, * FROM attribution_by('last_touch', :first, :last) "
+                     "UNION ALL SELECT 'order_campaign' AS model, * FROM attribution_by('order_campaign', :first, :last)", args=at)
+
+
 # ------------------------------------------------------------------ incrementality
 def q_incrementality_uplift(spark, sf_dir):
     b = _binding(spark, sf_dir)
@@ -320,6 +368,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_campaigns": q_top_campaigns,
     "channel_summary": q_channel_summary,
     "kpi_cards": q_kpi_cards,
+    "paid_lattice": q_paid_lattice,
+    "buyers_distinct": q_buyers_distinct,
+    "sessions_distinct": q_sessions_distinct,
+    "sql_orders_in": q_sql_orders_in,
+    "sql_ads_in": q_sql_ads_in,
+    "sql_attribution_by": q_sql_attribution_by,
     "channel_kpi": q_channel_kpi,
     "kpi_cards_channel": q_kpi_cards_channel,
     "campaign_kpis": q_campaign_kpis,

@@ -113,6 +113,23 @@ SELECT total_spend, total_revenue, total_orders, total_buyers,
        {r('total_orders', 'clicks', 'zero')} AS CVR, {r('total_revenue', 'total_orders', 'zero')} AS AOV
 FROM s"""
 
+PAID_LATTICE = _PAID_EXACT + f""",
+g AS (SELECT CASE GROUPING_ID(dt, channel, campaign) WHEN 3 THEN 'day' WHEN 4 THEN 'campaign' WHEN 5 THEN 'channel' ELSE 'total' END AS level,
+             dt, channel, campaign, SUM(spend) AS spend, SUM(revenue) AS revenue, SUM(orders) AS orders, SUM(buyers) AS buyers,
+             SUM(impressions) AS impressions, SUM(clicks) AS clicks
+      FROM px GROUP BY GROUPING SETS ((dt), (channel, campaign), (channel), ()))
+SELECT level, dt, channel, campaign, {d('spend')} AS spend, {d('revenue')} AS revenue, CAST(orders AS BIGINT) AS orders,
+       CAST(buyers AS BIGINT) AS buyers, CAST(impressions AS BIGINT) AS impressions, CAST(clicks AS BIGINT) AS clicks,
+       {r('clicks', 'impressions', 'zero')} AS CTR, {r('orders', 'clicks', 'zero')} AS CVR,
+       {r('revenue', 'spend', 'zero')} AS ROAS, {r('spend', 'buyers')} AS CAC, {r('revenue', 'orders', 'zero')} AS AOV
+FROM g"""
+
+BUYERS_DISTINCT = _F + """,
+days AS (SELECT CAST(order_ts AS DATE) AS dt, channel, campaign, COUNT(DISTINCT user_id) AS n FROM od GROUP BY 1, 2, 3),
+a AS (SELECT channel, campaign, SUM(n) AS n FROM days GROUP BY 1, 2)
+SELECT od.channel, od.campaign, CAST(MAX(a.n) AS BIGINT) AS buyers, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS buyers_distinct
+FROM od JOIN a ON od.channel = a.channel AND od.campaign = a.campaign GROUP BY 1, 2"""
+
 # P10 (channel script): unguarded ratios
 _CHANNEL_KPI = _F + f""",
 ka AS (SELECT channel, SUM(impressions) AS impressions, SUM(clicks) AS clicks, SUM(spend) AS spend
@@ -170,6 +187,10 @@ FROM s"""
 _STAGE_CASE = "CASE event_name " + " ".join(
     f"WHEN '{e}' THEN '{s}'" for e, s in zip(FUNNEL_STAGES, STAGE_LABELS)) + " END"
 
+SESSIONS_DISTINCT = _F + f"""
+SELECT funnel_stage, CAST(COUNT(DISTINCT session_id) AS BIGINT) AS sessions_distinct
+FROM (SELECT *, {_STAGE_CASE} AS funnel_stage FROM web) x WHERE funnel_stage IS NOT NULL GROUP BY 1"""
+
 FUNNEL_STAGE_DAILY = _F + f"""
 SELECT CAST(event_ts AS DATE) AS dt, source, medium, campaign, funnel_stage,
        CAST(COUNT(DISTINCT session_id) AS BIGINT) AS sessions
@@ -324,6 +345,22 @@ SELECT COALESCE(touch, campaign) AS campaign, CAST(SUM(revenue) AS DOUBLE) AS re
 FROM bo WHERE rn = 1 GROUP BY 1 ORDER BY revenue DESC, campaign ASC NULLS LAST"""
 
 
+SQL_ORDERS_IN = f"""
+SELECT order_id, channel, campaign, CAST(order_ts AS DATE) AS dt FROM m_orders
+WHERE CAST(order_ts AS DATE) BETWEEN DATE '{START}' AND DATE '2024-01-20'
+  AND channel IN {_in(SEL_CHANNELS)} AND campaign IN {_in(SEL_CAMPAIGNS)}"""
+
+SQL_ADS_IN = """
+SELECT channel, CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(clicks) AS BIGINT) AS clicks FROM m_ads
+WHERE dt BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' GROUP BY channel"""
+
+SQL_ATTRIBUTION_BY = _LAST_TOUCH + """
+SELECT 'last_touch' AS model, campaign, revenue, orders, buyers FROM lta
+UNION ALL
+SELECT 'order_campaign', campaign, CAST(SUM(revenue) AS DOUBLE), CAST(COUNT(DISTINCT order_id) AS BIGINT),
+       CAST(COUNT(DISTINCT user_id) AS BIGINT) FROM od GROUP BY campaign"""
+
+
 def _subcent(sql: str) -> str:
     """The same statement over spend and revenue in fractions of a cent."""
     return (sql.replace("ads AS (SELECT *", "ads AS (SELECT * REPLACE (spend * CAST(0.13 AS DECIMAL(2,2)) AS spend)", 1)
@@ -517,6 +554,12 @@ ORACLE: dict[str, str] = {
     "channel_summary": CHANNEL_SUMMARY,
     "kpi_cards": KPI_CARDS,
     "channel_kpi": CHANNEL_KPI,
+    "paid_lattice": PAID_LATTICE,
+    "buyers_distinct": BUYERS_DISTINCT,
+    "sessions_distinct": SESSIONS_DISTINCT,
+    "sql_orders_in": SQL_ORDERS_IN,
+    "sql_ads_in": SQL_ADS_IN,
+    "sql_attribution_by": SQL_ATTRIBUTION_BY,
     "kpi_cards_channel": KPI_CARDS_CHANNEL,
     "campaign_kpis": CAMPAIGN_KPIS,
     "campaign_cards": CAMPAIGN_CARDS,
