@@ -141,7 +141,11 @@ def _segments(tl: DataFrame, d: _Decay) -> DataFrame:
     w = Window.partitionBy("user_id", "seg").orderBy(
         "t_us", "kind", F.col("src").asc_nulls_first(), F.col("camp").asc_nulls_first(), F.col("oid").asc_nulls_first(),
         F.col("rev").asc_nulls_first())
-    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # backwards in time: a frame that looks ahead would be summed anew for every row
+    after = Window.partitionBy("user_id", "seg").orderBy(
+        F.desc("t_us"), F.desc("kind"), F.col("src").desc_nulls_last(), F.col("camp").desc_nulls_last(),
+        F.col("oid").desc_nulls_last(), F.col("rev").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     touch = F.col("kind") == 0
     pair = F.when(touch, F.struct("src", "camp"))
     # exact duplicate order rows are one order, as the reference's per-order window makes them; they are neighbours
@@ -206,8 +210,9 @@ def _credited(segments: DataFrame, d: _Decay) -> DataFrame:
         "user_id", "seg", "r.*", "last_sec", F.when(F.col("r.what") == 1, F.col("x")).alias("x"),
         F.when(F.col("r.what") == 1, F.col("cnt")).alias("cnt"), F.when(F.col("r.what") == 2, F.col("pairs")).alias("pairs"))
     user = Window.partitionBy("user_id")
-    later = user.orderBy("seg").rangeBetween(1, Window.unboundedFollowing)
-    same = Window.partitionBy("user_id", "tb").orderBy("seg").rangeBetween(1, Window.unboundedFollowing)
+    # later segments, read backwards in time
+    later = user.orderBy(F.desc("seg")).rangeBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("user_id", "tb").orderBy(F.desc("seg")).rangeBetween(Window.unboundedPreceding, -1)
     s = s.withColumns({"same": F.sum("val").over(same), "next": F.sum("val").over(user.orderBy("tb").rangeBetween(1, 1)),
                        "x_later": F.coalesce(F.sum("x").over(later), F.lit(0.0)),
                        "cnt_later": F.coalesce(F.sum("cnt").over(later), F.lit(0))})
@@ -234,46 +239,86 @@ def of_buyers(touches: DataFrame, orders: DataFrame, words: int = FILTER_WORDS)
             .select(*touches.columns))
 
 
-def _light(tl: DataFrame, d: _Decay) -> DataFrame:
-    """(source, campaign) parts of users whose timeline fits a task: channel, campaign, lin, dec, lc, fc, hit, oid."""
-    touch, order = F.col("kind") == 0, F.col("kind") == 1
-    # the end of a block counts in the next block too, as rows (kind -1) that only weigh
+def _light(tl: DataFrame, d: _Decay, lookback: int | None = None) -> DataFrame:
+    """(source, campaign) parts of users whose timeline fits a task: channel, campaign, lin, dec, lc, fc, hit, oid.
+
+    Rows of a timeline by ``kind``: 0 touch, 1 order, -1 a touch that only weighs (in the block after its own); with a
+    ``lookback`` (microseconds) also 2, a touch that leaves the path, and -2, the start of an order's path. What follows
+    a row is read from windows backwards in time, never from frames that look ahead.
+    """
+    is_touch, is_order = F.col("kind") == 0, F.col("kind") == 1
+    # the end of a block counts in the next block too
     late = (F.col("sec") - d.of(F.col("sec")) * d.block) >= (1 - _NEXT_BLOCK) * d.block
-    tl = (tl.withColumn("_shift", F.explode(F.when(touch & late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-          .withColumn("kind", F.when(F.col("_shift") == 1, -1).otherwise(F.col("kind")))
-          .withColumn("own", F.when(F.col("kind") < 1, d.of(F.col("sec")) + F.col("_shift"))))
-    tl = tl.withColumn("rel", F.when(F.col("kind") < 1, F.exp(d.k * (F.col("sec") - F.col("own") * d.block))))
-    order_by = ["t_us", "kind", F.col("src").asc_nulls_first(), F.col("camp").asc_nulls_first(),
-                F.col("oid").asc_nulls_first(), F.col("rev").asc_nulls_first()]
-    user = Window.partitionBy("user_id").orderBy(*order_by)
-    upto, after = user.rowsBetween(Window.unboundedPreceding, 0), user.rowsBetween(0, Window.unboundedFollowing)
+
+    def row(kind: int, shift: int, at=F.col("t_us")):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(shift).alias("shift"), at.alias("at"))
+
+    mine, next_block = [row(0, 0)], [row(-1, 1)]
+    keys, events = ["user_id"], [row(1, 0)]
+    if lookback is not None:
+        # stretches as long as the lookback: an order's path lies in its own and the one before, so a touch goes to its own
+        # and the next one, and every stretch stands for itself
+        gone, start = F.col("t_us") + lookback, F.col("t_us") - lookback
+        mine, next_block = [*mine, row(2, 0, gone)], [*next_block, row(2, 1, gone)]
+        events.append(row(-2, 0, start))
+        stretch = F.expr(f"t_us div {lookback}")
+        tl = tl.withColumn("stretch", F.explode(F.when(is_touch, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))))
+        keys.append("stretch")
+    tl = tl.withColumn("e", F.explode(F.when(is_touch & late, F.array(*mine, *next_block)).when(is_touch, F.array(*mine))
+                                      .otherwise(F.array(*events))))
+    tl = (tl.withColumns({"own": F.when(is_touch, d.of(F.col("sec")) + F.col("e.shift")), "order_us": F.col("t_us")})
+          .withColumns({"rel": F.exp(d.k * (F.col("sec") - F.col("own") * d.block)), "kind": F.col("e.kind"), "t_us": F.col("e.at"),
+                        # +1 enters the path, -1 leaves it; rows that only weigh do not count
+                        "sign": F.when(F.col("e.kind") == 2, -1).otherwise(1),
+                        "n_sign": F.when(F.col("own").isNotNull() & (F.col("e.shift") == 0), F.when(F.col("e.kind") == 2, -1).otherwise(1))}))
+    touch, order, probe = F.col("kind") == 0, F.col("kind") == 1, F.col("kind") == -2
+    names = ["t_us", "kind", "src", "camp", "oid", "rev"]
+    forward = [F.col(c).asc_nulls_first() for c in names]
+    user = Window.partitionBy(*keys).orderBy(*forward)
+    upto, whole = user.rowsBetween(Window.unboundedPreceding, 0), user.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pair = F.when(touch, F.struct("src", "camp"))
     # exact duplicate order rows are one order; they are neighbours
-    again = ((F.lag("kind").over(user) == 1) & (F.lag("t_us").over(user) == F.col("t_us"))
+    again = ((F.lag("kind").over(user) == F.col("kind")) & (F.lag("t_us").over(user) == F.col("t_us"))
              & F.lag("oid").over(user).eqNullSafe(F.col("oid")) & F.lag("rev").over(user).eqNullSafe(F.col("rev")))
-    j = tl.withColumns({"n": F.count(F.when(touch, 1)).over(upto), "last": F.last(pair, ignorenulls=True).over(upto),
+    j = tl.withColumns({"n": F.coalesce(F.sum("n_sign").over(upto), F.lit(0)), "last": F.last(pair, ignorenulls=True).over(upto),
                         "first": F.first(pair, ignorenulls=True).over(upto), "again": F.coalesce(again, F.lit(False)),
                         # an order belongs to the block of its latest touch
                         "blk": F.coalesce("own", F.last(F.when(touch, F.col("own")), ignorenulls=True).over(upto))})
-    counted = order & ~F.col("again") & (F.col("n") > 0)
     r = F.coalesce(F.col("rev").cast("double"), F.lit(0.0))
+    counted = order & ~F.col("again") & (F.col("n") > 0)
     j = j.withColumns({"counted": counted, "v": F.when(counted, r / F.col("n"))})
-    j = j.withColumns({"lin": F.coalesce(F.sum("v").over(after), F.lit(0.0)), "hit": F.count(F.when(F.col("counted"), 1)).over(after) > 0})
-    block = Window.partitionBy("user_id", "blk").orderBy(*order_by)
-    j = j.withColumn("a", F.when(F.col("counted"), r / F.sum("rel").over(block.rowsBetween(Window.unboundedPreceding, 0))))
-    j = j.withColumn("dec", F.col("rel") * F.coalesce(F.sum("a").over(block.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0)))
+    # orders after a row: all of them less those so far
+    orders_after = F.count(F.when(F.col("counted"), 1)).over(whole) - F.count(F.when(F.col("counted"), 1)).over(upto)
+    v_after = F.coalesce(F.sum("v").over(whole), F.lit(0.0)) - F.coalesce(F.sum("v").over(upto), F.lit(0.0))
+    j = j.withColumns({"after": orders_after, "lin": F.col("n_sign") * F.when(orders_after > 0, v_after).otherwise(0.0)})
+    block = [*keys, "blk"]
+    so_far = Window.partitionBy(*block).orderBy(*forward).rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("a", F.when(F.col("counted"), r / F.sum(F.col("sign") * F.col("rel")).over(so_far)))
+    # weights fall with time: their sum after a row has to be summed from the end
+    backward = [F.col(c).desc_nulls_last() for c in names]
+    after = Window.partitionBy(*block).orderBy(*backward).rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("dec", F.col("sign") * F.col("rel") * F.coalesce(F.sum("a").over(after), F.lit(0.0)))
+    first = F.col("first")
+    if lookback is not None:
+        # a path begins with the next touch after its start, unless that is later than the order
+        next_ = Window.partitionBy(*keys).orderBy(*backward).rowsBetween(Window.unboundedPreceding, 0)
+        j = j.withColumn("next", F.last(F.when(touch, F.struct("t_us", "src", "camp")), ignorenulls=True).over(next_))
     zero, rev = F.lit(0.0), F.coalesce("rev", money(F.lit(0)))
 
-    def part(of, lin=zero, dec=zero, lc=None, fc=None, hit=F.lit(False), oid=None):
+    def part(of, lin=zero, dec=zero, lc=None, fc=None, seen=F.lit(0), oid=None):
         none = money(F.lit(None))
         return F.struct(of["src"].alias("channel"), of["camp"].alias("campaign"), lin.alias("lin"), dec.alias("dec"),
                         (none if lc is None else lc).alias("lc"), (none if fc is None else fc).alias("fc"),
-                        hit.alias("hit"), (F.lit(None).cast("string") if oid is None else oid).alias("oid"))
-
-    own = F.struct("src", "camp")
-    parts = (F.when(F.col("counted"), F.array(part(F.col("last"), lc=rev, oid=F.col("oid")), part(F.col("first"), fc=rev)))
-             .when(touch & F.col("hit"), F.array(part(own, lin=F.col("lin"), dec=F.col("dec"), hit=F.lit(True))))
-             .when((F.col("kind") == -1) & (F.col("dec") > 0), F.array(part(own, dec=F.col("dec")))))
+                        seen.cast("bigint").alias("seen"), (F.lit(None).cast("string") if oid is None else oid).alias("oid"))
+
+    # a touch coming counts the orders after it, one that leaves takes back those after that
+    credit = part(F.struct("src", "camp"), lin=F.coalesce("lin", zero), dec=F.col("dec"),
+                  seen=F.coalesce(F.col("n_sign") * F.col("after"), F.lit(0)))
+    last_click = part(F.col("last"), lc=rev, oid=F.col("oid"))
+    clicks = F.array(last_click, part(first, fc=rev)) if lookback is None else F.array(last_click)
+    parts = F.when(F.col("counted"), clicks).when(F.col("own").isNotNull() & ((F.col("after") > 0) | (F.col("dec") != 0)), F.array(credit))
+    if lookback is not None:
+        parts = parts.when(probe & ~F.col("again") & (F.col("next.t_us") <= F.col("order_us")), F.array(part(F.col("next"), fc=rev)))
     return j.select(F.explode(parts).alias("p")).select("p.*")
 
 
@@ -281,7 +326,8 @@ def _heavy(tl: DataFrame, d: _Decay) -> DataFrame:
     """The same parts of users that no task could hold, by segments."""
     parts = _credited(_segments(tl, d), d)
     # order ids are counted across users and segments: a row for each beside the row of sums
-    names = (("lin", "double"), ("dec", "double"), ("lc", "decimal(38,8)"), ("fc", "decimal(38,8)"), ("hit", "boolean"))
+    names = (("lin", "double"), ("dec", "double"), ("lc", "decimal(38,8)"), ("fc", "decimal(38,8)"), ("seen", "bigint"))
+    parts = parts.withColumn("seen", F.col("hit").cast("bigint"))
     blank = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in names])
     sums = F.struct(*[F.col(c).cast(t).alias(c) for c, t in names])
     rows = F.concat(F.array(F.struct(sums.alias("s"), F.lit(None).cast("string").alias("oid"))),
@@ -291,7 +337,7 @@ def _heavy(tl: DataFrame, d: _Decay) -> DataFrame:
 
 def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_PER_MINUTE,
                        require_last_click: bool = False, segment_seconds: int = SEGMENT_SECONDS,
-                       hot: int = DEFAULT_HOT) -> DataFrame:
+                       hot: int = DEFAULT_HOT, lookback_days: float | None = None) -> DataFrame:
     """``mart_attribution_summary``.
 
     One row per (channel, campaign) of the touches (the web event's
@@ -300,27 +346,35 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
     ``require_last_click=True`` keeps only pairs with last-click credit, as
     the reference's left join does. A task holds the timeline of a user, or the events of
     one of the ``hot`` heaviest users in ``segment_seconds``.
+
+    ``lookback_days``: only touches at most so long before an order are in its path (both ends count). Paths are then
+    short, and every user's timeline is cut into stretches of that length, a task holding two of them.
     """
     if segment_seconds < 1 or hot < 0:
         raise ValueError("segment_seconds must be positive, hot not negative")
+    if lookback_days is not None and lookback_days * 86_400 < 1:
+        raise ValueError("the lookback must be a second at least")
     orders = orders.select("order_id", "user_id", "order_ts", "revenue")
     touches = of_buyers(touches.select("user_id", "event_ts", "source", "campaign"), orders)
     tl = timeline(touches, orders, segment_seconds)
     d = _Decay(k, segment_seconds)
-    heavy = F.broadcast(hot_keys(tl, "user_id", hot))  # at most ``hot`` rows
-    parts = _light(tl.join(heavy, "user_id", "left_anti"), d).unionByName(
-        _heavy(tl.join(heavy, "user_id", "left_semi"), d))
+    if lookback_days is not None:
+        parts = _light(tl, d, round(lookback_days * 86_400_000_000))
+    else:
+        heavy = F.broadcast(hot_keys(tl, "user_id", hot))  # at most ``hot`` rows
+        parts = _light(tl.join(heavy, "user_id", "left_anti"), d).unionByName(
+            _heavy(tl.join(heavy, "user_id", "left_semi"), d))
     # distinct order ids in two steps: rows without an id are combined before the shuffle
     sums = ["lin", "dec", "lc", "fc"]
-    by_id = parts.groupBy("channel", "campaign", "oid").agg(*[F.sum(c).alias(c) for c in sums], F.max("hit").alias("hit"))
+    by_id = parts.groupBy("channel", "campaign", "oid").agg(*[F.sum(c).alias(c) for c in (*sums, "seen")])
     out = (by_id.groupBy("channel", "campaign")
            .agg(F.count("oid").alias("orders"),
                 F.coalesce(F.sum("lc").cast("double"), F.lit(0.0)).alias("revenue_last_click"),
                 F.coalesce(F.sum("fc").cast("double"), F.lit(0.0)).alias("revenue_first_click"),
                 F.coalesce(F.sum("lin"), F.lit(0.0)).alias("revenue_linear"),
                 F.coalesce(F.sum("dec"), F.lit(0.0)).alias("revenue_time_decay"),
-                F.max("hit").alias("_hit")))
-    out = out.filter((F.col("orders") > 0) | F.col("_hit")).drop("_hit")
+                F.sum("seen").alias("_seen")))
+    out = out.filter((F.col("orders") > 0) | (F.col("_seen") > 0)).drop("_seen")
     if require_last_click:
         out = out.filter(F.col("orders") > 0)
     return out

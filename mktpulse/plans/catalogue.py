@@ -244,6 +244,13 @@ def q_attribution_subcent(spark, sf_dir):
     return m.withColumns({c: F.round(c, 4) for c in ("revenue_linear", "revenue_time_decay")})
 
 
+def q_attribution_lookback(spark, sf_dir):
+    """A1-A6 over touches of the seven days before an order."""
+    f = _filtered(spark, sf_dir)
+    m = attribution.attribution_models(f.web, f.od, lookback_days=7)
+    return m.withColumns({c: F.round(c, 4) for c in ("revenue_linear", "revenue_time_decay")})
+
+
 def q_order_campaign_credit(spark, sf_dir):
     f = _filtered(spark, sf_dir)
     return attribution.attribution(f.web, f.od, "order_campaign")
@@ -395,6 +402,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "last_touch_before_order": q_last_touch_before_order,
     "paid_perf_subcent": q_paid_perf_subcent,
     "attribution_subcent": q_attribution_subcent,
+    "attribution_lookback": q_attribution_lookback,
     "order_campaign_credit": q_order_campaign_credit,
     "attribution_table": q_attribution_table,
     "incrementality_uplift": q_incrementality_uplift,

@@ -322,6 +322,9 @@ SELECT touch_channel AS channel, touch_campaign AS campaign,
        round(SUM(CAST(revenue AS DOUBLE) * wt / wt_sum), 4) AS revenue_time_decay
 FROM w2 GROUP BY 1, 2"""
 
+ATTRIBUTION_LOOKBACK = ATTRIBUTION_MODELS.replace(
+    "t.event_ts <= bo.order_ts", "t.event_ts BETWEEN bo.order_ts - INTERVAL 7 DAY AND bo.order_ts")
+
 _LAST_TOUCH = _F + """,
 lt AS (SELECT user_id, campaign AS campaign_lt FROM (
          SELECT user_id, campaign, row_number() OVER (PARTITION BY user_id ORDER BY event_ts DESC, campaign DESC) AS rn
@@ -580,6 +583,7 @@ ORACLE: dict[str, str] = {
     "last_touch_before_order": LAST_TOUCH_BEFORE_ORDER,
     "paid_perf_subcent": PAID_PERF_SUBCENT,
     "attribution_subcent": ATTRIBUTION_SUBCENT,
+    "attribution_lookback": ATTRIBUTION_LOOKBACK,
     "order_campaign_credit": ORDER_CAMPAIGN_CREDIT,
     "attribution_table": ATTRIBUTION_TABLE,
     "incrementality_uplift": INCREMENTALITY_UPLIFT,

@@ -29,7 +29,7 @@ def _key(v):
     return (0,) if v is None else (1, v)
 
 
-def brute(touches: list[tuple], orders: list[tuple], k: float = K) -> dict:
+def brute(touches: list[tuple], orders: list[tuple], k: float = K, lookback: dt.timedelta | None = None) -> dict:
     out: dict = {}
 
     def acc(pair, field, v):
@@ -47,7 +47,7 @@ def brute(touches: list[tuple], orders: list[tuple], k: float = K) -> dict:
     for oid, user, ots, rev in orders:
         if user is None or ots is None:
             continue
-        cand = [t for t in by_user.get(user, []) if t[1] <= ots]
+        cand = [t for t in by_user.get(user, []) if t[1] <= ots and (lookback is None or t[1] >= ots - lookback)]
         if not cand:
             continue
         r = float(rev)
@@ -313,6 +313,33 @@ def brute_by_order_id(touches, orders, k=K):
     return out
 
 
+@pytest.mark.parametrize("k", [K, 0.0, 0.05])
+@pytest.mark.parametrize("days", [0.01, 1, 7, 400])
+def test_lookback(spark, days, k):
+    """Paths of a limited age against the pair join; both ends of the limit count."""
+    touches, orders = _random_history(61, users=12, touches_per_user=40, orders_per_user=8)
+    back = dt.timedelta(days=days)
+    for i, (_, uid, ots, _) in enumerate(orders[::3]):
+        touches.append((uid, ots - back, "Edge", "in"))
+        touches.append((uid, ots - back - dt.timedelta(microseconds=1), "Edge", f"out{i}"))
+    orders += orders[::5]  # exact duplicates
+    seen = list(dict.fromkeys(orders))
+    assert_same(run_scan(spark, touches, orders, k=k, lookback_days=days), brute(touches, seen, k, back))
+
+
+def test_no_frame_looks_ahead(spark):
+    """Spark sums a frame that ends in the future anew for every row: none may be in the plan, but whole partitions."""
+    touches, orders = _random_history(14, users=4, touches_per_user=5, orders_per_user=2)
+    w, o = spark.createDataFrame(touches, WEB), spark.createDataFrame(orders, ORD)
+    import re
+    for df in (A.attribution_models(w, o, hot=2), A.attribution_models(w, o, lookback_days=3)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        frames = set(re.findall(r"specifiedwindowframe\(([^)]*\(?\)?[^)]*)\)", plan))
+        assert frames
+        for f in frames:
+            assert "unboundedfollowing" not in f or "unboundedpreceding" in f, f
+
+
 def test_exact_duplicate_order_rows(spark):
     touches, orders = _random_history(31, users=12, touches_per_user=15, orders_per_user=4)
     dup = orders[::3]  # every third order row appears twice, identically
