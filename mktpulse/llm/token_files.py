@@ -15,12 +15,17 @@ ids, blocks (uint64 each), bits and block size (uint32 each), footer offset
 Files are written by tasks into the shared folder under a name of their own
 per attempt; only files of successful attempts are in the manifest (one row
 per file), so a lost executor leaves at most an unlisted file behind.
+
+Defined results: a NULL or empty text has the end id alone; NULL doc_ids come first, rows of one doc_id by text,
+rows that repeat are documents of their own; an empty table writes no file and gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +41,7 @@ BLOCK = 65_536
 _TRAILER = struct.Struct("<QQQIIQ8s")
 #: The id appended to each document.
 END_ID = 1
-#: Entries of each generation of a worker's word table, and the longest word it keeps.
+#: Entries of each generation of a worker's table of pieces, and the longest piece it keeps.
 MAX_WORDS, MAX_WORD_CHARS = 300_000, 48
 
 
@@ -147,43 +152,88 @@ class Reader:
 
 
 # -- tokenizing -------------------------------------------------------------
+#: What the vocabulary file does to a text before merging (fixed values of the file format).
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Letters, numbers and white space up to U+017F, after lower-casing. Characters beyond it, those whose lower case
+#: or white-space property engines could read differently, and what may be an added token are left to the library.
+_LETTERS, _NUMBERS, _SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\f\r"
+_OTHER = re.compile("[\x0b\x1c-\x1f\x85\xa0\u0130\u0180-\U0010ffff]|<\\|")
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+#: Characters of a text cut into pieces at once.
+_STRETCH = 1 << 20
+
+
+class _Table(dict):
+    """piece -> its ids as bytes; two generations of at most MAX_WORDS pieces, long ones never kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece) or self.encode(piece)
+        if len(piece) <= MAX_WORD_CHARS:
+            if len(self) >= MAX_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """The text in stretches that end before a space."""
+    at = 0
+    while len(text) - at > _STRETCH:
+        to = text.find(" ", at + _STRETCH)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
 class WordTokenizer:
-    """The tokenizers library, asked once per distinct word.
+    """The tokenizers library's ids, its merges asked once per distinct piece.
 
-    The vocabulary file drops white space and cuts texts at it before merging,
-    and its normalisation (NFC, lower case) does not reach across a space, so a
-    text has the ids of its space-separated words one after the other. Words a
-    batch has in common, or that the worker has seen, are encoded once.
+    The vocabulary file cuts a normalised text into pieces (words, digits, runs of marks) and merges within a
+    piece only. Texts of Latin letters are cut here by the same pattern, and a piece that is not in the table goes to
+    the library's merge model alone. Any other text, and every text of a file that normalises or cuts otherwise, is
+    encoded by the library as a whole.
     """
 
     def __init__(self, file: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_piece = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
+        self.model = self.tokenizer.model
+        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.table = _Table(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = self.to_bytes(piece)[0][0]  # the file's letters for bytes
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def encode_batch(self, batch: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in batch]
-        if len(self.words) > MAX_WORDS:
-            self.old, self.words = self.words, {}
-        new = set().union(*cut).difference(self.words)
-        known = {w: self.old[w] for w in new if w in self.old}
-        new = list(new.difference(known))
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        self.words.update((w, i) for w, i in known.items() if len(w) <= MAX_WORD_CHARS)
-        if any(len(w) > MAX_WORD_CHARS for w in known):  # long words serve this batch only
-            table = {**self.words, **known}
-        else:
-            table = self.words
-        return [np.frombuffer(b"".join(map(table.__getitem__, words)), "<u4") for words in cut]
+        plain = [self.by_piece and not _OTHER.search(t) for t in batch]
+        others = [t for t, p in zip(batch, plain) if not p]
+        encoded = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False)) if others else iter(())
+        return [self._pieces(t) if p else np.array(next(encoded).ids, "<u4") for t, p in zip(batch, plain)]
+
+    def _pieces(self, text: str) -> np.ndarray:
+        ids = [b"".join(map(self.table.__getitem__, _PIECE.findall(part.lower()))) for part in _stretches(text)]
+        return np.frombuffer(b"".join(ids), "<u4")
 
 
 @lru_cache(maxsize=1)

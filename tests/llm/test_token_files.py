@@ -77,3 +77,36 @@ def test_files_of_the_table(spark):
 
 def test_empty_table(spark, make_docs):
     assert tf.token_files(spark, make_docs([])).collect() == []
+
+
+def test_pieces_equal_the_library():
+    """Random strings of Latin letters, marks, numbers, white space, apostrophes and what only the library may read."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    file = tf.default_tokenizer()
+    lib, mine = Tokenizer.from_file(file), tf.WordTokenizer(file)
+    assert mine.by_piece
+    rnd = random.Random(3)
+    pieces = ["'", "'s", "'LL", "'re", "don't", "Straße", "É", "ǅ", "ÿ", "÷", "×", "²", "½", "9", "007", "ª", "µ", "º", " ", "  ", "\t", "\n", "\r\n",
+              "\x0c", "\x0b", "\x85", "\xa0", "\xad", "\x00", "\x1d", "\x7f", "İ", "é", "Σ", "ς", "日本", "<|endoftext|>", "<|", "...", "!?'", "a'b'c",
+              "ɏ", "ɐ", "​", "😀", "word", "Word", "WORD", "¿", "«", "_", "-", "x" * 60]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12))) for _ in range(4000)]
+    texts += ["".join(chr(rnd.randrange(rnd.choice([0x80, 0x180, 0x250]))) for _ in range(30)) for _ in range(2000)]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    got = mine.encode_batch(texts)
+    assert [g.tolist() for g in got] == want
+    assert sum(not tf._OTHER.search(t) for t in texts) > 1000
+
+
+def test_a_long_text_and_a_small_table(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tf, "_STRETCH", 50)
+    monkeypatch.setattr(tf, "MAX_WORDS", 20)
+    file = tf.default_tokenizer()
+    text = " ".join("Word%d's end." % (i % 70) for i in range(3000)) + "y" * 500
+    mine = tf.WordTokenizer(file)
+    assert mine.encode_batch([text])[0].tolist() == Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids
+    assert len(mine.table) <= 20 and len(mine.table.old) <= 20
