@@ -30,15 +30,16 @@ def _brute(pairs, target):
         counts[model] = g, c, s
     v = len(counts["b"][2])
 
-    def loss(model, ctx, k):
+    def loss(model, ctx, k, own_g, own_c):
         g, c, s = counts[model]
         alone = (s[k] + 1) / (sum(s.values()) + v)
-        return -log((g[ctx, k] + lm.PRIOR * alone) / (c[ctx] + lm.PRIOR))
+        return -log((max(g[ctx, k] - own_g, 0) + lm.PRIOR * alone) / (max(c[ctx] - own_c, 0) + lm.PRIOR))
 
     out = []
     for d, t in pairs:
         g = toks(t)
-        a, b = (sum(loss(m, *x) for x in g) / len(g) for m in "tb")
+        own, own_c = Counter(g), Counter(c for c, _ in g)
+        a, b = (sum(loss(m, c, k, *((own[c, k], own_c[c]) if m == "b" or d in target else (0, 0))) for c, k in g) / len(g) for m in "tb")
         out.append((d, len(g), a, b, a - b))
     return out
 
