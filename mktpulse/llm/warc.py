@@ -45,8 +45,9 @@ GZIP_MAGIC = b"\x1f\x8b\x08"
 RANGE = 8 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
-#: A header longer than this is no record's.
-MAX_HEADER = 1 << 16
+_FIELD = re.compile(rb"[^\s:]+:")
+#: First read of a header; a longer one is read on in steps.
+HEADER_STEP = 1 << 14
 
 
 # -- records ------------------------------------------------------------------
@@ -79,7 +80,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
     """Header fields and block of the record that ``data`` starts with, None if it is none."""
     if not data.startswith(MAGIC):
         return None
-    end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
+    end = data.find(b"\r\n\r\n")
     length = _LENGTH.search(data, 0, end + 2) if end > 0 else None
     if not length:
         return None
@@ -129,9 +130,17 @@ class Archive:
                 return None
             got = parse(b"".join(out))
             return got and (pos - len(z.unused_data), *got)
-        head = self.bytes(offset, offset + MAX_HEADER)
-        end = head.find(b"\r\n\r\n")
-        length = _LENGTH.search(head, 0, end + 2) if head.startswith(MAGIC) and end > 0 else None
+        step = HEADER_STEP
+        while True:
+            head = self.bytes(offset, offset + step)
+            # a record's first line after the magic is a field; text after a magic in a payload seldom looks like one
+            if not head.startswith(MAGIC) or not _FIELD.match(head, len(MAGIC)):
+                return None
+            end = head.find(b"\r\n\r\n")
+            if end > 0 or len(head) < step:
+                break
+            step *= 4
+        length = _LENGTH.search(head, 0, end + 2) if end > 0 else None
         if not length:
             return None
         stop = offset + end + 4 + int(length[1]) + 4

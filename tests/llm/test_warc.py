@@ -95,3 +95,15 @@ def test_min_bytes_and_table(spark):
 
 def test_empty_table(spark):
     assert wa.round_trip(spark, spark.createDataFrame([], PAGES)).collect() == []
+
+
+@pytest.mark.parametrize("gz", [True, False])
+def test_long_urls(spark, gz):
+    """Headers of any length: urls of 100 KB and 3 MB between ordinary pages, magic in payloads."""
+    magic = wa.MAGIC.decode() + "WARC-Type: response\r\n"
+    rows = [(1, "http://a/" + "x" * 100_000, "one"), (2, "http://b/", "two " + magic), (3, "http://c/?" + "y\x01 " * 1_000_000, "one"),
+            (4, None, magic * 50), (5, "http://d/", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    got = {r.page_id: r for r in wa.round_trip(spark, df, gz=gz).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    assert (got[3].record_type, got[3].refers_to) == ("revisit", 1) and got[4].payload_bytes == len(magic) * 50
