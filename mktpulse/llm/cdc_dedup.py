@@ -8,17 +8,17 @@ passage are the same wherever it stands.
 
 Chunks are compared by 128-bit digest. The first occurrence (smallest doc_id,
 then place) of a digest stays. A later one is a repeat; it is removed if it lies
-in a run of consecutive repeats of at least ``MIN_RUN`` bytes, so chance repeats of a
-short chunk (a common word or two) leave a text alone.
+in a run of consecutive repeats of at least ``MIN_RUN`` bytes, or if the whole text is one run (an exact copy, however
+short), so chance repeats of a short chunk (a common word or two) leave a text alone.
 
 Scale: a chunk is 24 bytes in the shuffle, its text stays where it is. Digests
 are counted with a map-side combine; the rows that repeat find their first
 occurrence through ``lookup_hot``, so a passage in a third of all documents
 does not meet in one task; only repeats travel back to the documents.
 
-Defined results: NULL and empty texts have no chunks; a whole text that
-repeats is emptied (exact copies), rows with the same doc_id and text are
-ordered by an arbitrary but fixed place of their own.
+Defined results: NULL and empty texts have no chunks; a whole text that occurs under an earlier doc_id is emptied; rows
+with the same doc_id (or NULL) and text are one document: none of them is a repeat of another, and what is
+removed from one is removed from all; an empty table gives an empty result; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -172,10 +172,12 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN, **how) -> DataFram
                 part = b.slice(i, 500)
                 new, gone, before = [], [], []
                 for text, marked in zip(part.column(at).to_pylist(), part.column(len(cols)).to_pylist()):
-                    cut = runs([(c["start"], c["end"]) for c in marked or ()], min_run)
                     before.append(len(text or ""))
+                    raw = text.encode("utf-8", "surrogatepass") if marked else b""
+                    every = runs([(c["start"], c["end"]) for c in marked or ()], 1)
+                    cut = [(s, e) for s, e in every if e - s >= min(min_run, len(raw))]
                     if cut:
-                        raw, keep, last = text.encode("utf-8", "surrogatepass"), [], 0
+                        keep, last = [], 0
                         for s, e in cut:
                             keep.append(raw[last:s])
                             last = e
