@@ -13,6 +13,10 @@ Blocks are dealt by a hash of the id, so copies of one vector are spread; a
 block of copies is a leaf of radius 0. The query set is stated by the caller;
 each candidate is sent once per block of queries.
 
+Scores are exact: doubles hold them while the largest possible one is below 2^53; a pair of blocks that could
+exceed it is compared in whole numbers of any length, without pruning. A score beyond a long is reported as the nearest long; the order
+is that of the exact scores.
+
 Defined results: vectors that are NULL or hold NULL or non-finite components
 take no part; only vectors of the same length are compared; the empty vector
 scores 0; rows with the query's own id are no candidates of it; rows that repeat an id
@@ -21,7 +25,7 @@ are candidates of their own, and one query.
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from mktpulse.llm.common import prepare, stored
 
 SCALE, K = 256, 5
+#: The largest long, and the digits of the largest score of doubles (vectors of up to 10^9 components).
+LONG, WIDEST = (1 << 63) - 1, 640
 #: Rows of a leaf (compared at once); a query leaf is small, so that its covering radius is too.
 LEAF, QUERY_LEAF, FANOUT = 256, 8, 32
 MIN_BLOCK, MAX_BLOCK, QUERY_BLOCK = 2048, 65_536, 4096
@@ -86,6 +92,20 @@ class Search:
         self.pairs = 0
         self.visit(build(queries, query_leaf), build(points, leaf))
 
+    @classmethod
+    def exact(cls, query_ids, queries, ids, points, k: int) -> Search:
+        """The same search over whole numbers of any length (object arrays), pair by pair, in slices of the candidates."""
+        self = cls.__new__(cls)
+        self.qid, self.q, self.id, self.p, self.k = query_ids, queries, ids, points, k
+        self.best, self.pairs = [], 0
+        for i, row in zip(query_ids, queries):
+            best: list[tuple[int, int]] = []
+            for at in range(0, len(ids), LEAF):
+                scores = points[at:at + LEAF] @ row if len(row) else np.zeros(len(ids[at:at + LEAF]), object)
+                best = sorted(best + [(-s, int(j)) for s, j in zip(scores, ids[at:at + LEAF]) if j != i])[:k]
+            self.best.append(best)
+        return self
+
     def visit(self, q: Node, d: Node) -> None:
         if bound(q, d) < q.worst:
             return
@@ -116,13 +136,32 @@ class Search:
         q.worst = float(self.kth[q.rows].min())
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """_id, _v array<double> of whole numbers; only vectors without NULL or non-finite components."""
+def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """_id, _v array<double>; only vectors without NULL or non-finite components. ``whole`` makes them integers."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return (vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ok)
             .select(F.col(id_col).cast("bigint").alias("_id"),
-                    F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("_v")))
+                    v.alias("_v")))
+
+
+def whole(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x): float64 while every possible score is exact in it, else whole numbers of any length."""
+    with np.errstate(over="ignore"):
+        m = np.floor(vectors * scale)
+    # no score between any two of these vectors exceeds this
+    if m.size == 0 or m.shape[1] * float(np.abs(m).max()) ** 2 < 2.0 ** 53:
+        return m
+    exact = [[floor(x * scale) if abs(x) < 1e300 else int(x) * scale for x in row] for row in vectors.tolist()]
+    return np.array(exact, object).reshape(vectors.shape)
+
+
+def digits(score: int) -> str | None:
+    """For scores that no long holds: text that sorts as they do; they are equal as longs, so it decides between them."""
+    if -LONG - 1 < score < LONG:
+        return None
+    n = str(abs(score)).zfill(WIDEST)
+    return "1" + n if score >= 0 else "0" + n.translate(str.maketrans("0123456789", "9876543210"))
 
 
 def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
@@ -133,7 +172,7 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     within fixed bounds.
     """
     spark = prepare(vectors.sparkSession)
-    v = stored(quantised(vectors, id_col, vector_col, scale), "vectors").withColumn("_dim", F.size("_v"))
+    v = stored(quantised(vectors, id_col, vector_col), "vectors").withColumn("_dim", F.size("_v"))
     n = v.count()
     q = v.where(is_query).dropDuplicates(["_id", "_v"])
     block = block or min(MAX_BLOCK, max(MIN_BLOCK, ceil(n / 64)))
@@ -149,17 +188,20 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     def search(t: pa.Table) -> pa.Table:
         dim = t.column("_dim")[0].as_py()
         ids = t.column("_id").to_numpy()
-        m = t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
+        m = whole(t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim), scale)
         query = t.column("_query").to_numpy()
         out: list[tuple[int, int, int]] = []
         if query.any() and not query.all():
-            s = Search(ids[query], np.ascontiguousarray(m[query]), ids[~query], np.ascontiguousarray(m[~query]), k)
+            search_ = Search.exact if m.dtype == object else Search
+            s = search_(ids[query], np.ascontiguousarray(m[query]), ids[~query], np.ascontiguousarray(m[~query]), k)
             out = [(int(i), j, -s_) for i, best in zip(s.qid, s.best) for s_, j in best]
         a, b, c = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
+        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()),
+                         "score": pa.array([min(max(x, -LONG - 1), LONG) for x in c], pa.int64()),
+                         "_digits": pa.array([digits(x) for x in c], pa.string())})
 
     found = (left.unionByName(right).groupBy("_d", "_q", "_dim")
-             .applyInArrow(search, "query_id bigint, vec_id bigint, score bigint"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+             .applyInArrow(search, "query_id bigint, vec_id bigint, score bigint, _digits string"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("_digits").desc_nulls_last(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

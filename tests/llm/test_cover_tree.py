@@ -70,3 +70,26 @@ def test_odd_vectors_and_ties(spark):
     df = spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA).selectExpr("*", "1 AS _d", "2 AS score")
     assert _got(ct.top_k(df, F.col("_id") % 50 == 0)) == _brute(rows)
     assert ct.top_k(df.limit(0), F.col("_id") % 50 == 0).collect() == []
+
+
+def test_large_components_are_exact(spark):
+    """Scores beyond 2^53, beyond a long, and components near the end of a double's range."""
+    rows = [(i, [1e6 + i / 256, -1e6, 3.0]) for i in range(60)] + [(100, [1e6, 1e6 + 0.5, -2.0])]
+    got = _got(ct.top_k(spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id bigint, embedding array<double>, label int"), F.col("_id") % 50 == 0))
+    assert got == _brute(rows)
+    top = (1 << 63) - 1
+    rows = [(0, [1e20, 1.0]), (1, [1e20, 1.0]), (2, [2e20, 1.0]), (3, [-1e20, 1.0]), (4, [-3e20, 1.0]), (5, [1e20, 2.0]), (6, [1e20, 1.0]), (50, [1e308, -1e308])]
+    df = spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id bigint, embedding array<double>, label int")
+    want = [(q, r, j, max(min(s, top), -top - 1)) for q, r, j, s in _brute_ints(rows)]
+    for block in (None, 3):
+        assert _got(ct.top_k(df, F.col("_id") % 50 == 0, block=block)) == sorted(want)
+
+
+def _brute_ints(rows, k=5):
+    v = [(i, [int(x) * 256 if abs(x) > 1e15 else math.floor(256 * x) for x in e]) for i, e in rows]
+    out = []
+    for i, q in v:
+        if i % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(q, e)), j) for j, e in v if j != i)[:k]
+            out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
+    return out
