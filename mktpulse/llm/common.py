@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mktpulse.session import ensure_checkpoint_dir, ship_package
@@ -58,6 +58,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def running(rows: DataFrame, order: list, values: list[str] = ()) -> DataFrame:
+    """``rows`` with ``_place`` (from 1) in the given total order and, for each of ``values``, ``<value>_before``: its sum over
+    the rows before.
+
+    Range partitions, sorted and written once; sums within a partition plus those of the partitions before it (one row each).
+    """
+    n = partitions(rows.sparkSession)
+    placed = stored(rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                    .withColumn("_at", F.monotonically_increasing_id()), "running").withColumn("_part", F.shiftright("_at", 33))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    zero = F.lit(0)
+    offsets = (placed.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(v).alias(f"_sum_{v}") for v in values])
+               .select("_part", F.coalesce(F.sum("_n").over(earlier), zero).alias("_rows"),
+                       *[F.coalesce(F.sum(f"_sum_{v}").over(earlier), zero).alias(f"_off_{v}") for v in values]))
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"{v}_before": F.coalesce(F.sum(v).over(within), zero) for v in values}
+    j = placed.withColumns(sums).join(F.broadcast(offsets), "_part") if values else placed.join(F.broadcast(offsets), "_part")
+    return j.select(*rows.columns, (F.col("_rows") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias("_place"),
+                    *[(F.col(f"{v}_before") + F.col(f"_off_{v}")).alias(f"{v}_before") for v in values])
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type)

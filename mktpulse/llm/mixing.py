@@ -12,10 +12,10 @@
   proportions. The slot's rank among its source's slots names the block:
   ``rank mod blocks`` in epoch ``rank div blocks``.
 
-Everything is DataFrame code. Sources are a dimension: one row each. The two
-places that need all sources in order (code point order for the default weights, cumulative targets)
-are windows over that one-row-per-source table; the offsets of a source's
-documents come from sums per hash bucket and a window within a bucket, so a
+Everything is DataFrame code, and the sources are a table of any length: what needs them in order (code point order for
+the default weights, cumulative targets) are running totals over range partitions, slots meet their source by an as-of
+window within stretches of the unit interval, and documents find their source's target by a join that takes frequent sources
+out. The offsets of a source's documents come from sums per hash bucket and a window within a bucket, so a
 source with a third of all rows is spread over as many tasks as it has buckets.
 
 Defined results: NULL text has size 0; the NULL source is a source of its own and
@@ -29,9 +29,8 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from mktpulse.llm.common import prepare, stored
+from mktpulse.llm.common import lookup_hot, prepare, running, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -43,6 +42,8 @@ PER_BUCKET = 256
 GOLDEN = 0.6180339887498949
 #: Slots whose ranks are counted together.
 STRETCH = 65_536
+#: Slots of a stretch of the unit interval on average, and the most such stretches.
+PER_CELL, MAX_CELLS = 4096, 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -50,32 +51,28 @@ def words(text: Column) -> Column:
 
 
 def source_weights(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
-    """One row per source (_source, source_size, docs) with its weight, repeating in code point order, NULL last."""
-    order = Window.orderBy(F.col("_source").asc_nulls_last())  # one row per source
-    at = (F.row_number().over(order) - 1) % len(weights)
-    return sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (at + 1).cast("int")).cast("double"))
+    """One row per source (_source, source_size, ...) with its weight, repeating in code point order, NULL last."""
+    at = (F.col("_place") - 1) % len(weights)
+    placed = running(sizes, [F.col("_source").asc_nulls_last()])
+    return placed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (at + 1).cast("int")).cast("double")).drop("_place")
 
 
 def targets(weighted: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Adds ``target``: shares by weight of ``share`` times all sizes, none above ``most`` times its source's.
 
-    Each round fixes the sources whose share reaches their limit; the rest share what is left. Only three
-    sums per round reach the driver; rounds are at most as many as sources.
+    A source is at its limit if the rate (words per unit of weight) reaches its limit over its weight. In the order of
+    that ratio, the sources before one leave it a rate; the first source that this does not fill sets the rate of all
+    that follow. One running total; three sums reach the driver.
     """
-    full = F.col("source_size") * float(most)
-    total = share * (weighted.agg(F.sum("source_size")).first()[0] or 0)
-    rate = None
-    while True:
-        fixed = F.lit(False) if rate is None else full <= F.col("weight") * rate
-        s = weighted.agg(F.sum(F.when(fixed, full).otherwise(0.0)).alias("fixed"),
-                         F.sum(F.when(fixed, 0.0).otherwise(F.col("weight"))).alias("weight"),
-                         F.sum(fixed.cast("int")).alias("n")).first()
-        if not s.weight:  # every source is at its limit, or there is none
-            return weighted.withColumn("target", full)
-        new = max(0.0, total - s.fixed) / s.weight
-        if new == rate:
-            return weighted.withColumn("target", F.when(fixed, full).otherwise(F.col("weight") * rate))
-        rate = new
+    rows = weighted.withColumn("_full", F.col("source_size") * float(most)).withColumn("_ratio", F.col("_full") / F.col("weight"))
+    sums = rows.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total, weight = share * (sums["size"] or 0), sums["weight"] or 0.0
+    by = running(rows, ["_ratio", F.col("_source").asc_nulls_last()], ["_full", "weight"])
+    # sizes and weights are whole numbers: these sums do not depend on how they are added up
+    rate = F.greatest(F.lit(0.0), F.lit(total) - F.col("_full_before")) / (F.lit(weight) - F.col("weight_before"))
+    first = by.where(F.col("_full") > F.col("weight") * rate).agg(F.min_by(rate, "_place")).first()[0]
+    target = F.col("_full") if first is None else F.least(F.col("_full"), F.col("weight") * first)
+    return rows.withColumn("target", target).drop("_full", "_ratio")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -110,41 +107,44 @@ def streams(docs: DataFrame) -> DataFrame:
 def schedule(sources: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """slot, _source, rank, block, epoch: the mixture as a sequence of blocks of words.
 
-    ``sources`` has _source, source_size, target; its rows (one per source) are held by the driver as the
-    sorted table that maps a point to a source. The rank of a slot among its source's slots is a count
+    ``sources`` has _source, source_size, target. The unit interval is cut into stretches of some slots; a source is a row in
+    every stretch that its part of the cumulative targets touches (at most stretches plus sources rows), and a slot's
+    source is the last one that starts at or before its point. The rank of a slot among its source's slots is a count
     over stretches of slots and one within the stretch.
     """
-    spark, kind = sources.sparkSession, sources.schema["_source"].dataType
-    rows = sorted(sources.where("target > 0").collect(), key=lambda r: (r["_source"] is None, r["_source"] or ""))
-    total = sum(r["target"] for r in rows)
+    spark = sources.sparkSession
+    # nine decimals and no rounding in their sums: the same edges in every run
+    exact = sources.where("target > 0").withColumn("_t", F.col("target").cast("decimal(28,9)"))
+    total = float(exact.agg(F.sum("_t")).first()[0] or 0)
     slots = ceil(total / block)
-    edges, acc = [], 0.0
-    for r in rows:
-        edges.append(acc / total)
-        acc += r["target"]
-    names = spark.createDataFrame(
-        [(k, r["_source"], ceil(r["source_size"] / block)) for k, r in enumerate(rows)],
-        T.StructType([T.StructField("_at", T.IntegerType()), T.StructField("_source", kind),
-                      T.StructField("_blocks", T.LongType())]))
+    cells = min(max(1, ceil(slots / PER_CELL)), MAX_CELLS)
+    edge = running(exact, [F.col("_source").asc_nulls_last()], ["_t"])
+    low = F.col("_t_before").cast("double") / (total or 1.0)
+    high = (F.col("_t_before") + F.col("_t")).cast("double") / (total or 1.0)
+    last = F.lit(cells - 1).cast("bigint")
+    cell = lambda x: F.least(F.floor(x * cells).cast("bigint"), last)
+    held = F.struct(F.col("_place").alias("at"), F.col("_source").alias("source"), F.ceil(F.col("source_size") / block).alias("blocks"))
+    starts = edge.select(F.explode(F.sequence(cell(low), cell(high))).alias("_cell"), low.alias("_u"), F.lit(None).cast("bigint").alias("slot"),
+                         F.col("_place"), held.alias("_s"))
     i = spark.range(0, slots, 1, max(1, ceil(slots / STRETCH))).withColumnRenamed("id", "slot")
     # frac((i + 1/2) * phi), the product split so that large slot numbers keep their fraction
-    high, low = F.floor(F.col("slot") / 2.0 ** 20), F.col("slot") % (1 << 20)
-    product = high * F.lit(GOLDEN * 2 ** 20 % 1.0) + (low + 0.5) * F.lit(GOLDEN)
-    i = i.withColumn("_u", product - F.floor(product)).withColumn("_stretch", F.floor(F.col("slot") / STRETCH))
-    table, step = F.array(*map(F.lit, edges or [0.0])), 1 << max(0, len(edges).bit_length() - 1)
-    i = i.withColumn("_at", F.lit(0))
-    while step:  # binary search of the source whose interval holds the point
-        probe = F.col("_at") + step
-        i = i.withColumn("_at", F.when((probe < len(edges)) & (F.get(table, probe) <= F.col("_u")), probe)
-                         .otherwise(F.col("_at")))
-        step >>= 1
+    high_part, low_part = F.floor(F.col("slot") / 2.0 ** 20), F.col("slot") % (1 << 20)
+    product = high_part * F.lit(GOLDEN * 2 ** 20 % 1.0) + (low_part + 0.5) * F.lit(GOLDEN)
+    i = i.withColumn("_u", product - F.floor(product))
+    i = i.select(cell(F.col("_u")).alias("_cell"), "_u", "slot", F.lit(None).cast("bigint").alias("_place"),
+                 F.lit(None).cast(starts.schema["_s"].dataType).alias("_s"))
+    # a source that starts at a slot's very point holds it: sources first
+    so_far = (Window.partitionBy("_cell").orderBy("_u", F.col("slot").asc_nulls_first(), "_place")
+              .rowsBetween(Window.unboundedPreceding, 0))
+    i = (starts.unionByName(i).withColumn("_s", F.last("_s", ignorenulls=True).over(so_far)).where("slot IS NOT NULL")
+         .select("slot", F.col("_s.at").alias("_at"), F.col("_s.source").alias("_source"), F.col("_s.blocks").alias("_blocks"),
+                 F.floor(F.col("slot") / STRETCH).alias("_stretch")))
     before = Window.partitionBy("_at").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = (i.groupBy("_at", "_stretch").agg(F.count("*").alias("_n"))
             .withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
     within = Window.partitionBy("_at", "_stretch").orderBy("slot")
-    rank = F.col("_r") + F.col("_base")
     return (i.withColumn("_r", F.row_number().over(within) - 1).join(base, ["_at", "_stretch"])
-            .join(F.broadcast(names), "_at").withColumn("rank", rank)
+            .withColumn("rank", F.col("_r") + F.col("_base"))
             .select("slot", "_source", "rank", (F.col("rank") % F.col("_blocks")).alias("block"),
                     F.floor(F.col("rank") / F.col("_blocks")).alias("epoch"))
             .where(F.col("epoch") < most))  # rounding may deal a source a slot more than its limit
@@ -157,9 +157,9 @@ class Mixture:
         prepare(docs.sparkSession)
         #: doc_id, _source, size, _order, start; source and start name a document of size above 0
         self.documents = stored(streams(stored(sized(docs), "mix-sizes")), "mix-streams")
-        per_source = stored(self.documents.groupBy("_source").agg(F.sum("size").alias("source_size")), "mix-sources")
-        #: _source, source_size, weight, target
-        self.sources = targets(source_weights(per_source, weights), share, most)
+        per_source = stored(self.documents.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sources")
+        #: _source, source_size, n (documents), weight, target
+        self.sources = stored(targets(source_weights(per_source, weights), share, most), "mix-targets")
         #: slot, _source, rank, block, epoch
         self.schedule = schedule(self.sources, block, most)
         self.block = block
@@ -184,9 +184,11 @@ class Mixture:
         # documents of size 0 that repeat fall into one group: one row each
         copies = F.when(F.col("size") == 0, F.col("_rows")).otherwise(1)
         per_doc = per_doc.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-        s = self.sources.select(F.col("_source").alias("_s"), "source_size", "target")
-        return (per_doc.join(F.broadcast(s), per_doc["_source"].eqNullSafe(s["_s"]))
-                .select("doc_id", "size", "source_size", "target", "taken"))
+        name = F.coalesce(F.concat(F.lit("s"), F.col("_source").cast("string")), F.lit("none")).alias("_name")
+        s = self.sources.select(name, "n", "source_size", "target")
+        total = self.sources.agg(F.sum("n")).first()[0] or 0
+        facts = per_doc.select("doc_id", "size", "taken", "start", "_copy", name)
+        return lookup_hot(facts, s, "_name", total).select("doc_id", "size", "source_size", "target", "taken")
 
     def spans(self) -> DataFrame:
         """slot, epoch, _source, start, doc_id, first_word, last_word: what each slot takes (words from 0, last excluded)."""

@@ -25,10 +25,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mktpulse.llm.common import partitions, prepare, stored
+from mktpulse.llm.common import prepare, running, stored
 
 BUCKETS = 10_000
 MIN_WORDS, PERCENT, SEED = 20, 10, "2024"
@@ -132,23 +132,6 @@ def noise(seed: str):
     return F.floor(-1000 * F.log(-F.log(u))).cast("bigint")
 
 
-def positions(rows: DataFrame, *order) -> DataFrame:
-    """``rows`` with ``position``, from 1, in the given order, which has to be total.
-
-    Range partitions, sorted and written once; a row's place in its partition plus the rows of the partitions before.
-    """
-    spark = rows.sparkSession
-    placed = stored(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-                    .withColumn("_at", F.monotonically_increasing_id()), "positions")
-    part = F.shiftright("_at", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = (placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    return (placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-            .withColumn("position", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1)
-            .drop("_part", "_at", "_before"))
-
-
 def resample(docs: DataFrame, target: DataFrame, least: int = 1, most: int = 1, buckets: int = BUCKETS,
              min_words: int = MIN_WORDS, percent: int = PERCENT, seed: str = SEED) -> DataFrame:
     """doc_id, n_words, n_features, weight, score, rank for every row of ``docs``.
@@ -166,6 +149,6 @@ def resample(docs: DataFrame, target: DataFrame, least: int = 1, most: int = 1,
               .withColumn("_in", F.col("n_words") >= min_words).withColumn("_row", F.monotonically_increasing_id()))
     scored = stored(scored, "scores")
     drawn = scored.where("_in").count() * percent // 100
-    ranked = positions(scored, F.desc("_in"), F.desc("score"), F.asc_nulls_last("doc_id"), "weight", "n_features", "_row")
-    rank = F.when(F.col("_in") & (F.col("position") <= drawn), F.col("position"))
+    ranked = running(scored, [F.desc("_in"), F.desc("score"), F.asc_nulls_last("doc_id"), "weight", "n_features", "_row"])
+    rank = F.when(F.col("_in") & (F.col("_place") <= drawn), F.col("_place"))
     return ranked.select("doc_id", "n_words", "n_features", "weight", "score", rank.alias("rank"))
