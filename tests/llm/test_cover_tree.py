@@ -39,20 +39,48 @@ def test_covering_radii_and_rows():
             for c in n.children:
                 walk(c)
 
-    walk(ct.build(p))
+    walk(ct.build(p, leaf=16))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_of_the_cover_tree(seed):
+    """Nesting, separation, covering and parents, at every level but the last, which may end early."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 300, (12, 5))
+    p = np.concatenate([np.repeat(centres, 30, 0) + rng.normal(0, [1, 4, 20][seed % 3], (360, 5)), np.tile(centres[:1], (20, 1))]).round()
+    rng.shuffle(p)
+    picked, parent, level, owner = ct.cover(p, [len(p), 60, 7, len(p)][seed])
+    assert (np.diff(level) <= 0).all() and len(set(picked.tolist())) == len(picked)  # nesting: a level is a beginning of the order
+    dist = np.sqrt(((p[:, None, :] - p[None, picked, :]) ** 2).sum(2))
+    assert (dist[np.arange(len(p)), owner] == dist.min(1)).all()
+    last = int(level[-1])
+    for i in sorted(set(level.tolist())):
+        inside = np.flatnonzero(level >= i)
+        apart = dist[picked[inside]][:, inside]
+        assert (apart[~np.eye(len(inside), dtype=bool)] > 2.0 ** i).all()  # separation
+        if i > last or len(picked) == len(np.unique(p, axis=0)):
+            assert (dist[:, inside].min(1) <= 2.0 ** i).all()  # covering
+    for c in range(1, len(picked)):
+        above = np.flatnonzero(level > level[c])
+        d = dist[picked[c], above]
+        assert level[parent[c]] > level[c] and d.min() == dist[picked[c], parent[c]] <= 2.0 ** (level[c] + 1)
 
 
 def test_clustered_points_are_pruned():
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 400, (40, 6))
     p = (np.repeat(centres, 50, 0) + rng.normal(0, 5, (2000, 6))).round()
-    s = ct.Search(np.arange(0, 2000, 50), p[::50], np.arange(2000), p, 5, leaf=32, query_leaf=1)
+    s = ct.Search(np.arange(0, 2000, 50), p[::50], np.arange(2000), p, 5, ct.build(p[::50], 1), ct.build(p, 32))
     for i, best in zip(s.qid, s.best):
         score = p @ p[i]
         score[i] = -np.inf
         want = sorted((-int(x), j) for j, x in enumerate(score) if np.isfinite(x))[:5]
         assert best == want
     assert s.pairs < 0.5 * len(s.qid) * len(p)
+    # a bound known beforehand cuts more and loses nothing
+    low = [-best[-1][0] for best in s.best]
+    again = ct.Search(np.arange(0, 2000, 50), p[::50], np.arange(2000), p, 5, ct.build(p[::50], 1), ct.build(p, 32), low)
+    assert again.best == s.best and again.pairs <= s.pairs
 
 
 @pytest.mark.parametrize("block", [None, 40])
@@ -72,6 +100,14 @@ def test_odd_vectors_and_ties(spark):
     assert ct.top_k(df.limit(0), F.col("_id") % 50 == 0).collect() == []
 
 
+def test_one_id_many_times(spark):
+    """An id that repeats is a candidate as often as it stands there, spread over the blocks."""
+    rows = [(7, [float(i % 5), 1.0]) for i in range(200)] + [(50, [1.0, 1.0]), (100, [1.0, -1.0]), (100, [2.0, 1.0])]
+    df = spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA)
+    got = _got(ct.top_k(df.where("vec_id <> 100"), F.col("_id") % 50 == 0, block=20))
+    assert got == _brute([r for r in rows if r[0] != 100])
+
+
 def test_large_components_are_exact(spark):
     """Scores beyond 2^53, beyond a long, and components near the end of a double's range."""
     rows = [(i, [1e6 + i / 256, -1e6, 3.0]) for i in range(60)] + [(100, [1e6, 1e6 + 0.5, -2.0])]
