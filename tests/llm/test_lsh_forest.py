@@ -107,20 +107,76 @@ def test_working_depth():
         assert d == 12 or 1 - (1 - 0.8 ** (d + 1)) ** trees < recall
 
 
+def test_prefixes_are_shortened_until_the_recall_is_expected():
+    least = lf.working_depth()
+    assert least < lf.DEPTH
+    assert lf.shortened({}, lf.DEPTH, least) == least  # nothing known: as short as the threshold asks
+    assert lf.shortened({1.0: 10 ** 9}, lf.DEPTH, least) == lf.DEPTH
+    assert lf.shortened({0.8: 10 ** 6}, lf.DEPTH, least) <= least + 1
+    for links in ({0.95: 5000, 0.85: 300}, {0.9: 10 ** 5}, {0.8: 10, 0.99: 10 ** 5}):
+        d = lf.shortened(links, lf.DEPTH, least)
+        there = {s: n / lf.found_with(s, lf.DEPTH) for s, n in links.items()}
+        there[0.8] = there.get(0.8, 0) + lf.WARY
+        share = lambda d: sum(n * lf.found_with(s, d) for s, n in there.items()) / sum(there.values())
+        assert d == least or share(d) >= lf.RECALL
+        assert d == lf.DEPTH or share(d + 1) < lf.RECALL
+
+
 def test_recall_at_the_threshold():
     """Pairs of similarity just above 0.8 share a trie node in at least the promised share of cases."""
     rng = np.random.default_rng(0)
-    depth = lf.working_depth()
-    mul, add = lf.permutations(lf.TREES * depth)
+    shift = lf.BITS * (lf.DEPTH - lf.working_depth())
+    mul, add = lf.permutations(lf.TREES * lf.DEPTH)
     found = 0
     for _ in range(400):
         s = rng.integers(0, 1 << 63, 110, dtype=np.uint64)
         a, b = s[:100], s[10:]  # 90 of 110 shared
-        k = [lf.trie_keys(lf.signature(x, mul, add), lf.TREES, depth) for x in (a, b)]
+        k = [lf.paths(lf.signature(x, mul, add), lf.TREES, lf.DEPTH) >> shift for x in (a, b)]
         found += bool((k[0] == k[1]).any())
     assert found >= 398
 
 
+@pytest.mark.parametrize("size", [3, 10_000])
+def test_ties_of_the_sorted_tries(spark, size):
+    """At every depth the ties connect exactly the texts that share a prefix in some trie, across batches and partitions."""
+    rnd, trees, deepest, least = random.Random(size), 3, 5, 2
+    rows = [(i, [sum(rnd.choice([1, 2, 3]) << (lf.BITS * k) for k in range(deepest)) for _ in range(trees)]) for i in range(150)]
+    rows += [(1000 + i, rows[7][1]) for i in range(60)] + [(2000, [])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        forest = lf.Forest(spark.createDataFrame(rows, "node bigint, paths array<bigint>").repartition(4), deepest, least)
+        got = {d: [(r.a, r.b) for r in forest.ties(d).collect()] for d in range(least, deepest + 1)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ids = {n: k for k, (n, _) in enumerate(rows)}
+    for d, ties in got.items():
+        shift, groups = lf.BITS * (deepest - d), defaultdict(list)
+        for n, way in rows:
+            for t, x in enumerate(way):
+                groups[t, x >> shift].append(n)
+        for a, b in ties:
+            assert any(a in g and b in g for g in groups.values())
+        root = _union(len(rows), [(ids[a], ids[b]) for a, b in ties])
+        want = _union(len(rows), [(ids[g[0]], ids[x]) for g in groups.values() for x in g])
+        assert [[root[i] == root[0] for i in range(len(rows))]] == [[want[i] == want[0] for i in range(len(rows))]]
+        assert len(set(root)) == len(set(want))
+
+
+def test_recall_on_a_table_with_links_near_the_threshold(spark, make_docs):
+    """Of the links found by comparing all pairs, at least 99 % are found, whatever depth the data lead to."""
+    rnd = random.Random(12)
+    pairs, i = [], 0
+    for g in range(120):
+        words = ["v%d" % rnd.randrange(10 ** 6) for _ in range(150)]
+        for _ in range(2):
+            pairs.append((i, _near(rnd, words, rnd.choice([0, 1, 1, 2, 2, 3]))))
+            i += 1
+    want = {r[0]: r[4] for r in _brute(pairs)}
+    got = {r.doc_id: r.links for r in lf.jaccard_classes(make_docs(pairs)).collect()}
+    assert sum(want.values()) > 150
+    assert sum(got.values()) >= 0.99 * sum(want.values()) and all(got[d] <= want[d] for d in want)
+
+
 def test_overlaps():
     rng = np.random.default_rng(1)
     a, b = ([np.unique(rng.integers(0, 30_000, n).astype(np.uint64)) for n in (5, 9000, 300)] for _ in range(2))
