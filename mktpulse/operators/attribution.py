@@ -230,7 +230,7 @@ def _credited(segments: DataFrame, d: _Decay) -> DataFrame:
 def of_buyers(touches: DataFrame, orders: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """The touches of users with an order, and a few of others: what passes the filter of the buyers' hashes."""
     h = F.xxhash64("user_id")
-    bits = [F.lit(1).cast("bigint") * F.expr(f"shiftleft(1L, cast(shiftright(xxhash64(user_id), {s}) & 63 AS int))") for s in (40, 46, 52)]
+    bits = [F.expr(f"shiftleft(1L, cast(shiftright(xxhash64(user_id), {s}) & 63 AS int))") for s in (40, 46, 52)]
     key = [F.pmod(h, F.lit(words)).alias("_word"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("_bits")]
     buyers = (orders.filter(F.col("user_id").isNotNull() & F.col("order_ts").isNotNull()).select(*key)
               .groupBy("_word").agg(F.bit_or("_bits").alias("_set")))

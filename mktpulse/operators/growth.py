@@ -38,10 +38,21 @@ def new_buyers_daily(orders: DataFrame, start=None, end=None) -> DataFrame:
     return f.groupBy(F.col("first_order_dt").alias("dt")).agg(F.count("user_id").alias("new_buyers"))
 
 
-def cac_daily(ads: DataFrame, orders_all: DataFrame, start, end) -> DataFrame:
+def new_buyers_of(days: DataFrame, start=None, end=None) -> DataFrame:
+    """C2 from ``user_days``: a user's row on the first day is the new buyer."""
+    first = days.filter(F.col("order_dt") == F.col("first_purchase_dt"))
+    if start is not None:
+        first = first.filter(F.col("order_dt") >= F.to_date(F.lit(str(start))))
+    if end is not None:
+        first = first.filter(F.col("order_dt") <= F.to_date(F.lit(str(end))))
+    return first.groupBy(F.col("order_dt").alias("dt")).agg(F.count("user_id").alias("new_buyers"))
+
+
+def cac_daily(ads: DataFrame, orders_all: DataFrame, start, end, days: DataFrame | None = None) -> DataFrame:
     """``mart_cac_daily``. "New" means first order over *all* orders
-    (D14); spend by day left-joined with new buyers; CAC NULL when none."""
-    nb = new_buyers_daily(orders_all, start, end)
+    (D14); spend by day left-joined with new buyers; CAC NULL when none. ``days``: the ``user_days`` of all orders, if
+    they are there already."""
+    nb = new_buyers_daily(orders_all, start, end) if days is None else new_buyers_of(days, start, end)
     return _cac(ads, nb)
 
 
@@ -72,13 +83,13 @@ def user_days(orders: DataFrame) -> DataFrame:
 
 
 def ltv_by_cohort(orders: DataFrame, lookback_days: int = DEFAULT_LTV_LOOKBACK_DAYS,
-                  on_zero: str = "null") -> DataFrame:
+                  on_zero: str = "null", days: DataFrame | None = None) -> DataFrame:
     """L1-L3: ``mart_ltv_cohort``: customers with revenue in the first
     ``lookback_days`` days after their first purchase, that revenue, and
     revenue per customer (revenue, not margin)."""
     if not 0 <= lookback_days:
         raise ValueError("lookback_days must be >= 0")
-    ud = user_days(orders)
+    ud = user_days(orders) if days is None else days
     since = F.datediff("order_dt", "first_purchase_dt")
     per_user = (ud.filter((since >= 0) & (since <= lookback_days))
                 .groupBy("user_id", "cohort_month").agg(F.sum("revenue").alias("revenue")))
@@ -87,7 +98,7 @@ def ltv_by_cohort(orders: DataFrame, lookback_days: int = DEFAULT_LTV_LOOKBACK_D
     return c.withColumn("LTV_lookback", ratio("revenue_lookback", "customers", on_zero))
 
 
-def retention_rates(orders: DataFrame, sort: bool = True) -> DataFrame:
+def retention_rates(orders: DataFrame, sort: bool = True, days: DataFrame | None = None) -> DataFrame:
     """``mart_retention_cohort``: distinct active users per
     (cohort month, order month), cohort size, rate, whole-month offset.
 
@@ -95,7 +106,7 @@ def retention_rates(orders: DataFrame, sort: bool = True) -> DataFrame:
     own cohort month), read with a window over the small per-cohort result
     instead of a second pass over users.
     """
-    ud = user_days(orders).filter(F.col("cohort_month").isNotNull())
+    ud = (user_days(orders) if days is None else days).filter(F.col("cohort_month").isNotNull())
     act = (ud.select("user_id", "cohort_month", month_start("order_dt").alias("order_month")).distinct()
            .groupBy("cohort_month", "order_month").agg(F.count("user_id").alias("active_customers")))
     size = F.max(F.when(F.col("order_month") == F.col("cohort_month"), F.col("active_customers"))).over(
