@@ -25,11 +25,11 @@ most that many rows however many buyers there are, so its broadcast is bounded.
 A touch that passes by chance earns nothing either; beyond some ten million buyers
 the filter lets more and more touches through, but never loses one.
 
-Light users. All but the ``hot`` users with the most rows: one exchange by
+Light users, with at most one part in ``hot`` of the rows each: one exchange by
 user, windows over the user's timeline for counts and credits, and windows over
 (user, reference block) for the decayed weights.
 
-Heavy users, of which there are at most ``hot`` (their ids are broadcast): no
+Heavy users have more than one part in ``hot`` of the rows, so there are fewer than ``hot`` (their ids are broadcast): no
 task holds one of them. Their timeline is cut into segments (user, hour):
 
 1. every segment's touches are summed up (count, decayed weight, first and
@@ -41,8 +41,7 @@ task holds one of them. Their timeline is cut into segments (user, hour):
    leaves one row per (source, campaign) and the sums of its orders;
 4. windows over the segments carry the orders' sums back to earlier touches.
 
-Both ways are always planned; there is no switch by size. A light user holds
-less than one part in ``hot`` of the rows.
+Both ways are always planned; there is no switch by size.
 
 Exponents never leave the range of a double: weights are kept relative to the
 start of a reference block of time, chosen so that its length decays by
@@ -60,7 +59,7 @@ from pyspark.sql import functions as F
 
 from mktpulse.contracts import DECAY_PER_MINUTE
 from mktpulse.functions.ratios import money
-from mktpulse.operators.joins import DEFAULT_HOT, hot_keys, lookup_join
+from mktpulse.operators.joins import DEFAULT_HOT, lookup_join
 
 SEGMENT_SECONDS = 3600
 #: 64-bit words of the filter of buyers: bounds its broadcast to some 40 MB.
@@ -335,6 +334,12 @@ def _heavy(tl: DataFrame, d: _Decay) -> DataFrame:
     return parts.select("channel", "campaign", F.explode(rows).alias("r")).select("channel", "campaign", "r.s.*", "r.oid")
 
 
+def heavy_users(tl: DataFrame, hot: int = DEFAULT_HOT) -> DataFrame:
+    """user_id of those with more than one part in ``hot`` of the rows: fewer than ``hot``, whatever the data."""
+    counts = tl.groupBy("user_id").agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") * hot > counts.agg(F.sum("_rows")).scalar()).select("user_id")
+
+
 def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_PER_MINUTE,
                        require_last_click: bool = False, segment_seconds: int = SEGMENT_SECONDS,
                        hot: int = DEFAULT_HOT, lookback_days: float | None = None) -> DataFrame:
@@ -344,8 +349,8 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
     ``source`` and ``campaign``) credited by any model; each model's revenue
     sums to the revenue of orders with at least one earlier touch (D8).
     ``require_last_click=True`` keeps only pairs with last-click credit, as
-    the reference's left join does. A task holds the timeline of a user, or the events of
-    one of the ``hot`` heaviest users in ``segment_seconds``.
+    the reference's left join does. A task holds the timeline of a user with at most one part in ``hot`` of the rows, or
+    the events of a heavier one in ``segment_seconds``.
 
     ``lookback_days``: only touches at most so long before an order are in its path (both ends count). Paths are then
     short, and every user's timeline is cut into stretches of that length, a task holding two of them.
@@ -361,7 +366,7 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
     if lookback_days is not None:
         parts = _light(tl, d, round(lookback_days * 86_400_000_000))
     else:
-        heavy = F.broadcast(hot_keys(tl, "user_id", hot))  # at most ``hot`` rows
+        heavy = F.broadcast(heavy_users(tl, hot))  # fewer than ``hot`` rows
         parts = _light(tl.join(heavy, "user_id", "left_anti"), d).unionByName(
             _heavy(tl.join(heavy, "user_id", "left_semi"), d))
     # distinct order ids in two steps: rows without an id are combined before the shuffle

@@ -238,9 +238,9 @@ def q_paid_perf_subcent(spark, sf_dir):
 
 
 def q_attribution_subcent(spark, sf_dir):
-    """A1-A6 over money below a cent."""
+    """A1-A6 over money below a cent; a low bound on light users, so that both ways have some."""
     f = _filtered(spark, sf_dir)
-    m = attribution.attribution_models(f.web, _subcent(f.od, "revenue", "0.07"))
+    m = attribution.attribution_models(f.web, _subcent(f.od, "revenue", "0.07"), hot=200)
     return m.withColumns({c: F.round(c, 4) for c in ("revenue_linear", "revenue_time_decay")})
 
 

@@ -72,8 +72,8 @@ def brute(touches: list[tuple], orders: list[tuple], k: float = K, lookback: dt.
     return out
 
 
-def run_scan(spark, touches, orders, segment_seconds=3600, hot=2, **kw):
-    """By default the two users with the most rows go the heavy way, all others the light one."""
+def run_scan(spark, touches, orders, segment_seconds=3600, hot=20, **kw):
+    """By default users with more than a twentieth of the rows go the heavy way, all others the light one."""
     w = spark.createDataFrame(touches, WEB)
     o = spark.createDataFrame(orders, ORD)
     got = rows(A.attribution_models(w, o, segment_seconds=segment_seconds, hot=hot, **kw))
@@ -146,7 +146,7 @@ def _random_history(seed: int, users: int, touches_per_user: int, orders_per_use
     return touches, orders
 
 
-@pytest.mark.parametrize("seed,segment,hot", [(1, 3600, 1000), (2, 60, 5), (3, 86_400, 0), (4, 400 * 86_400, 1000), (5, 3600, 0)])
+@pytest.mark.parametrize("seed,segment,hot", [(1, 3600, 1000), (2, 60, 25), (3, 86_400, 0), (4, 400 * 86_400, 1000), (5, 3600, 0)])
 def test_random_histories(spark, seed, segment, hot):
     touches, orders = _random_history(seed, users=25, touches_per_user=30, orders_per_user=6)
     assert_same(run_scan(spark, touches, orders, segment, hot), brute(touches, orders))
@@ -156,7 +156,7 @@ def test_no_result_change_by_the_split(spark):
     """Whoever is heavy, the numbers are the same."""
     touches, orders = _random_history(51, users=20, touches_per_user=25, orders_per_user=5, days=900)
     want = run_scan(spark, touches, orders, hot=0)
-    for hot in (1, 7, 1000):
+    for hot in (12, 20, 1000):
         assert_same(run_scan(spark, touches, orders, hot=hot), want, 1e-9)
 
 
@@ -197,7 +197,14 @@ def test_hot_user_across_segments(spark):
     hot_t = [("u0",) + t[1:] for t in hot_t]
     touches = [t for t in touches if t[0] != "u0"] + hot_t
     orders = [o for o in orders if o[1] != "u0"] + hot_o
-    assert_same(run_scan(spark, touches, orders, hot=1), brute(touches, orders))
+    assert_same(run_scan(spark, touches, orders, hot=3), brute(touches, orders))
+
+
+def test_heavy_users(spark):
+    rows_ = spark.createDataFrame([(u,) for u, n in (("a", 50), ("b", 30), ("c", 10), ("d", 10)) for _ in range(n)], "user_id string")
+    heavy = lambda hot: {r.user_id for r in A.heavy_users(rows_, hot).collect()}
+    assert [heavy(h) for h in (0, 1, 2, 3, 4, 10, 11)] == [set(), set(), set(), {"a"}, {"a", "b"}, {"a", "b"}, {"a", "b", "c", "d"}]
+    assert A.heavy_users(rows_.limit(0)).collect() == []
 
 
 def test_models_sum_to_attributed_revenue(spark):
@@ -332,7 +339,7 @@ def test_no_frame_looks_ahead(spark):
     touches, orders = _random_history(14, users=4, touches_per_user=5, orders_per_user=2)
     w, o = spark.createDataFrame(touches, WEB), spark.createDataFrame(orders, ORD)
     import re
-    for df in (A.attribution_models(w, o, hot=2), A.attribution_models(w, o, lookback_days=3)):
+    for df in (A.attribution_models(w, o, hot=4), A.attribution_models(w, o, lookback_days=3)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         frames = set(re.findall(r"specifiedwindowframe\(([^)]*\(?\)?[^)]*)\)", plan))
         assert frames
