@@ -52,11 +52,11 @@ def buyers_by_campaign(orders: DataFrame) -> DataFrame:
     """channel, campaign, buyers (buyer-days, D18), buyers_distinct (over the whole range), from one set of day bitmaps."""
     ids = dictionary(orders, "user_id")
     days = bitmaps(orders, ids, "user_id", [F.to_date("order_ts").alias("dt"), "channel", "campaign"])
-    # the day level and the range level side by side: bits per day summed, bits of the OR
-    daily = days.groupBy("channel", "campaign").agg(F.sum(F.bitmap_count("bits")).alias("buyers"))
-    whole = distinct_of(days, ["channel", "campaign"], "buyers_distinct")
-    same = daily["channel"].eqNullSafe(whole["channel"]) & daily["campaign"].eqNullSafe(whole["campaign"])
-    return daily.join(whole, same).select(daily["channel"], daily["campaign"], "buyers", "buyers_distinct")
+    # both levels in one pass: bits of the days summed, bits of their OR
+    merged = days.groupBy("channel", "campaign", "bucket").agg(
+        F.sum(F.bitmap_count("bits")).alias("days"), F.bitmap_or_agg("bits").alias("bits"))
+    return merged.groupBy("channel", "campaign").agg(
+        F.sum("days").alias("buyers"), F.sum(F.bitmap_count("bits")).alias("buyers_distinct"))
 
 
 def sessions_by_stage(web: DataFrame) -> DataFrame:
