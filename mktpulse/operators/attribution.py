@@ -68,6 +68,8 @@ FILTER_WORDS = 1 << 20
 _BLOCK_DECAY, _ALL_TIME = 250.0, 1 << 40
 #: A touch in this last part of a block also counts in the next one: there it weighs exp(-50) and more.
 _NEXT_BLOCK = 0.2
+#: Up to this decay a sum after a row may be the whole sum less the one so far: it loses four to five places of a double's 16.
+_MILD_DECAY = 10.0
 
 
 def timeline(touches: DataFrame, orders: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
@@ -242,7 +244,7 @@ def _light(tl: DataFrame, d: _Decay, lookback: int | None = None) -> DataFrame:
     """(source, campaign) parts of users whose timeline fits a task: channel, campaign, lin, dec, lc, fc, hit, oid.
 
     Rows of a timeline by ``kind``: 0 touch, 1 order, -1 a touch that only weighs (in the block after its own); with a
-    ``lookback`` (microseconds) also 2, a touch that leaves the path, and -2, the start of an order's path. What follows
+    ``lookback`` (microseconds; ``_recent`` takes those that decay by less than a block) also 2, a touch that leaves the path, and -2, the start of an order's path. What follows
     a row is read from windows backwards in time, never from frames that look ahead.
     """
     is_touch, is_order = F.col("kind") == 0, F.col("kind") == 1
@@ -321,6 +323,74 @@ def _light(tl: DataFrame, d: _Decay, lookback: int | None = None) -> DataFrame:
     return j.select(F.explode(parts).alias("p")).select("p.*")
 
 
+def _recent(tl: DataFrame, d: _Decay, lookback: int) -> DataFrame:
+    """The same parts for paths of at most ``lookback`` (microseconds) that decay by less than a block.
+
+    Stretches of time are as long as the lookback. An order's path is what its own stretch has had so far, and of the stretch
+    before what is not yet too old. So a touch is two rows: one that comes in its own stretch (kind 0) and, a lookback later, one
+    that leaves the next (kind 2); an order is one (kind 1). Touches that have not left are all that leave later. Weights are relative
+    to the stretch's start. All windows read one sort, and the sorted rows are kept narrow; only a strong decay takes a second.
+    """
+    stretch = F.expr(f"(t_us - pmod(t_us, {lookback})) div {lookback}")  # div alone rounds times before 1970 up
+    pair = F.struct("src", "camp")
+    none = F.lit(None)
+
+    def row(kind: int, later: int = 0, comes: Column = none, leaves: Column = none):
+        return F.struct(F.lit(kind).alias("kind"), (stretch + later).alias("stretch"), (F.col("t_us") + later * lookback).alias("t_us"),
+                        comes.cast("struct<src: string, camp: string>").alias("comes"),
+                        leaves.cast("struct<src: string, camp: string>").alias("leaves"))
+
+    rows = F.when(F.col("kind") == 0, F.array(row(0, comes=pair), row(2, 1, leaves=pair))).otherwise(F.array(row(1)))
+    tl = tl.select("user_id", "sec", "oid", "rev", F.explode(rows).alias("e")).select("user_id", "sec", "oid", "rev", "e.*")
+    rel = F.exp(d.k * (F.col("sec") - F.floor(F.col("stretch") * lookback / 1_000_000)))
+    tl = tl.select("user_id", "stretch", "t_us", "kind", "comes", "leaves", "oid", "rev",
+                   F.when(F.col("kind") == 0, rel).alias("w_comes"), F.when(F.col("kind") == 2, rel).alias("w_leaves"))
+    keys, names = ["user_id", "stretch"], ["t_us", "kind", "comes", "leaves", "oid", "rev"]
+    stretches = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in names])
+    upto = stretches.rowsBetween(Window.unboundedPreceding, 0)
+    whole = stretches.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def after(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(whole), F.lit(0.0)) - F.coalesce(F.sum(c).over(upto), F.lit(0.0))
+
+    # exact duplicate order rows are one order; they are neighbours
+    again = ((F.lag("kind").over(stretches) == 1) & (F.lag("t_us").over(stretches) == F.col("t_us"))
+             & F.lag("oid").over(stretches).eqNullSafe(F.col("oid")) & F.lag("rev").over(stretches).eqNullSafe(F.col("rev")))
+    left = F.count("leaves").over(whole) - F.count("leaves").over(upto)
+    # what is yet to leave is the latest, and so the heaviest, of the stretch before: nothing is lost by taking the rest away
+    w = F.coalesce(F.sum("w_comes").over(upto), F.lit(0.0)) + F.when(left > 0, after("w_leaves")).otherwise(0.0)
+    by = ", ".join(f"{c} ASC NULLS FIRST" for c in names)
+    oldest = F.expr(f"lead(leaves, 1) IGNORE NULLS OVER (PARTITION BY {', '.join(keys)} ORDER BY {by})")
+    order = (F.col("kind") == 1) & ~F.coalesce(again, F.lit(False))
+    j = tl.withColumns({"n": F.when(order, F.count("comes").over(upto) + left), "w": w,
+                        "last": F.coalesce(F.last("comes", ignorenulls=True).over(upto), F.last("leaves", ignorenulls=True).over(whole)),
+                        "first": F.coalesce(oldest, F.first("comes", ignorenulls=True).over(upto))})
+    r = F.coalesce(F.col("rev").cast("double"), F.lit(0.0))
+    counted = F.col("n") > 0
+    j = j.withColumns({"hit": F.when(counted, F.lit(1)), "v": F.when(counted, r / F.col("n")), "a": F.when(counted, r / F.col("w"))})
+    # a touch earns from its own stretch's orders after it, and from the next one's until it leaves
+    comes, hits = F.col("kind") == 0, F.count("hit").over(upto)
+    j = j.withColumns({"seen": F.when(comes, F.count("hit").over(whole) - hits).otherwise(hits),
+                       "lin": F.when(comes, after("v")).otherwise(F.sum("v").over(upto)), "a_upto": F.sum("a").over(upto)})
+    if d.k * lookback / 1_000_000 <= _MILD_DECAY:
+        j = j.withColumn("a_after", after("a"))
+    else:  # later orders' shares are too small beside the earlier ones': summed from the end
+        back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in names])
+        j = j.withColumn("a_after", F.sum("a").over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    no_money = money(F.lit(None))
+
+    def part(of: Column, lin=F.lit(0.0), dec=F.lit(0.0), lc=no_money, fc=no_money, seen=F.lit(0), oid=none):
+        return F.struct(of["src"].alias("channel"), of["camp"].alias("campaign"), lin.alias("lin"), dec.alias("dec"), lc.alias("lc"),
+                        fc.alias("fc"), seen.cast("bigint").alias("seen"), oid.cast("string").alias("oid"))
+
+    rev = F.coalesce("rev", money(F.lit(0)))
+    dec = F.when(comes, F.col("w_comes") * F.col("a_after")).otherwise(F.col("w_leaves") * F.col("a_upto"))
+    credit = part(F.coalesce("comes", "leaves"), lin=F.col("lin"), dec=dec, seen=F.col("seen"))
+    parts = F.when(F.col("kind") == 1, F.when(counted, F.array(part(F.col("last"), lc=rev, oid=F.col("oid")), part(F.col("first"), fc=rev))))
+    parts = parts.when(F.col("seen") > 0, F.array(credit))
+    return j.select(F.explode(parts).alias("p")).select("p.*")
+
+
 def _heavy(tl: DataFrame, d: _Decay) -> DataFrame:
     """The same parts of users that no task could hold, by segments."""
     parts = _credited(_segments(tl, d), d)
@@ -353,7 +423,9 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
     the events of a heavier one in ``segment_seconds``.
 
     ``lookback_days``: only touches at most so long before an order are in its path (both ends count). Paths are then
-    short, and every user's timeline is cut into stretches of that length, a task holding two of them.
+    short, and every user's timeline is cut into stretches of that length, a task holding two of them: two rows a touch in one
+    sort (two sorts beyond exp(-10) over the lookback). Where a lookback decays by more than a block, the light users' windows
+    do it, with four rows a touch and more sorts.
     """
     if segment_seconds < 1 or hot < 0:
         raise ValueError("segment_seconds must be positive, hot not negative")
@@ -364,7 +436,9 @@ def attribution_models(touches: DataFrame, orders: DataFrame, k: float = DECAY_P
     tl = timeline(touches, orders, segment_seconds)
     d = _Decay(k, segment_seconds)
     if lookback_days is not None:
-        parts = _light(tl, d, round(lookback_days * 86_400_000_000))
+        lookback = round(lookback_days * 86_400_000_000)
+        way = _recent if 0 <= d.k * lookback / 1_000_000 <= _BLOCK_DECAY else _light
+        parts = way(tl, d, lookback)
     else:
         heavy = F.broadcast(heavy_users(tl, hot))  # fewer than ``hot`` rows
         parts = _light(tl.join(heavy, "user_id", "left_anti"), d).unionByName(

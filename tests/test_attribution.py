@@ -334,6 +334,30 @@ def test_lookback(spark, days, k):
     assert_same(run_scan(spark, touches, orders, k=k, lookback_days=days), brute(touches, seen, k, back))
 
 
+@pytest.mark.parametrize("base", [dt.datetime(1969, 12, 20), dt.datetime(2024, 1, 1)])
+@pytest.mark.parametrize("days", [2, 7, 30, 90])
+def test_lookback_from_few_rows(spark, days, base):
+    """Paths that decay by less than a block, also by much (90 days: exp(-62)) and across 1970, where stretches must not merge."""
+    touches, orders = _random_history(71, users=15, touches_per_user=40, orders_per_user=8)
+    move = base - dt.datetime(2024, 1, 1)
+    touches, orders = [(u, t + move, *x) for u, t, *x in touches], [(i, u, t + move, r) for i, u, t, r in orders]
+    back = dt.timedelta(days=days)
+    for i, (_, uid, ots, _) in enumerate(orders[::3]):
+        touches += [(uid, ots - back, "Edge", "in"), (uid, ots - back - dt.timedelta(microseconds=1), "Edge", f"out{i}")]
+    assert_same(run_scan(spark, touches, orders + orders[::4], lookback_days=days), brute(touches, orders, lookback=back), 1e-9)
+
+
+@pytest.mark.parametrize("days,k,sorts", [(7, K, 1), (60, K, 2), (7, 0.0, 1)])
+def test_lookback_sorts_once(spark, days, k, sorts):
+    """Every sort holds its task's rows: the windows of a lookback share one, a second is for a strong decay only."""
+    import re
+    touches, orders = _random_history(15, users=4, touches_per_user=5, orders_per_user=2)
+    w, o = spark.createDataFrame(touches, WEB), spark.createDataFrame(orders, ORD)
+    plan = A.attribution_models(w, o, k=k, lookback_days=days)._jdf.queryExecution().executedPlan().toString()
+    nodes = re.findall(r"^[\s:+\-*()\d]*(Sort|Exchange hashpartitioning\(user_id)", plan, re.M)
+    assert (nodes.count("Sort"), len(nodes) - nodes.count("Sort")) == (sorts, 1), plan
+
+
 def test_no_frame_looks_ahead(spark):
     """Spark sums a frame that ends in the future anew for every row: none may be in the plan, but whole partitions."""
     touches, orders = _random_history(14, users=4, touches_per_user=5, orders_per_user=2)
