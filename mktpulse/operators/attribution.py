@@ -244,8 +244,9 @@ def _light(tl: DataFrame, d: _Decay, lookback: int | None = None) -> DataFrame:
     """(source, campaign) parts of users whose timeline fits a task: channel, campaign, lin, dec, lc, fc, hit, oid.
 
     Rows of a timeline by ``kind``: 0 touch, 1 order, -1 a touch that only weighs (in the block after its own); with a
-    ``lookback`` (microseconds; ``_recent`` takes those that decay by less than a block) also 2, a touch that leaves the path, and -2, the start of an order's path. What follows
-    a row is read from windows backwards in time, never from frames that look ahead.
+    ``lookback`` (microseconds; ``_recent`` takes those that decay by less than a block) also 2, a touch that leaves the path,
+    and -2, the start of an order's path. What follows a row is read from windows backwards in time, never from frames that
+    look ahead.
     """
     is_touch, is_order = F.col("kind") == 0, F.col("kind") == 1
     # the end of a block counts in the next block too
